@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import chosen_path
+from quillon.llm import chosen_path, exact_stream, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,14 +15,63 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+RULES = [
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+]
+#: Hosts that are blocked, with their subdomains, where no rule fits.
+LISTED_HOSTS = [
+    "cheap-pills.example.net",
+    "cheap-pills.example.org",
+    "spam-farm.example.net",
+    "spam-farm.example.org",
+]
+
+OP2_SQL = r"""
+WITH r AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id,
+             translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+rules(rule, verdict, rhost, rpath) AS (VALUES
+  ('com/', 'allow', 'com', '/'), ('example.com/en/', 'block', 'example.com', '/en/'),
+  ('www.example.com/en/', 'allow', 'www.example.com', '/en/'), ('net/es/', 'block', 'net', '/es/'), ('net/fr/', 'block', 'net', '/fr/')),
+f AS (SELECT p.*, list(struct_pack(n := length(rule), rule := rule, verdict := rules.verdict) ORDER BY length(rule) DESC)
+        FILTER (WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS fit
+      FROM p, rules GROUP BY page_id, host, path)
+SELECT page_id, host, path, fit[1].rule AS rule,
+       coalesce(fit[1].verdict, CASE WHEN regexp_matches(host, '(^|\.)(cheap-pills|spam-farm)\.example\.(net|org)$') THEN 'block' ELSE 'allow' END) AS verdict
+FROM f
+"""
+
+OP5_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def op2_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules, else by the listed hosts."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge_urls(pages, RULES, LISTED_HOSTS).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the row of its text that stays."""
+    return exact_stream.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
+
+
 def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near copies and its number of links (five words, similarity 0.8)."""
     return chosen_path.near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_chosen_path_join": op3_chosen_path_join}
+    return {f.__name__: f for f in (op2_url_cascade, op3_chosen_path_join, op5_streaming_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_cascade": OP2_SQL, "op5_streaming_exact_dedup": OP5_SQL}
