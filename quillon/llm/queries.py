@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import chosen_path, exact_stream, url_filter
+from quillon.llm import chosen_path, exact_stream, html_paths, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,27 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+g AS (SELECT page_id, payload, strlen(payload) AS n, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, n AS payload_bytes, sha256(payload) AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM g
+"""
+
+
+def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record of a seekable bundle and read back."""
+    made = warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+    return made.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text by tag-path ratios."""
+    return html_paths.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op2_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the rules, else by the listed hosts."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
@@ -70,8 +91,8 @@ def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_url_cascade, op3_chosen_path_join, op5_streaming_exact_dedup)}
+    return {f.__name__: f for f in (op1_warc_bundles, op2_url_cascade, op3_chosen_path_join, op5_streaming_exact_dedup, op6_tag_path_text)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_cascade": OP2_SQL, "op5_streaming_exact_dedup": OP5_SQL}
+    return {"op1_warc_bundles": OP1_SQL, "op2_url_cascade": OP2_SQL, "op5_streaming_exact_dedup": OP5_SQL}
