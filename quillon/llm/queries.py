@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import chosen_path, exact_stream, html_paths, url_filter, warc
+from quillon.llm import chosen_path, decontam, exact_stream, html_paths, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,27 @@ def op6_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_paths.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS k
+       FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM b WHERE len(w) > 0)),
+ns AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS k FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns)),
+m AS (SELECT r, dw.n, i, item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.n = bw.n),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM m) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS s FROM m) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
+
+
+def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words inside windows of benchmark items."""
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("item_ids")
+
+
 def op2_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the rules, else by the listed hosts."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
@@ -91,8 +112,8 @@ def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc_bundles, op2_url_cascade, op3_chosen_path_join, op5_streaming_exact_dedup, op6_tag_path_text)}
+    return {f.__name__: f for f in (op1_warc_bundles, op2_url_cascade, op3_chosen_path_join, op5_streaming_exact_dedup, op6_tag_path_text, op7_positional_index)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_bundles": OP1_SQL, "op2_url_cascade": OP2_SQL, "op5_streaming_exact_dedup": OP5_SQL}
+    return {"op1_warc_bundles": OP1_SQL, "op2_url_cascade": OP2_SQL, "op5_streaming_exact_dedup": OP5_SQL, "op7_positional_index": OP7_SQL}
