@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 
 from quillon.llm.store import fresh_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # each store would reserve megabytes for its manifest and log before it holds anything
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: A digest takes about 100 bytes, so this many stay well below 32 MB when sent to every executor.
 BROADCAST_DIGESTS = 250_000
 
@@ -34,7 +39,8 @@ def ingest(spark: SparkSession, path: str, state_dir: str, *, digest=sha256_hex,
     Calling it again with the same ``state_dir`` after files were added continues where the last call (or a lost
     driver) ended; a batch that is replayed overwrites its own output.
     """
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
     schema = spark.read.parquet(path).select("doc_id", "text").schema
     either = f"{path[:-1]}[{path[-1]}]"  # as a pattern, the stream takes a single file as well as a folder
     stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(either)
