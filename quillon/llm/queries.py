@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import chosen_path, decontam, exact_stream, html_paths, url_filter, warc
+from quillon.llm import chosen_path, decontam, exact_stream, html_paths, line_join, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,6 +95,11 @@ def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
+def op10_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the numbers of its lines that repeat an earlier line up to two edits."""
+    return line_join.line_dedup_report(_table(spark, sf_dir, "documents"))
+
+
 def op2_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the rules, else by the listed hosts."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
@@ -112,7 +117,7 @@ def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc_bundles, op2_url_cascade, op3_chosen_path_join, op5_streaming_exact_dedup, op6_tag_path_text, op7_positional_index)}
+    return {f.__name__: f for f in (op1_warc_bundles, op2_url_cascade, op3_chosen_path_join, op5_streaming_exact_dedup, op6_tag_path_text, op7_positional_index, op10_line_edit_join)}
 
 
 def oracle_sql() -> dict[str, str]:
