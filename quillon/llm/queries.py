@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import chosen_path, decontam, exact_stream, html_paths, line_join, url_filter, warc
+from quillon.llm import chosen_path, decontam, exact_stream, html_paths, langid, line_join, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,6 +96,17 @@ def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
+def op8_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its language by text, declaration and source."""
+    return langid.identify_documents(_table(spark, sf_dir, "documents"))
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its language by text, markup, address suffix and host."""
+    labelled = _table(spark, sf_dir, "documents").select("text", F.col("lang").alias("language"))
+    return langid.identify_pages(_table(spark, sf_dir, "pages"), labelled)
+
+
 def op10_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the numbers of its lines that repeat an earlier line up to two edits."""
     return line_join.line_dedup_report(_table(spark, sf_dir, "documents"))
@@ -117,7 +129,7 @@ def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc_bundles, op2_url_cascade, op3_chosen_path_join, op5_streaming_exact_dedup, op6_tag_path_text, op7_positional_index, op10_line_edit_join)}
+    return {f.__name__: f for f in (op1_warc_bundles, op2_url_cascade, op3_chosen_path_join, op5_streaming_exact_dedup, op6_tag_path_text, op7_positional_index, op8_language_evidence, language_of_pages, op10_line_edit_join)}
 
 
 def oracle_sql() -> dict[str, str]:
