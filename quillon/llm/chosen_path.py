@@ -274,7 +274,7 @@ def near_duplicate_classes(
     shallow, large, _ = buckets(chosen.select("node", "n", "sketch", F.explode("p2").alias("path")))
     deeper = chosen.select("node", "n", "sketch", F.explode(F.arrays_zip("p4", "p4_in")).alias("x"))
     deeper = deeper.select("node", "n", "sketch", F.col("x.p4").alias("path"), F.col("x.p4_in").alias("parent"))
-    deeper = deeper.join(large.select(F.col("path").alias("parent")).distinct(), "parent", "left_semi").drop("parent")
+    deeper = materialize(deeper.join(large.select(F.col("path").alias("parent")).distinct(), "parent", "left_semi").drop("parent"), "deeper-paths")
     deep, hot, _ = buckets(deeper)
 
     groups = connected_components(
