@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chosen_path, decontam, exact_stream, html_paths, langid, line_join, url_filter, warc
+from quillon.llm import chosen_path, decontam, exact_stream, html_paths, langid, line_join, token_scan, unigram, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,6 +107,16 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_pages(_table(spark, sf_dir, "pages"), labelled)
 
 
+def op9_unigram_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by unigram pieces and decoded again."""
+    return unigram.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op4_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token count, found in flat token files by the separators."""
+    return token_scan.count_tokens(_table(spark, sf_dir, "documents"))
+
+
 def op10_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the numbers of its lines that repeat an earlier line up to two edits."""
     return line_join.line_dedup_report(_table(spark, sf_dir, "documents"))
@@ -129,7 +139,7 @@ def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc_bundles, op2_url_cascade, op3_chosen_path_join, op5_streaming_exact_dedup, op6_tag_path_text, op7_positional_index, op8_language_evidence, language_of_pages, op10_line_edit_join)}
+    return {f.__name__: f for f in (op1_warc_bundles, op2_url_cascade, op3_chosen_path_join, op4_separator_scan, op5_streaming_exact_dedup, op6_tag_path_text, op7_positional_index, op8_language_evidence, language_of_pages, op9_unigram_round_trip, op10_line_edit_join)}
 
 
 def oracle_sql() -> dict[str, str]:
