@@ -25,6 +25,7 @@ WINDOW = 13
 BLOCK_BYTES = 4 << 20
 #: Text of the test items that is sent to the executors at once; more items are searched in further portions.
 PORTION_BYTES = 16 << 20
+BROADCAST_IDS = 400_000
 
 _INDEX = "block string, doc_id array<long>, first binary, terms binary, starts binary, positions binary"
 
@@ -222,6 +223,17 @@ def contamination(docs: DataFrame, items: DataFrame, *, index: DataFrame | None
     )
 
 
+def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``contamination`` calls contaminated; all columns stay. Rows that share a doc_id
+    go together, null ids are judged by their text."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    judged = contamination(rows.select(F.coalesce("doc_id", "key").alias("doc_id"), "text"), items)
+    lost = materialize(judged.where("contaminated").select(F.col("doc_id").alias("__lost")).distinct(), "contaminated")
+    if lost.count() <= BROADCAST_IDS:
+        lost = F.broadcast(lost)
+    return docs.join(lost, F.coalesce(docs["doc_id"], F.xxhash64(docs["text"])) == F.col("__lost"), "left_anti")
+
+
 def phrase_matches(index: DataFrame, items: DataFrame) -> DataFrame:
     """Every occurrence of every window: doc_id, item_id, position (in words from the document's start), n_words."""
     sc = index.sparkSession.sparkContext

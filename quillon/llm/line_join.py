@@ -248,10 +248,17 @@ def line_dedup_report(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", none).alias("dropped"))
 
 
-def drop_repeated_lines(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """``docs`` with the lines that ``line_dedup_report`` names taken out of their texts; all rows and columns stay."""
-    lost = dropped_lines(docs.select("doc_id", F.col(text).alias("text"))).select(F.col("doc_id").alias("__of"), F.col("dropped").alias("__dropped"))
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with the lines that ``line_dedup_report`` names taken out of their texts. A row
+    that loses lines and has nothing but blanks left goes, as all it said stands elsewhere; other rows and all columns
+    stay, and n_chars, where there is one, counts what is left of a shortened text."""
+    lost = dropped_lines(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__of"), F.col("dropped").alias("__dropped"))
     joined = docs.join(lost, docs["doc_id"].eqNullSafe(F.col("__of")), "left")
-    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__dropped", i))
-    new = F.when(F.col("__dropped").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*(new.alias(c) if c == text else docs[c] for c in docs.columns))
+    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("__dropped"), i))
+    short = F.col("__dropped").isNotNull() & F.col("text").isNotNull()
+    joined = joined.withColumn("__new", F.when(short, F.array_join(kept, "\n")).otherwise(F.col("text")))
+    joined = joined.where(~short | (F.trim(F.regexp_replace("__new", r"\s+", " ")) != ""))
+    made = {"text": F.col("__new")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(short, F.length("__new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(made[c].alias(c) if c in made else docs[c] for c in docs.columns))
