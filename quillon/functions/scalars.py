@@ -165,11 +165,8 @@ def amount_label(bb: ColumnOrName) -> Column:
 
 def nearest_bucket(bb: ColumnOrName) -> Column:
     """The visible bucket nearest to a positive amount; the lower one half-way between two."""
-    out = None
-    for low, high in zip(VISIBLE_BUCKETS, VISIBLE_BUCKETS[1:], strict=False):
-        hit = F.abs(_c(bb) - low) <= F.abs(_c(bb) - high)
-        out = F.when(hit, low) if out is None else out.when(hit, low)
-    return out.otherwise(VISIBLE_BUCKETS[-1])
+    middles = F.array(*(F.lit((a + b) / 2) for a, b in zip(VISIBLE_BUCKETS, VISIBLE_BUCKETS[1:], strict=False)))
+    return F.element_at(F.array(*map(F.lit, VISIBLE_BUCKETS)), F.size(F.filter(middles, lambda m: m < _c(bb))) + 1)
 
 
 def pot_flow(before: ColumnOrName, after: ColumnOrName) -> Column:
@@ -251,11 +248,12 @@ def from_blinds(x: ColumnOrName, bb: float = 0.02) -> Column:
     return F.bround(F.greatest(_c(x), F.lit(0.0)) * bb, 4)
 
 
-def coarse(bb: ColumnOrName, seed: Column) -> Column:
-    """The nearest visible bucket, moved by seeded noise that grows with it."""
-    near, shift = nearest_bucket(bb), noise(seed)
-    moved = near + shift * F.when(near <= 1.5, 0.08).when(near <= 8.0, 0.22).otherwise(F.greatest(F.lit(0.35), near * 0.05))
-    return F.when(_c(bb) <= 0, 0.0).otherwise(F.bround(clamp(moved, 0.0, VISIBLE_BUCKETS[-1]), 2))
+def coarse(bb: ColumnOrName, near: ColumnOrName, shift: ColumnOrName) -> Column:
+    """An amount's bucket ``near``, moved by ``shift`` in [-1, 1] times a reach that grows with it. Each argument is
+    used several times, so pass columns rather than long expressions."""
+    near, shift = _c(near), _c(shift)
+    reach = F.when(near <= 1.5, 0.08).when(near <= 8.0, 0.22).otherwise(F.greatest(F.lit(0.35), near * 0.05))
+    return F.when(_c(bb) <= 0, 0.0).otherwise(F.bround(clamp(near + shift * reach, 0.0, VISIBLE_BUCKETS[-1]), 2))
 
 
 def confidence(p: ColumnOrName) -> Column:
