@@ -45,7 +45,7 @@ def money(x: ColumnOrName, default: float = 0.0) -> Column:
 
 def truth(x: ColumnOrName) -> Column:
     """Whether a text says yes."""
-    return F.coalesce(F.lower(F.trim(_c(x))).isin("1", "true", "yes", "on"), F.lit(False))
+    return F.coalesce(F.lower(F.trim(_c(x))).isin("1", "true", "yes", "y", "on"), F.lit(False))
 
 
 def is_present(x: ColumnOrName) -> Column:

@@ -1 +1,277 @@
-"""Queries."""
+"""Queries of leaderboards, weights, registries, set operations and joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillon import bindings as B
+from quillon.functions import scalars as S
+from quillon.operators import board as L
+from quillon.operators import metrics as M
+from quillon.operators import sequences as Q
+from quillon.plans.catalog import query
+from quillon.plans.metrics import CURVE_SQL
+
+
+def _tidy(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, *(S.tidy(c).alias(c) for c in df.columns if c not in keys))
+
+
+def _rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.reward(B.responses(spark, sf_dir), ["uid"])
+
+
+@query(B.with_sql(CURVE_SQL.format(k="uid", t="responses") + """
+, top AS (SELECT uid, row_number() OVER (ORDER BY reward DESC, uid) AS r FROM rwd WHERE reward > 0 QUALIFY r <= 3)
+SELECT uid::BIGINT AS uid, round(w + 1e-9, 6) AS weight FROM (SELECT 0 AS uid, CASE WHEN (SELECT count(*) FROM top) > 0 THEN 0.7 ELSE 1.0 END AS w UNION ALL SELECT uid, 0.3 * [0.5, 0.3, 0.2][r::INT] FROM top)"""))
+def podium_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(L.podium(_rewards(spark, sf_dir)), "uid")
+
+
+@query("""
+WITH g AS (SELECT s_suppkey AS uid, s_acctbal AS weight FROM supplier WHERE s_suppkey BETWEEN 1 AND 127 AND s_acctbal > 0)
+SELECT i::INT AS uid, round(CASE WHEN i = 0 THEN 0.7 ELSE coalesce(weight * 0.3 / (SELECT sum(weight) FROM g), 0) END + 1e-9, 6) AS weight FROM range(0, 128) r(i) LEFT JOIN g ON uid = i""")
+def settlement_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = B.table(spark, sf_dir, "supplier").where("s_suppkey > 0").select(F.col("s_suppkey").alias("uid"), F.col("s_acctbal").alias("weight"))
+    return _tidy(L.settlement_vector(w, 128), "uid")
+
+
+@query("""SELECT s_suppkey AS uid, floor(greatest(s_acctbal, 0) / max(greatest(s_acctbal, 0)) OVER () * 65535)::INT AS weight FROM supplier""")
+def emitted_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.emitted(B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("uid"), F.col("s_acctbal").alias("weight")))
+
+
+@query("SELECT s_suppkey, round(s_acctbal / (SELECT sum(abs(s_acctbal)) FROM supplier) + 1e-9, 6) AS s_acctbal FROM supplier")
+def normalized_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(L.normalized(B.table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal"), "s_suppkey")
+
+
+@query(B.with_sql(", r2 AS (SELECT uid, score, y FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY ts DESC, event_id DESC) AS b FROM responses) WHERE b <= 40)" + CURVE_SQL.format(k="uid", t="r2") + """
+SELECT uid, n AS sample_count, round(CASE WHEN n < 40 THEN 0 ELSE reward END + 1e-9, 6) AS reward, round(CASE WHEN n < 40 THEN 1 ELSE fpr END + 1e-9, 6) AS fpr FROM rwd JOIN (SELECT uid, count(*) AS n FROM r2 GROUP BY uid) USING (uid)"""))
+def trailing_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rewards over the last 40 answers of each uid; with fewer, nothing is earned."""
+    recent = Q.trailing(B.responses(spark, sf_dir), ["uid"], ["ts", "event_id"], 40).select("uid", "score", "y")
+    n = recent.groupBy("uid").agg(F.count(F.lit(1)).alias("sample_count"))
+    r = M.reward(recent, ["uid"]).join(n, "uid")
+    few = F.col("sample_count") < 40
+    return r.select("uid", "sample_count", S.tidy(F.when(few, 0.0).otherwise(F.col("reward"))).alias("reward"), S.tidy(F.when(few, 1.0).otherwise(F.col("fpr"))).alias("fpr"))
+
+
+@query(B.with_sql("""
+, a AS (SELECT uid, score, row_number() OVER (PARTITION BY uid ORDER BY ts DESC) - 1 AS age FROM responses)
+SELECT uid, round(sum(0.05 * 0.95 ** age * score) + 1e-9, 6) AS ema FROM a GROUP BY uid"""))
+def reward_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(Q.ema(B.responses(spark, sf_dir), ["uid"], "ts", "score", 0.05, "ema"), "uid")
+
+
+@query("""
+WITH e AS (SELECT uid, n, row_number() OVER (ORDER BY uid) - 1 AS i, count(*) OVER () AS c FROM (SELECT c_custkey AS uid, c_name AS n FROM customer WHERE c_custkey <> 0 AND c_nationkey % 2 = 1 AND c_acctbal > 0))
+SELECT uid FROM e WHERE c <= 16 OR (i - ((7 - 1) * 16) % c + c) % c < 16""")
+def rotating_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sixteen candidates of one cycle, after the filter for reachable nodes."""
+    c = B.table(spark, sf_dir, "customer")
+    nodes = c.select(
+        F.col("c_custkey").alias("uid"), (F.col("c_nationkey") % 2 == 0).alias("permit"), F.lit("10.0.0.1").alias("ip"), F.when(F.col("c_acctbal") > 0, 8091).otherwise(0).alias("port")
+    )
+    return L.rotating_page(L.eligible_miners(nodes), "uid", 7, 16).select("uid")
+
+
+@query(B.with_sql("""
+, r AS (SELECT uid, cycle, event_id, score, row_number() OVER (PARTITION BY uid ORDER BY score DESC, event_id DESC) <= 5 AS f, count(*) OVER (PARTITION BY uid) AS n FROM responses),
+b AS (SELECT *, coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 0) AS part FROM r WINDOW w AS (PARTITION BY uid, f))
+SELECT uid, event_id AS idx, round(CASE WHEN n <= 5 THEN score WHEN f THEN round(0.5 + 1e-6 + part * (0.5 - 1e-6), 6) ELSE round(part * (0.5 - 1e-6), 6) END + 1e-9, 6) AS score FROM b"""))
+def top_k_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = B.responses(spark, sf_dir).select("uid", F.col("event_id").alias("idx"), "score")
+    return _tidy(L.top_k_bands(r, ["uid"], 5), "uid", "idx")
+
+
+@query("""
+SELECT count(*) AS nodes, count(*) FILTER (WHERE c_acctbal > 0) AS active, count(*) FILTER (WHERE c_nationkey % 2 = 0) AS permits, count(*) FILTER (WHERE c_nationkey % 2 = 0 AND c_acctbal > 0) AS active_validators,
+  count(*) FILTER (WHERE c_nationkey % 2 = 1 AND c_acctbal > 0 AND c_custkey <> 0) AS active_miners, (SELECT c_acctbal FROM customer WHERE c_custkey = 1) AS burn_balance FROM customer""")
+def network_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = B.table(spark, sf_dir, "customer")
+    permit, active = F.col("c_nationkey") % 2 == 0, F.col("c_acctbal") > 0
+    return c.agg(
+        F.count(F.lit(1)).alias("nodes"), F.count_if(active).alias("active"), F.count_if(permit).alias("permits"), F.count_if(permit & active).alias("active_validators"),
+        F.count_if(~permit & active & (F.col("c_custkey") != 0)).alias("active_miners"), F.max(F.when(F.col("c_custkey") == 1, F.col("c_acctbal"))).alias("burn_balance"),
+    )
+
+
+MANIFEST_SQL = """
+WITH m AS (SELECT p_partkey AS uid, p_size % 4 > 0 AS open_source, CASE WHEN p_size % 5 = 0 THEN '  ' WHEN p_size % 7 = 0 THEN 'https://example.org/base.git/' ELSE 'https://example.org/' || p_brand END AS repo_url,
+    CASE WHEN p_size % 6 = 0 THEN 'main' ELSE substr(sha256(p_name), 1, 12) END AS repo_commit, CASE WHEN p_size % 14 = 0 THEN 'base' ELSE p_name END AS model_name, p_type AS model_version,
+    CASE WHEN p_size % 9 > 0 THEN 'public' END AS training_data_statement, 'none' AS private_data_attestation, CASE WHEN p_size % 8 > 0 THEN [' a.py ', ''] ELSE [''] END AS implementation_files,
+    CASE WHEN p_size % 10 > 0 THEN sha256(p_brand) END AS implementation_sha256 FROM part),
+c AS (SELECT uid, list_filter([CASE WHEN NOT open_source THEN 'open_source' END, CASE WHEN trim(repo_url) = '' THEN 'repo_url' END, CASE WHEN trim(coalesce(training_data_statement, '')) = '' THEN 'training_data_statement' END,
+    CASE WHEN len(list_filter(implementation_files, lambda x: trim(x) <> '')) = 0 THEN 'implementation_files' END, CASE WHEN implementation_sha256 IS NULL THEN 'implementation_sha256' END], lambda x: x IS NOT NULL) AS missing,
+    list_filter([CASE WHEN NOT regexp_full_match(repo_commit, '[0-9a-f]{7,40}') THEN 'repo_commit_invalid' END,
+      CASE WHEN repo_url = 'https://example.org/base.git/' AND model_name <> 'base' THEN 'repo_url_must_point_to_model_repo' END], lambda x: x IS NOT NULL) AS broken,
+    list_filter([CASE WHEN NOT open_source THEN 'manifest_not_open_source' END, CASE WHEN trim(repo_url) = '' THEN 'manifest_missing_repo_url' END, CASE WHEN training_data_statement IS NULL THEN 'manifest_missing_training_data_statement' END], lambda x: x IS NOT NULL) AS reasons FROM m)
+"""
+
+
+def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, size = B.table(spark, sf_dir, "part"), F.col("p_size")
+    url = F.when(size % 5 == 0, "  ").when(size % 7 == 0, "https://example.org/base.git/").otherwise(F.concat(F.lit("https://example.org/"), "p_brand"))
+    return p.select(
+        F.col("p_partkey").alias("uid"), (size % 4 > 0).alias("open_source"), url.alias("repo_url"),
+        F.when(size % 6 == 0, "main").otherwise(F.substring(F.sha2(F.col("p_name").cast("binary"), 256), 1, 12)).alias("repo_commit"),
+        F.when(size % 14 == 0, "base").otherwise(F.col("p_name")).alias("model_name"), F.col("p_type").alias("model_version"), F.when(size % 9 > 0, "public").alias("training_data_statement"),
+        F.lit("none").alias("private_data_attestation"), F.when(size % 8 > 0, F.array(F.lit(" a.py "), F.lit(""))).otherwise(F.array(F.lit(""))).alias("implementation_files"),
+        F.when(size % 10 > 0, F.sha2(F.col("p_brand").cast("binary"), 256)).alias("implementation_sha256"),
+    )
+
+
+@query(MANIFEST_SQL + """
+SELECT uid, array_to_string(missing, ',') AS missing_fields, array_to_string(broken, ',') AS policy_violations, CASE WHEN len(missing) = 0 AND len(broken) = 0 THEN 'transparent' ELSE 'opaque' END AS status, array_to_string(reasons, ',') AS reasons FROM c""")
+def manifest_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = L.compliance(L.normalized_manifest(_manifests(spark, sf_dir)), reference_repo="https://example.org/base", reference_model="base")
+    return m.select("uid", F.array_join("missing_fields", ",").alias("missing_fields"), F.array_join("policy_violations", ",").alias("policy_violations"), "status", F.array_join(L.suspicion(m), ",").alias("reasons"))
+
+
+@query(MANIFEST_SQL + """SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM c) GROUP BY reason
+UNION ALL SELECT s, count(*) FROM (SELECT CASE WHEN len(missing) = 0 AND len(broken) = 0 THEN 'transparent' ELSE 'opaque' END AS s FROM c) GROUP BY s UNION ALL SELECT 'tracked', count(*) FROM c""")
+def registry_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = L.compliance(L.normalized_manifest(_manifests(spark, sf_dir)), reference_repo="https://example.org/base", reference_model="base")
+    told = F.concat(L.suspicion(m), F.array("status", F.lit("tracked")))
+    return m.select(F.explode(told).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT l_partkey % 500 AS chunk, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen, count(*) AS times, count(*) - 1 AS repeats FROM lineitem GROUP BY 1""")
+def served_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = B.table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 500).alias("chunk"), "l_shipdate")
+    return L.served_registry(li, "chunk", "l_shipdate")
+
+
+@query("""
+SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) WHERE b IS NULL OR b <> event_type""")
+def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.changes(B.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], "ts", "event_type").drop("ts")
+
+
+@query("""SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS b FROM events) WHERE b <= 64""")
+def ring_of_64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.trailing(B.table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], 64).select("user_id", "event_id")
+
+
+@query("""
+SELECT c_custkey AS uid, e AS expected, least(coalesce(r, 0), e)::BIGINT AS received, round(coalesce(least(coalesce(r, 0), e) / nullif(e, 0)::DOUBLE, 0) + 1e-9, 6) AS coverage
+FROM (SELECT c_custkey, 12::BIGINT AS e FROM customer) LEFT JOIN (SELECT o_custkey, count(*) AS r FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey) ON c_custkey = o_custkey""")
+def response_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), F.lit(12).cast("long").alias("expected"))
+    received = B.table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_custkey").alias("uid"))
+    return _tidy(L.coverage(expected, received, ["uid"]), "uid", "expected", "received")
+
+
+@query("""
+SELECT c_custkey AS uid, coalesce(c_name, 'unknown') AS hotkey, n_name AS model_name, coalesce(orders, 0) AS sample_count, round(coalesce(spent, 0) + 1e-9, 2) AS reward, s_name AS digest
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS orders, sum(o_totalprice) AS spent FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey LEFT JOIN supplier ON s_suppkey = c_custkey""")
+def leaderboard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per uid from four sources, each of which may lack it."""
+    c, n = B.table(spark, sf_dir, "customer"), B.table(spark, sf_dir, "nation")
+    spent = B.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("orders"), F.sum("o_totalprice").alias("spent"))
+    s = B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), "s_name")
+    out = c.join(n, c["c_nationkey"] == n["n_nationkey"], "left").join(spent, "c_custkey", "left").join(s, "c_custkey", "left")
+    return out.select(
+        F.col("c_custkey").alias("uid"), F.coalesce("c_name", F.lit("unknown")).alias("hotkey"), F.col("n_name").alias("model_name"), F.coalesce("orders", F.lit(0)).alias("sample_count"),
+        F.round(F.coalesce("spent", F.lit(0.0)) + 1e-9, 2).alias("reward"), F.col("s_name").alias("digest"),
+    )
+
+
+@query("""
+WITH s AS (SELECT conv_id, list(turn ORDER BY turn) AS a, list(length(text) ORDER BY turn) FILTER (WHERE turn > 1) AS b FROM conversations GROUP BY conv_id)
+SELECT conv_id, i - 1 AS pos, a[i] AS turn, b[i] AS size FROM s, range(1, 100) r(i) WHERE i <= least(len(a), coalesce(len(b), 0))""")
+def zipped_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lists of unequal length paired by position."""
+    c = B.table(spark, sf_dir, "conversations")
+    take = lambda cond, v: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("turn", v.alias("v"))))), lambda x: x["v"])
+    s = c.groupBy("conv_id").agg(take(F.lit(True), F.col("turn")).alias("turn"), take(F.col("turn") > 1, F.length("text").cast("long")).alias("size"))
+    return L.zip_ordinal(s, s, ["conv_id"], "turn", "size").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)")
+def unseen_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = B.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("k"))
+    return L.unseen(li, B.table(spark, sf_dir, "part").where("p_size < 25").select(F.col("p_partkey").alias("k")), "k").withColumnRenamed("k", "l_partkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+def admitted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A membership test as a semi join."""
+    c, o = B.table(spark, sf_dir, "customer"), B.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    return c.join(o, c["c_custkey"] == o["o_custkey"], "left_semi").select("c_custkey")
+
+
+@query("""
+WITH a AS (SELECT s_suppkey AS uid, s_name AS k FROM supplier WHERE s_suppkey % 5 <> 0), b AS (SELECT s_suppkey AS uid, CASE WHEN s_suppkey % 3 = 0 THEN s_name || 'x' ELSE s_name END AS k FROM supplier WHERE s_suppkey % 7 <> 0)
+SELECT coalesce(a.uid, b.uid) AS uid, CASE WHEN a.uid IS NULL THEN 'new' WHEN b.uid IS NULL THEN 'gone' WHEN a.k = b.k THEN 'same' ELSE 'reset' END AS state FROM a FULL JOIN b ON a.uid = b.uid""")
+def owner_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old and new owners by uid: a changed owner resets the score, new uids lengthen the vector."""
+    s = B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("uid"), "s_name")
+    old = s.where("uid % 5 <> 0").withColumnRenamed("s_name", "old")
+    new = s.where("uid % 7 <> 0").select("uid", F.when(F.col("uid") % 3 == 0, F.concat("s_name", F.lit("x"))).otherwise(F.col("s_name")).alias("new"))
+    both = old.join(new, "uid", "full")
+    state = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "gone").when(F.col("old").eqNullSafe(F.col("new")), "same").otherwise("reset")
+    return both.select("uid", state.alias("state"))
+
+
+@query("""
+SELECT ts::TIMESTAMP AS ts, make_timestamp((CASE WHEN t < a THEN a + floor((t - a) / 86400.0) * 86400 ELSE a + floor((t - a) / 259200.0) * 259200 END * 1000000)::BIGINT) AS start,
+  strftime(make_timestamp((CASE WHEN t < a THEN a + floor((t - a) / 86400.0) * 86400 ELSE a + floor((t - a) / 259200.0) * 259200 END * 1000000)::BIGINT), 'day_%Y-%m-%d_%H%Mutc') AS epoch_id
+FROM (SELECT DISTINCT ts, floor(epoch(ts)) AS t, epoch(TIMESTAMP '2024-01-10 20:00:00') AS a FROM events)""")
+def event_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epochs of three days on from an anchor, of a day before it."""
+    ts = B.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts")).distinct()
+    start = L.epoch_start(F.col("ts"), anchor="2024-01-10 20:00:00")
+    name = F.concat(F.lit("day_"), F.date_format(start, "yyyy-MM-dd"), F.lit("_"), F.date_format(start, "HHmm"), F.lit("utc"))
+    return ts.select(F.col("ts").cast("timestamp_ntz").alias("ts"), start.cast("timestamp_ntz").alias("start"), name.alias("epoch_id"))
+
+
+@query("""
+SELECT uid, row_number() OVER (ORDER BY (TRY_CAST(uid AS BIGINT) IS NULL)::INT, TRY_CAST(uid AS BIGINT), uid) AS place FROM (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN p_size::VARCHAR ELSE p_brand END AS uid FROM part)""")
+def mixed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric ids by value before all others (a list of distinct ids, small by construction)."""
+    ids = B.table(spark, sf_dir, "part").select(F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.col("p_brand")).alias("uid")).distinct()
+    return ids.select("uid", F.row_number().over(Window.orderBy(*L.numeric_first("uid"))).cast("long").alias("place"))
+
+
+@query("""
+SELECT 'orders' AS origin, o_orderkey AS k FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'customers', c_custkey FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'parts', p_partkey FROM part WHERE p_size = 1""")
+def union_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = B.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.lit("orders").alias("origin"), F.col("o_orderkey").alias("k"))
+    c = B.table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.lit("customers").alias("origin"), F.col("c_custkey").alias("k"))
+    p = B.table(spark, sf_dir, "part").where("p_size = 1").select(F.lit("parts").alias("origin"), F.col("p_partkey").alias("k"))
+    return o.unionByName(c).unionByName(p)
+
+
+@query("""
+SELECT o_orderpriority, list_sort(list_distinct(list(o_orderstatus))) = ['F', 'O', 'P'] AS has_all, array_to_string(list_sort(list_filter(['F', 'O', 'P', 'X'], lambda s: NOT list_contains(list_distinct(list(o_orderstatus)), s))), ',') AS absent FROM orders GROUP BY o_orderpriority""")
+def set_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subset and difference against a required set."""
+    got = B.table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.collect_set("o_orderstatus").alias("s"))
+    need, more = F.array(*map(F.lit, "FOP")), F.array(*map(F.lit, "FOPX"))
+    return got.select("o_orderpriority", (F.size(F.array_except(need, "s")) == 0).alias("has_all"), F.array_join(F.array_sort(F.array_except(more, "s")), ",").alias("absent"))
+
+
+@query("""
+SELECT o_custkey AS chunk_id, sha256(string_agg('=' || o_orderkey || chr(31) || '=' || o_orderstatus, chr(30) ORDER BY o_orderkey)) AS digest, array_to_string(list_sort(list(DISTINCT o_orderkey % 7)), ',') AS residues FROM orders GROUP BY o_custkey""")
+def content_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of a chunk's content in a stable order, and its distinct sorted ids."""
+    o = B.table(spark, sf_dir, "orders")
+    one = F.concat_ws("\x1f", F.concat(F.lit("="), F.col("o_orderkey").cast("string")), F.concat(F.lit("="), "o_orderstatus"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", one.alias("v")))), lambda x: x["v"])
+    return o.groupBy(F.col("o_custkey").alias("chunk_id")).agg(
+        F.sha2(F.array_join(rows, "\x1e").cast("binary"), 256).alias("digest"), F.array_join(F.sort_array(F.collect_set(F.col("o_orderkey") % 7)), ",").alias("residues")
+    )
+
+
+@query(B.with_sql("""
+SELECT cycle, count(*) AS n, round(min(score) + 1e-9, 6) AS lowest, round(max(score) + 1e-9, 6) AS highest, round(avg(score) + 1e-9, 6) AS mean, count(*) FILTER (WHERE score > 0) AS nonzero, round(count(DISTINCT uid) / 150.0::DOUBLE + 1e-9, 6) AS response_rate FROM responses GROUP BY cycle"""))
+def cycle_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = B.responses(spark, sf_dir)
+    return r.groupBy("cycle").agg(
+        F.count(F.lit(1)).alias("n"), S.tidy(F.min("score")).alias("lowest"), S.tidy(F.max("score")).alias("highest"), S.tidy(F.avg("score")).alias("mean"),
+        F.count_if(F.col("score") > 0).alias("nonzero"), S.tidy(F.countDistinct("uid") / 150).alias("response_rate"),
+    )
