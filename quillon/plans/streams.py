@@ -1 +1,50 @@
-"""Queries."""
+"""Queries that run a stream over the event table and return its final state; the SQL twins are the batch forms."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.functions import scalars as S
+from quillon.plans.catalog import query
+from quillon.streaming import state as T
+
+
+def _events(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    e = T.read_stream(spark, f"{sf_dir}/events.parquet")
+    return e.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"), "value", F.col("event_type").alias("status"))
+
+
+@query("""
+SELECT user_id AS key, count(*) AS held, round(avg(value) + 1e-9, 6) AS mean, min(ts) AS oldest FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS b FROM events) WHERE b <= 40 GROUP BY user_id""")
+def stream_ring_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = T.latest(T.ring_buffers(_events(spark, sf_dir).select("key", "at", "value"), 40), "key")
+    return out.select("key", "held", S.tidy("mean").alias("mean"), F.col("oldest").cast("timestamp_ntz").alias("oldest"))
+
+
+@query("""
+SELECT user_id AS key, round(sum(0.05 * 0.95 ** age * value) + 1e-9, 6) AS ema FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) - 1 AS age FROM events) GROUP BY user_id""")
+def stream_moving_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = T.latest(T.moving_averages(_events(spark, sf_dir).select("key", "at", "value"), 0.05), "key")
+    return out.select("key", S.tidy("ema").alias("ema"))
+
+
+@query("""
+SELECT user_id AS key, max_by(event_type, ts) AS status, count(*) AS events, count(*) FILTER (WHERE b IS NULL OR b <> event_type) AS changes FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) GROUP BY user_id""")
+def stream_status_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.latest(T.status_registry(_events(spark, sf_dir).select("key", "at", "status")), "key")
+
+
+@query("SELECT user_id AS key, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS times FROM events GROUP BY user_id")
+def stream_served_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = T.latest(T.served(_events(spark, sf_dir).select("key", "at")), "key")
+    return out.select("key", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "times")
+
+
+@query("""
+WITH w AS (SELECT epoch_ms(((floor((epoch(ts) - 72000) / 259200) * 259200 + 72000) * 1000)::BIGINT) AS start, value, ts FROM events)
+SELECT start, count(*) AS n, round(sum(value) + 1e-9, 4) AS total FROM w GROUP BY start HAVING start + INTERVAL 72 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def stream_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epochs that the watermark has closed."""
+    out = T.latest(T.epochs(_events(spark, sf_dir).select("at", "value")), "start", mode="append")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round(F.col("total") + 1e-9, 4).alias("total"))
