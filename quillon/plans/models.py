@@ -1 +1,59 @@
-"""Queries."""
+"""Queries that train on chunk features. They have no SQL twins; the tests check their invariants."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon import bindings as B
+from quillon.functions import labels as G
+from quillon.functions import scalars as S
+from quillon.operators import features as X
+from quillon.operators import metrics as M
+from quillon.operators import models as D
+from quillon.plans.catalog import query
+from quillon.sources import synthetic
+
+NAMES = [f"{k}_mean" for k in ("aggression_ratio", "passive_ratio", "action_type_entropy", "street_jump_ratio", "amount_mean", "fold_ratio", "raise_ratio", "num_actions")]
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of some hand features per chunk; the label is a fixed function of them and of the balance, so that there is
+    something to learn."""
+    features = X.hand_features(B.hands(spark, sf_dir), B.actions(spark, sf_dir))
+    means = features.groupBy("chunk_id").agg(*(F.avg(n.removesuffix("_mean")).alias(n) for n in NAMES))
+    c = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chunk_id"), "c_acctbal")
+    y = F.col("aggression_ratio_mean") + F.col("c_acctbal") / 40000 > 1.05
+    return means.join(c, "chunk_id").select("chunk_id", *NAMES, y.cast("int").alias("y"))
+
+
+@query()
+def calibrated_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees on a training split, calibrated on the validation split, scores of all chunks with decisions."""
+    rows = G.hash_split(_labelled(spark, sf_dir), "chunk_id", 0.3, 44).persist()
+    model = D.train(rows.where("split = 'train'"), NAMES)
+    scored = D.score(model, rows.drop("split"))
+    calibrator = D.fit_calibrator(D.score(model, rows.where("split = 'validation'")).select("score", "y"))
+    out = calibrator.apply(scored)
+    return out.select("chunk_id", "y", "score", M.decide().cast("int").alias("flagged"), S.confidence("score").alias("confidence"))
+
+
+@query()
+def blend_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold comparison of two learners and their blend."""
+    oof = D.out_of_fold(_labelled(spark, sf_dir).persist(), NAMES, "chunk_id", k=2)
+    return D.compare_blends(oof, "trees", "linear").select("name", S.tidy("ap").alias("ap"), S.tidy("auc").alias("auc"), "chosen")
+
+
+@query()
+def synthetic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the archetypes of generated hands act."""
+    a = synthetic.synthetic_actions(spark, 400)
+    return a.groupBy("archetype", "action_type").agg(F.count(F.lit(1)).alias("n"), S.tidy(F.avg("amount")).alias("mean_amount"))
+
+
+@query()
+def bootstrap_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers drawn with replacement, about as many as there are orders per hundred."""
+    c = B.table(spark, sf_dir, "customer").select("c_custkey")
+    return G.bootstrap(c, 500, "c_custkey", 7)
