@@ -38,6 +38,12 @@ def materialize(df: DataFrame, name: str, *, compression: str = "zstd") -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Cap the Arrow batches of this session's Python stages by bytes, so that a worker's memory doesn't depend on how
+    long the texts are. Every operator that runs Python calls it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder made by this module."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -60,7 +66,7 @@ def write_binary_files(rows: DataFrame, path: str, trailer: bytes) -> None:
     )
 
 
-def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose ``column`` holds about ``max_bytes`` each; a longer single row is a slice alone."""
     start, size = 0, 0
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.store import pieces
+from quillon.llm.store import bounded_batches, pieces
 from quillon.llm.textarrays import span_hashes, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 #: Longer units are segmented one by one; their number of steps would hold up all others.
 LONG = 64
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 19
 
 # Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -295,6 +295,7 @@ def load(path: str = MODEL) -> Vocabulary:
 
 def encode(docs: DataFrame, *, model: str = MODEL, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with an array<int> column of piece ids; null and empty texts have no ids. Other columns stay."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
     kept = [c for c in docs.columns if c != ids]
 
@@ -311,6 +312,7 @@ def encode(docs: DataFrame, *, model: str = MODEL, text: str = "text", ids: str
 
 def decode(tokens: DataFrame, *, model: str = MODEL, ids: str = "ids", text: str = "text") -> DataFrame:
     """``tokens`` with the text of its id column; a null list gives the empty text. Other columns stay."""
+    bounded_batches(tokens.sparkSession)
     shared = tokens.sparkSession.sparkContext.broadcast(load(model))
     kept = [c for c in tokens.columns if c != text]
 
@@ -333,6 +335,7 @@ def round_trip(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
     Null counts as the empty text, which has no tokens. Repeated rows are encoded each; null ids stay null; an empty
     table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
