@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import connected_components
-from quillon.llm.store import materialize, pieces
+from quillon.llm.store import bounded_batches, materialize, pieces
 from quillon.llm.textarrays import mix, row_of, words
 
 SHINGLE = 5
@@ -255,6 +255,7 @@ def near_duplicate_classes(
     class_id is their doc_id, copies 1, n_links 0. A null doc_id is allowed; such a row stands for its class only
     where no row of it has an id. Repeated rows count as copies. An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = docs.mapInArrow(_features(k, threshold, runs_for(recall)), _ddl(_FEATURES))
     features = materialize(features, "shingle-features")

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.store import materialize, pieces
+from quillon.llm.store import bounded_batches, materialize, pieces
 from quillon.llm.textarrays import row_of, words
 
 WINDOW = 13
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Text of the test items that is sent to the executors at once; more items are searched in further portions.
 PORTION_BYTES = 16 << 20
 BROADCAST_IDS = 400_000
@@ -48,6 +48,7 @@ def build_index(docs: DataFrame) -> DataFrame:
 
     Null and empty texts are documents without words; null ids and repeated rows are documents of their own.
     """
+    bounded_batches(docs.sparkSession)
     return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_build, _INDEX), "postings")
 
 

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm.store import pieces
+from quillon.llm.store import bounded_batches, pieces
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -233,6 +233,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     Null and empty html, and pages without an article, have the empty text. Null page_id and url stay null, repeated
     rows are extracted each, an empty table gives an empty result.
     """
+    bounded_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", "html")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

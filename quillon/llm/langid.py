@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.html_paths import main_text
-from quillon.llm.store import materialize, pieces
+from quillon.llm.store import bounded_batches, materialize, pieces
 from quillon.llm.textarrays import LOWER, utf8
 from quillon.llm.url_filter import host_of
 
@@ -78,6 +78,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> TrigramModel:
     """Fit the trigram model on a sample of labelled (text, language); rows without either are not used."""
+    bounded_batches(labelled.sparkSession)
     labelled = labelled.select("text", "language").where("text is not null and language is not null")
     share = min(1.0, sample_rows / max(labelled.count(), 1))
     sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
@@ -93,6 +94,7 @@ def train(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> TrigramMode
 def score_texts(rows: DataFrame, model: TrigramModel, *, is_html: bool = False) -> DataFrame:
     """Replaces ``text`` by n_grams and likelihood (mean log likelihood of a trigram, per language of the model).
     With ``is_html`` the text is a page, whose article is scored."""
+    bounded_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in rows.columns if c != "text"]
 

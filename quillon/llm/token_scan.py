@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.store import fresh_path, pieces, write_binary_files
+from quillon.llm.store import bounded_batches, fresh_path, pieces, write_binary_files
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how byte-level merge vocabularies cut a text before merging.
@@ -41,6 +41,7 @@ def write_token_files(docs: DataFrame, path: str, *, vocabulary: str = VOCABULAR
     Behind every token file (even number in its name) comes one with the documents' ids in order (odd number; a byte
     that tells null and a 64-bit id each); it is read for the report only, never to find a boundary.
     """
+    bounded_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     end = np.array([SEPARATOR], "<u2")

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.store import fresh_path, write_binary_files
+from quillon.llm.store import bounded_batches, fresh_path, write_binary_files
 
 # Fixed values of the Zstandard frame and seekable formats.
 SKIPPABLE_NAME = 0x184D2A50
@@ -177,6 +177,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write pages (page_id, url, html; other columns are ignored) as WARC bundles below ``path``."""
+    bounded_batches(pages.sparkSession)
     bundles = with_revisits(pages).mapInArrow(_bundles, "value binary")
     write_binary_files(bundles, path, SEEKABLE_MAGIC)
 
