@@ -30,7 +30,7 @@ GRAM_BITS = 16
 TEXT_WEIGHT = 40.0
 SMOOTHING = 20.0
 LEAST_POSTERIOR = 0.5
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 200_000
 
 _LETTER = np.zeros(256, np.bool_)
 _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
@@ -147,7 +147,11 @@ def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
     prior = [(whole[i] + 1) / (total + n) for i in range(n)]
     out = rows
     for key in ("host", "domain", "suffix", "declared"):
-        out = out.join(_counted(rows, key, n), key, "left")
+        counts = materialize(_counted(rows, key, n), f"languages-by-{key}")
+        # a value takes some ten numbers; a longer list is joined by a shuffle, which can split a hot value
+        if counts.count() <= BROADCAST_ROWS:
+            counts = F.broadcast(counts)
+        out = out.join(counts, key, "left")
     seen = {key: [F.coalesce(F.col(f"{key}_{i}"), F.lit(0)) for i in range(n)] for key in ("host", "domain", "suffix", "declared")}
 
     def evidence(i: int) -> Column:
