@@ -51,6 +51,7 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw = np.where(_LETTER[raw], raw, np.uint8(32))
     keep = np.ones(len(raw), bool)
     keep[1:] = (raw[1:] != 32) | (raw[:-1] != 32)
+    keep[offsets[:-1]] = True  # a row's own first blank, whatever the row before ends with
     ends = np.concatenate([[0], np.cumsum(keep)])[offsets]
     raw = raw[keep].astype(np.uint32)
     gram = (raw[:-2] << np.uint32(16)) | (raw[1:-1] << np.uint32(8)) | raw[2:] if len(raw) > 2 else np.zeros(0, np.uint32)

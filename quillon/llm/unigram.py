@@ -219,7 +219,7 @@ def _best(v: Vocabulary, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     short = short[np.argsort(rank, kind="stable")]
     rank = within[short] * 64 + size[short]
     cuts = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]])) if len(rank) else np.zeros(0, int)
-    for a, b in zip(cuts, np.append(cuts[1:], len(rank)), strict=True):
+    for a, b in zip(cuts, np.append(cuts[1:], len(rank)), strict=False):  # without short units there are no cuts
         e = short[a:b]
         to = node[e] + size[e]
         value = best[node[e]] + gain[e]
