@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import connected_components
-from quillon.llm.store import bounded_batches, materialize, pieces
+from quillon.llm.store import bounded_batches, materialize, pieces, scratch
 from quillon.llm.textarrays import mix, row_of, words
 
 SHINGLE = 5
@@ -257,6 +257,21 @@ def near_duplicate_classes(
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with scratch(docs.sparkSession) as keep:
+        features, known = _classes(docs, k, threshold, recall, bucket)
+        keep(features)
+        keep(known)
+    out = features.select("doc_id", F.when(F.col("n") > 0, F.col("hi")).alias("hi"), F.when(F.col("n") > 0, F.col("lo")).alias("lo")).join(known, ["hi", "lo"], "left")
+    return out.select(
+        "doc_id",
+        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("size", F.lit(1)).cast("long").alias("copies"),
+        (F.coalesce("size", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
+    )
+
+
+def _classes(docs: DataFrame, k: int, threshold: float, recall: float, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(the features of every row, the classes of equal shingle sets: hi, lo, size, links, class_id)."""
     features = docs.mapInArrow(_features(k, threshold, runs_for(recall)), _ddl(_FEATURES))
     features = materialize(features, "shingle-features")
     rowed = features.select("*", F.monotonically_increasing_id().alias("row"))
@@ -318,13 +333,7 @@ def near_duplicate_classes(
     known = materialize(known.select("hi", "lo", "size", "first_id", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
     least = known.where("links > 0").groupBy("component").agg(F.min("first_id").alias("class_id"))
     known = known.join(least, "component", "left").select("hi", "lo", "size", "links", F.coalesce("class_id", "first_id").alias("class_id"))
-    out = features.select("doc_id", F.when(F.col("n") > 0, F.col("hi")).alias("hi"), F.when(F.col("n") > 0, F.col("lo")).alias("lo")).join(known, ["hi", "lo"], "left")
-    return out.select(
-        "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("size", F.lit(1)).cast("long").alias("copies"),
-        (F.coalesce("size", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
-    )
+    return features, materialize(known, "near-classes")
 
 
 def keep_one_per_class(docs: DataFrame, **options) -> DataFrame:

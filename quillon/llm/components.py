@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.store import materialize
+from quillon.llm.store import materialize, scratch
 
 
 def _smallest_neighbour(pairs: DataFrame) -> DataFrame:
@@ -22,15 +22,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     can be split by the adaptive planner. An empty edge table gives an empty result; null ends are ignored.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null").distinct()
+    spark = edges.sparkSession
     edges = materialize(edges, "edges")
     before = None
     while True:
-        mirrored = edges.where("u <> v").select("u", "v").unionByName(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _smallest_neighbour(mirrored).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _smallest_neighbour(large)
-        edges = materialize(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges"
-        )
+        with scratch(spark) as keep:
+            edges = _round(edges)
+            keep(edges)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break
@@ -39,3 +37,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         stars.select(F.col("v").alias("node"), F.col("v").alias("component"))
     ).distinct()
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    """Larger neighbours to the smallest one, then smaller ones and the node itself to the smallest of them."""
+    proper = edges.where("u <> v")
+    mirrored = proper.select("u", "v").unionByName(proper.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    large = _smallest_neighbour(mirrored).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    small = _smallest_neighbour(large)
+    found = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+    return materialize(found.distinct(), "edges")

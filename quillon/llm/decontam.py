@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.store import bounded_batches, materialize, pieces
+from quillon.llm.store import bounded_batches, materialize, pieces, scratch
 from quillon.llm.textarrays import row_of, words
 
 WINDOW = 13
@@ -228,8 +228,10 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``contamination`` calls contaminated; all columns stay. Rows that share a doc_id
     go together, null ids are judged by their text."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    judged = contamination(rows.select(F.coalesce("doc_id", "key").alias("doc_id"), "text"), items)
-    lost = materialize(judged.where("contaminated").select(F.col("doc_id").alias("__lost")).distinct(), "contaminated")
+    with scratch(docs.sparkSession) as keep:
+        judged = contamination(rows.select(F.coalesce("doc_id", "key").alias("doc_id"), "text"), items)
+        lost = materialize(judged.where("contaminated").select(F.col("doc_id").alias("__lost")).distinct(), "contaminated")
+        keep(lost)
     if lost.count() <= BROADCAST_IDS:
         lost = F.broadcast(lost)
     return docs.join(lost, F.coalesce(docs["doc_id"], F.xxhash64(docs["text"])) == F.col("__lost"), "left_anti")

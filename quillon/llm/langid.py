@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.html_paths import main_text
-from quillon.llm.store import bounded_batches, materialize, pieces
+from quillon.llm.store import bounded_batches, materialize, pieces, scratch
 from quillon.llm.textarrays import LOWER, utf8
 from quillon.llm.url_filter import host_of
 
@@ -199,8 +199,10 @@ def identify_pages(pages: DataFrame, labelled: DataFrame, *, sample_rows: int =
 
 def keep_identified(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` without the rows that ``identify_documents`` rejects; all columns stay."""
-    lost = _identified(docs, sample_rows).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    lost = materialize(lost, "rejected-rows")
+    with scratch(docs.sparkSession) as keep:
+        lost = _identified(docs, sample_rows).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+        lost = materialize(lost, "rejected-rows")
+        keep(lost)
     if lost.count() <= BROADCAST_ROWS:
         lost = F.broadcast(lost)
     return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left_anti")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import connected_components
-from quillon.llm.store import bounded_batches, materialize, pieces
+from quillon.llm.store import bounded_batches, materialize, pieces, scratch
 from quillon.llm.textarrays import mix, prefix_sums, span_hashes, utf8
 
 TAU = 2
@@ -195,6 +195,13 @@ def line_classes(docs: DataFrame) -> DataFrame:
     """Distinct lines that repeat or have a near duplicate: h1, h2 (hashes of the line), doc and nth of the class's
     first line, by doc_id and line number (a null doc_id is the last)."""
     bounded_batches(docs.sparkSession)
+    with scratch(docs.sparkSession) as keep:
+        found = _line_classes(docs)
+        keep(found)
+    return found
+
+
+def _line_classes(docs: DataFrame) -> DataFrame:
     distinct = _occurrences(docs).groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
     distinct = materialize(distinct.select(F.monotonically_increasing_id().alias("id"), "*"), "distinct-lines")
     rows = distinct.select("id", "line").mapInArrow(_emit, "key long, id long, own boolean")

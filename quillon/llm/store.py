@@ -7,6 +7,7 @@ cuts lineage: a lost executor re-reads files and recomputes no earlier stage.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,12 +31,36 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[tuple[DataFrame, str]]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Within this block tables are noted as they are materialised, and deleted at its end but for those that were
+    passed to the function it gives: what the caller still reads."""
+    made: list[tuple[DataFrame, str]] = []
+    kept: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield kept.append
+    finally:
+        _scopes.remove(made)
+        for df, path in made:
+            if not any(df is k for k in kept):
+                remove(spark, path)
+            elif _scopes:
+                _scopes[-1].append((df, path))
+
+
 def materialize(df: DataFrame, name: str, *, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return a reader of it."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append((table, path))
+    return table
 
 
 def bounded_batches(spark: SparkSession) -> None:

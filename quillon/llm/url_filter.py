@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.store import materialize
+from quillon.llm.store import materialize, scratch
 
 BITS_PER_KEY = 12
 HASHES = 6
@@ -134,13 +134,14 @@ def judge_urls(urls: DataFrame, rules: list[Rule], listed_hosts: list[str], *, b
         return F.concat(of_rules, F.transform(candidate_keys(host, F.lit(""), [0]), lambda k: F.concat(F.lit("H "), k)))
 
     places = parted.select("host", F.expr(f"left(path, {max(lengths, default=0)})").alias("path")).distinct()
-    universe = materialize(places.select(F.explode(keys(F.col("host"), F.col("path"))).alias("key")).distinct(), "url-keys")
+    with scratch(spark):  # the filters' bits are in the expressions; the tables behind them can go
+        universe = materialize(places.select(F.explode(keys(F.col("host"), F.col("path"))).alias("key")).distinct(), "url-keys")
 
-    def cascade(listed: list[str]) -> Cascade:
-        return Cascade(spark.range(1).select(F.explode(F.array(*map(F.lit, listed)).cast("array<string>")).alias("key")), universe, bits_per_key)
+        def cascade(listed: list[str]) -> Cascade:
+            return Cascade(spark.range(1).select(F.explode(F.array(*map(F.lit, listed)).cast("array<string>")).alias("key")), universe, bits_per_key)
 
-    blocked = cascade([f"R {r.key}" for r in rules if r.verdict == "block"] + [f"H {h}" for h in listed_hosts])
-    allowed = cascade([f"R {r.key}" for r in rules if r.verdict == "allow"])
+        blocked = cascade([f"R {r.key}" for r in rules if r.verdict == "block"] + [f"H {h}" for h in listed_hosts])
+        allowed = cascade([f"R {r.key}" for r in rules if r.verdict == "allow"])
     held = F.filter(
         F.transform(
             keys(F.col("host"), F.col("path")),
