@@ -128,3 +128,10 @@ def promote(model: PipelineModel, path: str, metrics: dict[str, float], version:
         return False
     model.write().overwrite().save(f"{path}/v={version:012d}")
     return True
+
+
+def load_latest(spark, path: str) -> PipelineModel | None:
+    """The newest promoted model, None if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/metadata")
+    found = sorted(x.getPath().getParent().toString() for x in folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder) or [])
+    return PipelineModel.load(found[-1]) if found else None

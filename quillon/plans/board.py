@@ -275,3 +275,74 @@ def cycle_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), S.tidy(F.min("score")).alias("lowest"), S.tidy(F.max("score")).alias("highest"), S.tidy(F.avg("score")).alias("mean"),
         F.count_if(F.col("score") > 0).alias("nonzero"), S.tidy(F.countDistinct("uid") / 150).alias("response_rate"),
     )
+
+
+@query(B.with_sql("""
+, p AS (SELECT l_orderkey AS hand_id, (l_suppkey % 6 + 1)::INT AS seat, l_extendedprice AS stack, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 6 ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS r FROM lineitem WHERE l_linenumber > 1)
+SELECT acts.hand_id, ord, coalesce(round(stack, 2), -1) AS stack FROM acts LEFT JOIN p ON p.hand_id = acts.hand_id AND p.seat = acts.seat AND r = 1"""))
+def actor_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every action with its actor's stack: the last player listed for a seat counts, a seat without one has none."""
+    li = B.table(spark, sf_dir, "lineitem").where("l_linenumber > 1")
+    players = li.select(F.col("l_orderkey").alias("hand_id"), (F.col("l_suppkey") % 6 + 1).cast("int").alias("seat"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("at"))
+    last = players.groupBy("hand_id", "seat").agg(F.max("at").alias("at"))
+    out = B.actions(spark, sf_dir).join(last, ["hand_id", "seat"], "left")
+    return out.select("hand_id", F.col("ord").cast("long").alias("ord"), F.coalesce(F.round("at.l_extendedprice", 2), F.lit(-1.0)).alias("stack"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS batch, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, o_orderkey AS own FROM orders),
+refs AS (SELECT c_custkey AS batch, range(c_custkey * 10, c_custkey * 10 + c_custkey % 6) AS ids FROM customer)
+SELECT o.batch, i, coalesce(ids[(i + 1)::INT], own) AS reference FROM o LEFT JOIN refs USING (batch)""")
+def batch_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The i-th reference of a batch, or the row's own id where the list is too short."""
+    o = B.table(spark, sf_dir, "orders")
+    own = o.select(F.col("o_custkey").alias("batch"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("long").alias("i"), F.col("o_orderkey").alias("own"))
+    k, n = F.col("c_custkey"), F.col("c_custkey") % 6
+    refs = B.table(spark, sf_dir, "customer").select(k.alias("batch"), F.when(n > 0, F.sequence(k * 10, k * 10 + n - 1)).otherwise(F.array().cast("array<bigint>")).alias("ids"))
+    given = refs.select("batch", F.posexplode("ids").alias("i", "given")).withColumn("i", F.col("i").cast("long"))
+    return own.join(given, ["batch", "i"], "left").select("batch", "i", F.coalesce("given", "own").alias("reference"))
+
+
+@query(B.with_sql("""
+SELECT c_custkey AS chunk_id, round(coalesce(m, h, 0.5) + 1e-9, 6) AS score, CASE WHEN m IS NOT NULL THEN 'model' WHEN h IS NOT NULL THEN 'heuristic' ELSE 'constant' END AS origin
+FROM customer LEFT JOIN (SELECT user_id, avg(value) / 1000 AS m FROM events GROUP BY user_id) ON user_id = c_custkey LEFT JOIN (SELECT chunk_id, avg(hand_id % 10) / 10 AS h FROM hands GROUP BY chunk_id) ON chunk_id = c_custkey"""))
+def degraded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's score, else a heuristic's, else one half."""
+    c = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chunk_id"))
+    model = B.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("chunk_id")).agg((F.avg("value") / 1000).alias("m"))
+    rule = B.hands(spark, sf_dir).groupBy("chunk_id").agg((F.avg(F.col("hand_id") % 10) / 10).alias("h"))
+    origin = F.when(F.col("m").isNotNull(), "model").when(F.col("h").isNotNull(), "heuristic").otherwise("constant")
+    return c.join(model, "chunk_id", "left").join(rule, "chunk_id", "left").select("chunk_id", S.tidy(F.coalesce("m", "h", F.lit(0.5))).alias("score"), origin.alias("origin"))
+
+
+@query("""
+WITH r AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS b FROM events)
+SELECT user_id, count(*) AS reports, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type = 'purchase') AS passed, round(max(value) + 1e-9, 6) AS worst FROM r WHERE b <= 32 GROUP BY user_id""")
+def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by status over the last 32 reports of each key; the evidence itself is left out."""
+    e = B.table(spark, sf_dir, "events").select("user_id", "event_type", "value", "ts", "event_id")
+    kind = F.col("event_type")
+    return _newest(e, 32).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("reports"), F.count_if(kind == "error").alias("failed"), F.count_if(kind == "purchase").alias("passed"), S.tidy(F.max("value")).alias("worst")
+    )
+
+
+def _newest(rows: DataFrame, n: int) -> DataFrame:
+    return Q.trailing(rows, ["user_id"], ["ts", "event_id"], n)
+
+
+@query("""
+SELECT c_custkey, to_json({'uid': c_custkey, 'name': c_name, 'segment': c_mktsegment, 'place': {'nation': c_nationkey}}) AS payload FROM customer""")
+def payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as JSON texts with a fixed order of fields."""
+    c = B.table(spark, sf_dir, "customer")
+    record = F.struct(F.col("c_custkey").alias("uid"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.struct(F.col("c_nationkey").alias("nation")).alias("place"))
+    return c.select("c_custkey", F.to_json(record).alias("payload"))
+
+
+@query(B.with_sql(CURVE_SQL.format(k="uid", t="responses") + """
+SELECT uid, round(reward + 1e-9, 6) AS reward, row_number() OVER (ORDER BY reward DESC, uid)::INT AS place FROM rwd QUALIFY place <= 8"""))
+def best_eight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of the eight best; only eight rows leave each partition."""
+    top = _rewards(spark, sf_dir).orderBy(F.col("reward").desc(), "uid").limit(8)
+    return top.select("uid", S.tidy("reward").alias("reward"), F.row_number().over(Window.orderBy(F.col("reward").desc(), "uid")).alias("place"))

@@ -57,3 +57,15 @@ def synthetic_actions(spark: SparkSession, hands: int, *, seats: int = 6, seed:
             yield pd.DataFrame([a for i in b["id"] for a in hand(int(i), names[int(i) % len(names)], seats, seed)], columns=[x.split()[0] for x in ACTIONS.split(", ")])
 
     return spark.range(0, hands, 1, partitions or spark.sparkContext.defaultParallelism).mapInPandas(make, ACTIONS)
+
+
+def register_udtf(spark: SparkSession, name: str = "synthetic_hand") -> None:
+    """``SELECT * FROM synthetic_hand(hand_id, archetype, seats, seed)`` in SQL, also as a lateral join."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType=ACTIONS)
+    class SyntheticHand:
+        def eval(self, hand_id: int, archetype: str, seats: int, seed: int):
+            yield from hand(hand_id, archetype, seats, seed)
+
+    spark.udtf.register(name, SyntheticHand)
