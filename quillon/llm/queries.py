@@ -47,6 +47,25 @@ SELECT page_id, host, path, fit[1].rule AS rule,
 FROM f
 """
 
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b, c = x.n AND c = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, least(doc_id, coalesce((SELECT min(b) FROM r WHERE a = doc_id), doc_id)) AS class_id, 1 + (SELECT count(*) FROM l WHERE a = doc_id AND same) AS copies, (SELECT count(*) FROM l WHERE a = doc_id) AS n_links FROM d
+"""
+
+#: For pages as the test tables have them: article, h1, p, b, br, the references &amp; and &quot;, and cut-off ends.
+OP6_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|\z)', 1), '<[a-zA-Z/][^<>]*\z', '') AS t FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(regexp_replace(regexp_replace(t, '<br>', ' ', 'g'), '</?b>', '', 'g'), '</?(?:p|h1)>'),
+        lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS l FROM a),
+c AS (SELECT page_id, url, array_to_string(list_filter(l, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM c
+"""
+
 OP5_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
        sha256(coalesce(text, '')) AS text_sha256
@@ -143,4 +162,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_bundles": OP1_SQL, "op2_url_cascade": OP2_SQL, "op5_streaming_exact_dedup": OP5_SQL, "op7_positional_index": OP7_SQL}
+    return {"op1_warc_bundles": OP1_SQL, "op2_url_cascade": OP2_SQL, "op3_chosen_path_join": OP3_SQL, "op5_streaming_exact_dedup": OP5_SQL, "op6_tag_path_text": OP6_SQL, "op7_positional_index": OP7_SQL}

@@ -15,7 +15,7 @@ from quillon.llm import warc as W
 PAGE = "page_id long, url string, html string"
 
 
-@pytest.mark.parametrize("name", ["op1_warc_bundles", "op2_url_cascade"])
+@pytest.mark.parametrize("name", ["op1_warc_bundles", "op2_url_cascade", "op6_tag_path_text"])
 def test_against_sql(spark, sf, name):
     assert_same(spark, sf, queries.queries()[name], queries.oracle_sql()[name])
 
