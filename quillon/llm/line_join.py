@@ -27,6 +27,10 @@ LEAST = 20
 BUCKET = 64
 BLOCK = 256
 BROADCAST_IDS = 400_000
+#: One line in so many is looked at to find crowded keys before the shuffle, and their rows are dealt over so many
+#: tasks. This only places rows: a crowded key that the look misses is found when its rows meet.
+LOOK = 16
+SPREAD = 64
 
 
 def segments(length: np.ndarray, tau: int = TAU) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +116,8 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of an index entry and a lookup with one key; rows of a crowded key go on as (key, id) alone."""
+    """Pairs (a, b) of an index entry and a lookup with one key; rows of a crowded key go on as (key, id) alone. Rows
+    of keys that are known to be crowded (spread) may be in any partition and go on as they come."""
     names = ["a", "b", "crowded"]
 
     def pairs(key, ident, own) -> Iterator[pa.RecordBatch]:
@@ -134,7 +139,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     rest, flowing = None, None  # flowing: a crowded key whose rows still come
     for batch in batches:
-        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "own")]
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "own", "spread")]
+        if (known := now.pop()).any():
+            yield pa.RecordBatch.from_arrays([pa.array(now[0][known]), pa.array(now[1][known]), pa.array(np.ones(int(known.sum()), bool))], names)
+            now = [x[~known] for x in now]
         if rest is not None:
             now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
         rest = None
@@ -204,8 +212,15 @@ def line_classes(docs: DataFrame) -> DataFrame:
 def _line_classes(docs: DataFrame) -> DataFrame:
     distinct = _occurrences(docs).groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
     distinct = materialize(distinct.select(F.monotonically_increasing_id().alias("id"), "*"), "distinct-lines")
-    rows = distinct.select("id", "line").mapInArrow(_emit, "key long, id long, own boolean")
-    met = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long, crowded boolean"), "line-pairs")
+    emitted = "key long, id long, own boolean"
+    look = distinct.where(F.pmod(F.xxhash64("id"), F.lit(LOOK)) == 0).select("id", "line").mapInArrow(_emit, emitted)
+    known = materialize(look.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("key", F.lit(True).alias("spread")), "crowded-keys")
+    if known.count() <= BROADCAST_IDS:
+        known = F.broadcast(known)
+    rows = distinct.select("id", "line").mapInArrow(_emit, emitted).join(known, "key", "left").withColumn("spread", F.coalesce("spread", F.lit(False)))
+    place = F.when(F.col("spread"), F.pmod(F.xxhash64("id"), F.lit(SPREAD))).otherwise(0)
+    rows = rows.withColumn("place", place).repartition("key", "place").sortWithinPartitions("key").select("key", "id", "own", "spread")
+    met = materialize(rows.mapInArrow(_meet, "a long, b long, crowded boolean"), "line-pairs")
     pairs = materialize(met.where("not crowded").select("a", "b").distinct(), "line-candidates")
     crowded = met.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct()
     crowded = materialize(crowded, "crowded-lines")

@@ -193,9 +193,12 @@ def test_line_report_against_brute_force(spark, sf):
     assert got == {i: want.get(i, set()) for i in got} and sum(map(len, got.values())) > 100
 
 
-def test_crowded_keys(spark, monkeypatch):
-    """Two hundred variants of one line share a segment: the crowded path, in several blocks."""
+@pytest.mark.parametrize("look", [1, 1 << 40])
+def test_crowded_keys(spark, monkeypatch, look):
+    """Two hundred variants of one line share a segment: the crowded path, in several blocks, whether the look before
+    the shuffle finds the key or not."""
     monkeypatch.setattr(LJ, "BLOCK", 50)
+    monkeypatch.setattr(LJ, "LOOK", look)
     rng = random.Random(4)
     rows = [(i, "the same beginning of every line " + f"{i:03d}" + rng.choice("xy")) for i in range(200)] + [(900, "quite another line of text")]
     want = brute_lines(rows)
@@ -246,7 +249,7 @@ def test_state_goes_on_when_files_are_added(spark, tmp_path):
     assert got[1] == (9, 2, False) and got[9] == (9, 2, True) and got[2] == (2, 1, True)
 
 
-@pytest.mark.parametrize("name", ["op5_streaming_exact_dedup"])
+@pytest.mark.parametrize("name", ["op3_chosen_path_join", "op5_streaming_exact_dedup"])
 def test_against_sql(spark, sf, name):
     from compare import assert_same
 
