@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.scalars import coarse, direct_type, from_blinds, in_blinds, nearest_bucket, noise, resolved_type, seat_or_zero, seeded, window_size
+from quillon.functions.scalars import clamp, coarse, direct_type, from_blinds, in_blinds, nearest_bucket, noise, resolved_type, seat_or_zero, seeded, window_size
 from quillon.operators.sequences import collapse_noops, in_hand
 
 #: Fields that tell the label; bounds in big blinds.
@@ -131,15 +131,12 @@ def chunk_signature(hands: DataFrame, visible: DataFrame) -> DataFrame:
     return h.groupBy("chunk_id").agg(*(F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in names), F.avg("n_players").alias("players"))
 
 
-def heuristic_scores(hands: DataFrame, actions: DataFrame, features: DataFrame) -> DataFrame:
-    """A score per chunk without a model: weighted bounded ratios per hand, averaged; chunks without hands get 0.5."""
-    from quillon.functions.scalars import clamp
-
-    f = features
+def heuristic_scores(features: DataFrame) -> DataFrame:
+    """A score per chunk without a model: weighted bounded ratios per hand, averaged over the chunk's hand features."""
     players = clamp((6 - F.least(F.col("num_players"), F.lit(6.0))) / 4)
     reached = F.greatest(F.col("num_streets_observed") - 1, F.lit(0.0))
     score = (
         0.32 * clamp(reached / 3) + 0.22 * F.col("reached_showdown") + 0.18 * clamp(F.col("call_ratio") / 0.35) + 0.12 * clamp(F.col("check_ratio") / 0.30)
         + 0.08 * clamp(players) - 0.18 * clamp(F.col("fold_ratio") / 0.55) - 0.10 * clamp(F.col("raise_ratio") / 0.20)
     )
-    return f.groupBy("chunk_id").agg(F.avg(clamp(score)).alias("score"))
+    return features.groupBy("chunk_id").agg(F.avg(clamp(score)).alias("score"))

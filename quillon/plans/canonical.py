@@ -11,6 +11,7 @@ from quillon.operators import canonical as C
 from quillon.operators import features as X
 from quillon.operators import sequences as Q
 from quillon.plans.catalog import query
+from quillon.plans.features import HAND_SQL
 
 #: Pots of the stand-in tables are thousands of units; this many make a big blind.
 BB = 97.0
@@ -110,9 +111,6 @@ def chunk_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("chunk_id", *(F.round(F.col(c) + 1e-9, 4 if c == "pot" else 6).alias(c) for c in s.columns if c != "chunk_id"))
 
 
-from quillon.plans.features import HAND_SQL  # noqa: E402
-
-
 @query(B.with_sql(HAND_SQL + """
 , sc AS (SELECT chunk_id, greatest(0, least(1, 0.32 * greatest(0, least(1, greatest(num_streets_observed - 1, 0) / 3)) + 0.22 * reached_showdown + 0.18 * least(1, call_ratio / 0.35) + 0.12 * least(1, check_ratio / 0.30)
            + 0.08 * greatest(0, least(1, (6 - least(num_players, 6)) / 4)) - 0.18 * least(1, fold_ratio / 0.55) - 0.10 * least(1, raise_ratio / 0.20))) AS s FROM hf)
@@ -120,6 +118,6 @@ SELECT c_custkey AS chunk_id, round(coalesce(avg(s), 0.5) + 1e-9, 6) AS score FR
 def heuristic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores without a model; a chunk without hands gets one half."""
     hands, actions = B.hands(spark, sf_dir), B.actions(spark, sf_dir)
-    scores = C.heuristic_scores(hands, actions, X.hand_features(hands, actions))
+    scores = C.heuristic_scores(X.hand_features(hands, actions))
     chunks = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chunk_id"))
     return chunks.join(scores, "chunk_id", "left").select("chunk_id", S.tidy(F.coalesce("score", F.lit(0.5))).alias("score"))

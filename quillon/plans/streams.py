@@ -10,7 +10,7 @@ from quillon.plans.catalog import query
 from quillon.streaming import state as T
 
 
-def _events(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T.read_stream(spark, f"{sf_dir}/events.parquet")
     return e.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"), "value", F.col("event_type").alias("status"))
 
