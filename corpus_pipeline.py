@@ -17,8 +17,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat an earlier line up to two edits; those that had no other lines go."""
-    return line_join.drop_repeated_lines(docs)
+    """Documents without the lines that repeat an earlier line, exactly or (from 20 bytes) up to two edits; those that had no other lines go."""
+    return line_join.drop_repeated_lines(docs, least=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

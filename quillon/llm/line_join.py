@@ -22,7 +22,8 @@ from quillon.llm.store import bounded_batches, materialize, pieces, scratch
 from quillon.llm.textarrays import mix, prefix_sums, span_hashes, utf8
 
 TAU = 2
-#: Shorter lines (in bytes) repeat by chance; they are left alone.
+#: Shorter lines (in bytes) are not compared by edits: two edits would be more than a tenth of the line, and lines of a
+#: few bytes would all be linked. Whether their exact repeats count is the caller's ``least``.
 LEAST = 20
 BUCKET = 64
 BLOCK = 256
@@ -194,30 +195,33 @@ def _place() -> Column:
     return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.col("nth"))
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("nth", "line")).where(F.octet_length("line") >= LEAST)
+def _occurrences(docs: DataFrame, least: int) -> DataFrame:
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
+    size = F.octet_length("line")
+    lines = lines.where((size >= max(LEAST, least)) | (size >= least) & F.col("line").rlike(r"\S"))
     return lines.select("doc_id", "nth", "line", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
 
 
-def line_classes(docs: DataFrame) -> DataFrame:
+def line_classes(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
     """Distinct lines that repeat or have a near duplicate: h1, h2 (hashes of the line), doc and nth of the class's
-    first line, by doc_id and line number (a null doc_id is the last)."""
+    first line, by doc_id and line number (a null doc_id is the last). ``least`` is that of ``line_dedup_report``."""
     bounded_batches(docs.sparkSession)
     with scratch(docs.sparkSession) as keep:
-        found = _line_classes(docs)
+        found = _line_classes(docs, least)
         keep(found)
     return found
 
 
-def _line_classes(docs: DataFrame) -> DataFrame:
-    distinct = _occurrences(docs).groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
+def _line_classes(docs: DataFrame, least: int) -> DataFrame:
+    distinct = _occurrences(docs, least).groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
     distinct = materialize(distinct.select(F.monotonically_increasing_id().alias("id"), "*"), "distinct-lines")
     emitted = "key long, id long, own boolean"
-    look = distinct.where(F.pmod(F.xxhash64("id"), F.lit(LOOK)) == 0).select("id", "line").mapInArrow(_emit, emitted)
+    long = distinct.where(F.octet_length("line") >= LEAST)
+    look = long.where(F.pmod(F.xxhash64("id"), F.lit(LOOK)) == 0).select("id", "line").mapInArrow(_emit, emitted)
     known = materialize(look.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("key", F.lit(True).alias("spread")), "crowded-keys")
     if known.count() <= BROADCAST_IDS:
         known = F.broadcast(known)
-    rows = distinct.select("id", "line").mapInArrow(_emit, emitted).join(known, "key", "left").withColumn("spread", F.coalesce("spread", F.lit(False)))
+    rows = long.select("id", "line").mapInArrow(_emit, emitted).join(known, "key", "left").withColumn("spread", F.coalesce("spread", F.lit(False)))
     place = F.when(F.col("spread"), F.pmod(F.xxhash64("id"), F.lit(SPREAD))).otherwise(0)
     rows = rows.withColumn("place", place).repartition("key", "place").sortWithinPartitions("key").select("key", "id", "own", "spread")
     met = materialize(rows.mapInArrow(_meet, "a long, b long, crowded boolean"), "line-pairs")
@@ -248,34 +252,35 @@ def _line_classes(docs: DataFrame) -> DataFrame:
     return materialize(near.unionByName(same).select("h1", "h2", F.col("first.doc").alias("doc"), F.col("first.nth").alias("first_nth")), "line-classes")
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
     """doc_id and the sorted numbers (from 0) of its lines that repeat an earlier line, for documents that have any."""
-    seen = _occurrences(docs).select("doc_id", "nth", "h1", "h2").join(line_classes(docs), ["h1", "h2"])
+    seen = _occurrences(docs, least).select("doc_id", "nth", "h1", "h2").join(line_classes(docs, least=least), ["h1", "h2"])
     again = seen.where((F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)) != F.col("doc")) | (F.col("nth") != F.col("first_nth")))
     return again.groupBy("doc_id").agg(F.sort_array(F.collect_set("nth")).alias("dropped"))
 
 
-def line_dedup_report(docs: DataFrame) -> DataFrame:
+def line_dedup_report(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, n_lines, n_dropped, dropped.
 
     Lines end at line feeds. A line of at least 20 bytes is dropped if an equal line, or one linked to it through
-    lines at most two edits apart, comes earlier by (doc_id, line number); a null doc_id comes last. Shorter lines
-    stay. Null text has no lines, the empty text one. Rows that share a doc_id are one document: a line they share
+    lines at most two edits apart, comes earlier by (doc_id, line number); a null doc_id comes last. A shorter line is
+    dropped if an equal line comes earlier, it has at least ``least`` bytes and is not blank; with least = 1 that is
+    every exact repeat. Null text has no lines, the empty text one. Rows that share a doc_id are one document: a line they share
     at the same number is not a repetition. An empty table gives an empty result.
     """
     rows = docs.select("doc_id", "text")
     out = rows.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    lost = dropped_lines(rows).withColumnRenamed("doc_id", "of")
+    lost = dropped_lines(rows, least=least).withColumnRenamed("doc_id", "of")
     out = out.join(lost, out["doc_id"].eqNullSafe(lost["of"]), "left").drop("of")
     none = F.array().cast("array<int>")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", none).alias("dropped"))
 
 
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
     """``docs`` (doc_id, text) with the lines that ``line_dedup_report`` names taken out of their texts. A row
     that loses lines and has nothing but blanks left goes, as all it said stands elsewhere; other rows and all columns
     stay, and n_chars, where there is one, counts what is left of a shortened text."""
-    lost = dropped_lines(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__of"), F.col("dropped").alias("__dropped"))
+    lost = dropped_lines(docs.select("doc_id", "text"), least=least).select(F.col("doc_id").alias("__of"), F.col("dropped").alias("__dropped"))
     joined = docs.join(lost, docs["doc_id"].eqNullSafe(F.col("__of")), "left")
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("__dropped"), i))
     short = F.col("__dropped").isNotNull() & F.col("text").isNotNull()

@@ -137,8 +137,8 @@ def op4_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the numbers of its lines that repeat an earlier line up to two edits."""
-    return line_join.line_dedup_report(_table(spark, sf_dir, "documents"))
+    """Every document with the numbers of its lines that repeat an earlier line: exactly at any length, from 20 bytes up to two edits."""
+    return line_join.line_dedup_report(_table(spark, sf_dir, "documents"), least=1)
 
 
 def op2_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
