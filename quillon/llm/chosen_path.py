@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import connected_components
-from quillon.llm.store import bounded_batches, materialize, pieces, scratch
+from quillon.llm.store import bounded_batches, materialize, pieces, row_keys, scratch
 from quillon.llm.textarrays import mix, row_of, words
 
 SHINGLE = 5
@@ -92,7 +92,7 @@ def _sketch(tokens: np.ndarray) -> int:
 
 
 _FEATURES = pa.schema(
-    [("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("sketch", pa.int64())]
+    [("doc_id", pa.int64()), ("key", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("sketch", pa.int64())]
     + [("p2", pa.list_(pa.int64())), ("p4", pa.list_(pa.int64())), ("p4_in", pa.list_(pa.int64()))]
 )
 
@@ -131,7 +131,7 @@ def _features(k: int, threshold: float, runs: int):
                     values = np.concatenate([x[j] for x in each])
                     ends = np.concatenate([[0], np.cumsum([len(x[j]) for x in each])]).astype(np.int32)
                     lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
-                columns = [part.column("doc_id").cast(pa.int64()), pa.array(hi), pa.array(lo), pa.array(np.diff(first).astype(np.int32))]
+                columns = [part.column("doc_id").cast(pa.int64()), part.column("key").cast(pa.int64()), pa.array(hi), pa.array(lo), pa.array(np.diff(first).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in each], pa.int64()), *lists], schema=_FEATURES)
 
     return run
@@ -256,7 +256,7 @@ def near_duplicate_classes(
     where no row of it has an id. Repeated rows count as copies. An empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("key"), "text")
     with scratch(docs.sparkSession) as keep:
         features, known = _classes(docs, k, threshold, recall, bucket)
         keep(features)
@@ -271,11 +271,14 @@ def near_duplicate_classes(
 
 
 def _classes(docs: DataFrame, k: int, threshold: float, recall: float, bucket: int) -> tuple[DataFrame, DataFrame]:
-    """(the features of every row, the classes of equal shingle sets: hi, lo, size, links, class_id)."""
+    """(the features of every row of ``docs`` (doc_id, key, text), the classes of equal shingle sets: hi, lo, size,
+    links, class_id, first). first is the class's first row by doc_id, a null one last, and key."""
     features = docs.mapInArrow(_features(k, threshold, runs_for(recall)), _ddl(_FEATURES))
     features = materialize(features, "shingle-features")
     rowed = features.select("*", F.monotonically_increasing_id().alias("row"))
-    nodes = rowed.where("n > 0").groupBy("hi", "lo").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"))
+    nodes = rowed.where("n > 0").groupBy("hi", "lo").agg(
+        F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first"), F.count(F.lit(1)).alias("size")
+    )
     nodes = materialize(nodes, "shingle-classes")
     chosen = rowed.where("size(p2) > 0").join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
     chosen = materialize(chosen.select(F.col("row").alias("node"), "n", "sketch", "p2", "p4", "p4_in"), "chosen-paths")
@@ -305,7 +308,7 @@ def _classes(docs: DataFrame, k: int, threshold: float, recall: float, bucket: i
 
     needed = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).unionByName(groups.select("node")).distinct()
     needed = materialize(nodes.join(needed, "node"), "needed-sets")
-    ids = needed.select(F.col("first_id").alias("wanted")).distinct()
+    ids = needed.select(F.col("first.doc_id").alias("wanted")).distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
@@ -330,21 +333,32 @@ def _classes(docs: DataFrame, k: int, threshold: float, recall: float, bucket: i
     degree = degree.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(links.unionByName(blocks.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")))
     known = nodes.join(parts, "node", "left").join(degree, "node", "left")
-    known = materialize(known.select("hi", "lo", "size", "first_id", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
-    least = known.where("links > 0").groupBy("component").agg(F.min("first_id").alias("class_id"))
-    known = known.join(least, "component", "left").select("hi", "lo", "size", "links", F.coalesce("class_id", "first_id").alias("class_id"))
-    return features, materialize(known, "near-classes")
-
-
-def keep_one_per_class(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each class: that with the smallest doc_id. Rows without an id all stay."""
-    classes = near_duplicate_classes(docs, **options)
-    dropped = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(dropped.withColumnRenamed("doc_id", "__dropped"), docs["doc_id"] == F.col("__dropped"), "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not repeated:
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    known = materialize(known.select("hi", "lo", "size", "first", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    least = known.where("links > 0").groupBy("component").agg(F.min("first").alias("least"))
+    known = known.join(least, "component", "left").select("hi", "lo", "size", "links", F.coalesce("least", "first").alias("first"))
+    return features, materialize(known.withColumn("class_id", F.col("first.doc_id")), "near-classes")
+
+
+def keep_one_per_class(
+    docs: DataFrame, *, k: int = SHINGLE, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, bucket: int = BUCKET
+) -> DataFrame:
+    """``docs`` with one row of each class: that with the smallest doc_id, one without an id only where no row of the
+    class has one. Rows that share a doc_id but not the text are judged each; repeated rows become one. Rows without
+    words are in no class."""
+    bounded_batches(docs.sparkSession)
+    with scratch(docs.sparkSession) as keep:
+        rows, unnamed = row_keys(docs)
+        slim = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__key").alias("key"), "text")
+        features, known = _classes(slim, k, threshold, recall, bucket)
+        placed = features.where("n > 0").select("doc_id", "key", "hi", "lo").join(known.where("size > 1 or links > 0").select("hi", "lo", "first"), ["hi", "lo"])
+        stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+        lost = materialize(placed.where(~stays).select(F.col("doc_id").alias("__dropped"), F.col("key").alias("__dropped_key")).distinct(), "near-copies")
+        repeated = features.groupBy("doc_id", "key").count().where("count > 1").limit(1).count()
+        keep(unnamed)
+        keep(lost)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__dropped")) & (F.col("__key") == F.col("__dropped_key"))
+    kept = rows.join(lost, same, "left_anti")
+    return (kept.dropDuplicates(["doc_id", "__key"]) if repeated else kept).select(*docs.columns)
 
 
 def _ddl(schema: pa.Schema) -> str:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import connected_components
-from quillon.llm.store import bounded_batches, materialize, pieces, scratch
+from quillon.llm.store import bounded_batches, materialize, pieces, row_keys, scratch
 from quillon.llm.textarrays import mix, prefix_sums, span_hashes, utf8
 
 TAU = 2
@@ -192,19 +192,20 @@ def _block(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _place() -> Column:
-    return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.col("nth"))
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.col("__key").alias("key"), F.col("nth"))
 
 
 def _occurrences(docs: DataFrame, least: int) -> DataFrame:
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
+    lines = docs.select("doc_id", "__key", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
     size = F.octet_length("line")
     lines = lines.where((size >= max(LEAST, least)) | (size >= least) & F.col("line").rlike(r"\S"))
-    return lines.select("doc_id", "nth", "line", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
+    return lines.select("doc_id", "__key", "nth", "line", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
 
 
 def line_classes(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
-    """Distinct lines that repeat or have a near duplicate: h1, h2 (hashes of the line), doc and nth of the class's
-    first line, by doc_id and line number (a null doc_id is the last). ``least`` is that of ``line_dedup_report``."""
+    """Distinct lines of ``row_keys`` that repeat or have a near duplicate: h1, h2 (hashes of the line), first (place of
+    the class's first line, by doc_id, key and line number; a null doc_id is the last). ``least`` is that of
+    ``line_dedup_report``."""
     bounded_batches(docs.sparkSession)
     with scratch(docs.sparkSession) as keep:
         found = _line_classes(docs, least)
@@ -249,14 +250,15 @@ def _line_classes(docs: DataFrame, least: int) -> DataFrame:
     firsts = classed.groupBy("component").agg(F.min("first").alias("first"))
     near = classed.drop("first").join(firsts, "component").select("h1", "h2", "first")
     same = slim.where("n > 1").join(parts.select("id"), "id", "left_anti").select("h1", "h2", "first")
-    return materialize(near.unionByName(same).select("h1", "h2", F.col("first.doc").alias("doc"), F.col("first.nth").alias("first_nth")), "line-classes")
+    return materialize(near.unionByName(same).select("h1", "h2", "first"), "line-classes")
 
 
 def dropped_lines(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
-    """doc_id and the sorted numbers (from 0) of its lines that repeat an earlier line, for documents that have any."""
-    seen = _occurrences(docs, least).select("doc_id", "nth", "h1", "h2").join(line_classes(docs, least=least), ["h1", "h2"])
-    again = seen.where((F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)) != F.col("doc")) | (F.col("nth") != F.col("first_nth")))
-    return again.groupBy("doc_id").agg(F.sort_array(F.collect_set("nth")).alias("dropped"))
+    """doc_id, __key and the sorted numbers (from 0) of the lines that repeat an earlier line, for rows of ``row_keys``
+    that have any."""
+    seen = _occurrences(docs, least).select("doc_id", "__key", "nth", "h1", "h2").join(line_classes(docs, least=least), ["h1", "h2"])
+    again = seen.where(_place() != F.col("first"))
+    return again.groupBy("doc_id", "__key").agg(F.sort_array(F.collect_set("nth")).alias("dropped"))
 
 
 def line_dedup_report(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
@@ -265,13 +267,14 @@ def line_dedup_report(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
     Lines end at line feeds. A line of at least 20 bytes is dropped if an equal line, or one linked to it through
     lines at most two edits apart, comes earlier by (doc_id, line number); a null doc_id comes last. A shorter line is
     dropped if an equal line comes earlier, it has at least ``least`` bytes and is not blank; with least = 1 that is
-    every exact repeat. Null text has no lines, the empty text one. Rows that share a doc_id are one document: a line they share
-    at the same number is not a repetition. An empty table gives an empty result.
+    every exact repeat. Null text has no lines, the empty text one. Rows that share doc_id and text are one document: its
+    lines are no repetitions of each other's copy. Rows that share a doc_id only come one after the other, and so do rows
+    without one; each is a document of its own. An empty table gives an empty result.
     """
-    rows = docs.select("doc_id", "text")
-    out = rows.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    lost = dropped_lines(rows, least=least).withColumnRenamed("doc_id", "of")
-    out = out.join(lost, out["doc_id"].eqNullSafe(lost["of"]), "left").drop("of")
+    rows, _ = row_keys(docs.select("doc_id", "text"))
+    out = rows.select("doc_id", "__key", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    lost = dropped_lines(rows, least=least).select(F.col("doc_id").alias("of"), F.col("__key").alias("key"), "dropped")
+    out = out.join(lost, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("__key") == F.col("key")), "left")
     none = F.array().cast("array<int>")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", none).alias("dropped"))
 
@@ -280,8 +283,9 @@ def drop_repeated_lines(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
     """``docs`` (doc_id, text) with the lines that ``line_dedup_report`` names taken out of their texts. A row
     that loses lines and has nothing but blanks left goes, as all it said stands elsewhere; other rows and all columns
     stay, and n_chars, where there is one, counts what is left of a shortened text."""
-    lost = dropped_lines(docs.select("doc_id", "text"), least=least).select(F.col("doc_id").alias("__of"), F.col("dropped").alias("__dropped"))
-    joined = docs.join(lost, docs["doc_id"].eqNullSafe(F.col("__of")), "left")
+    rows, _ = row_keys(docs)
+    lost = dropped_lines(rows.select("doc_id", "__key", "text"), least=least).select(F.col("doc_id").alias("__of"), F.col("__key").alias("__of_key"), F.col("dropped").alias("__dropped"))
+    joined = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("__key") == F.col("__of_key")), "left")
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("__dropped"), i))
     short = F.col("__dropped").isNotNull() & F.col("text").isNotNull()
     joined = joined.withColumn("__new", F.when(short, F.array_join(kept, "\n")).otherwise(F.col("text")))
@@ -289,4 +293,4 @@ def drop_repeated_lines(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
     made = {"text": F.col("__new")}
     if "n_chars" in docs.columns:
         made["n_chars"] = F.when(short, F.length("__new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return joined.select(*(made[c].alias(c) if c in made else docs[c] for c in docs.columns))
+    return joined.select(*(made[c].alias(c) if c in made else rows[c] for c in docs.columns))

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,6 +64,15 @@ def materialize(df: DataFrame, name: str, *, compression: str = "zstd") -> DataF
     return table
 
 
+def row_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``docs`` with __key, a table that it reads). Rows are one document only where doc_id and __key are equal: the
+    key of a row with a doc_id is a hash of its text, and rows without one are each a document of their own. These are
+    written once with their numbers, so that every reader sees the same ones."""
+    unnamed = docs.where("doc_id is null").withColumn("__key", F.monotonically_increasing_id())
+    unnamed = materialize(unnamed, "rows-without-id")
+    return docs.where("doc_id is not null").withColumn("__key", F.xxhash64("text")).unionByName(unnamed), unnamed
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Cap the Arrow batches of this session's Python stages by bytes, so that a worker's memory doesn't depend on how
     long the texts are. Every operator that runs Python calls it."""

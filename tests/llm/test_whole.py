@@ -4,6 +4,7 @@ from collections import defaultdict
 
 from test_dedup import DOC, brute_lines
 
+from quillon.llm import chosen_path as CP
 from quillon.llm import line_join as LJ
 from quillon.llm import queries
 
@@ -36,3 +37,24 @@ def test_short_lines_of_odd_rows(spark):
     assert got == {1: [3], 2: [3], 3: [], 4: [0]}
     left = {r["doc_id"]: r["text"] for r in LJ.drop_repeated_lines(docs, least=1).collect()}
     assert left == {1: "Les.\n\n  ", 2: "Les\n \n", 3: "é\n日本", 4: "é!"}
+
+
+def test_rows_that_share_an_id_or_have_none_are_documents_of_their_own(spark):
+    same, own = "a line of more than twenty bytes", "words that no other document has: "
+    rows = [(1, same), (None, f"{same}\n{own}x y z"), (None, f"{own}quite different\n{own}some more of them"), (None, f"{own}quite different"), (5, f"{own}the first of two\n{same}"), (5, f"{own}another text here\n{own}which is longer")]
+    docs = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], DOC + ", n long")
+    left = {r["n"]: r["text"] for r in LJ.drop_repeated_lines(docs).collect()}
+    assert {n: left[n] for n in (0, 4, 5)} == {0: same, 4: f"{own}the first of two", 5: rows[5][1]}
+    assert left[1] == f"{own}x y z"
+    # of the two null-id rows with one line at one number, the later one loses it
+    assert sorted((left.get(2, ""), left.get(3, ""))) in (["", rows[2][1]], sorted((f"{own}some more of them", rows[3][1])))
+    report = LJ.line_dedup_report(docs.drop("n")).collect()
+    assert len(report) == 6 and sorted(r["n_dropped"] for r in report) == [0, 0, 0, 1, 1, 1]
+
+
+def test_one_row_of_each_class_by_row(spark):
+    base, other = "a b c d e f g h", "p q r s t u v w"
+    rows = [(1, base), (2, base), (2, other), (3, "one two three four five six"), (3, "six five four three two one"), (None, other), (None, "x y z x y z w"), (None, "x y z x y z w"), (4, None), (None, ""), (3, "six five four three two one")]
+    kept = CP.keep_one_per_class(spark.createDataFrame(rows, DOC))
+    want = [(1, base), (2, other), (3, rows[3][1]), (3, rows[4][1]), (None, rows[6][1]), (4, None), (None, "")]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
