@@ -22,9 +22,11 @@ from quillon.llm.store import bounded_batches, materialize, pieces, scratch
 from quillon.llm.textarrays import LOWER, utf8
 from quillon.llm.url_filter import host_of
 
-#: The trigram model is fitted on about this many labelled rows, chosen by a hash of their text; all other counts
-#: cover every row.
+#: The trigram model is fitted on up to this many distinct labelled texts, shared evenly among the languages (each gets
+#: LEAST_A_LANGUAGE at least, and all its texts where it has fewer), chosen by a hash of the text; all other counts cover
+#: every row.
 SAMPLE_ROWS = 4000
+LEAST_A_LANGUAGE = 200
 GRAM_BITS = 16
 #: A text weighs like at most this many independent trigrams, so that long texts don't silence all other evidence.
 TEXT_WEIGHT = 40.0
@@ -78,11 +80,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> TrigramModel:
-    """Fit the trigram model on a sample of labelled (text, language); rows without either are not used."""
+    """Fit the trigram model on a sample of labelled (text, language) for each language; rows without either are not
+    used. Every language that labels a row is in the model, whatever its share, unless none of its texts has letters;
+    equal texts of a language count once."""
     bounded_batches(labelled.sparkSession)
     labelled = labelled.select("text", "language").where("text is not null and language is not null")
-    share = min(1.0, sample_rows / max(labelled.count(), 1))
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    hashed = labelled.select("language", F.xxhash64("text").alias("h"))
+    found = hashed.groupBy("language").agg(F.approx_count_distinct("h", 0.02).alias("texts")).collect()
+    quota = max(LEAST_A_LANGUAGE, sample_rows // max(len(found), 1))
+    # the hash bound of each language leaves about its quota of texts; small languages are taken whole
+    bound = {r["language"]: 1 << 32 if r["texts"] <= 1.1 * quota else int((1 << 32) * quota / r["texts"]) for r in found}
+    if not bound:
+        return TrigramModel(["und"], np.full((1, 1 << GRAM_BITS), -np.log(1 << GRAM_BITS), np.float32))
+    shares = F.broadcast(labelled.sparkSession.createDataFrame(list(bound.items()), "language string, bound long"))
+    sample = labelled.join(shares, "language").where(F.pmod(F.xxhash64("text"), F.lit(1 << 32)) < F.col("bound"))
+    sample = sample.select("text", "language").distinct()
     counts = sample.mapInArrow(_count, "language string, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["language"].unique()) or ["und"]
     table = np.full((len(languages), 1 << GRAM_BITS), 0.1)

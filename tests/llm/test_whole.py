@@ -1,10 +1,13 @@
 """Cases that a bound, a shared key or a sample once left out."""
 
+import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
 from test_dedup import DOC, brute_lines
 
 from quillon.llm import chosen_path as CP
+from quillon.llm import langid as L
 from quillon.llm import line_join as LJ
 from quillon.llm import queries
 
@@ -58,3 +61,21 @@ def test_one_row_of_each_class_by_row(spark):
     kept = CP.keep_one_per_class(spark.createDataFrame(rows, DOC))
     want = [(1, base), (2, other), (3, rows[3][1]), (3, rows[4][1]), (None, rows[6][1]), (4, None), (None, "")]
     assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_rare_language_and_a_repeated_text_are_in_the_model(spark):
+    rng = random.Random(5)
+
+    def text(letters):
+        return " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(12))
+
+    often = [(text("abcdefg"), "xx") for _ in range(6000)] + [(text("abcdefg"), "yy")] * 4000
+    rare = [(text("opqrstu"), "zz") for _ in range(3)]
+    labelled = spark.createDataFrame(often + rare, "text string, language string")
+    model = L.train(labelled, sample_rows=300)
+    assert model.languages == ["xx", "yy", "zz"]
+    once = L.train(labelled.distinct(), sample_rows=300)
+    assert (model.log_p == once.log_p).all()
+    docs = labelled.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.col("language").alias("lang"), F.lit("s").alias("source"))
+    got = L.identify_documents(docs, sample_rows=300).join(docs, "doc_id").where("lang = 'zz'").collect()
+    assert [r["text_language"] for r in got] == ["zz"] * 3
