@@ -3,7 +3,8 @@
 Every text node has a root-to-leaf tag path. Per path the text length and the punctuation are summed and divided by
 the path's nodes; both ratios are smoothed along the page, fused by their product, and nodes above a threshold
 taken from their spread are content. The element that holds nearly all of that content is the article; its blocks
-are the result, without the parts that are marked as navigation, advert, form, comment and so on.
+are the result, without the parts that are marked as navigation, advert, form, comment and so on. A mark counts only
+below the article: an element around it, or around most of the content where the page has no other article, stays.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ CLOSES = {k: (v, s) for ks, v, s in (
     (("td", "th"), ("td", "th"), ("tr", "table")), (("option",), ("option",), ("select", "datalist")), (("body",), ("head",), ()),
 ) for k in ks}
 DROPPED = frozenset(
-    "head nav footer aside form script style noscript template iframe svg math button select textarea title menu dialog object embed canvas audio video".split()
+    "head nav footer aside script style noscript template iframe svg math button select textarea title menu dialog object embed canvas audio video".split()
 )
+#: Kinds that may also wrap the whole page; they count as a mark.
+WRAPPERS = frozenset(["form"])
 #: Words of class and id attributes, and roles, that mark what is not the article.
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|notification\w*|alerts?|popup|modal|newsletter"
@@ -50,10 +53,10 @@ SPREAD = 0.5
 
 
 class _Node:
-    __slots__ = ("tag", "label", "parent", "dropped", "block", "depth")
+    __slots__ = ("tag", "label", "parent", "dropped", "marked", "block", "depth")
 
-    def __init__(self, tag: str, label: str, parent: _Node | None, dropped: bool):
-        self.tag, self.label, self.parent, self.dropped = tag, label, parent, dropped
+    def __init__(self, tag: str, label: str, parent: _Node | None, dropped: bool, marked: bool = False):
+        self.tag, self.label, self.parent, self.dropped, self.marked = tag, label, parent, dropped, marked
         self.depth = parent.depth + 1 if parent else 0
 
     def up(self) -> Iterator[_Node]:
@@ -136,21 +139,21 @@ def text_nodes(page: str) -> list[tuple[str, _Node, int]]:
         if tag in VOID:
             continue
         rest = page[name.end() : end]
-        label, dropped = tag, top.dropped or tag in DROPPED
+        label, dropped, marked = tag, top.dropped or tag in DROPPED, tag in WRAPPERS
         if rest.strip(" /"):
             given = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(rest)}
             marks = given.get("class", "") + " " + given.get("id", "")
             label += "." + given["class"].split()[0] if given.get("class", "").strip() else ""
-            dropped |= tag not in ("html", "body", "article", "main") and bool(MARKS.search(marks) or given.get("role", "").lower() in ROLES)
+            marked |= tag not in ("html", "body", "article", "main") and bool(MARKS.search(marks) or given.get("role", "").lower() in ROLES)
             dropped |= "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
         if tag == "header" and all(x.tag != "article" for x in top.up()):
-            dropped = True
+            marked = True
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = size if stop is None else stop.start()
             continue
         if not (rest.endswith("/") and tag in ("svg", "path", "circle", "rect")):
-            top = _Node(tag, label, top, dropped)
+            top = _Node(tag, label, top, dropped, marked)
     return out
 
 
@@ -181,17 +184,59 @@ def _fused(nodes: list[tuple[str, _Node, int]]) -> list[float]:
     return [a * b for a, b in smooth]
 
 
+def _content(nodes: list[tuple[str, _Node, int]]) -> list[tuple[str, _Node]]:
+    """The nodes whose fused ratio is above the threshold."""
+    weights = _fused(nodes)
+    mean = sum(weights) / len(weights)
+    spread = (sum((w - mean) ** 2 for w in weights) / len(weights)) ** 0.5
+    limit = min(max(weights), max(0.0, mean - SPREAD * spread))
+    return [(t, n) for (t, n, _), w in zip(nodes, weights, strict=True) if w >= limit]
+
+
+def _lift_marks(nodes: list[tuple[str, _Node, int]]) -> None:
+    """Takes the marks off elements around the article, from the outside in. While no article or main element with
+    text is outside all marks, that is the outermost marked element with most content, if it holds a main element, or
+    an article and at least as much content as is outside all marks, or over half of all content."""
+    content, holders = _content(nodes), defaultdict(set)
+    for _, node, _ in nodes:
+        for x in node.up():
+            if x.tag in ("article", "main"):
+                holders[node].add(x.tag)
+    total = sum(len(t) for t, _ in content)
+    marks = {n: [x for x in n.up() if x.marked] for n in {n for _, n, _ in nodes}}
+    while True:
+        outer = {n: above[-1] if above else None for n, above in marks.items()}
+        if any(tags and outer[n] is None for n, tags in holders.items()):
+            return
+        held: dict[_Node | None, int] = defaultdict(int)
+        inside: dict[_Node | None, set] = defaultdict(set)
+        for text, node in content:
+            held[outer[node]] += len(text)
+        for n, tags in holders.items():
+            inside[outer[n]] |= tags
+        fit = [x for x in {*held, *inside} - {None} if "main" in inside[x] or "article" in inside[x] and held[x] >= held[None] or 2 * held[x] > total]
+        if not fit:
+            return
+        lifted = max(fit, key=lambda x: ("main" in inside[x], held[x]))
+        lifted.marked = False
+        for above in marks.values():
+            if above and above[-1] is lifted:
+                above.pop()
+
+
 def main_text(page: str | None) -> str:
     """The blocks of the article, each with single spaces, joined by two line feeds; empty if there is none."""
     found = text_nodes(page or "")
     nodes = [(t, n, b) for t, n, b in found if not n.dropped and not t.isspace()]
     if not nodes:
         return ""
-    weights = _fused(nodes)
-    mean = sum(weights) / len(weights)
-    spread = (sum((w - mean) ** 2 for w in weights) / len(weights)) ** 0.5
-    limit = min(max(weights), max(0.0, mean - SPREAD * spread))
-    content = [(t, n) for (t, n, _), w in zip(nodes, weights, strict=True) if w >= limit]
+    if any(x.marked for n in {n for _, n, _ in nodes} for x in n.up()):
+        _lift_marks(nodes)
+    off = {n: n.dropped or any(x.marked for x in n.up()) for n in {n for _, n, _ in found}}
+    nodes = [(t, n, b) for t, n, b in nodes if not off[n]]
+    if not nodes:
+        return ""
+    content = _content(nodes)
     held: dict[_Node, int] = defaultdict(int)
     total = 0
     for text, node in content:
@@ -205,20 +250,25 @@ def main_text(page: str | None) -> str:
         article = article.parent
     blocks: dict[int, list[tuple[str, _Node]]] = defaultdict(list)
     for text, node, block in found:
-        if not node.dropped and any(x is article for x in node.up()):
+        if not off[node] and any(x is article for x in node.up()):
             blocks[block].append((text, node))
     strong = {id(n) for _, n in content}
     out = []
     for parts in blocks.values():
         said = [n for t, n in parts if not t.isspace()]
-        if said and all(any(x.tag == "a" for x in n.up()) and id(n) not in strong for n in said):
-            continue  # a block of links below the threshold
+        if not marked and said and all(_listed_link(n) and id(n) not in strong for n in said):
+            continue  # a block of links below the threshold, on a page without an article element
         line = " ".join(html.unescape("".join(t for t, _ in parts)).split())
         if line:
             out.append(line)
     return "\n\n".join(out)
 
 
+def _listed_link(node: _Node) -> bool:
+    tags = [x.tag for x in node.up()]
+    return "a" in tags and "p" not in tags
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "html", 4 << 20):

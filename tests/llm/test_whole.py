@@ -3,10 +3,12 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 from test_dedup import DOC, brute_lines
 
 from quillon.llm import chosen_path as CP
+from quillon.llm import html_paths as H
 from quillon.llm import langid as L
 from quillon.llm import line_join as LJ
 from quillon.llm import queries
@@ -79,3 +81,22 @@ def test_a_rare_language_and_a_repeated_text_are_in_the_model(spark):
     docs = labelled.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.col("language").alias("lang"), F.lit("s").alias("source"))
     got = L.identify_documents(docs, sample_rows=300).join(docs, "doc_id").where("lang = 'zz'").collect()
     assert [r["text_language"] for r in got] == ["zz"] * 3
+
+
+LONG = "A long paragraph, with commas, and words. It goes on, and on."
+
+
+@pytest.mark.parametrize("wrapper", ["div class='content has-sidebar'", "div class='layout no-sidebar'", "div class='sticky-header wrapper'", "form", "div role=form", "header"])
+@pytest.mark.parametrize("holder", ["article", "main", "div"])
+def test_a_mark_around_the_article_does_not_drop_it(wrapper, holder):
+    inner = f"<{holder}><h1>Head</h1><p>{LONG}</p><p>{LONG} Two.</p><p><a href=1>Only a link</a></p><div class=share>Share, now.</div></{holder}>"
+    page = f"<body><{wrapper}>{inner}<div class=sidebar><p>Aside, yes.</p></div></{wrapper.split()[0]}><div id=comments><p>First, indeed.</p></div>"
+    text = H.main_text(page).split("\n\n")
+    assert text[-3:] == [LONG, LONG + " Two.", "Only a link"] and "Aside, yes." not in text and "Share, now." not in text
+
+
+def test_marks_beside_the_article_still_drop():
+    comments = f"<div id=comments><article><p>Nice, one.</p></article><article><p>{LONG}</p></article></div>"
+    assert H.main_text(f"<article><p>{LONG}</p></article>{comments}") == LONG
+    assert H.main_text(f"<div class=post><p>{LONG * 5}</p></div>{comments}") == LONG * 5
+    assert H.main_text("<div class=ad>" * 1000 + "".join(f"<p>{LONG}</p></div>" for _ in range(1000))).count(LONG) > 0
