@@ -18,7 +18,7 @@ from quillon.llm.store import materialize, scratch
 
 BITS_PER_KEY = 12
 HASHES = 6
-#: A filter of more bits than this (8 MB) is not sent to every task; membership is then an exact join.
+#: A filter of more bits than this (8 MB) is not sent to every task: larger lists are refused with an OverflowError.
 MAX_BITS = 1 << 26
 
 
