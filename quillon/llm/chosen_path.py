@@ -5,8 +5,10 @@ a path of shared tokens, and a set at a node descends to the tokens whose hash u
 1 / (threshold * set size). Two sets of similarity at or above the threshold agree on at least one choice per
 level on average, so they meet in some bucket of some run; the number of runs follows from the target recall.
 Buckets with few sets are compared outright. A bucket that is too large is split two levels deeper; what is still
-large there is a group of near copies, and is compared in blocks by exact set intersection, which counts the links
-without writing the pairs out.
+large there is a group of near copies. A large group is measured against its consensus, the set of the tokens that at
+least half of its members have: members close enough to it are all linked with each other by the triangle inequality of
+the symmetric difference, so their links are counted without looking at pairs. The rest of the group is compared in
+blocks by exact set intersection.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import connected_components
@@ -28,7 +30,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TARGET_RECALL = 0.999
 BUCKET = 64
-BLOCK = 256
+#: Sets and tokens of a block of a hot group.
+BLOCK = 1024
+BLOCK_TOKENS = 1 << 20
 BROADCAST_IDS = 400_000
 
 _TOKEN_BITS = np.uint64(48)
@@ -145,8 +149,7 @@ def _sets(k: int):
             for part in pieces(batch, "text"):
                 tokens, first = shingle_sets(part.column("text"), k)
                 hi, lo = _digests(tokens, first)
-                small = np.ascontiguousarray((tokens >> np.uint64(16)).astype(np.uint32))
-                blobs = [np.sort(small[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                blobs = [tokens[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.array(blobs, pa.binary())], schema=schema)
 
     return run
@@ -197,7 +200,7 @@ def _verify(threshold: float):
             sides = [batch.column(c).to_pylist() for c in ("tokens_a", "tokens_b")]
             good = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(*sides, strict=True)):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 good[i] = shared >= threshold * (len(x) + len(y) - shared) - 1e-9
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], schema=schema)
@@ -209,7 +212,7 @@ def _block(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         """Links of one pair of blocks: per node the weight of its partners and a local root to join it to."""
         rows = rows.sort_values(["block", "node"], ignore_index=True)
-        sets = [np.frombuffer(x, np.uint32) for x in rows["tokens"]]
+        sets = [np.frombuffer(x, np.uint64) for x in rows["tokens"]]
         n = np.array([len(x) for x in sets])
         owner = np.repeat(np.arange(len(sets)), n)
         token, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -219,9 +222,9 @@ def _block(threshold: float):
         owner, column = owner[order], column[order]
         common = np.zeros((len(sets), len(sets)), np.float32)
         width = int(column[-1]) + 1 if len(column) else 0
-        for at in range(0, width, 8192):
-            lo, hi = np.searchsorted(column, [at, at + 8192])
-            part = np.zeros((len(sets), min(8192, width - at)), np.float32)
+        for at in range(0, width, 4096):
+            lo, hi = np.searchsorted(column, [at, at + 4096])
+            part = np.zeros((len(sets), min(4096, width - at)), np.float32)
             part[owner[lo:hi], column[lo:hi] - at] = 1
             common += part @ part.T
         link = common >= threshold * (n[:, None] + n[None, :] - common) - 1e-6
@@ -244,6 +247,70 @@ def _block(threshold: float):
     return run
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, token, members that have it) of each batch."""
+    for batch in batches:
+        group = batch.column("g").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column("tokens").to_pylist()]
+        for g in np.unique(group):
+            token, count = np.unique(np.concatenate([sets[i] for i in np.flatnonzero(group == g)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), g)), pa.array(token.view(np.int64)), pa.array(count)], ["g", "token", "n"])
+
+
+def _is_core(threshold: float):
+    """Whether a member's distance d to the consensus is at most kappa times its size: J(a, b) >= threshold says that
+    the distance of a and b is at most kappa (|a| + |b|), and it never exceeds the sum of their distances to it."""
+    kappa = (1 - threshold) / (1 + threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            core = np.zeros(batch.num_rows, bool)
+            for i, (own, common) in enumerate(zip(batch.column("tokens").to_pylist(), batch.column("consensus").to_pylist(), strict=True)):
+                own, common = np.frombuffer(own, np.uint64), np.array(common or [], np.int64).view(np.uint64)
+                apart = len(own) + len(common) - 2 * len(np.intersect1d(own, common, assume_unique=True))
+                core[i] = apart <= kappa * len(own) - 1e-6
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("g", "node", "size", "tokens")), pa.array(core)], ["g", "node", "size", "tokens", "core"])
+
+    return run
+
+
+def _hot_links(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """node, links, root of the members of hot groups: rows of one node add up; root is a linked node of the group."""
+    members = materialize(groups.join(sets, "node").select("g", "node", "size", "tokens"), "hot-members")
+    weight = F.octet_length("tokens") / 8
+    sizes = materialize(members.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.sum(weight).alias("weight")), "hot-sizes")
+    few = sizes.count() <= BROADCAST_IDS
+    bounded = F.broadcast if few else (lambda x: x)
+
+    big = bounded(sizes.where(F.col("members") > BLOCK).select("g", "members"))
+    inside = members.join(big, "g")
+    common = inside.select("g", "tokens").mapInArrow(_tally, "g long, token long, n long").groupBy("g", "token").agg(F.sum("n").alias("n"))
+    common = common.join(big, "g").where(2 * F.col("n") >= F.col("members")).groupBy("g").agg(F.collect_list("token").alias("consensus"))
+    common = materialize(common, "consensus")  # at most twice the mean size of a member each
+    held = common.agg(F.coalesce(F.sum(F.size("consensus")), F.lit(0))).first()[0]
+    near = inside.join(F.broadcast(common) if held <= 4 * BROADCAST_IDS else common, "g", "left")
+    kinds = "g long, node long, size long, tokens binary, core boolean"
+    big_ones = near.select("g", "node", "size", "tokens", "consensus").mapInArrow(_is_core(threshold), kinds)
+    small = members.join(bounded(sizes.where(F.col("members") <= BLOCK).select("g")), "g", "left_semi").withColumn("core", F.lit(False))
+    told = materialize(big_ones.unionByName(small), "hot-told")
+
+    cliques = told.where("core").groupBy("g").agg(F.sum("size").alias("total"), F.min("node").alias("root"))
+    sure = told.where("core").join(bounded(cliques), "g").select("node", (F.col("total") - F.col("size")).alias("links"), "root")
+
+    def blocks(kind: Column) -> Column:
+        return F.ceil(F.greatest(F.count_if(kind) / BLOCK, F.coalesce(F.sum(F.when(kind, weight)), F.lit(0.0)) / BLOCK_TOKENS)).cast("int")
+
+    dealt = told.groupBy("g").agg(blocks(~F.col("core")).alias("rest"), blocks(F.col("core")).alias("cores"))
+    dealt = told.join(bounded(dealt.where("rest > 0")), "g")
+    spot = F.xxhash64("node")
+    dealt = dealt.withColumn("block", F.when(F.col("core"), F.col("rest") + F.pmod(spot, F.greatest("cores", F.lit(1)))).otherwise(F.pmod(spot, F.col("rest"))).cast("int"))
+    last = F.when(F.col("core"), F.col("rest")).otherwise(F.col("rest") + F.col("cores")) - 1
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("other"))
+    dealt = dealt.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "size", "tokens")
+    compared = dealt.groupBy("g", "i", "j").applyInPandas(_block(threshold), "node long, links long, root long")
+    return materialize(sure.unionByName(compared), "hot-links")
+
+
 def near_duplicate_classes(
     docs: DataFrame, *, k: int = SHINGLE, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, bucket: int = BUCKET
 ) -> DataFrame:
@@ -284,21 +351,23 @@ def _classes(docs: DataFrame, k: int, threshold: float, recall: float, bucket: i
     chosen = materialize(chosen.select(F.col("row").alias("node"), "n", "sketch", "p2", "p4", "p4_in"), "chosen-paths")
 
     def buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        shared = materialize(rows.join(sizes, "path"), "shared-paths")
-        light = shared.where(F.col("members") <= bucket).repartition("path").sortWithinPartitions("path")
-        heavy = shared.where(F.col("members") > bucket)
-        return light.select("path", "node", "n", "sketch").mapInArrow(_bucket_pairs(threshold, bucket), "a long, b long"), heavy, shared
-
-    shallow, large, _ = buckets(chosen.select("node", "n", "sketch", F.explode("p2").alias("path")))
+        """(the candidate pairs of buckets with few sets, the rows of the others, their paths). Counts are combined before they move,
+        so the rows of a crowded path never meet in one task."""
+        crowded = materialize(rows.groupBy("path").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > bucket).select("path"), "crowded-paths")
+        known = F.broadcast(crowded) if crowded.count() <= BROADCAST_IDS else crowded
+        light = rows.join(known, "path", "left_anti").repartition("path").sortWithinPartitions("path")
+        return light.select("path", "node", "n", "sketch").mapInArrow(_bucket_pairs(threshold, bucket), "a long, b long"), rows.join(known, "path", "left_semi"), known
+
+    shallow, _, large = buckets(chosen.select("node", "n", "sketch", F.explode("p2").alias("path")))
     deeper = chosen.select("node", "n", "sketch", F.explode(F.arrays_zip("p4", "p4_in")).alias("x"))
     deeper = deeper.select("node", "n", "sketch", F.col("x.p4").alias("path"), F.col("x.p4_in").alias("parent"))
-    deeper = materialize(deeper.join(large.select(F.col("path").alias("parent")).distinct(), "parent", "left_semi").drop("parent"), "deeper-paths")
-    deep, hot, _ = buckets(deeper)
+    deeper = materialize(deeper.join(large.withColumnRenamed("path", "parent"), "parent", "left_semi").drop("parent"), "deeper-paths")
+    deep, hot, crowded = buckets(deeper)
 
-    groups = connected_components(
-        hot.select(F.col("node").alias("a"), "path").join(hot.groupBy("path").agg(F.min("node").alias("b")), "path").select("a", "b")
-    )
+    roots = hot.groupBy("path").agg(F.min("node").alias("b"))
+    if crowded.count() <= BROADCAST_IDS:
+        roots = F.broadcast(roots)
+    groups = connected_components(hot.select(F.col("node").alias("a"), "path").join(roots, "path").select("a", "b"))
     groups = materialize(groups.select("node", F.col("component").alias("g")), "hot-groups")
 
     candidates = shallow.unionByName(deep).distinct()
@@ -320,12 +389,7 @@ def _classes(docs: DataFrame, k: int, threshold: float, recall: float, bucket: i
         sided = sided.join(sets.select(F.col("node").alias(end), F.col("tokens").alias(f"tokens_{end}")), end)
     links = materialize(sided.mapInArrow(_verify(threshold), "a long, b long"), "links")
 
-    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
-    members = groups.join(sizes, "g").join(sets, "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    members = members.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "size", "tokens")
-    blocks = materialize(members.groupBy("g", "i", "j").applyInPandas(_block(threshold), "node long, links long, root long"), "hot-links")
+    blocks = _hot_links(groups, sets, threshold)
 
     weight = nodes.select("node", "size")
     degree = links.select(F.col("a").alias("to"), F.col("b").alias("node")).unionByName(links.select(F.col("b").alias("to"), F.col("a").alias("node")))

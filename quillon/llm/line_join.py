@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.components import connected_components
 from quillon.llm.store import bounded_batches, materialize, pieces, row_keys, scratch
-from quillon.llm.textarrays import mix, prefix_sums, span_hashes, utf8
+from quillon.llm.textarrays import mix, prefix_sums, rolling_hashes, utf8
 
 TAU = 2
 #: Shorter lines (in bytes) are not compared by edits: two edits would be more than a tenth of the line, and lines of a
@@ -61,7 +61,7 @@ def lookups(raw: np.ndarray, offsets: np.ndarray, tau: int = TAU) -> tuple[np.nd
                 place = start[:, i] + at
                 fits = np.flatnonzero((place >= 0) & (place + size[:, i] <= length) & (length - d >= tau + 1))
                 first = begin[fits] + place[fits]
-                keys.append(_keys(length[fits] - d, i, span_hashes(raw, first, first + size[fits, i], prefix)))
+                keys.append(_keys(length[fits] - d, i, rolling_hashes(raw, first, first + size[fits, i], prefix)))
                 lines.append(fits)
                 kinds.append(np.full(len(fits), d == 0 and at == 0))
     return np.concatenate(keys), np.concatenate(lines), np.concatenate(kinds)
@@ -199,7 +199,7 @@ def _occurrences(docs: DataFrame, least: int) -> DataFrame:
     lines = docs.select("doc_id", "__key", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
     size = F.octet_length("line")
     lines = lines.where((size >= max(LEAST, least)) | (size >= least) & F.col("line").rlike(r"\S"))
-    return lines.select("doc_id", "__key", "nth", "line", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
+    return lines.select("doc_id", "__key", "nth", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def line_classes(docs: DataFrame, *, least: int = LEAST) -> DataFrame:

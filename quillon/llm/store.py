@@ -101,12 +101,13 @@ def write_binary_files(rows: DataFrame, path: str, trailer: bytes) -> None:
     )
 
 
-def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` whose ``column`` holds about ``max_bytes`` each; a longer single row is a slice alone."""
+def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20, max_rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` whose ``column`` holds about ``max_bytes`` each, of ``max_rows`` at most; a longer single row
+    is a slice alone."""
     start, size = 0, 0
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     for i, n in enumerate(lengths.tolist()):
-        if i > start and size + n > max_bytes:
+        if i > start and (size + n > max_bytes or i - start >= max_rows):
             yield batch.slice(start, i - start)
             start, size = i, 0
         size += n

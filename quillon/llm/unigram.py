@@ -274,7 +274,16 @@ def encode_batch(v: Vocabulary, column: pa.Array) -> tuple[np.ndarray, np.ndarra
     if not len(begin):
         return np.zeros(0, np.int64), np.zeros(len(n) + 1, np.int64), data, shifted
     _, one, which = np.unique(span_hashes(data, begin, end), return_index=True, return_inverse=True)
-    size = end[one] - begin[one]
+    # units that share a hash share a segmentation only if their bytes are equal
+    length = end - begin
+    other = length != length[one][which]
+    there = np.flatnonzero(~other)
+    unequal = data[_ragged(begin[there], length[there])] != data[_ragged(begin[one][which[there]], length[there])]
+    other[np.repeat(there, length[there])[unequal]] = True
+    apart = np.flatnonzero(other)
+    which[apart] = len(one) + np.arange(len(apart))
+    one = np.concatenate([one, apart])
+    size = length[one]
     unit_raw = data[_ragged(begin[one], size)]
     ids, first = _best(v, unit_raw, np.concatenate([[0], np.cumsum(size)]))
     per = np.diff(first)[which]

@@ -95,6 +95,42 @@ def test_planted_copies_with_small_buckets(spark):
     assert near_rows(spark, rows, bucket=3, recall=0.9999) == brute_near(rows)
 
 
+@pytest.mark.parametrize("most", [3, 25])
+def test_large_hot_groups_with_and_without_pairs(spark, monkeypatch, most):
+    """Blocks of 8 sets: members near the consensus are linked without pairs, the others are compared in blocks."""
+    monkeypatch.setattr(CP, "BLOCK", 8)
+    rng = random.Random(most)
+    rows = []
+    for group in range(2):
+        base = [f"g{group}w{rng.randrange(3000)}" for _ in range(200)]
+        for i in range(60):
+            w = list(base)
+            for _ in range(rng.randint(1, most)):
+                w[rng.randrange(len(w))] = f"n{i}x{rng.random()}"
+            if i % 9 == 0:
+                w += [f"t{i}x{k}" for k in range(rng.randint(1, 40))]
+            rows.append((group * 100 + i, " ".join(w)))
+    rows += [(300 + i, rows[5][1]) for i in range(4)]
+    assert near_rows(spark, rows, bucket=3, recall=0.99999) == brute_near(rows)
+
+
+def thue_morse(n):
+    """Two words that every polynomial hash modulo a power of two takes for equal from 1,024 letters on."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_fool_polynomial_hashes(spark):
+    a, b = thue_morse(2048)
+    h, _ = words(pa.array([a, b, a[:1024], b[:1024], a[:300], b[:300]]))
+    assert len(set(h.tolist())) == 6
+    text = "one two three four {} five six seven eight nine ten eleven twelve"
+    rows = [(1, text.format(a)), (2, text.format(b)), (3, text.format(a)), (4, a), (5, b)]
+    assert near_rows(spark, rows) == brute_near(rows) == {1: (1, 1), 2: (2, 0), 3: (1, 1), 4: (4, 0), 5: (5, 0)}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "one two"), (4, "One TWO"), (5, "... !!"), (6, "a " * 50_000), (6, "a " * 50_000), (None, "one two"), (7, "ü ü ü ü ü ü")]
     got = sorted(((r["doc_id"], r["class_id"], r["copies"], r["n_links"]) for r in CP.near_duplicate_classes(spark.createDataFrame(rows, DOC)).collect()), key=str)
