@@ -22,11 +22,14 @@ from quillon.llm.store import bounded_batches, materialize, pieces, row_keys, sc
 from quillon.llm.textarrays import mix, prefix_sums, rolling_hashes, utf8
 
 TAU = 2
-#: Shorter lines (in bytes) are not compared by edits: two edits would be more than a tenth of the line, and lines of a
-#: few bytes would all be linked. Whether their exact repeats count is the caller's ``least``.
+#: Default of ``edits_from``: shorter lines (in bytes) are not compared by edits, as two edits would be more than a tenth
+#: of the line, and lines of a few bytes would all be linked. The method itself needs TAU + 1 bytes. Whether exact repeats
+#: of shorter lines count is the caller's ``least``.
 LEAST = 20
 BUCKET = 64
-BLOCK = 256
+#: Lines and bytes of a block of a crowded key.
+BLOCK = 1024
+BLOCK_BYTES = 8 << 20
 BROADCAST_IDS = 400_000
 #: One line in so many is looked at to find crowded keys before the shuffle, and their rows are dealt over so many
 #: tasks. This only places rows: a crowded key that the look misses is found when its rows meet.
@@ -191,33 +194,69 @@ def _block(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
 
 
+def _near_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        line, pivot = ([(x or "").encode() for x in batch.column(c).to_pylist()] for c in ("line", "pivot"))
+        core = pa.array(within(line, pivot) <= TAU)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id", "line", "root")), core], ["key", "id", "line", "root", "core"])
+
+
+def _crowded_links(crowded: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the lines (key, id, line) of crowded keys as all their links would. In a key of more
+    lines than a block has, those within reach of its first line are one class through it and are not compared with each
+    other; the others are compared with all, in blocks."""
+    size = F.octet_length("line")
+    sizes = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.sum(size).alias("bytes"), F.min(F.struct("id", "line")).alias("first"))
+    sizes = materialize(sizes.select("key", ((F.col("lines") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)).alias("big"), F.col("first.id").alias("root"), F.col("first.line").alias("pivot")), "crowded-sizes")
+    held = sizes.where("big").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("pivot")), F.lit(0))).first()
+    bounded = F.broadcast if held[0] <= BROADCAST_IDS and held[1] <= 32 * BROADCAST_IDS else (lambda x: x)
+    big = crowded.join(bounded(sizes.where("big").drop("big")), "key")
+    told = big.select("key", "id", "line", "root", "pivot").mapInArrow(_near_pivot, "key long, id long, line string, root long, core boolean")
+    rest = crowded.join(bounded(sizes.where("big").select("key")), "key", "left_anti").select("key", "id", "line", F.lit(None).cast("long").alias("root"), F.lit(False).alias("core"))
+    told = materialize(told.unionByName(rest), "crowded-told")
+
+    def blocks(kind: Column) -> Column:
+        return F.ceil(F.greatest(F.count_if(kind) / BLOCK, F.coalesce(F.sum(F.when(kind, size)), F.lit(0)) / BLOCK_BYTES)).cast("int")
+
+    dealt = told.groupBy("key").agg(blocks(~F.col("core")).alias("rest"), blocks(F.col("core")).alias("cores")).where("rest > 0")
+    if (dealt := materialize(dealt, "crowded-blocks")).count() <= BROADCAST_IDS:
+        dealt = F.broadcast(dealt)
+    spot = F.xxhash64("id")
+    block = F.when(F.col("core"), F.col("rest") + F.pmod(spot, F.greatest("cores", F.lit(1)))).otherwise(F.pmod(spot, F.col("rest")))
+    last = F.when(F.col("core"), F.col("rest")).otherwise(F.col("rest") + F.col("cores")) - 1
+    dealt = told.join(dealt, "key").select("key", "id", "line", block.cast("int").alias("block"), F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("other"))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "line")
+    compared = dealt.groupBy("key", "i", "j").applyInPandas(_block, "a long, b long")
+    return compared.unionByName(told.where("core and id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+
+
 def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.col("__key").alias("key"), F.col("nth"))
 
 
-def _occurrences(docs: DataFrame, least: int) -> DataFrame:
+def _occurrences(docs: DataFrame, least: int, edits_from: int) -> DataFrame:
     lines = docs.select("doc_id", "__key", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
     size = F.octet_length("line")
-    lines = lines.where((size >= max(LEAST, least)) | (size >= least) & F.col("line").rlike(r"\S"))
+    lines = lines.where((size >= max(edits_from, least)) | (size >= least) & F.col("line").rlike(r"\S"))
     return lines.select("doc_id", "__key", "nth", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def line_classes(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
+def line_classes(docs: DataFrame, *, least: int = LEAST, edits_from: int = LEAST) -> DataFrame:
     """Distinct lines of ``row_keys`` that repeat or have a near duplicate: h1, h2 (hashes of the line), first (place of
-    the class's first line, by doc_id, key and line number; a null doc_id is the last). ``least`` is that of
-    ``line_dedup_report``."""
+    the class's first line, by doc_id, key and line number; a null doc_id is the last). ``least`` and
+    ``edits_from`` are those of ``line_dedup_report``."""
     bounded_batches(docs.sparkSession)
     with scratch(docs.sparkSession) as keep:
-        found = _line_classes(docs, least)
+        found = _line_classes(docs, least, edits_from)
         keep(found)
     return found
 
 
-def _line_classes(docs: DataFrame, least: int) -> DataFrame:
-    distinct = _occurrences(docs, least).groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
+def _line_classes(docs: DataFrame, least: int, edits_from: int) -> DataFrame:
+    distinct = _occurrences(docs, least, edits_from).groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
     distinct = materialize(distinct.select(F.monotonically_increasing_id().alias("id"), "*"), "distinct-lines")
     emitted = "key long, id long, own boolean"
-    long = distinct.where(F.octet_length("line") >= LEAST)
+    long = distinct.where(F.octet_length("line") >= max(edits_from, TAU + 1))
     look = long.where(F.pmod(F.xxhash64("id"), F.lit(LOOK)) == 0).select("id", "line").mapInArrow(_emit, emitted)
     known = materialize(look.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("key", F.lit(True).alias("spread")), "crowded-keys")
     if known.count() <= BROADCAST_IDS:
@@ -238,11 +277,8 @@ def _line_classes(docs: DataFrame, least: int) -> DataFrame:
         pairs = pairs.join(texts.select(F.col("id").alias(end), F.col("line").alias(f"line_{end}")), end)
     links = pairs.mapInArrow(_verify, "a long, b long")
 
-    sizes = crowded.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = crowded.join(sizes, "key").join(texts, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "line")
-    links = materialize(links.unionByName(dealt.groupBy("key", "i", "j").applyInPandas(_block, "a long, b long")), "line-links")
+    crowded = materialize(crowded.join(texts, "id"), "crowded-texts")
+    links = materialize(links.unionByName(_crowded_links(crowded)), "line-links")
 
     parts = connected_components(links).select(F.col("node").alias("id"), "component")
     slim = distinct.select("id", "h1", "h2", "first", "n")
@@ -253,18 +289,18 @@ def _line_classes(docs: DataFrame, least: int) -> DataFrame:
     return materialize(near.unionByName(same).select("h1", "h2", "first"), "line-classes")
 
 
-def dropped_lines(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
+def dropped_lines(docs: DataFrame, *, least: int = LEAST, edits_from: int = LEAST) -> DataFrame:
     """doc_id, __key and the sorted numbers (from 0) of the lines that repeat an earlier line, for rows of ``row_keys``
     that have any."""
-    seen = _occurrences(docs, least).select("doc_id", "__key", "nth", "h1", "h2").join(line_classes(docs, least=least), ["h1", "h2"])
+    seen = _occurrences(docs, least, edits_from).select("doc_id", "__key", "nth", "h1", "h2").join(line_classes(docs, least=least, edits_from=edits_from), ["h1", "h2"])
     again = seen.where(_place() != F.col("first"))
     return again.groupBy("doc_id", "__key").agg(F.sort_array(F.collect_set("nth")).alias("dropped"))
 
 
-def line_dedup_report(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
+def line_dedup_report(docs: DataFrame, *, least: int = LEAST, edits_from: int = LEAST) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, n_lines, n_dropped, dropped.
 
-    Lines end at line feeds. A line of at least 20 bytes is dropped if an equal line, or one linked to it through
+    Lines end at line feeds. A line of at least ``edits_from`` bytes is dropped if an equal line, or one linked to it through
     lines at most two edits apart, comes earlier by (doc_id, line number); a null doc_id comes last. A shorter line is
     dropped if an equal line comes earlier, it has at least ``least`` bytes and is not blank; with least = 1 that is
     every exact repeat. Null text has no lines, the empty text one. Rows that share doc_id and text are one document: its
@@ -273,18 +309,18 @@ def line_dedup_report(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
     """
     rows, _ = row_keys(docs.select("doc_id", "text"))
     out = rows.select("doc_id", "__key", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    lost = dropped_lines(rows, least=least).select(F.col("doc_id").alias("of"), F.col("__key").alias("key"), "dropped")
+    lost = dropped_lines(rows, least=least, edits_from=edits_from).select(F.col("doc_id").alias("of"), F.col("__key").alias("key"), "dropped")
     out = out.join(lost, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("__key") == F.col("key")), "left")
     none = F.array().cast("array<int>")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", none).alias("dropped"))
 
 
-def drop_repeated_lines(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, *, least: int = LEAST, edits_from: int = LEAST) -> DataFrame:
     """``docs`` (doc_id, text) with the lines that ``line_dedup_report`` names taken out of their texts. A row
     that loses lines and has nothing but blanks left goes, as all it said stands elsewhere; other rows and all columns
     stay, and n_chars, where there is one, counts what is left of a shortened text."""
     rows, _ = row_keys(docs)
-    lost = dropped_lines(rows.select("doc_id", "__key", "text"), least=least).select(F.col("doc_id").alias("__of"), F.col("__key").alias("__of_key"), F.col("dropped").alias("__dropped"))
+    lost = dropped_lines(rows.select("doc_id", "__key", "text"), least=least, edits_from=edits_from).select(F.col("doc_id").alias("__of"), F.col("__key").alias("__of_key"), F.col("dropped").alias("__dropped"))
     joined = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("__key") == F.col("__of_key")), "left")
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("__dropped"), i))
     short = F.col("__dropped").isNotNull() & F.col("text").isNotNull()

@@ -229,6 +229,18 @@ def test_line_report_against_brute_force(spark, sf):
     assert got == {i: want.get(i, set()) for i in got} and sum(map(len, got.values())) > 100
 
 
+def test_crowded_keys_that_one_line_reaches(spark, monkeypatch):
+    """Near copies of one line, copies of these, and strangers with the same beginning: pivot and blocks."""
+    monkeypatch.setattr(LJ, "BLOCK", 50)
+    rng = random.Random(6)
+    head = "the same beginning of every line of them "
+    rows = [(i, head + edited(rng, b"0000000000", b"123456789", 2).decode()) for i in range(120)]
+    rows += [(200 + i, head + edited(rng, b"0123456789", b"abcdefgh", 5).decode()) for i in range(120)]
+    want = brute_lines(rows)
+    got = {r["doc_id"]: set(r["dropped"]) for r in LJ.line_dedup_report(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {i: want.get(i, set()) for i in got}
+
+
 @pytest.mark.parametrize("look", [1, 1 << 40])
 def test_crowded_keys(spark, monkeypatch, look):
     """Two hundred variants of one line share a segment: the crowded path, in several blocks, whether the look before
@@ -256,6 +268,20 @@ def test_line_dedup_of_odd_rows(spark):
     assert LJ.line_dedup_report(docs.limit(0)).count() == 0
 
 
+def test_rows_with_one_id_or_none_lose_no_unique_line(spark):
+    a, u = "a line of more than twenty bytes", "unique line number {} of twenty bytes {}"
+    texts = [(1, f"{a}\nx"), (None, f"{a}\ny"), (None, f"{u.format(1, 'pqr' * 5)}\nz"), (7, f"{a}\nv"), (7, f"{u.format(2, 'stu' * 5)}\nw"), (None, f"q\n{u.format(3, 'mno' * 5)}")]
+    left = sorted(r["text"] for r in LJ.drop_repeated_lines(spark.createDataFrame(texts, DOC), least=1).collect())
+    assert left == sorted(["y", f"{u.format(1, 'pqr' * 5)}\nz", "v", f"{u.format(2, 'stu' * 5)}\nw", f"q\n{u.format(3, 'mno' * 5)}", f"{a}\nx"])
+
+
+def test_rows_with_one_id_or_none_lose_no_text(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "p q r s t u v"
+    rows = [(1, a), (7, a), (7, b), (None, c), (None, c), (None, a), (None, "x y z"), (9, None), (None, None)]
+    kept = CP.keep_one_per_class(spark.createDataFrame(rows, DOC))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (7, b), (None, c), (None, "x y z"), (9, None), (None, None)], key=str)
+
+
 def exact(spark, path, **options):
     return {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in ES.exact_duplicates(spark, path, **options).collect()}
 
