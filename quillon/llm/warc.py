@@ -12,13 +12,16 @@ import hashlib
 import json
 import struct
 from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.store import bounded_batches, fresh_path, write_binary_files
+from quillon.llm.store import bounded_batches, fresh_path, materialize, scratch, write_binary_files
 
 # Fixed values of the Zstandard frame and seekable formats.
 SKIPPABLE_NAME = 0x184D2A50
@@ -29,23 +32,43 @@ SEEKABLE_MAGIC = b"\xb1\xea\x92\x8f"
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 8 << 20
 LEAST_REVISIT = 100
+#: A digest with its response takes some 200 bytes, so this many stay below 32 MB when sent to every executor.
+BROADCAST_DIGESTS = 150_000
+# Fixed value: what may stand in a URI besides letters and digits; a per cent sign is taken for an escape already there.
+URI_BYTES = "-._~:/?#[]@!$&'()*+,;=%"
 
 
 def _skippable(magic: int, content: bytes) -> bytes:
     return struct.pack("<II", magic, len(content)) + content
 
 
-def record(kind: str, record_id: str, uri: str | None, digest: str, length: int, payload: bytes, page_id: int | None, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record. A revisit has no block; its headers still tell length and digest of the full payload."""
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Payload-Length", length)]
-    if uri is not None:
-        fields.append(("WARC-Target-URI", json.dumps(uri)[1:-1]))
+def uri_of(url: str | None, record_id: str) -> str:
+    """``url`` as a URI: other characters are escaped; without a url the record's own identifier."""
+    return quote(url, safe=URI_BYTES) if url else record_id
+
+
+def record(
+    kind: str, record_id: str, url: str | None, date: str, digest: str, length: int, payload: bytes, page_id: int | None,
+    refers_to: tuple[int, str | None, str | None] | None = None,
+) -> bytes:
+    """One WARC/1.1 record. A revisit has no block; its headers still tell length and digest of the full payload, and
+    the response (``refers_to``: its page_id, url, and record identifier where only one row has that page and payload).
+    A url that is no URI is kept, as JSON, in a field of our own."""
+    uri = uri_of(url, record_id)
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", date), ("WARC-Target-URI", uri)]
+    fields += [("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Payload-Length", length)]
+    if uri != url:
+        fields.append(("WARC-Page-Url", json.dumps(url)))
     if page_id is not None:
         fields.append(("WARC-Page-Id", page_id))
     if kind == "revisit":
+        page, url, named = refers_to
         fields.append(("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
-    if refers_to is not None:
-        fields.append(("WARC-Refers-To-Page-Id", refers_to))
+        if named:
+            fields.append(("WARC-Refers-To", f"<{named}>"))
+        if url:
+            fields.append(("WARC-Refers-To-Target-URI", uri_of(url, record_id)))
+        fields += [("WARC-Refers-To-Date", date), ("WARC-Refers-To-Page-Id", page)]
     fields += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", len(payload))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
     return head.encode() + payload + b"\r\n\r\n"
@@ -73,6 +96,10 @@ class BundleWriter:
         self._open: list[bytes] = []
         self._filled = self.bytes = 0
 
+    @property
+    def records(self) -> int:
+        return len(self._index)
+
     def add(self, record_id: str, data: bytes) -> None:
         self._index.append((record_id, len(self._frames), self._filled, len(data)))
         self._open.append(data)
@@ -138,47 +165,71 @@ def frame(data: bytes, number: int) -> bytes:
     return zstandard.decompress(data[at : at + packed], max_output_size=size)
 
 
-def _bundles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out, many = BundleWriter(), False
-    names = ("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    made = lambda: pa.RecordBatch.from_arrays([pa.array([out.close()], pa.binary())], ["value"])
-    for batch in batches:
-        for i in range(batch.num_rows):
-            page, uri, payload, length, digest, kind, refers = (batch.column(c)[i].as_py() for c in names)
-            unique = hashlib.sha256(f"{page}\0{uri}\0{digest}\0{kind}".encode()).hexdigest()
-            record_id = f"urn:uuid:{unique[:8]}-{unique[8:12]}-{unique[12:16]}-{unique[16:20]}-{unique[20:32]}"
-            out.add(record_id, record(kind, record_id, uri, digest, length, payload or b"", page, refers))
-            many = True
-            if out.bytes >= BUNDLE_BYTES:
-                yield made()
-                out, many = BundleWriter(), False
-    if many:
-        yield made()
+def _urn(*parts) -> str:
+    unique = hashlib.sha256("\0".join(map(str, parts)).encode()).hexdigest()
+    return f"urn:uuid:{unique[:8]}-{unique[8:12]}-{unique[12:16]}-{unique[16:20]}-{unique[20:32]}"
+
+
+def _bundles(date: str):
+    names = ("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_url", "single")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, nth = BundleWriter(), 0
+        task = TaskContext.get().partitionId()
+        made = lambda: pa.RecordBatch.from_arrays([pa.array([out.close()], pa.binary())], ["value"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                page, url, payload, length, digest, kind, refers, refers_url, single = (batch.column(c)[i].as_py() for c in names)
+                # the one response that others revisit has an identifier they can tell; all others are numbered
+                record_id = _urn("response", page, digest) if single and kind == "response" else _urn(page, url, digest, kind, task, nth)
+                nth += 1
+                other = None if kind == "response" else (refers, refers_url, _urn("response", refers, digest) if single else None)
+                out.add(record_id, record(kind, record_id, url, date, digest, length, payload or b"", page, other))
+                if out.bytes >= BUNDLE_BYTES:
+                    yield made()
+                    out = BundleWriter()
+        if out.records:
+            yield made()
+
+    return run
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """Adds payload, payload_bytes, payload_digest, record_type, refers_to to page_id, url, html.
+    """payload, payload_bytes, payload_digest, record_type, refers_to (page_id of the response), refers_url (its url) and
+    single (one row only has the response's page_id and payload) beside page_id and url of pages (page_id, url, html).
 
     A null html is the empty payload. Of equal payloads of at least 100 bytes the one with the smallest page_id is
     the response; rows that repeat that page_id and payload are all responses. A null page_id is no candidate unless
-    no row of its payload has an id; then all those rows are responses.
+    no row of its payload has an id; then all those rows are responses. Payloads are not shuffled: only digests that
+    repeat are joined, from a broadcast where their number is small.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
-    first = rows.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    rows = rows.join(first.where("n > 1").drop("n"), "payload_digest", "left")
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    per_page = rows.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("payload_digest", "page_id").agg(F.count(F.lit(1)).alias("n"), F.min("url").alias("url"))
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "n", F.col("url"))))
+    again = per_page.groupBy("payload_digest").agg(first.alias("first"), F.sum("n").alias("total")).where("total > 1 and first is not null")
+    again = again.select("payload_digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"), (F.col("first.n") == 1).alias("single"))
+    with scratch(pages.sparkSession) as keep:
+        again = materialize(again, "repeated-payloads")
+        keep(again)
+    if again.count() <= BROADCAST_DIGESTS:
+        again = F.broadcast(again)
+    rows = rows.join(again, "payload_digest", "left")
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.select(
-        "page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"),
+        "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
+        F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"),
+        F.when(revisit, F.col("first_url")).alias("refers_url"), F.coalesce("single", F.lit(False)).alias("single"),
     )
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Write pages (page_id, url, html; other columns are ignored) as WARC bundles below ``path``."""
+def write_archives(pages: DataFrame, path: str, *, date: str | None = None) -> None:
+    """Write pages (page_id, url, html; other columns are ignored) as WARC bundles below ``path``. ``date`` is the
+    records' WARC-Date, by default the time of the call."""
     bounded_batches(pages.sparkSession)
-    bundles = with_revisits(pages).mapInArrow(_bundles, "value binary")
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    bundles = with_revisits(pages).mapInArrow(_bundles(date), "value binary")
     write_binary_files(bundles, path, SEEKABLE_MAGIC)
 
 
@@ -205,8 +256,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
                 if head["WARC-Type"] == "response" and hashlib.sha256(block).hexdigest() != digest:
                     raise ValueError(f"record {record_id} is damaged")
-                uri = head.get("WARC-Target-URI")
-                rows.append((name, record_id, k, at, head["WARC-Type"], number(head.get("WARC-Page-Id")), None if uri is None else json.loads(f'"{uri}"'),
+                url = json.loads(head["WARC-Page-Url"]) if "WARC-Page-Url" in head else head["WARC-Target-URI"]
+                rows.append((name, record_id, k, at, head["WARC-Type"], number(head.get("WARC-Page-Id")), url,
                              int(head["WARC-Payload-Length"]), digest, number(head.get("WARC-Refers-To-Page-Id")), block))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -217,12 +268,14 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the bundles below ``path`` with its place; each response's payload is checked by its digest."""
+    """Every record of the bundles below ``path`` with its place; each response's payload is checked by its digest.
+    Null urls and page_ids come back as nulls; a folder without records gives no rows."""
     return _files(spark, path).mapInArrow(_read, _READ)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """path, bundle, record_id, frame, frame_offset, length of every record; no data frame is decompressed."""
+    """path, bundle, record_id, frame, frame_offset, length of every record; no data frame is decompressed. Identifiers are
+    unique, also among repeated rows; a folder without records gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +289,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """The raw records of ``wanted`` (rows of ``read_index``): record_id, record. Only their frames are decompressed."""
+    """The raw records of ``wanted`` (rows of ``read_index``): record_id, record. Only their frames are decompressed.
+    A row wanted twice is given twice; an empty ``wanted`` gives no rows."""
     spots = wanted.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("frame", "frame_offset", "length", "record_id"))).alias("spots"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

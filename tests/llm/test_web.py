@@ -54,6 +54,70 @@ def test_random_access_and_any_tool(spark, tmp_path):
     assert whole.count(b"WARC/1.1\r\n") == 60
 
 
+def independent_parse(data):
+    """(headers, block) of each record of an uncompressed WARC file, by the letter of WARC/1.1."""
+    at, out = 0, []
+    while at < len(data):
+        assert data.startswith(b"WARC/1.1\r\n", at)
+        end = data.index(b"\r\n\r\n", at)
+        head = {}
+        for line in data[at:end].split(b"\r\n")[1:]:
+            k, v = line.decode().split(":", 1)
+            assert k not in head
+            head[k] = v.strip()
+        size = int(head["Content-Length"])
+        block = data[end + 4 : end + 4 + size]
+        assert data[end + 4 + size : end + 8 + size] == b"\r\n\r\n"
+        at = end + 8 + size
+        out.append((head, block))
+    return out
+
+
+def test_records_by_an_independent_parser(spark, tmp_path):
+    import re
+    from urllib.parse import urlsplit
+
+    rows = [(1, "http://a/x y", "p" * 200), (2, "http://b/", "p" * 200), (3, None, "p" * 200), (4, "http://ü/%41", "q" * 150), (4, "http://ü/%41", "q" * 150), (5, "http://c", "q" * 150)]
+    rows += [(6, "http://d", "s"), (6, "http://d", "s"), (None, "", None), (None, "", None)]
+    W.write_archives(spark.createDataFrame(rows, PAGE).repartition(3), f"file://{tmp_path}/w")
+    records = []
+    for file in (tmp_path / "w").iterdir():
+        if file.name.startswith("part-"):
+            records += independent_parse(zstandard.ZstdDecompressor().stream_reader(file.read_bytes(), read_across_frames=True).read())
+    assert len(records) == len(rows) == len({h["WARC-Record-ID"] for h, _ in records})
+    by_id = {h["WARC-Record-ID"]: (h, b) for h, b in records}
+    for head, block in records:
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", head["WARC-Record-ID"])
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", head["WARC-Date"])
+        assert re.fullmatch(r"[\x21-\x7e]+", head["WARC-Target-URI"]) and urlsplit(head["WARC-Target-URI"]).scheme
+        if head["WARC-Type"] == "revisit":
+            assert block == b"" and head["WARC-Refers-To-Date"] == head["WARC-Date"] and head["WARC-Profile"].endswith("identical-payload-digest")
+        else:
+            assert hashlib.sha256(block).hexdigest() == head["WARC-Payload-Digest"].removeprefix("sha256:")
+    revisits = {h.get("WARC-Page-Id"): h for h, _ in records if h["WARC-Type"] == "revisit"}
+    assert set(revisits) == {"2", "3", "5"}
+    for page in ("2", "3"):
+        response, block = by_id[revisits[page]["WARC-Refers-To"]]
+        assert response["WARC-Page-Id"] == "1" and block == b"p" * 200
+        assert revisits[page]["WARC-Refers-To-Target-URI"] == response["WARC-Target-URI"] == "http://a/x%20y"
+    assert "WARC-Refers-To" not in revisits["5"] and revisits["5"]["WARC-Refers-To-Target-URI"] == "http://%C3%BC/%41"
+    read = W.read_archives(spark, f"file://{tmp_path}/w").select("page_id", "url", "record_id")
+    assert sorted(((r[0], r[1]) for r in read.collect()), key=str) == sorted(((r[0], r[1]) for r in rows), key=str)
+
+
+def test_cascade_levels_part_keys_and_large_lists_are_joined(spark):
+    rows = [(i, f"http://{h}/en/{i}", "x", "y") for i, h in enumerate(["bad.org", "a.bad.org", "good.org", "www.example.com", "example.com", "x.net", "." * 300_000 + "bad.org", "bad.org" + "." * 300_000, "y" * 200_000])]
+    df = spark.createDataFrame(rows, "page_id int, url string, held string, first string")
+    listed = spark.createDataFrame([("bad.org",), (None,), ("q.com",), ("bad.org",)], "host string")
+    some = U.judge_urls(df, queries.RULES, listed)
+    joined = U.judge_urls(df, queries.RULES, listed, max_bits=1)
+    assert some.columns == joined.columns == [*df.columns, "host", "path", "rule", "verdict"]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in some.collect()}
+    assert got == {r["page_id"]: (r["rule"], r["verdict"]) for r in joined.collect()}
+    want = [(None, "block"), (None, "block"), (None, "allow"), ("www.example.com/en/", "allow"), ("example.com/en/", "block"), (None, "allow"), (None, "block"), (None, "allow"), (None, "allow")]
+    assert [got[i] for i in range(len(rows))] == want
+
+
 def test_cascade_is_exact_with_few_bits(spark):
     universe = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.where("substring(key, 2) % 7 = 0")
