@@ -27,7 +27,10 @@ from quillon.llm.url_filter import host_of
 #: every row.
 SAMPLE_ROWS = 4000
 LEAST_A_LANGUAGE = 200
+#: Buckets of trigrams are 2 ** GRAM_BITS, or fewer where there are so many languages that the model would have more
+#: than MODEL_CELLS cells (above 64 languages); the number of rows plays no part.
 GRAM_BITS = 16
+MODEL_CELLS = 1 << 22
 #: A text weighs like at most this many independent trigrams, so that long texts don't silence all other evidence.
 TEXT_WEIGHT = 40.0
 SMOOTHING = 20.0
@@ -43,8 +46,12 @@ class TrigramModel:
     languages: list[str]
     log_p: np.ndarray  # languages x buckets
 
+    @property
+    def bits(self) -> int:
+        return self.log_p.shape[1].bit_length() - 1
 
-def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+
+def trigrams(column: pa.Array, bits: int = GRAM_BITS) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of every letter trigram, first of every row). A run of other bytes counts as one blank, as do the ends,
     so that a text has trigrams if and only if it has letters."""
     column = pc.binary_join_element_wise(" ", pc.fill_null(column.cast(pa.string()), ""), " ", "")
@@ -57,7 +64,7 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = np.concatenate([[0], np.cumsum(keep)])[offsets]
     raw = raw[keep].astype(np.uint32)
     gram = (raw[:-2] << np.uint32(16)) | (raw[1:-1] << np.uint32(8)) | raw[2:] if len(raw) > 2 else np.zeros(0, np.uint32)
-    bucket = ((gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - GRAM_BITS)).astype(np.int64)
+    bucket = ((gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)).astype(np.int64)
     inside = np.zeros(len(bucket), bool)
     # a row of n bytes has n - 2 trigrams
     edge = np.zeros(len(bucket) + 1, np.int32)
@@ -68,36 +75,49 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bucket[inside], np.concatenate([[0], np.cumsum(n)])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in pieces(batch, "text"):
-            bucket, first = trigrams(part.column("text"))
-            for language in set(part.column("language").to_pylist()):
-                rows = np.array([x == language for x in part.column("language").to_pylist()])
-                n = np.bincount(bucket[np.repeat(rows, np.diff(first))], minlength=1 << GRAM_BITS)
-                seen = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([language] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(n[seen])], ["language", "bucket", "n"])
+def _count(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                bucket, first = trigrams(part.column("text"), bits)
+                spoken = part.column("language").to_pylist()
+                for language in set(spoken):
+                    rows = np.array([x == language for x in spoken])
+                    n = np.bincount(bucket[np.repeat(rows, np.diff(first))], minlength=1 << bits)
+                    seen = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array([language] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(n[seen])], ["language", "bucket", "n"])
+
+    return run
+
+
+def hash_bound(quota: int, texts: int) -> int:
+    """Texts whose 63-bit hash is below this are in the sample: all of them where there are few, else about ``quota``
+    at any number of texts."""
+    return (1 << 63) - 1 if texts <= 1.1 * quota else max(1, (quota << 63) // texts)
 
 
 def train(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> TrigramModel:
     """Fit the trigram model on a sample of labelled (text, language) for each language; rows without either are not
     used. Every language that labels a row is in the model, whatever its share, unless none of its texts has letters;
-    equal texts of a language count once."""
+    equal texts of a language count once. Without any labelled text there is one language, und; labels whose sample
+    comes out empty raise an error."""
     bounded_batches(labelled.sparkSession)
     labelled = labelled.select("text", "language").where("text is not null and language is not null")
     hashed = labelled.select("language", F.xxhash64("text").alias("h"))
     found = hashed.groupBy("language").agg(F.approx_count_distinct("h", 0.02).alias("texts")).collect()
     quota = max(LEAST_A_LANGUAGE, sample_rows // max(len(found), 1))
-    # the hash bound of each language leaves about its quota of texts; small languages are taken whole
-    bound = {r["language"]: 1 << 32 if r["texts"] <= 1.1 * quota else int((1 << 32) * quota / r["texts"]) for r in found}
+    bits = min(GRAM_BITS, (MODEL_CELLS // max(len(found), 1)).bit_length() - 1)
+    bound = {r["language"]: hash_bound(quota, r["texts"]) for r in found}
     if not bound:
-        return TrigramModel(["und"], np.full((1, 1 << GRAM_BITS), -np.log(1 << GRAM_BITS), np.float32))
+        return TrigramModel(["und"], np.full((1, 1 << bits), -np.log(1 << bits), np.float32))
     shares = F.broadcast(labelled.sparkSession.createDataFrame(list(bound.items()), "language string, bound long"))
-    sample = labelled.join(shares, "language").where(F.pmod(F.xxhash64("text"), F.lit(1 << 32)) < F.col("bound"))
+    sample = labelled.join(shares, "language").where(F.shiftrightunsigned(F.xxhash64("text"), 1) < F.col("bound"))
     sample = sample.select("text", "language").distinct()
-    counts = sample.mapInArrow(_count, "language string, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.mapInArrow(_count(bits), "language string, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    if counts.empty and not sample.limit(1).count():
+        raise RuntimeError(f"no text was drawn from {sum(r['texts'] for r in found)} labelled ones")
     languages = sorted(counts["language"].unique()) or ["und"]
-    table = np.full((len(languages), 1 << GRAM_BITS), 0.1)
+    table = np.full((len(languages), 1 << bits), 0.1)
     for i, language in enumerate(languages):
         mine = counts[counts["language"] == language]
         table[i, mine["bucket"].to_numpy()] += mine["n"].to_numpy()
@@ -112,13 +132,13 @@ def score_texts(rows: DataFrame, model: TrigramModel, *, is_html: bool = False)
     kept = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_p = shared.value.log_p
+        log_p, bits = shared.value.log_p, shared.value.bits
         for batch in batches:
             for part in pieces(batch, "text"):
                 texts = part.column("text")
                 if is_html:
                     texts = pa.array([main_text(x) for x in texts.to_pylist()], pa.string())
-                bucket, first = trigrams(texts)
+                bucket, first = trigrams(texts, bits)
                 n = np.diff(first)
                 means = np.zeros((len(n), len(log_p)))
                 for i, table in enumerate(log_p):
@@ -139,7 +159,9 @@ def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
     """Adds text_language, language, posterior and kept to scored rows (n_grams, likelihood, declared, host).
 
     Without letters a text has no likelihood, its row is not counted, and language is that of the other evidence but
-    kept is false; kept is also false where the best posterior is below one half.
+    kept is false; kept is also false where the best posterior is below one half. A null host is no evidence, a null
+    declaration is the declaration that there is none. Of languages with the same evidence the first by name wins.
+    Repeated rows are counted each; an empty table gives an empty result.
     """
     n = len(languages)
     names = F.array(*map(F.lit, languages))
@@ -183,25 +205,27 @@ def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
     return out.select(*made, F.get(names, F.col("said")).alias("text_language"), "language", F.round("posterior", 6).alias("posterior"), kept.alias("kept"))
 
 
-def _identified(docs: DataFrame, sample_rows: int) -> DataFrame:
+def _identified(docs: DataFrame, sample_rows: int, model: TrigramModel | None = None) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", F.col("lang").alias("declared"), F.lower("source").alias("host"))
-    model = train(docs.select("text", F.col("lang").alias("language")), sample_rows=sample_rows)
+    model = model or train(docs.select("text", F.col("lang").alias("language")), sample_rows=sample_rows)
     return fuse(score_texts(rows, model), model.languages)
 
 
-def identify_documents(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def identify_documents(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, model: TrigramModel | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang, source; other columns are ignored): doc_id, text_language,
-    language, posterior, kept. The declared language is ``lang``, the host is ``source``.
+    language, posterior, kept. The declared language is ``lang``, the host is ``source``. Without a ``model`` one is
+    trained on the declared languages.
 
     Null and empty texts, and texts without letters, are not kept; a null lang or source is no evidence. Repeated rows
     are judged alike. An empty table gives an empty result.
     """
-    return _identified(docs, sample_rows).drop("text_hash")
+    return _identified(docs, sample_rows, model).drop("text_hash")
 
 
 def identify_pages(pages: DataFrame, labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """As ``identify_documents`` for pages (page_id, url, html): the article's text, the lang attribute of the html
-    element, the address's host and suffix. ``labelled`` (text, language) fits the trigram model."""
+    element, the address's host and suffix. ``labelled`` (text, language) fits the trigram model. Null html is a page
+    without letters; a null url is no evidence; repeated rows are judged alike; an empty table gives an empty result."""
     declared = F.regexp_extract(F.coalesce(F.col("html"), F.lit("")), r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
     host = host_of(F.col("url"))
     rows = pages.select("page_id", F.col("html").alias("text"), declared.alias("declared"), F.when(host != "", host).alias("host"))

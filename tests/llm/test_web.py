@@ -164,6 +164,43 @@ def test_long_and_deep_pages():
     assert H.main_text('<a x="' * 5000) == ""
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>a, b. " * 50_000, "<div class=ad>c. " * 50_000, "<b>x" * 50_000 + "</i>" * 50_000, "<b>" + "<div>y, " * 25_000 + "</b>" * 25_000,
+        "<ul><li>z" * 25_000 + "<li>w" * 25_000, "<p><span>q" * 50_000, "<main><div class=nav>v, " * 20_000,
+    ],
+)
+def test_nesting_costs_no_square(page):
+    import time
+
+    began = time.process_time()
+    H.main_text(page)
+    assert time.process_time() - began < 3
+
+
+PROSE = "A sentence of some length, with commas, and with a point. Another one, as long, follows it."
+CLOUD = "".join(f"<span><a href=/{i}>tag{i}</a></span>" for i in range(30))
+PLAIN = f"<body><div><div>{CLOUD}</div><div><h2>The title of it</h2><p>{PROSE}</p><p>{PROSE}</p><p>Yes.</p><div><span>{CLOUD}</span></div></div><div>{CLOUD}</div></div>"
+
+
+def test_ratios_choose_nodes_where_no_article_is_named(monkeypatch):
+    """Neither classes nor article elements: only the ratios tell the text from the links around and inside it."""
+    want = f"The title of it\n\n{PROSE}\n\n{PROSE}\n\nYes."
+    assert H.main_text(PLAIN) == want
+    monkeypatch.setattr(H, "_fused", lambda nodes: {n.path: 1.0 for _, n, _ in nodes})
+    assert H.main_text(PLAIN) != want
+
+
+@pytest.mark.parametrize("holder", ["article", "main", "div"])
+@pytest.mark.parametrize("head", ["div class='post-header'", "div class='entry-header'", "header"])
+def test_the_article_keeps_its_own_title(holder, head):
+    page = f"<body><div class=header><a href=/>Site</a></div><{holder}><{head}><h1>The title of the article</h1></{head.split()[0]}><p>{PROSE}</p><p>{PROSE}</p></{holder}>"
+    got = H.main_text(page)
+    assert got.endswith(f"{PROSE}\n\n{PROSE}") and "Site" not in got
+    assert holder == "div" or got.startswith("The title of the article")
+
+
 def test_pages_table(spark, sf):
     import html
     import re
