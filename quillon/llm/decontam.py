@@ -9,6 +9,7 @@ of bounded size.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -23,8 +24,11 @@ from quillon.llm.textarrays import row_of, words
 
 WINDOW = 13
 BLOCK_BYTES = 2 << 20
-#: Text of the test items that is sent to the executors at once; more items are searched in further portions.
-PORTION_BYTES = 16 << 20
+#: Characters of test items that are sent to the executors at once: a portion's broadcast takes some ten bytes for each at
+#: most (a word number and a vocabulary entry a word). Further portions are searched one after the other.
+PORTION_CHARACTERS = 2 << 20
+#: Windows of a portion that a block looks up at once.
+WINDOWS_AT_ONCE = 1 << 14
 BROADCAST_IDS = 400_000
 
 _INDEX = "block string, doc_id array<long>, first binary, terms binary, starts binary, positions binary"
@@ -59,7 +63,8 @@ class _Items:
         w, first = words(pa.array(texts, pa.string()))
         self.ids = ids
         self.vocabulary, number = np.unique(w, return_inverse=True)
-        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.number = number.astype(np.int32)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by length: item and first word of each
         item = row_of(first)
         counts = np.diff(first)
         for n in sorted({min(int(c), WINDOW) for c in counts if c}):
@@ -68,10 +73,19 @@ class _Items:
                 at = at[item[at] == item[at + n - 1]]
             else:
                 at = first[:-1][counts == n]
-            self.windows[n] = item[at], number[at[:, None] + np.arange(n)]
+            self.windows[n] = item[at], at
         self.words = [np.unique(number[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
+    def occurrences(self, block: _Block) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(words of the window, item, position in the block) of the windows' occurrences, some windows at a time."""
+        for n, (item, at) in self.windows.items():
+            for a in range(0, len(at), WINDOWS_AT_ONCE):
+                part = at[a : a + WINDOWS_AT_ONCE]
+                which, found = block.phrase(self.number[part[:, None] + np.arange(n)])
+                yield n, item[a : a + WINDOWS_AT_ONCE][which], found
+
+
 class _Block:
     def __init__(self, first: bytes, terms: bytes, starts: bytes, positions: bytes, vocabulary: np.ndarray):
         self.first = np.frombuffer(first, np.int32).astype(np.int64)
@@ -140,7 +154,7 @@ class _Block:
         return at
 
 
-def _portions(items: DataFrame, limit: int = PORTION_BYTES) -> Iterator[tuple[list[str], list[str | None]]]:
+def _portions(items: DataFrame, limit: int = PORTION_CHARACTERS) -> Iterator[tuple[list[str], list[str | None]]]:
     ids, texts, size = [], [], 0
     for row in items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").toLocalIterator():
         ids.append(row["item_id"])
@@ -167,12 +181,11 @@ def _covered(shared):
                 block = _columns(batch, i, items.vocabulary)
                 edge = np.zeros(block.total + 1, np.int32)
                 docs, whose = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for n, (item, numbers) in items.windows.items():
-                    which, at = block.phrase(numbers)
+                for n, item, at in items.occurrences(block):
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + n, -1)
                     docs.append(block.document(at))
-                    whose.append(item[which])
+                    whose.append(item)
                 hit = np.cumsum(edge[:-1]) > 0
                 pairs = np.unique(np.stack([np.concatenate(docs), np.concatenate(whose)]), axis=1)
                 count = len(block.first) - 1
@@ -204,15 +217,24 @@ def contamination(docs: DataFrame, items: DataFrame, *, index: DataFrame | None
     of an item, or the whole of a shorter item that has words. n_hit counts the document's words inside any occurrence
     of a window, item_ids the items (as sorted strings; a null id is the empty string) with an occurrence. Contaminated:
     n_hit > 0 and 20 * n_hit >= n_words. Null and empty texts have no words; empty items hit nothing; repeated rows
-    are judged each; an empty table of items leaves every document clean. Columns beyond the named are ignored.
+    are judged each; an empty table of items leaves every document clean. Columns beyond the named are ignored. A doc_id
+    that is no number is an error. Words are compared by 64-bit hashes: two different words pass for one with a chance of
+    2**-64, and a window is hit wrongly only if that befalls each word in which it differs.
     """
     sc = docs.sparkSession.sparkContext
     index = build_index(docs) if index is None else index
     kinds = "block string, nth int, doc_id long, n_words long, spans binary, items array<string>"
-    parts = [index.mapInArrow(_covered(sc.broadcast(_Items(*x))), kinds) for x in _portions(items)] or [index.mapInArrow(_covered(sc.broadcast(_Items([], []))), kinds)]
-    if len(parts) == 1:
-        lists = parts[0].select("doc_id", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
-    else:  # a document's hits by each portion of the items
+    portions = _portions(items)
+    ahead = [x for x in (next(portions, ([], [])), next(portions, None)) if x is not None]
+    if len(ahead) == 1:
+        told = index.mapInArrow(_covered(sc.broadcast(_Items(*ahead[0]))), kinds)
+        lists = told.select("doc_id", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
+    else:  # each portion's hits are written before the next portion is read; a document's hits are put together
+        parts = [index.mapInArrow(_covered(sc.broadcast(_Items([], []))), kinds)]
+        for ids, texts in itertools.chain(ahead, portions):
+            shared = sc.broadcast(_Items(ids, texts))
+            parts.append(materialize(index.mapInArrow(_covered(shared), kinds).where("size(items) > 0"), "portion-hits"))
+            shared.destroy()
         lists = reduce(DataFrame.unionByName, parts).groupBy("block", "nth").agg(
             F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items")
         ).drop("block", "nth")
@@ -248,11 +270,10 @@ def phrase_matches(index: DataFrame, items: DataFrame) -> DataFrame:
             for batch in batches:
                 for i in range(batch.num_rows):
                     block, ids = _columns(batch, i, items.vocabulary), batch.column("doc_id")[i].as_py()
-                    for n, (item, numbers) in items.windows.items():
-                        which, at = block.phrase(numbers)
+                    for n, item, at in items.occurrences(block):
                         doc = block.document(at)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([ids[d] for d in doc], pa.int64()), pa.array([items.ids[k] for k in item[which]], pa.string()), pa.array(at - block.first[doc]), pa.array(np.full(len(at), n, np.int32))],
+                            [pa.array([ids[d] for d in doc], pa.int64()), pa.array([items.ids[k] for k in item], pa.string()), pa.array(at - block.first[doc]), pa.array(np.full(len(at), n, np.int32))],
                             ["doc_id", "item_id", "position", "n_words"],
                         )
 

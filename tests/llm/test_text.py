@@ -57,6 +57,15 @@ def test_contamination_of_odd_rows(spark, monkeypatch, portion):
     assert sorted(map(tuple, got), key=str) == brute_hits(docs, items)
 
 
+def test_words_that_fool_polynomial_hashes_are_no_hits(spark):
+    from test_dedup import thue_morse
+
+    a, b = thue_morse(4096)
+    docs, items = [(1, f"x {a} y"), (2, f"x {b} y"), (3, b)], [(1, a), (2, f"{b} y")]
+    got = D.contamination(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)).drop("item_ids").collect()
+    assert sorted(map(tuple, got), key=str) == brute_hits(docs, items)
+
+
 def test_contamination_of_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], DOC), spark.createDataFrame([(1, "a b")], ITEM)
     assert [tuple(r)[:4] for r in D.contamination(docs, items.limit(0)).collect()] == [(1, 2, 0, 0)]
@@ -101,6 +110,124 @@ def test_language_of_odd_rows(spark, sf):
     assert L.identify_documents(docs.limit(0)).count() == 0
 
 
+def brute_language(rows, labelled):
+    """{key: (text_language, language, posterior, kept)} in plain Python: rows (key, text, declared, host)."""
+    import math
+    from collections import Counter
+
+    def grams(text):
+        out, last = [32], True
+        for c in (text or "").encode().lower():
+            letter = 0x61 <= c <= 0x7A or c >= 0x80
+            if letter or not last:
+                out.append(c if letter else 32)
+            last = not letter
+        if not last:
+            out.append(32)
+        return [((out[i] << 16 | out[i + 1] << 8 | out[i + 2]) * 0x9E3779B1 & 0xFFFFFFFF) >> 16 for i in range(len(out) - 2)]
+
+    counts = {}
+    for text, language in {x for x in labelled if x[0] is not None and x[1] is not None}:
+        counts.setdefault(language, Counter()).update(grams(text))
+    names = sorted(k for k, v in counts.items() if v)
+    total = {k: sum(counts[k].values()) + 0.1 * 65536 for k in names}
+    seen = []
+    for key, text, declared, host in rows:
+        g = grams(text)
+        mean = [sum(math.log((counts[k][x] + 0.1) / total[k]) for x in g) / max(len(g), 1) for k in names]
+        said = mean.index(max(mean)) if g else None
+        letters = ""
+        for c in declared or "":
+            if not (c.isascii() and c.isalpha()):
+                break
+            letters += c.lower()
+        labels = host.split(".") if host is not None else None
+        values = (host, ".".join(labels[-2:]) if labels else None, labels[-1] if labels and len(labels) > 1 else None, letters)
+        seen.append((key, len(g), mean, said, values))
+    whole = Counter(s[3] for s in seen if s[3] is not None)
+    prior = [(whole[i] + 1) / (sum(whole.values()) + len(names)) for i in range(len(names))]
+    by = [Counter((s[4][j], s[3]) for s in seen if s[3] is not None and s[4][j] is not None) for j in range(4)]
+
+    def smoothed(j, value, base):
+        n = [by[j][value, i] for i in range(len(names))]
+        return [(n[i] + 20 * base[i]) / (sum(n) + 20) for i in range(len(names))]
+
+    out = {}
+    for key, n, mean, said, (host, domain, suffix, declared) in seen:
+        of_host = smoothed(0, host, smoothed(1, domain, prior))
+        lift = [[math.log(x / p) for x, p in zip(smoothed(j, v, prior), prior, strict=True)] for j, v in ((3, declared), (2, suffix))]
+        total_ = [min(n, 40) * mean[i] + math.log(of_host[i]) + lift[0][i] + lift[1][i] for i in range(len(names))]
+        posterior = 1 / sum(math.exp(x - max(total_)) for x in total_)
+        out[key] = (None if said is None else names[said], names[total_.index(max(total_))], posterior, n > 0 and posterior >= 0.5)
+    return out
+
+
+def same_languages(got, want):
+    assert set(got) == set(want)
+    for key, (text, language, posterior, kept) in want.items():
+        r = got[key]
+        assert r["posterior"] == pytest.approx(posterior, abs=2e-4), key
+        if posterior > 0.501:
+            assert (r["text_language"], r["language"], r["kept"]) == (text, language, kept), key
+
+
+def test_languages_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None, "en", "a.b.c"), (-2, "12", None, None), (-3, "A.", "fr-CA", "x.org"), (-4, "und der", "", "SRC1")], docs.schema))
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"].lower() if r["source"] is not None else None) for r in docs.collect()]
+    want = brute_language(rows, [(t, d) for _, t, d, _ in rows])
+    same_languages({r["doc_id"]: r for r in queries.queries()["op8_language_evidence"](spark, sf).collect()}, brute_language(rows[:-4], [(t, d) for _, t, d, _ in rows[:-4]]))
+    same_languages({r["doc_id"]: r for r in L.identify_documents(docs).collect()}, want)
+
+
+def test_page_languages_against_brute_force(spark, sf):
+    import re
+
+    from quillon.llm.html_paths import main_text
+
+    def host(url):
+        m = re.search(r"://([^/?#]*)", url or "")
+        return m[1].lower() or None if m else None
+
+    labelled = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("text", "lang").collect()]
+    rows = []
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        m = re.search(r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", r["html"] or "")
+        rows.append((r["page_id"], main_text(r["html"]), m[1] if m else "", host(r["url"])))
+    same_languages({r["page_id"]: r for r in queries.queries()["language_of_pages"](spark, sf).collect()}, brute_language(rows, labelled))
+
+
+def test_held_out_accuracy_by_text_alone(spark):
+    """The model is fitted on one half of the rows; the other half is judged without its declaration and source."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source").where("lang is not null")
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    model = L.train(docs.where(half == 0).select("text", F.col("lang").alias("language")))
+    bare = docs.where(half == 1).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
+    got = L.identify_documents(bare, model=model).join(docs.select("doc_id", F.col("lang").alias("true")), "doc_id")
+    right, n = got.agg(F.avg((F.col("text_language") == F.col("true")).cast("int")), F.count(F.lit(1))).first()
+    print(f"held-out accuracy {right:.4f} of {n}")
+    assert n > 300 and right >= 0.95
+
+
+def test_the_sample_is_never_empty(spark, monkeypatch):
+    quota, texts = 200, 10**16
+    assert L.hash_bound(quota, texts) > 0 and abs(L.hash_bound(quota, texts) / 2**63 * texts / quota - 1) < 1e-2
+    assert L.hash_bound(200, 210) == 2**63 - 1 and L.hash_bound(1, 10**30) == 1
+    monkeypatch.setattr(L, "LEAST_A_LANGUAGE", 1)
+    labelled = spark.range(3_000_000).select(F.concat(F.lit("w"), F.hex("id")).alias("text"), F.lit("xx").alias("language"))
+    monkeypatch.setattr(L, "hash_bound", lambda quota, texts: (2 << 63) // texts)
+    assert L.train(labelled, sample_rows=2).languages == ["xx"]
+    monkeypatch.setattr(L, "hash_bound", lambda quota, texts: 0)
+    with pytest.raises(RuntimeError):
+        L.train(labelled, sample_rows=2)
+
+
+def test_many_languages_take_fewer_buckets(spark):
+    labelled = spark.createDataFrame([(f"text {chr(97 + i % 26)}{chr(97 + i // 26)}x", f"l{i:03d}") for i in range(200)], "text string, language string")
+    model = L.train(labelled)
+    assert len(model.languages) == 200 and model.log_p.size <= L.MODEL_CELLS
+
+
 def test_trigrams_of_rows():
     texts = ["", None, "a", "ab", "12", "abc def", "é"]
     bucket, first = L.trigrams(pa.array(texts))
@@ -188,21 +315,54 @@ def test_token_counts_against_the_tokenizer(spark, sf):
     with open(T.VOCABULARY, "rb") as f:
         encoding = T._encoding(f.read())
     want = {r["doc_id"]: len(encoding.encode_ordinary(r["text"] or "")) for r in docs.collect()}
-    got = T.count_tokens(docs, file_tokens=20_000, block_tokens=777).collect()  # documents reach over many blocks
+    got = T.count_tokens(docs, file_tokens=20_000, block_bytes=1554).collect()  # documents reach over many blocks
     assert {r["doc_id"]: r["n_tokens"] for r in got} == want and len({r["file"] for r in got}) > 3
 
 
 def test_token_counts_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None, 1), (None, "abc def", 1), (2, "", 1), (3, "word " * 30_000, 1), (3, "abc def", 1)], DOC + ", start int")
-    got = sorted(((r["doc_id"], r["n_tokens"]) for r in T.count_tokens(df, block_tokens=1000).collect()), key=str)
-    assert got == sorted([(1, 0), (None, 2), (2, 0), (3, 30_001), (3, 2)], key=str) or [n for _, n in got].count(0) == 2
+    got = sorted(((r["doc_id"], r["n_tokens"]) for r in T.count_tokens(df, block_bytes=2000).collect()), key=str)
+    with open(T.VOCABULARY, "rb") as f:
+        encoding = T._encoding(f.read())
+    assert got == sorted(((i, len(encoding.encode_ordinary(t or ""))) for i, t in ((1, None), (None, "abc def"), (2, ""), (3, "word " * 30_000), (3, "abc def"))), key=str)
     assert T.count_tokens(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("first", [b"", b"\xef\xbb\xbf", b"\n", b"\n\n\n"])
+@pytest.mark.parametrize("split", ["64m", "1k"])
+def test_flat_files_in_byte_ranges(spark, tmp_path, first, split):
+    """Files of any content, cut into ranges of a kilobyte; separators off a token's boundary don't count."""
+    rng = np.random.default_rng(len(first))
+    (tmp_path / "f").mkdir()
+    want = set()
+    for k in range(3):
+        ids = rng.integers(0, 50256, 20_000).astype("<u2")
+        ids[rng.random(20_000) < 0.01] = T.SEPARATOR
+        ids[rng.random(20_000) < 0.02] = 0xC450 >> 8 | 0x5000  # the separator's bytes, one place off
+        ids[rng.random(20_000) < 0.02] = 0x0A0A
+        raw = first + ids.tobytes()
+        raw = raw[: len(raw) // 2 * 2] + (np.array([T.SEPARATOR], "<u2").tobytes() if k else b"\n")
+        (tmp_path / "f" / f"part-{k}").write_bytes(raw)
+        flat = np.frombuffer(raw[: len(raw) // 2 * 2], "<u2")
+        ends = np.flatnonzero(flat == T.SEPARATOR)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        want |= {(len(raw), i, int(a), int(b - a)) for i, (a, b) in enumerate(zip(starts, ends, strict=True))}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        ranges = T.read_ranges(spark, f"file://{tmp_path}/f")
+        blocks = T.scan_blocks(ranges, block_bytes=700)
+        sizes = ranges.select("file", "size").distinct()
+        rows = T.stitch(blocks).join(sizes, "file").select("size", "document", "start", "n_tokens").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(tuple, rows)) == sorted(want)
+
+
 def test_stitching_by_hand(spark):
-    rows = [(0, 0, 0, 4, [1]), (0, 0, 1, 4, []), (0, 0, 2, 4, [0, 1, 3]), (1, 0, 0, 1, [0])]
-    got = T.stitch(spark.createDataFrame(rows, "part int, nth int, block int, n long, places array<int>")).orderBy("part", "document").collect()
-    assert [(r["part"], r["document"], r["start"], r["n_tokens"]) for r in got] == [(0, 0, 0, 1), (0, 1, 2, 6), (0, 2, 9, 0), (0, 3, 10, 1), (1, 0, 0, 0)]
+    rows = [(0, 24, 0, 0, 8, [2]), (0, 24, 0, 1, 8, []), (0, 24, 9, 0, 8, [0, 2, 3, 6]), (1, 2, 0, 0, 3, [0]), (2, 9, 0, 0, 3, [1]), (2, 9, 0, 1, 7, [1, 2])]
+    got = T.stitch(spark.createDataFrame(rows, "file long, size long, start long, block long, n long, places array<long>")).orderBy("file", "document").collect()
+    assert [(r["file"], r["document"], r["start"], r["n_tokens"]) for r in got] == [(0, 0, 0, 1), (0, 1, 2, 6), (0, 2, 9, 0), (0, 3, 10, 1), (1, 0, 0, 0), (2, 0, 0, 2)]
 
 
 # ---------------------------------------------------------------- pipeline
