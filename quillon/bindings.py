@@ -53,6 +53,25 @@ def hands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hands with what the encoders need: a button (0 for none), a told number of seats (0 for none), a big blind."""
+    seats = F.when(F.col("hand_id") % 3 == 0, 0).otherwise(6)
+    return hands(spark, sf_dir).select("chunk_id", "hand_id", "hero_seat", (F.col("hand_id") % 7).cast("int").alias("button_seat"), seats.alias("max_seats"), F.lit(97.0).alias("bb"))
+
+
+def players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The players of every hand with their starting stacks."""
+    h = hands(spark, sf_dir).select("hand_id", F.explode(F.sequence(F.lit(1), F.col("n_players"))).alias("seat"))
+    return h.select("hand_id", F.col("seat").alias("nth"), "seat", ((F.col("hand_id") * 7 + F.col("seat") * 13) % 150 * 48.5).alias("stack"))
+
+
+def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streets that a hand lists: none to four."""
+    n = (F.col("hand_id") % 5).cast("int")
+    h = hands(spark, sf_dir).select("hand_id", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))).alias("nth"))
+    return h.select("hand_id", "nth", F.element_at(F.array(*map(F.lit, STREETS)), F.col("nth")).alias("street"))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, y (0/1) and a score in [0, 1) of labelled documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
@@ -86,6 +105,9 @@ hands AS (
   SELECT o_custkey AS chunk_id, o_orderkey AS hand_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS hand_idx,
          (o_orderkey % 6 + 1)::INT AS hero_seat, (o_orderkey % 5 + 2)::INT AS n_players, 6 AS max_seats
   FROM orders),
+tables AS (SELECT chunk_id, hand_id, hero_seat, (hand_id % 7)::INT AS button_seat, CASE WHEN hand_id % 3 = 0 THEN 0 ELSE 6 END AS max_seats, 97.0::DOUBLE AS bb FROM hands),
+players AS (SELECT hand_id, seat::INT AS seat, (hand_id * 7 + seat * 13) % 150 * 48.5::DOUBLE AS stack FROM (SELECT hand_id, unnest(range(1, n_players + 1)) AS seat FROM hands)),
+streets AS (SELECT hand_id, nth, ['preflop', 'flop', 'turn', 'river'][nth] AS street FROM (SELECT hand_id, unnest(range(1, (hand_id % 5) + 1)) AS nth FROM hands)),
 scored AS (SELECT labels.doc_id AS id, toxic AS y, (n_chars % 50) / 50.0::DOUBLE AS score FROM labels JOIN documents USING (doc_id)),
 responses AS (SELECT user_id AS uid, ts::DATE AS cycle, event_id, ts, least(value / 100, 1.0) AS score, (event_type = 'purchase')::INT AS y FROM events)
 """

@@ -169,10 +169,19 @@ def nearest_bucket(bb: ColumnOrName) -> Column:
     return F.element_at(F.array(*map(F.lit, VISIBLE_BUCKETS)), F.size(F.filter(middles, lambda m: m < _c(bb))) + 1)
 
 
-def pot_flow(before: ColumnOrName, after: ColumnOrName) -> Column:
-    """1 no change, 2 growth up to a third of the pot, 3 up to the pot, 4 beyond."""
-    gain = _c(after) - _c(before)
-    return F.when(gain <= 1e-9, 1).when(gain <= _c(before) / 3, 2).when(gain <= _c(before), 3).otherwise(4)
+def amount_id(bb: ColumnOrName) -> Column:
+    """1 for nothing, else the number of the nearest of nought and the visible buckets, counted from 1; of two at one
+    distance the lower."""
+    edges = (0.0, *VISIBLE_BUCKETS)
+    middles = F.array(*(F.lit((a + b) / 2) for a, b in zip(edges, edges[1:], strict=False)))
+    x = _c(bb)
+    return F.when(x > 0, F.size(F.filter(middles, lambda m: m < x)) + 1).otherwise(1)
+
+
+def pot_flow(before_bb: ColumnOrName, after_bb: ColumnOrName) -> Column:
+    """By how many big blinds the pot grew: 1 not at all, 2 up to one, 3 up to four, 4 more."""
+    gain = F.greatest(_c(after_bb) - _c(before_bb), F.lit(0.0))
+    return F.when(gain <= 1e-6, 1).when(gain <= 1.0, 2).when(gain <= 4.0, 3).otherwise(4)
 
 
 def size_code(amount: ColumnOrName, pot: ColumnOrName, bb: ColumnOrName) -> Column:
@@ -185,11 +194,14 @@ def size_code(amount: ColumnOrName, pot: ColumnOrName, bb: ColumnOrName) -> Colu
 
 
 def actor_role(seat: ColumnOrName, button: ColumnOrName, seats: ColumnOrName) -> Column:
-    """The actor's place counted from the button: 1 button, 2 small blind, 3 big blind, 4 first to act, 5 cut-off,
-    6 anyone between, 0 unknown."""
-    offset = F.pmod(_c(seat) - _c(button), F.greatest(_c(seats), F.lit(1)))
-    known = (_c(seat) > 0) & (_c(button) > 0) & (_c(seats) > 1)
-    return F.when(~known, 0).when(offset == 0, 1).when(offset == 1, 2).when(offset == 2, 3).when(offset == 3, 4).when(offset == _c(seats) - 1, 5).otherwise(6)
+    """The actor's place counted from the button: 1 unknown, 2 button, 3 small blind, 4 big blind, and of the seats after
+    these the 5 early, 6 middle and 7 late third."""
+    count = _c(seats)
+    known = (_c(seat) > 0) & (_c(button) > 0) & (count > 1)
+    offset = F.pmod(_c(seat) - _c(button), F.greatest(count, F.lit(1)))
+    third = (offset - 3) / F.greatest(count - 3, F.lit(1))
+    rest = F.when(count <= 3, 6).when(third < 1 / 3, 5).when(third < 2 / 3, 6).otherwise(7)
+    return F.when(~F.coalesce(known, F.lit(False)), 1).when(offset == 0, 2).when(offset == 1, 3).when(offset == 2, 4).otherwise(rest)
 
 
 def street_rank(street: ColumnOrName) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon import bindings as B
 from quillon.functions import scalars as S
 from quillon.operators import features as X
+from quillon.operators import encoding as E
 from quillon.operators import sequences as Q
 from quillon.plans.catalog import query
 
@@ -237,43 +238,106 @@ def action_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(B.with_sql("""
-SELECT hand_id, ord, round(least(ln(1 + amount_bb) / ln(201.0::DOUBLE), 1) + 1e-9, 6) AS amount_scaled, (amount_bb > 0)::INT AS paid, (raise_to IS NOT NULL)::INT AS has_raise_to,
-  (call_to IS NOT NULL)::INT AS has_call_to, round(least(greatest(pot_before / 0.02, 0), 1000) + 1e-9, 6) AS pot_bb,
-  round(CASE WHEN pot_before > 0 THEN greatest(0, least(amount / pot_before, 10)) / 10 ELSE 0 END + 1e-9, 6) AS to_pot,
-  CASE WHEN pot_after - pot_before <= 1e-9 THEN 1 WHEN pot_after - pot_before <= pot_before / 3 THEN 2 WHEN pot_after - pot_before <= pot_before THEN 3 ELSE 4 END AS pot_flow,
-  CASE WHEN (seat - 1 + 6) % 6 = 0 THEN 1 WHEN (seat - 1 + 6) % 6 = 1 THEN 2 WHEN (seat - 1 + 6) % 6 = 2 THEN 3 WHEN (seat - 1 + 6) % 6 = 3 THEN 4 WHEN (seat - 1 + 6) % 6 = 5 THEN 5 ELSE 6 END AS role,
-  round(seat / 6.0::DOUBLE + 1e-9, 6) AS seat_norm, list_position(['preflop', 'flop', 'turn', 'river', 'showdown'], street)::INT - 1 AS street_rank
-FROM acts"""))
+SEATS_SQL = """
+, acted AS (SELECT hand_id, max(seat) AS s FROM acts GROUP BY hand_id), sat AS (SELECT hand_id, max(seat) AS s FROM players GROUP BY hand_id),
+seen AS (SELECT t.*, greatest(hero_seat, button_seat, coalesce(acted.s, 0), coalesce(sat.s, 0)) AS top FROM tables t LEFT JOIN acted USING (hand_id) LEFT JOIN sat USING (hand_id)),
+tab AS (SELECT chunk_id, hand_id, hero_seat, button_seat, bb, greatest(1, least(9, CASE WHEN max_seats > 0 THEN max_seats WHEN top > 0 THEN top ELSE 9 END)) AS seats FROM seen)"""
+#: One action with its table, its actor's stack and its money in big blinds.
+ENCODED_SQL = SEATS_SQL + """
+, x AS (
+  SELECT a.*, t.bb, t.seats, t.button_seat, coalesce(p.stack, 0) AS stack, coalesce(raise_to, 0) AS raised, coalesce(call_to, 0) AS called,
+         row_number() OVER h AS place, count(*) OVER (PARTITION BY a.hand_id) AS total, lag(street) OVER h AS earlier, row_number() OVER (PARTITION BY a.hand_id, street ORDER BY ord) AS nth
+  FROM acts a JOIN tab t USING (hand_id) LEFT JOIN players p ON p.hand_id = a.hand_id AND p.seat = a.seat AND p.seat <= t.seats
+  WINDOW h AS (PARTITION BY a.hand_id ORDER BY ord)),
+y AS (SELECT *, CASE WHEN amount_bb > 0 THEN amount_bb WHEN amount > 0 THEN amount / bb ELSE 0 END AS size_bb, greatest(pot_after - pot_before, 0) / bb AS gain, (seat - button_seat + 7 * seats) % seats AS off FROM x WHERE place <= 64)"""
+
+
+@query(B.with_sql(ENCODED_SQL + """
+, e AS (SELECT unnest([0, 0.5, 1, 1.5, 2, 3, 4, 6, 8, 12, 16, 24, 36, 56, 84, 126])::DOUBLE AS edge, unnest(range(1, 17))::INT AS id),
+near AS (SELECT size_bb, arg_min(id, abs(edge - size_bb) * 1000 + id * 1e-9) AS id FROM (SELECT DISTINCT size_bb FROM y), e GROUP BY size_bb)
+SELECT hand_id, ord, street, action_type, seat, near.id AS amount_bucket,
+  CASE WHEN gain <= 1e-6 THEN 1 WHEN gain <= 1 THEN 2 WHEN gain <= 4 THEN 3 ELSE 4 END AS pot_flow,
+  CASE WHEN street = earlier THEN 1 ELSE 2 END AS first_in_street,
+  CASE WHEN button_seat <= 0 OR seats <= 1 THEN 1 WHEN off = 0 THEN 2 WHEN off = 1 THEN 3 WHEN off = 2 THEN 4 WHEN seats <= 3 THEN 6
+       WHEN 3 * (off - 3) < seats - 3 THEN 5 WHEN 3 * (off - 3) < 2 * (seats - 3) THEN 6 ELSE 7 END AS actor_role,
+  least(nth, 4)::INT AS street_position
+FROM y JOIN near USING (size_bb)"""))
+def action_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed categories of single actions: size, growth of the pot, place on the street and at the table."""
+    e = E.encoded_actions(B.tables(spark, sf_dir), B.actions(spark, sf_dir), B.players(spark, sf_dir))
+    return e.select("hand_id", F.col("ord").cast("long").alias("ord"), "street", "action_type", "seat", "amount_bucket", "pot_flow", "first_in_street", "actor_role", "street_position")
+
+
+_LOG = "round(least(ln(1 + greatest({}, 0)) / ln(201.0::DOUBLE), 1) + 1e-9, 6)"
+_SHARE = "round(CASE WHEN pot_before > 0 THEN greatest(0, least({} / pot_before, 10)) / 10 ELSE 0 END + 1e-9, 6)"
+_IS = "(action_type IN ({}))::INT::DOUBLE"
+
+
+def _tidied(frame: DataFrame, names) -> list:
+    return [S.tidy(n).alias(n) for n in names]
+
+
+@query(B.with_sql(ENCODED_SQL + f"""
+SELECT hand_id, ord, round(CASE WHEN total <= 1 THEN 0 ELSE (place - 1) / (total - 1)::DOUBLE END + 1e-9, 6) AS action_order_norm,
+  {_LOG.format("size_bb")} AS amount_bb_scaled, {_LOG.format("raised / bb")} AS raise_to_bb_scaled, {_LOG.format("called / bb")} AS call_to_bb_scaled,
+  {_LOG.format("pot_before / bb")} AS pot_before_bb_scaled, {_LOG.format("pot_after / bb")} AS pot_after_bb_scaled,
+  round(greatest(-1, least(1, (pot_after - pot_before) / bb / 200)) + 1e-9, 6) AS pot_delta_bb_signed,
+  {_SHARE.format("amount")} AS amount_to_pot, {_SHARE.format("raised")} AS raise_to_pot, {_SHARE.format("called")} AS call_to_pot,
+  round((amount > 0)::INT + 1e-9::DOUBLE, 6) AS has_amount, round((raise_to IS NOT NULL)::INT + 1e-9::DOUBLE, 6) AS has_raise_to, round((call_to IS NOT NULL)::INT + 1e-9::DOUBLE, 6) AS has_call_to,
+  {_IS.format("'big_blind'")} AS is_forced_action, {_IS.format("'big_blind', 'call', 'bet', 'raise'")} AS is_money_action, {_IS.format("'bet', 'raise'")} AS is_aggressive_action,
+  {_IS.format("'check', 'call'")} AS is_passive_action, 0.0::DOUBLE AS is_all_in, round(seat / seats::DOUBLE + 1e-9, 6) AS actor_seat_norm, {_LOG.format("stack / bb")} AS actor_stack_bb_scaled,
+  round(CASE WHEN stack > 0 THEN greatest(0, least(amount / stack, 1)) ELSE 0 END + 1e-9, 6) AS amount_to_actor_stack,
+  CASE street WHEN 'preflop' THEN 0.25 WHEN 'flop' THEN 0.5 WHEN 'turn' THEN 0.75 WHEN 'river' THEN 1 ELSE 0 END::DOUBLE AS street_progress
+FROM y"""))
 def action_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numeric encoding of single actions: sizes, presence, pot relation, role."""
-    a = B.actions(spark, sf_dir)
-    return a.select(
-        "hand_id", F.col("ord").cast("long").alias("ord"), S.tidy(S.scaled_log("amount_bb")).alias("amount_scaled"), (F.col("amount_bb") > 0).cast("int").alias("paid"),
-        F.col("raise_to").isNotNull().cast("int").alias("has_raise_to"), F.col("call_to").isNotNull().cast("int").alias("has_call_to"),
-        S.tidy(S.clamp(F.col("pot_before") / 0.02, 0.0, 1000.0)).alias("pot_bb"), S.tidy(S.capped_ratio("amount", "pot_before")).alias("to_pot"),
-        S.pot_flow("pot_before", "pot_after").alias("pot_flow"), S.actor_role("seat", F.lit(1), F.lit(6)).alias("role"),
-        S.tidy(F.col("seat") / 6).alias("seat_norm"), S.street_rank("street").alias("street_rank"),
-    )
+    """The 22 numbers of single actions: order, sizes, relations to pot and stack, kinds, seat, street."""
+    e = E.encoded_actions(B.tables(spark, sf_dir), B.actions(spark, sf_dir), B.players(spark, sf_dir))
+    return e.select("hand_id", F.col("ord").cast("long").alias("ord"), *_tidied(e, E.NUMERIC))
+
+
+@query(B.with_sql(SEATS_SQL + """
+, per AS (SELECT hand_id, count(*) FILTER (WHERE street = 'preflop') AS a, count(*) FILTER (WHERE street = 'flop') AS b, count(*) FILTER (WHERE street = 'turn') AS c, count(*) FILTER (WHERE street = 'river') AS d,
+            count(DISTINCT seat) AS actors, count(*) FILTER (WHERE seat = hero_seat) AS hero, max(list_position(['preflop', 'flop', 'turn', 'river'], street)) AS deep FROM acts JOIN tables USING (hand_id) GROUP BY hand_id),
+l AS (SELECT hand_id, count(*) AS n, arg_max(list_position(['preflop', 'flop', 'turn', 'river'], street), nth) AS last FROM streets GROUP BY hand_id),
+h AS (SELECT t.*, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(c, 0) AS c, coalesce(d, 0) AS d, coalesce(actors, 0) AS actors, coalesce(hero, 0) AS hero, coalesce(deep, 0) AS deep, coalesce(n, 0) AS n, coalesce(last, 0) AS last, coalesce(stack, 0) AS stack
+      FROM tab t LEFT JOIN per USING (hand_id) LEFT JOIN l USING (hand_id) LEFT JOIN players p ON p.hand_id = t.hand_id AND p.seat = t.hero_seat AND p.seat <= t.seats)
+SELECT hand_id, round(ln(1 + stack / bb) + 1e-9, 6) AS hero_stack_log, round(least(actors, 10) / 10.0::DOUBLE + 1e-9, 6) AS actors, round(least(n, 4) / 4.0::DOUBLE + 1e-9, 6) AS streets_dealt,
+  round(least(a, 64) / 64.0::DOUBLE + 1e-9, 6) AS preflop_actions, round(least(b, 64) / 64.0::DOUBLE + 1e-9, 6) AS flop_actions, round(least(c, 64) / 64.0::DOUBLE + 1e-9, 6) AS turn_actions,
+  round(least(d, 64) / 64.0::DOUBLE + 1e-9, 6) AS river_actions, round(CASE WHEN a + b + c + d > 0 THEN hero / (a + b + c + d)::DOUBLE ELSE 0 END + 1e-9, 6) AS hero_share,
+  (CASE WHEN deep > 0 THEN deep ELSE last END)::INT AS hand_end, seats
+FROM h"""))
+def hand_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight context values of a hand, its deepest street and the seats of its table."""
+    m = E.hand_meta(B.tables(spark, sf_dir), B.actions(spark, sf_dir), B.players(spark, sf_dir), B.streets(spark, sf_dir))
+    return m.select("hand_id", *_tidied(m, E.META), "hand_end", "seats")
 
 
 @query(B.with_sql("""
-SELECT h.hand_id, count(ord)::DOUBLE AS n_actions, count(DISTINCT seat)::BIGINT AS seats, greatest(max(hero_seat), coalesce(max(seat), 0))::INT AS most_seats,
-  coalesce(max(list_position(['preflop', 'flop', 'turn', 'river', 'showdown'], street)::INT - 1), 0) AS deepest, round(coalesce(avg((amount_bb > 0)::INT::DOUBLE), 0) + 1e-9, 6) AS paid_share,
-  round(coalesce(max(pot_after), 0) / 0.02 + 1e-9, 6) AS final_pot_bb
-FROM hands h LEFT JOIN acts USING (hand_id) GROUP BY h.hand_id"""))
-def hand_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Context values of a hand and the most seats that any of its sources tells."""
-    a = B.actions(spark, sf_dir).groupBy("hand_id").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.countDistinct("seat").alias("seats"), F.max("seat").alias("top"), F.max(S.street_rank("street")).alias("deepest"),
-        F.avg((F.col("amount_bb") > 0).cast("double")).alias("paid"), F.max("pot_after").alias("pot"),
-    )
-    h = B.hands(spark, sf_dir).join(a, "hand_id", "left")
-    return h.select(
-        "hand_id", F.coalesce("n", F.lit(0.0)).alias("n_actions"), F.coalesce("seats", F.lit(0)).cast("long").alias("seats"),
-        F.greatest("hero_seat", F.coalesce("top", F.lit(0))).alias("most_seats"), F.coalesce("deepest", F.lit(0)).alias("deepest"),
-        S.tidy(F.coalesce("paid", F.lit(0.0))).alias("paid_share"), S.tidy(F.coalesce("pot", F.lit(0.0)) / 0.02).alias("final_pot_bb"),
-    )
+, v AS (SELECT field, value, row_number() OVER (PARTITION BY field ORDER BY h, o) + 1 AS id FROM (
+    SELECT field, value, min(hand_id * 1000 + ord) // 1000 AS h, min(hand_id * 1000 + ord) % 1000 AS o FROM (
+      SELECT 'street' AS field, street AS value, hand_id, ord FROM acts UNION ALL SELECT 'action_type', action_type, hand_id, ord FROM acts UNION ALL SELECT 'seat', 'seat_' || seat, hand_id, ord FROM acts)
+    GROUP BY field, value HAVING count(*) >= 5))
+SELECT hand_id, ord, coalesce(a.id, 1)::INT AS street_id, coalesce(b.id, 1)::INT AS action_type_id, coalesce(c.id, 1)::INT AS seat_id
+FROM acts LEFT JOIN v a ON a.field = 'street' AND a.value = street LEFT JOIN v b ON b.field = 'action_type' AND b.value = action_type LEFT JOIN v c ON c.field = 'seat' AND c.value = 'seat_' || seat
+QUALIFY row_number() OVER (PARTITION BY hand_id ORDER BY ord) <= 64"""))
+def action_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The learned categories of single actions, by vocabularies fitted on all of them."""
+    actions = B.actions(spark, sf_dir)
+    e = E.encoded_actions(B.tables(spark, sf_dir), actions, B.players(spark, sf_dir))
+    return E.with_ids(e, E.fit_vocabularies(actions, least=5)).select("hand_id", F.col("ord").cast("long").alias("ord"), "street_id", "action_type_id", "seat_id")
+
+
+@query(B.with_sql("""
+SELECT hand_id, list({'kind': coalesce(list_position(['fold', 'check', 'call', 'bet', 'raise'], action_type), 0), 'street': list_position(['preflop', 'flop', 'turn', 'river', 'showdown'], street), 'hero': (seat = hero_seat)::INT,
+    'bucket': CASE WHEN amount_bb <= 0 THEN 0 WHEN amount_bb <= 1 THEN 1 WHEN amount_bb <= 2 THEN 2 WHEN amount_bb <= 5 THEN 3 WHEN amount_bb <= 10 THEN 4 WHEN amount_bb <= 25 THEN 5 WHEN amount_bb <= 50 THEN 6 WHEN amount_bb <= 100 THEN 7 ELSE 8 END} ORDER BY ord) AS s,
+  round(sum(ln(1 + amount_bb)) + 1e-9, 4) AS amounts, round(sum(ln(1 + greatest(pot_after, 0))) + 1e-9, 4) AS pots
+FROM acts JOIN tables USING (hand_id) GROUP BY hand_id""").replace("SELECT hand_id, list(", "SELECT hand_id, amounts, pots, array_to_string(list_transform(s, lambda x: x.kind || '-' || x.street || '-' || x.hero || '-' || x.bucket), ',') AS ids FROM (SELECT hand_id, list(") + ")")
+def step_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unpadded steps of a hand for a convolutional model, with the ids as one text and the logs added up."""
+    e = E.step_encoding(B.tables(spark, sf_dir), B.actions(spark, sf_dir))
+    told = F.array_join(F.transform("steps", lambda x: F.array_join(F.transform(x["ids"], lambda i: i.cast("string")), "-")), ",")
+    add = lambda k: F.round(F.aggregate("steps", F.lit(0.0), lambda a, x: a + x["logs"][k]) + 1e-9, 4)
+    return e.select("hand_id", add(0).alias("amounts"), add(1).alias("pots"), told.alias("ids"))
 
 
 CHUNKS_SQL = ", sizes AS (SELECT chunk_id, count(*) AS n_hands FROM hands GROUP BY chunk_id)\n"
