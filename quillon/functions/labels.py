@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,15 +49,28 @@ def parse_spec(x: Column) -> Column:
     return F.transform(F.filter(F.split(x, ","), lambda s: F.trim(s) != ""), one)
 
 
+#: The hash order of a class is cut into so many ranges, which are sorted each on its own.
+SPLIT_RANGES = 4096
+BROADCAST_ROWS = 400_000
+
+
 def stratified_split(rows: DataFrame, key: str, label: str, ratio: float, seed: int) -> DataFrame:
     """Adds split: the first ``ratio`` of each class by hash of key and seed is validation.
 
-    The class's size comes from a combinable count; the order within a class is a window over it.
+    Rows are counted by class and range of the hash; a row's place is that within its range plus the counts of the ranges
+    before, so no task sorts a class. A null label is a class.
     """
     order = F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"), 256)
-    w = Window.partitionBy(label)
-    place, size = F.row_number().over(w.orderBy(order)), F.count(F.lit(1)).over(w)
-    return rows.withColumn("split", F.when(place <= F.rint(ratio * size), "validation").otherwise("train"))
+    hashed = rows.withColumn("__order", order).withColumn("__range", F.conv(F.substring("__order", 1, 3), 16, 10).cast("int"))
+    counts = hashed.groupBy(F.col(label).alias("__label"), F.col("__range").alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy("__label")
+    before = F.coalesce(F.sum("__n").over(w.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumns({"__before": before, "__size": F.sum("__n").over(w)})
+    if counts.count() <= BROADCAST_ROWS:
+        counts = F.broadcast(counts)
+    placed = hashed.join(counts, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__range") == F.col("__of")))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(label, "__range").orderBy("__order"))
+    return placed.select(*rows.columns, F.when(place <= F.rint(ratio * F.col("__size")), "validation").otherwise("train").alias("split"))
 
 
 def hash_split(rows: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:
@@ -65,13 +80,20 @@ def hash_split(rows: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:
 
 
 def bootstrap(rows: DataFrame, n: int, key: str, seed: int) -> DataFrame:
-    """About ``n`` rows drawn with replacement: every row draws its own Poisson-like count from its hash."""
-    total = rows.agg(F.count(F.lit(1)).alias("__n"))
-    u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    rate = F.lit(float(n)) / F.col("__n")
-    draws, tail, term = F.lit(0), F.exp(-rate), F.exp(-rate)
-    for k in range(1, 9):  # the inverse of the distribution function, to 8 draws
+    """About ``n`` rows drawn with replacement: every row draws its own Poisson count from a hash of its key and ``seed``.
+    Where more rows are drawn than there are, a row draws once for each unit of the rate. Adds copy (from 1)."""
+    total = rows.count()
+    if not total:
+        return rows.withColumn("copy", F.lit(1))
+    units = max(1, math.ceil(n / total))
+    rate = n / total / units
+    text = F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)), F.col("__unit").cast("string"))
+    u = (F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 7), 16, 10).cast("double") + 0.5) / (1 << 28)
+    draws, term, tail, k = F.lit(0), math.exp(-rate), math.exp(-rate), 0
+    while 1 - tail > 2.0**-29:  # the inverse of the distribution function, until no hash lies beyond
+        k += 1
         draws = F.when(u >= tail, k).otherwise(draws)
-        term = term * rate / k
-        tail = tail + term
-    return rows.join(F.broadcast(total)).withColumn("__d", draws).where("__d > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__d")))).drop("__n", "__d")
+        term *= rate / k
+        tail += term
+    drawn = rows.withColumn("__unit", F.explode(F.sequence(F.lit(1), F.lit(units)))).withColumn("__d", draws).where("__d > 0")
+    return drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__d")))).drop("__unit", "__d")

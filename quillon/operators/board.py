@@ -52,12 +52,14 @@ def normalized(rows: DataFrame, value: str) -> DataFrame:
 
 
 def rotating_page(rows: DataFrame, order: str, cycle: int, k: int) -> DataFrame:
-    """The k rows of this cycle's turn. Rows are numbered over their sorted keys by range, not in one task:
-    ``rows`` is a table of candidates of at most some thousand rows here."""
-    w = Window.orderBy(order)
-    numbered = rows.select("*", (F.row_number().over(w) - 1).alias("__i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("__n"))
-    turn = F.pmod(F.col("__i") - F.pmod(F.lit((cycle - 1) * k), F.col("__n")), F.col("__n"))
-    return numbered.where((F.col("__n") <= k) | (turn < k)).drop("__i", "__n")
+    """The k rows of this cycle's turn: from the place where the last cycle's page ended, going on at the first row after
+    the last. Each piece is the head of a sort; rows are never numbered in one task."""
+    n = rows.count()
+    if n <= k:
+        return rows
+    start = (cycle - 1) * k % n
+    page = rows.orderBy(order).offset(start).limit(k)
+    return page if start + k <= n else page.unionByName(rows.orderBy(order).limit(start + k - n))
 
 
 def top_k_bands(scored: DataFrame, keys: list[str], k: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import clamp, coarse, direct_type, from_blinds, in_blinds, nearest_bucket, noise, resolved_type, seat_or_zero, seeded, window_size
@@ -12,6 +12,36 @@ from quillon.operators.sequences import collapse_noops, in_hand
 PRIVATE = ("label", "label_flag", "is_bot", "bot_family_id", "bot_version")
 MAX_ACTION, MAX_POT, MAX_STACK = 200.0, 1000.0, 500.0
 FORCED = ("small_blind", "big_blind", "ante")
+#: A table has six seats at least; seats beyond ten are none. Weights of the score without a model, with the
+#: ratios at which each part is full.
+LEAST_SEATS, MOST_SEATS = 6, 10
+DEPTH, SHOWDOWN, CALLS, CHECKS, PLAYERS, FOLDS, RAISES = 0.32, 0.22, (0.18, 0.35), (0.12, 0.30), 0.08, (0.18, 0.55), (0.10, 0.20)
+
+
+def visible_seats() -> Column:
+    """The seats of the visible table, from max_seats."""
+    return F.greatest(F.lit(LEAST_SEATS), seat_or_zero("max_seats", MOST_SEATS))
+
+
+def seat_alias_map(hands: DataFrame, actions: DataFrame, players: DataFrame) -> DataFrame:
+    """hand_id, seat, alias: the seats of every hand numbered by their first action, then in the order of the players, then
+    by number, until each seat of the table has an alias. Seats that the table lacks have none."""
+    table = hands.select("hand_id", visible_seats().alias("__seats"))
+    told = actions.select("hand_id", F.col("seat").try_cast("int").alias("seat"), F.struct(F.lit(0).alias("kind"), F.col("ord").cast("long").alias("at")).alias("place"))
+    sat = players.select("hand_id", F.col("seat").try_cast("int").alias("seat"), F.struct(F.lit(1).alias("kind"), F.col("nth").cast("long").alias("at")).alias("place"))
+    rest = table.select("hand_id", F.explode(F.sequence(F.lit(1), F.col("__seats"))).alias("seat")).select("hand_id", "seat", F.struct(F.lit(2).alias("kind"), F.col("seat").cast("long").alias("at")).alias("place"))
+    seats = told.unionByName(sat).unionByName(rest).join(table, "hand_id").where(F.col("seat").between(F.lit(1), F.col("__seats")))
+    first = seats.groupBy("hand_id", "seat").agg(F.min("place").alias("place"))
+    return first.select("hand_id", "seat", F.row_number().over(Window.partitionBy("hand_id").orderBy("place")).alias("alias"))
+
+
+def visible_players(hands: DataFrame, players: DataFrame, aliases: DataFrame) -> DataFrame:
+    """hand_id, seat (the alias), starting_stack in visible money, of every seated player; of two on one seat the last.
+    ``hands`` has bb (the hand's own big blind), ``players``: hand_id, nth, seat, stack."""
+    p = players.join(hands.select("hand_id", "bb", visible_seats().alias("__seats")), "hand_id")
+    p = p.withColumn("seat", seat_or_zero("seat", F.col("__seats"))).where("seat > 0")
+    last = p.groupBy("hand_id", "seat").agg(F.max_by(in_blinds("stack", "bb", MAX_STACK), "nth").alias("stack"))
+    return last.join(aliases, ["hand_id", "seat"]).select("hand_id", F.col("alias").alias("seat"), from_blinds("stack").alias("starting_stack"))
 
 
 def strip_private(rows: DataFrame) -> DataFrame:
@@ -59,7 +89,7 @@ def canonical_actions(hands: DataFrame, actions: DataFrame, *, bb: float = 1.0)
     )
     a = a.withColumns({"direct": direct_type("action_type"), "kind": resolved_type("action_type", "amount_bb", "raise_bb", "call_bb", "before_bb", "after_bb")})
     # aliases by windows: they also keep the filter below from being pushed into, and copied over, the steps above
-    a = a.withColumn("seat", seat_or_zero("seat", 10))
+    a = a.withColumn("seat", seat_or_zero("seat", visible_seats()))
     a = a.withColumn("first", F.min("ord").over(Window.partitionBy("hand_id", "seat")))
     rank = F.dense_rank().over(Window.partitionBy("hand_id").orderBy(F.col("seat") == 0, "first"))
     a = a.withColumn("alias", F.when(F.col("seat") == 0, 0).otherwise(rank))
@@ -103,40 +133,81 @@ def visible_sample(actions: DataFrame, *, repeat_single: int = 12) -> DataFrame:
     return a.drop("seed", "window", "inner", "street_key", "index_key", "first_of_street", "picked", "taken", "chosen", "copy")
 
 
-def canonical_hands(hands: DataFrame, visible: DataFrame) -> DataFrame:
-    """The whole view: one nested record per hand with blank outcome, fixed blinds and no button."""
+def canonical_hands(hands: DataFrame, visible: DataFrame, actions: DataFrame | None = None, players: DataFrame | None = None, streets: DataFrame | None = None) -> DataFrame:
+    """The whole view, one nested record per hand: metadata with the hero's alias, fixed blinds and no button; players by
+    alias without cards; streets without boards; the visible actions; a blank outcome.
+
+    ``hands``: hand_id, hero_seat, max_seats, bb, and game_type and limit_type where there are any; ``actions`` (the raw
+    ones: hand_id, ord, seat) and ``players`` (hand_id, nth, seat, stack) give the aliases, ``streets`` (hand_id, nth,
+    street) the streets. Without these tables a hand has no players and no streets.
+    """
     action = F.struct(
         F.col("place").alias("at"), F.col("place").cast("string").alias("action_id"), "street", F.col("seat").alias("actor_seat"), "action_type", from_blinds("amount_bb").alias("amount"),
         "raise_to", "call_to", F.col("amount_bb").alias("normalized_amount_bb"), "pot_before", "pot_after",
     )
     told = visible.groupBy("hand_id").agg(F.transform(F.array_sort(F.collect_list(action)), lambda x: x.dropFields("at")).alias("actions"))
+    spark = hands.sparkSession
+    players = players if players is not None else spark.createDataFrame([], "hand_id long, nth int, seat int, stack double")
+    streets = streets if streets is not None else spark.createDataFrame([], "hand_id long, nth int, street string")
+    acted = (actions if actions is not None else visible).select("hand_id", "ord", "seat")
+    aliases = seat_alias_map(hands, acted, players)
+    bb = hands if "bb" in hands.columns else hands.withColumn("bb", F.lit(1.0))
+    player = F.struct(
+        F.col("seat").alias("at"), F.concat(F.lit("seat_"), F.col("seat").cast("string")).alias("player_uid"), "seat", "starting_stack",
+        F.lit(None).cast("array<string>").alias("hole_cards"), F.lit(False).alias("showed_hand"),
+    )
+    sat = visible_players(bb, players, aliases).groupBy("hand_id").agg(F.transform(F.array_sort(F.collect_list(player)), lambda x: x.dropFields("at")).alias("players"))
+    street = F.struct(F.col("nth").alias("at"), F.coalesce("street", F.lit("")).alias("street"), F.array().cast("array<string>").alias("board_cards"))
+    dealt = streets.groupBy("hand_id").agg(F.transform(F.array_sort(F.collect_list(street)), lambda x: x.dropFields("at")).alias("streets"))
+    hero = aliases.select("hand_id", F.col("seat").alias("__hero"), F.col("alias").alias("__alias"))
+    h = hands.withColumn("__hero", seat_or_zero("hero_seat", visible_seats())).join(hero, ["hand_id", "__hero"], "left")
+    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in hands.columns else F.lit("")
     meta = F.struct(
-        F.col("max_seats"), F.col("hero_seat"), F.lit("").alias("hand_ended_on_street"), F.lit(0).alias("button_seat"), F.lit(0.01).alias("sb"), F.lit(0.02).alias("bb"), F.lit(0.0).alias("ante"),
+        text("game_type").alias("game_type"), text("limit_type").alias("limit_type"), visible_seats().alias("max_seats"), F.coalesce("__alias", F.lit(0)).alias("hero_seat"),
+        F.lit("").alias("hand_ended_on_street"), F.lit(0).alias("button_seat"), F.lit(0.01).alias("sb"), F.lit(0.02).alias("bb"), F.lit(0.0).alias("ante"),
+        F.lit(None).cast("string").alias("rng_seed_commitment"),
     )
     outcome = F.struct(
-        F.array().cast("array<string>").alias("winners"), F.lit(0.0).alias("total_pot"), F.lit(0.0).alias("rake"), F.lit("").alias("result_reason"), F.lit(False).alias("showdown")
-    )
-    return hands.join(told, "hand_id", "left").select("hand_id", meta.alias("metadata"), F.coalesce("actions", F.array().cast(told.schema["actions"].dataType)).alias("actions"), outcome.alias("outcome"))
+        F.array().cast("array<string>").alias("winners"), F.create_map().cast("map<string,double>").alias("payouts"), F.lit(0.0).alias("total_pot"), F.lit(0.0).alias("rake"),
+        F.lit("").alias("result_reason"), F.lit(False).alias("showdown"),
+    )
+    out = h.select("hand_id", meta.alias("metadata"))
+    for part in (sat, dealt, told):
+        out = out.join(part, "hand_id", "left")
+    filled = {c: F.coalesce(c, F.array().cast(t.schema[c].dataType)).alias(c) for c, t in (("players", sat), ("streets", dealt), ("actions", told))}
+    return out.select("hand_id", "metadata", *filled.values(), outcome.alias("outcome"))
 
 
-def chunk_signature(hands: DataFrame, visible: DataFrame) -> DataFrame:
-    """Per chunk the averages per hand of calls, checks, raises, folds, actions, players, amounts and pots."""
+def chunk_signature(hands: DataFrame, visible: DataFrame, streets: DataFrame, players: DataFrame) -> DataFrame:
+    """Per chunk the averages per hand of calls, checks, raises, folds, actions, streets, players, amounts and pots; a
+    chunk without hands has no row. ``players`` and ``streets`` have a row each (hand_id)."""
     is_kind = lambda k: F.count_if(F.col("action_type") == k)
     per = visible.groupBy("hand_id").agg(
         is_kind("call").alias("calls"), is_kind("check").alias("checks"), is_kind("raise").alias("raises"), is_kind("fold").alias("folds"),
         F.count(F.lit(1)).alias("actions"), F.sum("amount_bb").alias("amount"), F.sum("pot_after").alias("pot"),
     )
-    names = ["calls", "checks", "raises", "folds", "actions", "amount", "pot"]
-    h = hands.join(per, "hand_id", "left")
-    return h.groupBy("chunk_id").agg(*(F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in names), F.avg("n_players").alias("players"))
-
-
-def heuristic_scores(features: DataFrame) -> DataFrame:
-    """A score per chunk without a model: weighted bounded ratios per hand, averaged over the chunk's hand features."""
-    players = clamp((6 - F.least(F.col("num_players"), F.lit(6.0))) / 4)
-    reached = F.greatest(F.col("num_streets_observed") - 1, F.lit(0.0))
-    score = (
-        0.32 * clamp(reached / 3) + 0.22 * F.col("reached_showdown") + 0.18 * clamp(F.col("call_ratio") / 0.35) + 0.12 * clamp(F.col("check_ratio") / 0.30)
-        + 0.08 * clamp(players) - 0.18 * clamp(F.col("fold_ratio") / 0.55) - 0.10 * clamp(F.col("raise_ratio") / 0.20)
-    )
-    return features.groupBy("chunk_id").agg(F.avg(clamp(score)).alias("score"))
+    names = ["calls", "checks", "raises", "folds", "actions", "streets", "players", "amount", "pot"]
+    h = hands.select("chunk_id", "hand_id").join(per, "hand_id", "left")
+    for t, c in ((streets, "streets"), (players, "players")):
+        h = h.join(t.groupBy("hand_id").agg(F.count(F.lit(1)).alias(c)), "hand_id", "left")
+    return h.groupBy("chunk_id").agg(*(F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in names))
+
+
+def heuristic_scores(hands: DataFrame, actions: DataFrame, streets: DataFrame) -> DataFrame:
+    """chunk_id, score: without a model, weighted bounded ratios per hand, averaged over the chunk's hands.
+
+    ``hands``: chunk_id, hand_id, n_players, showdown. Ratios are over calls, checks, bets, raises and folds only, the
+    depth is a third of the listed streets, and the showdown is what the outcome says.
+    """
+    kinds = ("call", "check", "bet", "raise", "fold")
+    per = actions.groupBy("hand_id").agg(*(F.count_if(F.col("action_type") == k).cast("double").alias(k) for k in kinds))
+    listed = streets.groupBy("hand_id").agg(F.count(F.lit(1)).alias("listed"))
+    h = hands.join(per, "hand_id", "left").join(listed, "hand_id", "left")
+    n = lambda k: F.coalesce(F.col(k), F.lit(0.0))
+    meaningful = F.greatest(sum((n(k) for k in kinds[1:]), n("call")), F.lit(1.0))
+    full = lambda k, at: clamp(n(k) / meaningful / at)
+    sat = F.coalesce("n_players", F.lit(0))
+    players = F.when(sat > 0, clamp((6 - F.least(sat, F.lit(6))) / 4)).otherwise(0.0)
+    score = DEPTH * F.coalesce("listed", F.lit(0)) / 3 + SHOWDOWN * F.coalesce(F.col("showdown").cast("int"), F.lit(0)) + PLAYERS * players
+    score = score + CALLS[0] * full("call", CALLS[1]) + CHECKS[0] * full("check", CHECKS[1]) - FOLDS[0] * full("fold", FOLDS[1]) - RAISES[0] * full("raise", RAISES[1])
+    return h.groupBy("chunk_id").agg(F.avg(clamp(score)).alias("score"))

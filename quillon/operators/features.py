@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import (
@@ -187,16 +189,13 @@ def hand_grams(actions: DataFrame) -> DataFrame:
 def gram_vocabulary(grams: DataFrame, top: dict[int, int] = TOP_GRAMS) -> DataFrame:
     """n, rank, gram, cnt: the most frequent grams of each order, ties by the gram's text.
 
-    The order's rows are counted first, so the ranking sees one row per distinct gram.
+    The order's rows are counted first; of the distinct grams only the heads are ranked.
     """
-    from pyspark.sql import Window
-
     counts = grams.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
-    limit = F.lit(0)
-    for n, k in top.items():
-        limit = F.when(F.col("n") == n, k).otherwise(limit)
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("n").orderBy(F.col("cnt").desc(), "gram")))
-    return ranked.where(F.col("rank") <= limit).select("n", "rank", "gram", "cnt")
+    # each order's head is taken task by task before it is put together, so only bounded lists are ranked
+    heads = [counts.where(F.col("n") == n).orderBy(F.col("cnt").desc(), "gram").limit(k) for n, k in top.items()]
+    best = reduce(DataFrame.unionByName, heads)
+    return best.select("n", F.row_number().over(Window.partitionBy("n").orderBy(F.col("cnt").desc(), "gram")).alias("rank"), "gram", "cnt")
 
 
 def gram_means(hands: DataFrame, grams: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -323,8 +322,6 @@ def standardize(rows: DataFrame, names: list[str]) -> DataFrame:
 
 def value_vocabulary(rows: DataFrame, column: str, least: int = 1) -> DataFrame:
     """value, id: ids from 2 in order of first appearance (column ``at``), after the padding 0 and the unknown 1."""
-    from pyspark.sql import Window
-
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     kept = counts.where(F.col("n") >= least)
     # one row per distinct value is left to be numbered

@@ -119,15 +119,33 @@ def best_cut(scored: DataFrame, candidates: DataFrame, max_fpr: float) -> DataFr
     return c.where(F.col("fpr") < max_fpr - 1e-9).select("cut", "fpr", "recall", ((0.65 * F.col("ap") + 0.35 * F.col("recall")) * penalty).alias("reward"))
 
 
+def quantiles(scored: DataFrame, probabilities: list[float]) -> DataFrame:
+    """p and score of the linearly interpolated quantiles of the column score. They are read off the curve, whose running
+    sums no task takes over all scores: a distinct score stands for the ranks from the rows below it on."""
+    c = curve(scored.select("score", F.lit(0).alias("y")), [])
+    at = lambda p: (F.col("total") - 1) * F.lit(float(p))
+    wanted = [F.struct(F.lit(float(p)).alias("p"), (at(p) - F.floor(at(p))).alias("share"), F.lit(k).alias("k"), F.least(F.floor(at(p)) + k, F.col("total") - 1).alias("rank")) for p in probabilities for k in (0, 1)]
+    low = F.col("total") - F.col("seen")
+    c = c.select("score", low.alias("low"), (low + F.col("n")).alias("end"), F.array(*wanted).alias("w"))
+    hits = c.select("score", F.explode(F.filter("w", lambda w: (w["rank"] >= F.col("low")) & (w["rank"] < F.col("end")))).alias("w"))
+    ends = hits.groupBy("w.p").agg(F.max("w.share").alias("share"), F.max(F.when(F.col("w.k") == 0, F.col("score"))).alias("a"), F.max(F.when(F.col("w.k") == 1, F.col("score"))).alias("b"))
+    return ends.select("p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("score"))
+
+
+def quantile_values(scored: DataFrame, probabilities: list[float]) -> list[float]:
+    """The quantiles as a list (of as many numbers as asked for); empty for an empty table."""
+    found = {r["p"]: r["score"] for r in quantiles(scored, probabilities).collect()}
+    return [found[float(p)] for p in probabilities if float(p) in found]
+
+
 def quantile_candidates(scored: DataFrame, low: float = 0.40, high: float = 0.999, n: int = 80) -> DataFrame:
-    """Distinct quantiles of the scores at ``n`` even steps: a bounded array from one exact aggregate."""
-    steps = F.array(*(F.lit(low + (high - low) * i / (n - 1)) for i in range(n)))
-    return scored.agg(F.percentile("score", steps).alias("q")).select(F.explode(F.array_distinct("q")).alias("score"))
+    """Distinct quantiles of the scores at ``n`` even steps."""
+    return quantiles(scored, [low + (high - low) * i / (n - 1) for i in range(n)]).select("score").distinct()
 
 
 def conformal_cut(scored: DataFrame, target_fpr: float) -> DataFrame:
-    """The quantile of human scores above which the target share lies."""
-    return scored.where("y = 0").agg(F.percentile("score", F.lit(1 - target_fpr)).alias("cut"))
+    """The quantile of human scores above which the target share lies; null without humans."""
+    return quantiles(scored.where("y = 0"), [1 - target_fpr]).agg(F.max("score").alias("cut"))
 
 
 def remapped(scored: DataFrame, cut: float) -> DataFrame:
@@ -140,7 +158,7 @@ def _long(rows: DataFrame, names: list[str], side: str) -> DataFrame:
 
 
 def drift(expected: DataFrame, actual: DataFrame, names: list[str], *, bins: int = 10, even_bins: int = 20) -> DataFrame:
-    """feature, psi, ks, js between two samples.
+    """feature, psi, ks, js, mean_expected, mean_actual of two samples.
 
     psi: bins between the quantiles of the expected sample, shares at least 1e-6, 0 with fewer than three edges; values
     outside the edges fall in no bin. ks: the largest distance of the two distribution functions. js: the
@@ -152,6 +170,7 @@ def drift(expected: DataFrame, actual: DataFrame, names: list[str], *, bins: int
     facts = both.groupBy("feature").agg(
         F.array_distinct(F.percentile(F.when(is_e, F.col("v")), steps)).alias("edges"), F.min("v").alias("lo"), F.max("v").alias("hi"),
         F.count_if(is_e).cast("double").alias("ne"), F.count_if(~is_e).cast("double").alias("na"),
+        F.avg(F.when(is_e, F.col("v"))).alias("mean_expected"), F.avg(F.when(~is_e, F.col("v"))).alias("mean_actual"),
     )
     # values are counted first: what follows works on one row per distinct value
     values = both.groupBy("feature", "v").agg(F.count_if(is_e).cast("double").alias("e"), F.count_if(~is_e).cast("double").alias("a"))
@@ -187,7 +206,13 @@ def drift(expected: DataFrame, actual: DataFrame, names: list[str], *, bins: int
     )
     ks = ks.groupBy("feature").agg(F.max("d").alias("ks"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-    return facts.select("feature").join(psi, "feature", "left").join(ks, "feature", "left").join(js, "feature", "left").select("feature", zero("psi"), zero("ks"), zero("js"))
+    out = facts.select("feature", "mean_expected", "mean_actual").join(psi, "feature", "left").join(ks, "feature", "left").join(js, "feature", "left")
+    return out.select("feature", zero("psi"), zero("ks"), zero("js"), "mean_expected", "mean_actual")
+
+
+def most_drifted(report: DataFrame, top: int = 25) -> DataFrame:
+    """The report's ``top`` features by psi, the largest first, ties by name."""
+    return report.orderBy(F.col("psi").desc(), "feature").limit(top)
 
 
 def salient(rows: DataFrame, key: str, importance: dict[str, float], top: int = 3) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -10,7 +11,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import grid_interpolate, remap
@@ -122,16 +123,61 @@ def fit_calibrator(scored: DataFrame, *, target_fpr: float = 0.04, max_fpr: floa
     return Calibrator(shaped.grid, float(cut))
 
 
-def promote(model: PipelineModel, path: str, metrics: dict[str, float], version: int, *, least_reward: float = 0.55, max_fpr: float = 0.05) -> bool:
-    """Save a model as a new version if its metrics pass the gate; older versions stay for going back."""
+@dataclass(frozen=True)
+class Served:
+    """What serving needs: the model or the stack's parts, the features in order, the calibrator."""
+
+    names: list[str]
+    base: dict[str, PipelineModel]
+    meta: PipelineModel | None = None
+    calibrator: Calibrator | None = None
+
+
+def predict_chunks(served: Served, rows: DataFrame, *, blend: DataFrame | None = None, share: float = 0.6, key: str = "chunk_id") -> DataFrame:
+    """key, raw (the model's or stack's score; with ``blend`` (key, other) ``share`` of it and the rest of that score) and
+    score (calibrated, six decimals). A chunk that ``blend`` lacks keeps its own score."""
+    missing = [c for c in served.names if c not in rows.columns]
+    if missing:
+        raise ValueError(f"features are missing: {missing[:5]}")
+    scored = score_stack(served.base, served.meta, rows, key) if served.meta else score(next(iter(served.base.values())), rows)
+    out = scored.select(key, F.col("score").alias("raw"))
+    if blend is not None:
+        out = out.join(blend.select(key, "other"), key, "left").withColumn("raw", F.coalesce(share * F.col("raw") + (1 - share) * F.col("other"), F.col("raw"))).drop("other")
+    out = out.withColumn("score", F.col("raw"))
+    return served.calibrator.apply(out) if served.calibrator else out.withColumn("score", F.round("score", 6))
+
+
+def promote(
+    model: PipelineModel | Served, path: str, metrics: dict[str, float], version: int, *, least_reward: float = 0.55, max_fpr: float = 0.05, names: list[str] | None = None
+) -> bool:
+    """Save a model, with all that serving needs, as a new version if its metrics pass the gate; older versions stay for
+    going back. The version counts once its description is there, which is written last."""
     if metrics["reward"] < least_reward or metrics["fpr"] > max_fpr:
         return False
-    model.write().overwrite().save(f"{path}/v={version:012d}")
+    served = model if isinstance(model, Served) else Served(names or [], {"model": model})
+    folder = f"{path}/v={version:012d}"
+    for n, m in served.base.items():
+        m.write().overwrite().save(f"{folder}/base/{n}")
+    if served.meta:
+        served.meta.write().overwrite().save(f"{folder}/meta")
+    told = {"names": served.names, "base": list(served.base), "stacked": served.meta is not None, "metrics": metrics, "calibrator": asdict(served.calibrator) if served.calibrator else None}
+    SparkSession.active().createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/served")
     return True
 
 
+def load_served(spark, path: str) -> Served | None:
+    """The newest promoted version with its features and calibrator, None if there is none."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/served/_SUCCESS")
+    found = sorted(x.getPath().getParent().getParent().toString() for x in marker.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marker) or [])
+    if not found:
+        return None
+    folder = found[-1]
+    told = json.loads(spark.read.text(f"{folder}/served").first()["value"])
+    base = {n: PipelineModel.load(f"{folder}/base/{n}") for n in told["base"]}
+    return Served(told["names"], base, PipelineModel.load(f"{folder}/meta") if told["stacked"] else None, Calibrator(**told["calibrator"]) if told["calibrator"] else None)
+
+
 def load_latest(spark, path: str) -> PipelineModel | None:
-    """The newest promoted model, None if there is none."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/metadata")
-    found = sorted(x.getPath().getParent().toString() for x in folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder) or [])
-    return PipelineModel.load(found[-1]) if found else None
+    """The model of the newest promoted version (of a stack the first base model), None if there is none."""
+    served = load_served(spark, path)
+    return next(iter(served.base.values())) if served else None

@@ -113,8 +113,13 @@ def trailing(rows: DataFrame, keys: list[str], order: list[str], n: int) -> Data
     return rows.withColumn("back", F.row_number().over(w)).where(F.col("back") <= n)
 
 
-def ema(rows: DataFrame, keys: list[str], order: str, value: str, alpha: float, name: str) -> DataFrame:
-    """Exponential moving average from zero, by its closed form: one window and one sum, no fold."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    aged = rows.withColumn("age", F.row_number().over(w) - 1)
+def ema(rows: DataFrame, keys: list[str], order: str, value: str, alpha: float, name: str, *, cycles: DataFrame | None = None) -> DataFrame:
+    """Exponential moving average from zero, by its closed form: one window and one sum, no fold. A key ages by its own
+    rows only, or, with ``cycles`` (all values of ``order``), by every cycle: one that it misses counts as a zero."""
+    if cycles is None:
+        w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+        aged = rows.withColumn("age", F.row_number().over(w) - 1)
+    else:  # a row a cycle, so their number is that of days or hours
+        ages = cycles.select(order).distinct().withColumn("age", F.row_number().over(Window.orderBy(F.col(order).desc())) - 1)
+        aged = rows.join(F.broadcast(ages), order)
     return aged.groupBy(*keys).agg(F.sum(alpha * F.pow(F.lit(1 - alpha), F.col("age")) * F.col(value)).alias(name))

@@ -65,6 +65,16 @@ def reward_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(Q.ema(B.responses(spark, sf_dir), ["uid"], "ts", "score", 0.05, "ema"), "uid")
 
 
+@query(B.with_sql("""
+, c AS (SELECT cycle, row_number() OVER (ORDER BY cycle DESC) - 1 AS age FROM (SELECT DISTINCT cycle FROM responses)),
+d AS (SELECT uid, cycle, avg(score) AS score FROM responses GROUP BY uid, cycle)
+SELECT uid, round(sum(0.05 * 0.95 ** age * score) + 1e-9, 6) AS ema FROM d JOIN c USING (cycle) GROUP BY uid"""))
+def reward_ema_decayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Averages by cycle, in which a missed cycle counts as a zero."""
+    r = B.responses(spark, sf_dir).groupBy("uid", "cycle").agg(F.avg("score").alias("score"))
+    return _tidy(Q.ema(r, ["uid"], "cycle", "score", 0.05, "ema", cycles=r), "uid")
+
+
 @query("""
 WITH e AS (SELECT uid, n, row_number() OVER (ORDER BY uid) - 1 AS i, count(*) OVER () AS c FROM (SELECT c_custkey AS uid, c_name AS n FROM customer WHERE c_custkey <> 0 AND c_nationkey % 2 = 1 AND c_acctbal > 0))
 SELECT uid FROM e WHERE c <= 16 OR (i - ((7 - 1) * 16) % c + c) % c < 16""")

@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 from quillon import bindings as B
 from quillon.functions import scalars as S
 from quillon.operators import canonical as C
-from quillon.operators import features as X
 from quillon.operators import sequences as Q
 from quillon.plans.catalog import query
-from quillon.plans.features import HAND_SQL
 
 #: Pots of the stand-in tables are thousands of units; this many make a big blind.
 BB = 97.0
@@ -94,30 +92,53 @@ def visible_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def canonical_hands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole view as nested records; its parts have SQL twins, the whole is tested on small hands."""
-    hands = B.hands(spark, sf_dir)
-    seen = C.visible_sample(C.canonical_actions(hands, B.actions(spark, sf_dir), bb=BB))
-    return C.canonical_hands(hands, seen)
+    """The whole view as nested records; ``canonical_parts`` and the other queries here have SQL for its parts, the whole is
+    tested on small hands."""
+    hands, actions = B.hands(spark, sf_dir), B.actions(spark, sf_dir)
+    seen = C.visible_sample(C.canonical_actions(hands, actions, bb=BB))
+    return C.canonical_hands(hands.withColumn("bb", F.lit(BB)), seen, actions, B.players(spark, sf_dir), B.streets(spark, sf_dir))
+
+
+@query(B.with_sql("""
+, push AS (SELECT hand_id, seat, 0 AS kind, ord AS o FROM acts UNION ALL SELECT hand_id, seat, 1, seat FROM players UNION ALL SELECT hand_id, s, 2, s FROM hands, unnest(range(1, 7)) AS u(s)),
+fst AS (SELECT hand_id, seat, min(kind * 1000 + o) AS p FROM push GROUP BY hand_id, seat),
+al AS (SELECT hand_id, seat, row_number() OVER (PARTITION BY hand_id ORDER BY p)::INT AS alias FROM fst),
+pl AS (SELECT hand_id, alias, round_even(greatest(0, round_even(greatest(0, least(500, stack / 97.0::DOUBLE)), 2)) * 0.02, 4) AS stack FROM players JOIN al USING (hand_id, seat)),
+ps AS (SELECT hand_id, string_agg('seat_' || alias, ',' ORDER BY alias) AS players, round(sum(stack) + 1e-9, 4) AS stacks FROM pl GROUP BY hand_id),
+st AS (SELECT hand_id, string_agg(street, ',' ORDER BY nth) AS streets FROM streets GROUP BY hand_id)
+SELECT h.hand_id, al.alias AS hero, 6 AS seats, ps.players, ps.stacks, coalesce(st.streets, '') AS streets FROM hands h JOIN al ON al.hand_id = h.hand_id AND al.seat = h.hero_seat JOIN ps ON ps.hand_id = h.hand_id LEFT JOIN st ON st.hand_id = h.hand_id"""))
+def canonical_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aliases, players and streets of the whole view."""
+    c = canonical_hands(spark, sf_dir)
+    stacks = F.aggregate("players", F.lit(0.0), lambda a, p: a + p["starting_stack"])
+    return c.select(
+        "hand_id", F.col("metadata.hero_seat").alias("hero"), F.col("metadata.max_seats").alias("seats"), F.array_join(F.transform("players", lambda p: p["player_uid"]), ",").alias("players"),
+        F.round(stacks + 1e-9, 4).alias("stacks"), F.array_join(F.transform("streets", lambda s: s["street"]), ",").alias("streets"),
+    )
 
 
 @query(B.with_sql("""
 , per AS (SELECT hand_id, count(*) FILTER (WHERE action_type = 'call') AS calls, count(*) FILTER (WHERE action_type = 'check') AS checks, count(*) FILTER (WHERE action_type = 'raise') AS raises,
             count(*) FILTER (WHERE action_type = 'fold') AS folds, count(*) AS actions, sum(amount_bb) AS amount, sum(pot_after) AS pot FROM acts GROUP BY hand_id)
 SELECT chunk_id, round(avg(coalesce(calls, 0)) + 1e-9, 6) AS calls, round(avg(coalesce(checks, 0)) + 1e-9, 6) AS checks, round(avg(coalesce(raises, 0)) + 1e-9, 6) AS raises, round(avg(coalesce(folds, 0)) + 1e-9, 6) AS folds,
-  round(avg(coalesce(actions, 0)) + 1e-9, 6) AS actions, round(avg(coalesce(amount, 0)) + 1e-9, 6) AS amount, round(avg(coalesce(pot, 0)) + 1e-9, 4) AS pot, round(avg(n_players) + 1e-9, 6) AS players
+  round(avg(coalesce(actions, 0)) + 1e-9, 6) AS actions, round(avg(hand_id % 5) + 1e-9, 6) AS streets, round(avg(n_players) + 1e-9, 6) AS players, round(avg(coalesce(amount, 0)) + 1e-9, 6) AS amount, round(avg(coalesce(pot, 0)) + 1e-9, 4) AS pot
 FROM hands LEFT JOIN per USING (hand_id) GROUP BY chunk_id"""))
 def chunk_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = C.chunk_signature(B.hands(spark, sf_dir), B.actions(spark, sf_dir))
+    s = C.chunk_signature(B.hands(spark, sf_dir), B.actions(spark, sf_dir), B.streets(spark, sf_dir), B.players(spark, sf_dir))
     return s.select("chunk_id", *(F.round(F.col(c) + 1e-9, 4 if c == "pot" else 6).alias(c) for c in s.columns if c != "chunk_id"))
 
 
-@query(B.with_sql(HAND_SQL + """
-, sc AS (SELECT chunk_id, greatest(0, least(1, 0.32 * greatest(0, least(1, greatest(num_streets_observed - 1, 0) / 3)) + 0.22 * reached_showdown + 0.18 * least(1, call_ratio / 0.35) + 0.12 * least(1, check_ratio / 0.30)
-           + 0.08 * greatest(0, least(1, (6 - least(num_players, 6)) / 4)) - 0.18 * least(1, fold_ratio / 0.55) - 0.10 * least(1, raise_ratio / 0.20))) AS s FROM hf)
+@query(B.with_sql("""
+, per AS (SELECT hand_id, count(*) FILTER (WHERE action_type = 'call') AS c, count(*) FILTER (WHERE action_type = 'check') AS k, count(*) FILTER (WHERE action_type = 'raise') AS r, count(*) FILTER (WHERE action_type = 'fold') AS f,
+            count(*) FILTER (WHERE action_type IN ('call', 'check', 'bet', 'raise', 'fold')) AS m FROM acts GROUP BY hand_id),
+p AS (SELECT h.chunk_id, h.hand_id, n_players, coalesce(c, 0) / greatest(coalesce(m, 0), 1)::DOUBLE AS c, coalesce(k, 0) / greatest(coalesce(m, 0), 1)::DOUBLE AS k, coalesce(r, 0) / greatest(coalesce(m, 0), 1)::DOUBLE AS r,
+        coalesce(f, 0) / greatest(coalesce(m, 0), 1)::DOUBLE AS f FROM hands h LEFT JOIN per USING (hand_id)),
+sc AS (SELECT chunk_id, greatest(0, least(1, 0.32 * (hand_id % 5) / 3 + 0.22 * (hand_id % 3 = 0)::INT + 0.18 * least(1, c / 0.35) + 0.12 * least(1, k / 0.30) + 0.08 * greatest(0, least(1, (6 - least(n_players, 6)) / 4.0::DOUBLE))
+           - 0.18 * least(1, f / 0.55) - 0.10 * least(1, r / 0.20))) AS s FROM p)
 SELECT c_custkey AS chunk_id, round(coalesce(avg(s), 0.5) + 1e-9, 6) AS score FROM customer LEFT JOIN sc ON c_custkey = chunk_id GROUP BY c_custkey"""))
 def heuristic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores without a model; a chunk without hands gets one half."""
-    hands, actions = B.hands(spark, sf_dir), B.actions(spark, sf_dir)
-    scores = C.heuristic_scores(X.hand_features(hands, actions))
+    hands = B.hands(spark, sf_dir).withColumn("showdown", F.col("hand_id") % 3 == 0)
+    scores = C.heuristic_scores(hands, B.actions(spark, sf_dir), B.streets(spark, sf_dir))
     chunks = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chunk_id"))
     return chunks.join(scores, "chunk_id", "left").select("chunk_id", S.tidy(F.coalesce("score", F.lit(0.5))).alias("score"))

@@ -165,7 +165,7 @@ ks AS (SELECT feature, max(abs(ce / ne - ca / na)) AS ks FROM (SELECT feature, v
 ev AS (SELECT feature, least(floor((v - lo) / ((hi - lo) / 20)), 19) AS b, count(*) FILTER (WHERE e) AS ce, count(*) FILTER (WHERE NOT e) AS ca FROM long JOIN f USING (feature) GROUP BY 1, 2),
 js AS (SELECT feature, sqrt(sum(p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))) / 2) AS js FROM (
          SELECT f.feature, (coalesce(ce, 0) + 1e-6) / (ne + 2e-5) AS p, (coalesce(ca, 0) + 1e-6) / (na + 2e-5) AS q FROM (SELECT *, unnest(range(0, 20)) AS b FROM f) f LEFT JOIN ev ON ev.feature = f.feature AND ev.b = f.b) GROUP BY feature)
-SELECT feature, round(coalesce(psi, 0) + 1e-9, 6) AS psi, round(ks + 1e-9, 6) AS ks, round(js + 1e-9, 6) AS js FROM f LEFT JOIN psi USING (feature) JOIN ks USING (feature) JOIN js USING (feature)""")
+SELECT feature, round(coalesce(psi, 0) + 1e-9, 6) AS psi, round(ks + 1e-9, 6) AS ks, round(js + 1e-9, 6) AS js, round(me + 1e-9, 6) AS mean_expected, round(ma + 1e-9, 6) AS mean_actual FROM f LEFT JOIN (SELECT feature, avg(v) FILTER (WHERE e) AS me, avg(v) FILTER (WHERE NOT e) AS ma FROM long GROUP BY feature) USING (feature) LEFT JOIN psi USING (feature) JOIN ks USING (feature) JOIN js USING (feature)""")
 def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.table(spark, sf_dir, "lineitem").select("l_shipdate", *DRIFT)
     before = F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")

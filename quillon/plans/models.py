@@ -52,7 +52,12 @@ def synthetic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.groupBy("archetype", "action_type").agg(F.count(F.lit(1)).alias("n"), S.tidy(F.avg("amount")).alias("mean_amount"))
 
 
-@query()
+@query("""
+WITH r AS (SELECT greatest(1, ceil(500 / count(*)::DOUBLE))::BIGINT AS units, 500 / count(*)::DOUBLE / greatest(1, ceil(500 / count(*)::DOUBLE)) AS rate FROM customer),
+t AS (SELECT k, rate, exp(-rate) * sum(rate ** k / gamma(k + 1)) OVER (ORDER BY k) AS tail FROM r, (SELECT unnest(range(0, 25)) AS k)),
+u AS (SELECT c_custkey, (('0x' || substr(sha256(c_custkey || ':7:' || unit), 1, 7))::BIGINT + 0.5) / (1 << 28) AS u FROM customer, r, unnest(range(1, units + 1)) AS x(unit)),
+d AS (SELECT c_custkey, u, (SELECT count(*) FROM t WHERE u.u >= t.tail) AS d FROM u)
+SELECT c_custkey, unnest(range(1, d + 1))::INT AS copy FROM d""")
 def bootstrap_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers drawn with replacement, about as many as there are orders per hundred."""
     c = B.table(spark, sf_dir, "customer").select("c_custkey")

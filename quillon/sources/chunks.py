@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.labels import hash_split
+from quillon.functions.scalars import parse_time, seat_of_uid
+
 #: Names under which roots, chunks, labels and ids are looked for, in order.
 ROOT_KEYS = ("labeled_chunks", "samples", "data", "chunks", "items", "records")
 SPLIT_KEYS = (("train", "train"), ("validation", "validation"), ("splits.train", "train"), ("splits.validation", "validation"))
@@ -18,14 +21,14 @@ ID_KEYS = ("chunk_id", "id", "sample_id", "uid", "chunkId")
 
 ACTION = (
     "struct<action_id:string,street:string,actor_seat:int,action_type:string,amount:double,raise_to:double,call_to:double,"
-    "normalized_amount_bb:double,pot_before:double,pot_after:double,timestamp_action:string>"
+    "normalized_amount_bb:double,pot_before:double,pot_after:double,timestamp_action:string,id:string>"
 )
 HAND = (
     "struct<metadata:struct<game_type:string,limit_type:string,max_seats:int,hero_seat:int,hand_ended_on_street:string,button_seat:int,"
     "sb:double,bb:double,ante:double,rng_seed_commitment:string>,"
     "players:array<struct<player_uid:string,seat:int,starting_stack:double,hole_cards:array<string>,showed_hand:boolean>>,"
-    f"streets:array<struct<street:string,board_cards:array<string>>>,actions:array<{ACTION}>,"
-    "outcome:struct<winners:array<string>,payouts:map<string,double>,total_pot:double,rake:double,result_reason:string,showdown:boolean>,label:string>"
+    f"streets:array<struct<street:string,board_cards:array<string>,name:string>>,actions:array<{ACTION}>,"
+    "outcome:struct<winners:array<string>,payouts:map<string,double>,total_pot:double,rake:double,result_reason:string,showdown:boolean,hand_result_reason:string>,label:string>"
 )
 
 
@@ -124,3 +127,115 @@ def actions_of(chunks: DataFrame) -> DataFrame:
     order = F.transform("hand.actions", lambda a, i: F.struct(F.coalesce(a["action_id"].try_cast("int"), F.lit(0)).alias("key"), i.alias("i"), a.alias("a")))
     placed = hands.select("chunk_id", "hand_idx", F.posexplode(F.array_sort(order)).alias("ord", "x"))
     return placed.select("chunk_id", "hand_idx", (F.col("ord") + 1).alias("ord"), "x.a.*")
+
+
+def _filled(x: Column, default) -> Column:
+    """The value, or ``default`` for null and, as for all empty values, for the empty text."""
+    return F.coalesce(F.nullif(x, F.lit("")) if isinstance(default, str) else x, F.lit(default))
+
+
+def decoded(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with every hand's fields filled as a typed record has them: numbers 0, texts empty, lists empty, street
+    preflop, an action's identifier from action_id or id, its time null unless it can be read, a street's name from street
+    or name, the reason from either of its two fields, and label_flag (true for a bot) from the label's word."""
+
+    def metadata(m: Column) -> Column:
+        numbers = [_filled(m[c], 0).alias(c) for c in ("max_seats", "hero_seat", "button_seat")]
+        texts = [_filled(m[c], "").alias(c) for c in ("game_type", "limit_type", "hand_ended_on_street")]
+        return F.struct(*texts, *numbers, *(_filled(m[c], 0.0).alias(c) for c in ("sb", "bb", "ante")), m["rng_seed_commitment"].alias("rng_seed_commitment"))
+
+    def action(a: Column) -> Column:
+        return F.struct(
+            F.coalesce(F.nullif(a["action_id"], F.lit("")), a["id"]).alias("action_id"), _filled(a["street"], "preflop").alias("street"), _filled(a["actor_seat"], 0).alias("actor_seat"),
+            _filled(a["action_type"], "").alias("action_type"), _filled(a["amount"], 0.0).alias("amount"), a["raise_to"].alias("raise_to"), a["call_to"].alias("call_to"),
+            *(_filled(a[c], 0.0).alias(c) for c in ("normalized_amount_bb", "pot_before", "pot_after")), parse_time(a["timestamp_action"]).alias("timestamp_action"),
+        )
+
+    def outcome(o: Column) -> Column:
+        reason = F.coalesce(F.nullif(o["result_reason"], F.lit("")), F.nullif(o["hand_result_reason"], F.lit("")), F.lit(""))
+        return F.struct(
+            F.coalesce(o["winners"], F.array().cast("array<string>")).alias("winners"), F.coalesce(o["payouts"], F.create_map().cast("map<string,double>")).alias("payouts"),
+            _filled(o["total_pot"], 0.0).alias("total_pot"), _filled(o["rake"], 0.0).alias("rake"), reason.alias("result_reason"), _filled(o["showdown"], False).alias("showdown"),
+        )
+
+    def street(x: Column) -> Column:
+        return F.struct(F.coalesce(F.nullif(x["street"], F.lit("")), x["name"]).alias("street"), F.coalesce(x["board_cards"], F.array().cast("array<string>")).alias("board_cards"))
+
+    def listed(x: Column, f) -> Column:
+        out = F.transform(x, f)
+        return F.coalesce(out, F.array())
+
+    def hand(h: Column) -> Column:
+        word = F.lower(F.trim(h["label"]))
+        flag = F.when(word.isin("human", "false", "0"), False).when(word.isin("ai", "bot", "true", "1"), True)
+        return F.struct(
+            metadata(h["metadata"]).alias("metadata"), F.coalesce(h["players"], F.array()).alias("players"), listed(h["streets"], street).alias("streets"),
+            listed(h["actions"], action).alias("actions"), outcome(h["outcome"]).alias("outcome"), h["label"].alias("label"), flag.alias("label_flag"),
+        )
+
+    return chunks.withColumn("hands", F.transform("hands", hand))
+
+
+def _hands(chunks: DataFrame) -> DataFrame:
+    """chunk_id, hand_id (the chunk's id and the hand's number), hand_idx and the hand."""
+    hands = chunks.select("chunk_id", F.posexplode("hands").alias("hand_idx", "hand"))
+    return hands.select("chunk_id", F.concat_ws("#", "chunk_id", "hand_idx").alias("hand_id"), "hand_idx", "hand")
+
+
+def hands_of(chunks: DataFrame) -> DataFrame:
+    """One row per hand, as the feature, encoding and canonical operators read hands: chunk_id, hand_id, hand_idx,
+    hero_seat, button_seat, max_seats, n_players, bb, sb, game_type, limit_type, showdown. Missing numbers are 0, missing
+    texts empty."""
+    m, o = F.col("hand.metadata"), F.col("hand.outcome")
+    return _hands(chunks).select(
+        "chunk_id", "hand_id", "hand_idx", *(_filled(m[c], 0).alias(c) for c in ("hero_seat", "button_seat", "max_seats")), F.coalesce(F.size("hand.players"), F.lit(0)).alias("n_players"),
+        *(_filled(m[c], 0.0).alias(c) for c in ("bb", "sb")), *(_filled(m[c], "").alias(c) for c in ("game_type", "limit_type")), _filled(o["showdown"], False).alias("showdown"),
+    )
+
+
+def actions_rows(chunks: DataFrame) -> DataFrame:
+    """One row per action, as those operators read actions: hand_id, ord (from 1, by numeric action id), street and
+    action_type trimmed in lower case, seat (-1 where none is told), amount, amount_bb, raise_to, call_to, pot_before,
+    pot_after. Missing money is 0, but raise_to and call_to stay null."""
+    a = actions_of(chunks)
+    word = lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))).alias(c)
+    money = lambda c, name: F.coalesce(F.col(c), F.lit(0.0)).alias(name)
+    return a.select(
+        F.concat_ws("#", "chunk_id", "hand_idx").alias("hand_id"), "ord", "action_id", word("street"), word("action_type"), F.coalesce("actor_seat", F.lit(-1)).alias("seat"),
+        money("amount", "amount"), money("normalized_amount_bb", "amount_bb"), "raise_to", "call_to", money("pot_before", "pot_before"), money("pot_after", "pot_after"),
+    )
+
+
+def players_of(chunks: DataFrame) -> DataFrame:
+    """hand_id, nth, seat (of seat, else of a ``seat_N`` identifier, else 0), stack, player_uid."""
+    p = _hands(chunks).select("hand_id", F.posexplode("hand.players").alias("nth", "p"))
+    seat = F.coalesce(F.nullif(F.col("p.seat"), F.lit(0)), seat_of_uid("p.player_uid"))
+    return p.select("hand_id", "nth", seat.alias("seat"), F.coalesce("p.starting_stack", F.lit(0.0)).alias("stack"), "p.player_uid")
+
+
+def streets_of(chunks: DataFrame) -> DataFrame:
+    """hand_id, nth, street."""
+    s = _hands(chunks).select("hand_id", F.posexplode("hand.streets").alias("nth", "s"))
+    return s.select("hand_id", "nth", F.coalesce("s.street", "s.name", F.lit("")).alias("street"))
+
+
+def load_benchmark(spark: SparkSession, path: str, *, ratio: float = 0.15, seed: int = 44, glob: str = "*.json*") -> DataFrame:
+    """Labelled chunks with split train or validation: the file's own splits where it has both; else the rows are dealt by
+    a hash of their id and ``seed``. Chunks without a label are left out. No training or no validation rows are an error."""
+    chunks = read_chunks(spark, path, glob=glob).where("label is not null")
+    told = chunks.agg(F.count_if(F.col("split") == "train").alias("t"), F.count_if(F.col("split") == "validation").alias("v")).first()
+    if not (told["t"] and told["v"]):
+        chunks = hash_split(chunks.drop("split"), "chunk_id", ratio, seed)
+    sizes = chunks.agg(F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "validation").alias("validation")).first().asDict()
+    if not all(sizes.values()):
+        raise ValueError(f"no {min(sizes, key=sizes.get)} samples found")
+    return chunks
+
+
+def load_samples(spark: SparkSession, path: str, *, mode: str = "auto", glob: str = "*.json*") -> DataFrame:
+    """Chunks to be evaluated or scored. ``labelled`` keeps those with a label, ``raw`` all, with label -1 where there is
+    none; ``auto`` is labelled if any chunk has a label."""
+    chunks = read_chunks(spark, path, glob=glob)
+    if mode == "auto":
+        mode = "labelled" if is_labelled(chunks).first()["some"] else "raw"
+    return chunks.where("label is not null") if mode == "labelled" else chunks.withColumn("label", F.coalesce("label", F.lit(-1)))

@@ -18,6 +18,26 @@ def write_report(rows: DataFrame, path: str, *, by: str) -> None:
     rows.orderBy(F.col(by).desc()).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_metrics(metrics: dict[str, float] | DataFrame, path: str, spark: SparkSession | None = None) -> None:
+    """A bundle of metrics as one JSON document: a dictionary, or a table of one row."""
+    rows = metrics if isinstance(metrics, DataFrame) else spark.createDataFrame([tuple(float(v) for v in metrics.values())], ", ".join(f"`{k}` double" for k in metrics))
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_vocabulary(vocabulary: DataFrame, path: str, *, by: tuple[str, ...] = ("n", "rank")) -> None:
+    """A vocabulary of bounded size in its order, with its counts, as one JSON lines file."""
+    vocabulary.orderBy(*by).coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_vocabulary`` wrote; empty (n, rank, gram, cnt) where there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    kinds = "n int, rank int, gram string, cnt long"
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], kinds)
+    return spark.read.schema(kinds).json(path)
+
+
 def write_dataset(chunks: DataFrame, path: str, *, partition: str = "source_date") -> None:
     """A dataset partitioned for later pruning; days that are rewritten replace themselves only."""
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
