@@ -9,6 +9,7 @@ from quillon import bindings as B
 from quillon.functions import scalars as S
 from quillon.operators import board as L
 from quillon.operators import metrics as M
+from quillon.operators import rollups as R
 from quillon.operators import sequences as Q
 from quillon.plans.catalog import query
 from quillon.plans.metrics import CURVE_SQL
@@ -101,11 +102,8 @@ SELECT count(*) AS nodes, count(*) FILTER (WHERE c_acctbal > 0) AS active, count
   count(*) FILTER (WHERE c_nationkey % 2 = 1 AND c_acctbal > 0 AND c_custkey <> 0) AS active_miners, (SELECT c_acctbal FROM customer WHERE c_custkey = 1) AS burn_balance FROM customer""")
 def network_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = B.table(spark, sf_dir, "customer")
-    permit, active = F.col("c_nationkey") % 2 == 0, F.col("c_acctbal") > 0
-    return c.agg(
-        F.count(F.lit(1)).alias("nodes"), F.count_if(active).alias("active"), F.count_if(permit).alias("permits"), F.count_if(permit & active).alias("active_validators"),
-        F.count_if(~permit & active & (F.col("c_custkey") != 0)).alias("active_miners"), F.max(F.when(F.col("c_custkey") == 1, F.col("c_acctbal"))).alias("burn_balance"),
-    )
+    nodes = c.select(F.col("c_custkey").alias("uid"), (F.col("c_nationkey") % 2 == 0).alias("permit"), (F.col("c_acctbal") > 0).alias("active"), F.col("c_acctbal").alias("balance"))
+    return R.network_snapshot(nodes, burn_uid=1)
 
 
 MANIFEST_SQL = """
@@ -180,14 +178,12 @@ SELECT c_custkey AS uid, coalesce(c_name, 'unknown') AS hotkey, n_name AS model_
 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS orders, sum(o_totalprice) AS spent FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey LEFT JOIN supplier ON s_suppkey = c_custkey""")
 def leaderboard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per uid from four sources, each of which may lack it."""
-    c, n = B.table(spark, sf_dir, "customer"), B.table(spark, sf_dir, "nation")
-    spent = B.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("orders"), F.sum("o_totalprice").alias("spent"))
-    s = B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), "s_name")
-    out = c.join(n, c["c_nationkey"] == n["n_nationkey"], "left").join(spent, "c_custkey", "left").join(s, "c_custkey", "left")
-    return out.select(
-        F.col("c_custkey").alias("uid"), F.coalesce("c_name", F.lit("unknown")).alias("hotkey"), F.col("n_name").alias("model_name"), F.coalesce("orders", F.lit(0)).alias("sample_count"),
-        F.round(F.coalesce("spent", F.lit(0.0)) + 1e-9, 2).alias("reward"), F.col("s_name").alias("digest"),
-    )
+    c = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_name").alias("hotkey"), "c_nationkey")
+    models = c.join(B.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("uid", F.col("n_name").alias("model_name"))
+    spent = B.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("uid")).agg(F.count(F.lit(1)).alias("sample_count"), F.sum("o_totalprice").alias("reward"))
+    digests = B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("uid"), F.col("s_name").alias("digest"))
+    out = R.leaderboard(c.select("uid", "hotkey"), [models, spent, digests], "uid", defaults={"hotkey": "unknown", "sample_count": 0, "reward": 0.0})
+    return out.withColumn("reward", F.round(F.col("reward") + 1e-9, 2))
 
 
 @query("""
@@ -210,8 +206,8 @@ def unseen_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def admitted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A membership test as a semi join."""
-    c, o = B.table(spark, sf_dir, "customer"), B.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
-    return c.join(o, c["c_custkey"] == o["o_custkey"], "left_semi").select("c_custkey")
+    o = B.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return R.admitted(B.table(spark, sf_dir, "customer"), o, "c_custkey").select("c_custkey")
 
 
 @query("""
@@ -219,12 +215,9 @@ WITH a AS (SELECT s_suppkey AS uid, s_name AS k FROM supplier WHERE s_suppkey %
 SELECT coalesce(a.uid, b.uid) AS uid, CASE WHEN a.uid IS NULL THEN 'new' WHEN b.uid IS NULL THEN 'gone' WHEN a.k = b.k THEN 'same' ELSE 'reset' END AS state FROM a FULL JOIN b ON a.uid = b.uid""")
 def owner_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old and new owners by uid: a changed owner resets the score, new uids lengthen the vector."""
-    s = B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("uid"), "s_name")
-    old = s.where("uid % 5 <> 0").withColumnRenamed("s_name", "old")
-    new = s.where("uid % 7 <> 0").select("uid", F.when(F.col("uid") % 3 == 0, F.concat("s_name", F.lit("x"))).otherwise(F.col("s_name")).alias("new"))
-    both = old.join(new, "uid", "full")
-    state = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "gone").when(F.col("old").eqNullSafe(F.col("new")), "same").otherwise("reset")
-    return both.select("uid", state.alias("state"))
+    s = B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("uid"), F.col("s_name").alias("owner"))
+    new = s.where("uid % 7 <> 0").withColumn("owner", F.when(F.col("uid") % 3 == 0, F.concat("owner", F.lit("x"))).otherwise(F.col("owner")))
+    return R.owner_states(s.where("uid % 5 <> 0"), new, "uid", "owner")
 
 
 @query("""
@@ -250,19 +243,18 @@ def mixed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT 'orders' AS origin, o_orderkey AS k FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'customers', c_custkey FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'parts', p_partkey FROM part WHERE p_size = 1""")
 def union_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = B.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.lit("orders").alias("origin"), F.col("o_orderkey").alias("k"))
-    c = B.table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.lit("customers").alias("origin"), F.col("c_custkey").alias("k"))
-    p = B.table(spark, sf_dir, "part").where("p_size = 1").select(F.lit("parts").alias("origin"), F.col("p_partkey").alias("k"))
-    return o.unionByName(c).unionByName(p)
+    o = B.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"))
+    c = B.table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("k"))
+    p = B.table(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").alias("k"))
+    return R.union_of({"orders": o, "customers": c, "parts": p})
 
 
 @query("""
 SELECT o_orderpriority, list_sort(list_distinct(list(o_orderstatus))) = ['F', 'O', 'P'] AS has_all, array_to_string(list_sort(list_filter(['F', 'O', 'P', 'X'], lambda s: NOT list_contains(list_distinct(list(o_orderstatus)), s))), ',') AS absent FROM orders GROUP BY o_orderpriority""")
 def set_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subset and difference against a required set."""
-    got = B.table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.collect_set("o_orderstatus").alias("s"))
-    need, more = F.array(*map(F.lit, "FOP")), F.array(*map(F.lit, "FOPX"))
-    return got.select("o_orderpriority", (F.size(F.array_except(need, "s")) == 0).alias("has_all"), F.array_join(F.array_sort(F.array_except(more, "s")), ",").alias("absent"))
+    got = R.set_report(B.table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", required=["F", "O", "P"], wanted=["F", "O", "P", "X"])
+    return got.select("o_orderpriority", "has_all", F.array_join("absent", ",").alias("absent"))
 
 
 @query("""
@@ -278,13 +270,11 @@ def content_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(B.with_sql("""
-SELECT cycle, count(*) AS n, round(min(score) + 1e-9, 6) AS lowest, round(max(score) + 1e-9, 6) AS highest, round(avg(score) + 1e-9, 6) AS mean, count(*) FILTER (WHERE score > 0) AS nonzero, round(count(DISTINCT uid) / 150.0::DOUBLE + 1e-9, 6) AS response_rate FROM responses GROUP BY cycle"""))
+SELECT cycle, count(*) AS n, round(min(score) + 1e-9, 6) AS lowest, round(max(score) + 1e-9, 6) AS highest, round(avg(score) + 1e-9, 6) AS mean, count(*) FILTER (WHERE score > 0) AS nonzero, round(count(DISTINCT uid) / (SELECT count(DISTINCT user_id) FROM events)::DOUBLE + 1e-9, 6) AS response_rate FROM responses GROUP BY cycle"""))
 def cycle_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = B.responses(spark, sf_dir)
-    return r.groupBy("cycle").agg(
-        F.count(F.lit(1)).alias("n"), S.tidy(F.min("score")).alias("lowest"), S.tidy(F.max("score")).alias("highest"), S.tidy(F.avg("score")).alias("mean"),
-        F.count_if(F.col("score") > 0).alias("nonzero"), S.tidy(F.countDistinct("uid") / 150).alias("response_rate"),
-    )
+    everyone = r.agg(F.countDistinct("uid")).first()[0]
+    return _tidy(R.cycle_summary(r, ["cycle"], "score", "uid", everyone), "cycle", "n", "nonzero")
 
 
 @query(B.with_sql("""
@@ -293,10 +283,10 @@ SELECT acts.hand_id, ord, coalesce(round(stack, 2), -1) AS stack FROM acts LEFT
 def actor_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every action with its actor's stack: the last player listed for a seat counts, a seat without one has none."""
     li = B.table(spark, sf_dir, "lineitem").where("l_linenumber > 1")
-    players = li.select(F.col("l_orderkey").alias("hand_id"), (F.col("l_suppkey") % 6 + 1).cast("int").alias("seat"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("at"))
-    last = players.groupBy("hand_id", "seat").agg(F.max("at").alias("at"))
-    out = B.actions(spark, sf_dir).join(last, ["hand_id", "seat"], "left")
-    return out.select("hand_id", F.col("ord").cast("long").alias("ord"), F.coalesce(F.round("at.l_extendedprice", 2), F.lit(-1.0)).alias("stack"))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    players = li.select(F.col("l_orderkey").alias("hand_id"), (F.col("l_suppkey") % 6 + 1).cast("int").alias("seat"), *order, F.col("l_extendedprice").alias("stack"))
+    out = R.with_last(B.actions(spark, sf_dir), players, ["hand_id", "seat"], order, "stack")
+    return out.select("hand_id", F.col("ord").cast("long").alias("ord"), F.coalesce(F.round("stack", 2), F.lit(-1.0)).alias("stack"))
 
 
 @query("""
@@ -309,8 +299,7 @@ def batch_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = o.select(F.col("o_custkey").alias("batch"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("long").alias("i"), F.col("o_orderkey").alias("own"))
     k, n = F.col("c_custkey"), F.col("c_custkey") % 6
     refs = B.table(spark, sf_dir, "customer").select(k.alias("batch"), F.when(n > 0, F.sequence(k * 10, k * 10 + n - 1)).otherwise(F.array().cast("array<bigint>")).alias("ids"))
-    given = refs.select("batch", F.posexplode("ids").alias("i", "given")).withColumn("i", F.col("i").cast("long"))
-    return own.join(given, ["batch", "i"], "left").select("batch", "i", F.coalesce("given", "own").alias("reference"))
+    return R.by_position(own, refs, "batch", "i", "ids", "own", "reference").drop("own")
 
 
 @query(B.with_sql("""
@@ -319,10 +308,9 @@ FROM customer LEFT JOIN (SELECT user_id, avg(value) / 1000 AS m FROM events GROU
 def degraded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model's score, else a heuristic's, else one half."""
     c = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chunk_id"))
-    model = B.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("chunk_id")).agg((F.avg("value") / 1000).alias("m"))
-    rule = B.hands(spark, sf_dir).groupBy("chunk_id").agg((F.avg(F.col("hand_id") % 10) / 10).alias("h"))
-    origin = F.when(F.col("m").isNotNull(), "model").when(F.col("h").isNotNull(), "heuristic").otherwise("constant")
-    return c.join(model, "chunk_id", "left").join(rule, "chunk_id", "left").select("chunk_id", S.tidy(F.coalesce("m", "h", F.lit(0.5))).alias("score"), origin.alias("origin"))
+    model = B.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("chunk_id")).agg((F.avg("value") / 1000).alias("score"))
+    rule = B.hands(spark, sf_dir).groupBy("chunk_id").agg((F.avg(F.col("hand_id") % 10) / 10).alias("score"))
+    return _tidy(R.degraded(c, "chunk_id", [("model", model), ("heuristic", rule)]), "chunk_id", "origin")
 
 
 @query("""
@@ -330,15 +318,22 @@ WITH r AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY us
 SELECT user_id, count(*) AS reports, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type = 'purchase') AS passed, round(max(value) + 1e-9, 6) AS worst FROM r WHERE b <= 32 GROUP BY user_id""")
 def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by status over the last 32 reports of each key; the evidence itself is left out."""
-    e = B.table(spark, sf_dir, "events").select("user_id", "event_type", "value", "ts", "event_id")
-    kind = F.col("event_type")
-    return _newest(e, 32).groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("reports"), F.count_if(kind == "error").alias("failed"), F.count_if(kind == "purchase").alias("passed"), S.tidy(F.max("value")).alias("worst")
-    )
+    e = B.table(spark, sf_dir, "events")
+    out = R.audit_report(e, ["user_id"], ["ts", "event_id"], "event_type", {"failed": "error", "passed": "purchase"}, worst="value")
+    return out.withColumn("worst", S.tidy("worst"))
 
 
-def _newest(rows: DataFrame, n: int) -> DataFrame:
-    return Q.trailing(rows, ["user_id"], ["ts", "event_id"], n)
+@query("""
+WITH RECURSIVE s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CASE event_type WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'passed' WHEN 'error' THEN 'failed' ELSE 'noted' END AS x FROM events),
+f AS (SELECT user_id, 0 AS i, 'pending' AS status, 0 AS n FROM (SELECT DISTINCT user_id FROM events)
+      UNION ALL SELECT f.user_id, s.i, CASE WHEN ok THEN x ELSE status END, n + ok::INT FROM f JOIN (SELECT s.* FROM s) s ON s.user_id = f.user_id AND s.i = f.i + 1,
+        LATERAL (SELECT (status || '>' || x) IN ('pending>running', 'running>passed', 'running>failed', 'failed>running', 'passed>running') AS ok))
+SELECT user_id, arg_max(status, i) AS status, max(n)::INT AS n FROM f GROUP BY user_id""")
+def audit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the audit of each key stands after its events."""
+    kind = F.col("event_type")
+    told = F.when(kind == "view", "running").when(kind == "purchase", "passed").when(kind == "error", "failed").otherwise("noted")
+    return R.audit_states(B.table(spark, sf_dir, "events").select("user_id", "ts", "event_id", told.alias("status")), "user_id", ["ts", "event_id"])
 
 
 @query("""
