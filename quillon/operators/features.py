@@ -217,11 +217,21 @@ def gram_columns(means: DataFrame, chunks: DataFrame, grams: list[str]) -> DataF
 
 
 # ---------------------------------------------------------------- pooled chunk features
-def pooled_features(hands: DataFrame, actions: DataFrame, *, bb: float = 0.02) -> DataFrame:
-    """The chunk features that pool all its actions: mixes, rates, entropies, sizes, signatures and rhythms."""
-    a = actions.join(hands.select("hand_id", "chunk_id"), "hand_id").withColumn("kind", norm_text("action_type"))
+def pooled_features(hands: DataFrame, actions: DataFrame, *, streets: DataFrame | None = None, bb: float = 0.02) -> DataFrame:
+    """The chunk features that pool all its actions: mixes, rates, entropies, sizes, signatures and rhythms.
+
+    A big blind is that of ``hands`` where it has bb (0: unknown, then pots have no size), else ``bb``. An action without
+    amount_bb has its amount in big blinds. ``hands`` may have seated, the number of taken seats. A street counts as covered
+    if an action or ``streets`` (hand_id, street) names it."""
+    blind = F.coalesce(F.col("bb").cast("double"), F.lit(0.0)) if "bb" in hands.columns else F.lit(bb)
+    told = hands.select("hand_id", "chunk_id", F.when(blind > 0, blind).alias("blind"))
+    a = actions.join(told, "hand_id").withColumns({"kind": norm_text("action_type"), "street": norm_text("street", "preflop"), "seat": F.greatest(F.coalesce("seat", F.lit(0)), F.lit(0))})
+    a = a.withColumn("amount_bb", F.when(F.col("amount_bb") > 0, F.col("amount_bb")).otherwise(F.greatest(F.coalesce(F.col("amount") / F.col("blind"), F.lit(0.0)), F.lit(0.0))))
     is_in = lambda *names: F.count_if(F.col("kind").isin(*names)).cast("double")
     amount = F.col("amount_bb")
+    pots = [F.when(F.col(c) > 0, F.col(c) / F.col("blind")) for c in ("pot_before", "pot_after")]
+    n_pots = F.count(pots[0]) + F.count(pots[1])
+    added = reduce(lambda x, y: x + y, (F.coalesce(F.sum(x), F.lit(0.0)) for x in pots))
     paid = F.when(amount > 0, amount)
     chunk = a.groupBy("chunk_id").agg(
         F.count(F.lit(1)).cast("double").alias("total"),
@@ -236,7 +246,7 @@ def pooled_features(hands: DataFrame, actions: DataFrame, *, bb: float = 0.02) -
         F.percentile(paid, F.array(F.lit(0.25), F.lit(0.75), F.lit(0.9))).alias("paid_q"),
         F.count_if(F.col("pot_after") - F.col("pot_before") > 1e-9).cast("double").alias("rises"),
         F.avg(F.when((F.col("amount") > 0) & (F.col("pot_before") > 0), F.least(F.col("amount") / F.col("pot_before"), F.lit(10.0)) / 10)).alias("to_pot"),
-        (F.sum((F.col("pot_before") + F.col("pot_after")) / bb) / (2 * F.count(F.lit(1)))).alias("pot_mean"), (F.max(F.greatest("pot_before", "pot_after")) / bb).alias("pot_max"),
+        ratio(added, n_pots).alias("pot_mean"), F.max(F.greatest(*pots)).alias("pot_max"),
     )
     symbols = a.groupBy("chunk_id").agg(F.lit(1).alias("one"))
     for c, scale in (("kind", 12), ("street", 4), ("seat", 9)):
@@ -244,23 +254,29 @@ def pooled_features(hands: DataFrame, actions: DataFrame, *, bb: float = 0.02) -
         symbols = symbols.join(per.groupBy("chunk_id").agg(entropy(F.collect_list("c"), scale=scale).alias(f"h_{c}")), "chunk_id")
     in_hand = a.groupBy("chunk_id", "hand_id").agg(
         F.count(F.lit(1)).alias("n"), is_in("bet", "raise", "all_in", "allin").alias("aggressive"), F.collect_list("kind").alias("kinds"),
-        F.countDistinct(F.when(F.col("street").isin("preflop", "flop", "turn", "river"), F.col("street"))).alias("streets"),
     )
+    named = a.select("hand_id", "street")
+    if streets is not None:
+        named = named.unionByName(streets.select("hand_id", norm_text("street").alias("street")))
+    covered = named.where(F.col("street").isin("preflop", "flop", "turn", "river")).groupBy("hand_id").agg(F.countDistinct("street").alias("streets"))
     rhythm = switch_rate(a, ["hand_id"], "ord", "seat", "switches").join(longest_runs(a, ["hand_id"], "ord", "seat", "seat_run"), "hand_id")
     rhythm = rhythm.join(longest_runs(a, ["hand_id"], "ord", "kind", "kind_run"), "hand_id")
     labels = a.groupBy("hand_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", amount_label("amount_bb").alias("v")))), lambda x: x["v"]), ",").alias("sizes"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("kind").alias("v")))), lambda x: x["v"]), ",").alias("order"),
     )
-    h = hands.select("chunk_id", "hand_id", "n_players", "max_seats").join(in_hand.drop("chunk_id"), "hand_id", "left").join(rhythm, "hand_id", "left").join(labels, "hand_id", "left")
+    taken = F.col("seated" if "seated" in hands.columns else "n_players")
+    h = hands.select("chunk_id", "hand_id", "n_players", (taken / F.greatest("max_seats", F.lit(1))).alias("occupied"))
+    for x in (in_hand.drop("chunk_id"), covered, rhythm, labels):
+        h = h.join(x, "hand_id", "left")
     low = entropy(symbol_counts(F.col("kinds")), scale=12)
     count = F.coalesce("n", F.lit(0))
     per_chunk = h.groupBy("chunk_id").agg(
         F.count(F.lit(1)).cast("double").alias("num_hands"), F.avg(count).alias("acts_mean"), F.stddev_pop(count).alias("acts_std"),
-        F.avg("n_players").alias("players"), F.avg(F.col("n_players") / F.col("max_seats")).alias("occupied"),
+        F.avg("n_players").alias("players"), F.avg("occupied").alias("occupied"),
         F.avg(F.coalesce("streets", F.lit(0)) / 4).alias("coverage"), F.avg("switches").alias("switches"),
         F.avg(F.col("seat_run") / F.col("n")).alias("seat_run"), F.avg(F.col("kind_run") / F.col("n")).alias("kind_run"),
-        F.count_if(low <= 0.35).cast("double").alias("lows"), F.count_if(F.col("aggressive") / F.col("n") >= 0.35).cast("double").alias("highs"),
+        F.count_if(F.col("n").isNotNull() & (low <= 0.35)).cast("double").alias("lows"), F.count_if(F.col("aggressive") / F.col("n") >= 0.35).cast("double").alias("highs"),
         F.count_if(F.col("n") >= 12).cast("double").alias("longs"),
     )
     out = per_chunk.join(chunk, "chunk_id", "left").join(symbols.drop("one"), "chunk_id", "left")
@@ -312,6 +328,65 @@ def stack_features(players: DataFrame, bb: float) -> DataFrame:
     )
 
 
+#: The pooled chunk features in their canonical order.
+TABLE_FEATURES = tuple(
+    "num_hands_scaled avg_actions_per_hand_scaled std_actions_per_hand_scaled avg_players_norm avg_occupied_ratio showdown_rate"
+    " fold_rate check_rate call_rate bet_raise_rate all_in_rate blind_rate money_action_rate zero_amount_rate aggression_to_passive"
+    " preflop_action_rate postflop_action_rate street_coverage action_entropy_norm street_entropy_norm actor_entropy_norm"
+    " mean_amount_bb_scaled std_amount_bb_scaled max_amount_bb_scaled mean_pot_bb_scaled max_pot_bb_scaled pot_increase_rate"
+    " mean_amount_to_pot mean_stack_bb_scaled min_stack_bb_scaled max_stack_bb_scaled stack_spread_bb_scaled short_stack_rate"
+    " deep_stack_rate hero_present_rate button_present_rate visible_hole_card_rate showed_hand_rate action_signature_top_share"
+    " action_signature_unique_share amount_bucket_signature_top_share amount_bucket_signature_unique_share"
+    " low_action_entropy_hand_rate high_aggression_hand_rate amount_cv amount_iqr_bb_scaled amount_p90_bb_scaled"
+    " actor_switch_rate max_actor_run_norm max_action_type_run_norm long_action_hand_rate".split()
+)
+
+
+def _at_table(hands: DataFrame, players: DataFrame) -> DataFrame:
+    """Per hand: listed players, taken seats, the highest one, whether hero and button are taken, cards seen and shown."""
+    p = players.join(hands.select("hand_id", "hero_seat", "button_seat"), "hand_id")
+    seat = F.when(F.col("seat") > 0, F.col("seat"))
+    return p.groupBy("hand_id").agg(
+        F.count(F.lit(1)).alias("listed"), F.countDistinct(seat).alias("seated"), F.max(seat).alias("top"),
+        F.coalesce(F.max(seat == F.col("hero_seat")), F.lit(False)).alias("hero"), F.coalesce(F.max(seat == F.col("button_seat")), F.lit(False)).alias("button"),
+        F.count_if("visible").alias("visible"), F.count_if("showed").alias("showed"),
+    )
+
+
+def player_features(hands: DataFrame, players: DataFrame) -> DataFrame:
+    """Per chunk how often there is a showdown and hero and button are taken seats (of its hands), and how often cards are
+    seen and shown (of its listed players). ``hands``: chunk_id, hand_id, hero_seat, button_seat, showdown; ``players``:
+    hand_id, seat, visible, showed."""
+    h = hands.select("chunk_id", "hand_id", "showdown").join(_at_table(hands, players), "hand_id", "left")
+    per = h.groupBy("chunk_id").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("listed"), F.lit(0)).alias("listed"), *(F.count_if(c).alias(c) for c in ("showdown", "hero", "button")),
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("visible", "showed")),
+    )
+    return per.select(
+        "chunk_id", ratio("showdown", "n").alias("showdown_rate"), ratio("hero", "n").alias("hero_present_rate"), ratio("button", "n").alias("button_present_rate"),
+        ratio("visible", "listed").alias("visible_hole_card_rate"), ratio("showed", "listed").alias("showed_hand_rate"),
+    )
+
+
+def table_features(chunks: DataFrame, hands: DataFrame, actions: DataFrame, players: DataFrame, streets: DataFrame) -> DataFrame:
+    """All of ``TABLE_FEATURES`` for every row of ``chunks`` (chunk_id), 0 for chunks without hands.
+
+    ``hands``, ``actions``, ``players`` and ``streets`` are as the readers' ``hands_of``, ``actions_rows``, ``players_of``
+    and ``streets_of`` give them. Seats of a table: max_seats where it is told, else the highest seat of hero, button,
+    players and actions, at least 1. Players of a hand: its taken seats, or the listed ones if none has a seat."""
+    at = _at_table(hands, players).select("hand_id", "listed", "seated", "top")
+    acted = actions.groupBy("hand_id").agg(F.max("seat").alias("acted"))
+    h = hands.drop("n_players", "seated").join(at, "hand_id", "left").join(acted, "hand_id", "left")
+    whole = lambda c: F.coalesce(F.col(c), F.lit(0))
+    seen = F.greatest(*(whole(c) for c in ("hero_seat", "button_seat", "top", "acted")), F.lit(1))
+    h = h.withColumns({"seated": whole("seated"), "n_players": F.coalesce(F.nullif("seated", F.lit(0)), whole("listed")), "max_seats": F.when(F.col("max_seats") > 0, F.col("max_seats")).otherwise(seen)})
+    stacks = players.join(hands.select("chunk_id", "hand_id", "bb"), "hand_id").select("chunk_id", F.when(F.col("bb") > 0, F.col("stack") / F.nullif("bb", F.lit(0.0))).alias("stack"))
+    out = chunks.select("chunk_id").distinct()
+    for part in (pooled_features(h, actions, streets=streets), stack_features(stacks, 1.0), player_features(hands, players)):
+        out = out.join(part, "chunk_id", "left")
+    return out.select("chunk_id", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in TABLE_FEATURES))
+
+
 def standardize(rows: DataFrame, names: list[str]) -> DataFrame:
     """Population z-scores of the columns; a spread below 1e-6 counts as 1. The one-row statistics are broadcast."""
     stats = rows.agg(*(F.avg(c).alias(f"{c}__m") for c in names), *(F.stddev_pop(c).alias(f"{c}__s") for c in names))

@@ -165,6 +165,32 @@ def pooled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(X.pooled_features(B.hands(spark, sf_dir), B.actions(spark, sf_dir)), "chunk_id")
 
 
+def _seen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    hands = B.tables(spark, sf_dir).withColumn("showdown", F.col("hand_id") % 2 == 0)
+    of = F.col("hand_id") + F.col("seat")
+    return hands, B.players(spark, sf_dir).withColumns({"visible": of % 3 == 0, "showed": of % 5 == 0})
+
+
+@query(B.with_sql(""",
+p AS (SELECT hand_id, count(*) AS n, max((seat = hero_seat)::INT) AS hero, max((seat = button_seat)::INT) AS button,
+             count(*) FILTER (WHERE (hand_id + seat) % 3 = 0) AS visible, count(*) FILTER (WHERE (hand_id + seat) % 5 = 0) AS showed
+      FROM players JOIN tables USING (hand_id) GROUP BY hand_id)
+SELECT chunk_id, round(avg((hand_id % 2 = 0)::INT) + 1e-9, 6) AS showdown_rate, round(sum(hero) / count(*)::DOUBLE + 1e-9, 6) AS hero_present_rate,
+  round(sum(button) / count(*)::DOUBLE + 1e-9, 6) AS button_present_rate, round(sum(visible) / sum(n)::DOUBLE + 1e-9, 6) AS visible_hole_card_rate,
+  round(sum(showed) / sum(n)::DOUBLE + 1e-9, 6) AS showed_hand_rate FROM tables LEFT JOIN p USING (hand_id) GROUP BY chunk_id"""))
+def player_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often there is a showdown, hero and button sit at the table, and cards are seen and shown."""
+    return _tidy(X.player_features(*_seen(spark, sf_dir)), "chunk_id")
+
+
+@query()
+def table_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chunk vector of 51 columns, also for chunks without hands; the tests compare it with a plain loop."""
+    chunks = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chunk_id"))
+    hands, players = _seen(spark, sf_dir)
+    return _tidy(X.table_features(chunks, hands, B.actions(spark, sf_dir), players, B.streets(spark, sf_dir)), "chunk_id")
+
+
 @query("""
 WITH p AS (SELECT l_suppkey AS chunk_id, l_quantity AS stack FROM lineitem), s AS (
   SELECT chunk_id, avg(stack / 0.5) AS m, min(stack / 0.5) AS lo, max(stack / 0.5) AS hi, count(*) AS n, count(*) FILTER (WHERE stack / 0.5 <= 20) AS sh, count(*) FILTER (WHERE stack / 0.5 >= 100) AS dp

@@ -207,10 +207,11 @@ def actions_rows(chunks: DataFrame) -> DataFrame:
 
 
 def players_of(chunks: DataFrame) -> DataFrame:
-    """hand_id, nth, seat (of seat, else of a ``seat_N`` identifier, else 0), stack, player_uid."""
+    """hand_id, nth, seat (of seat, else of a ``seat_N`` identifier, else 0), stack, player_uid, visible (whether hole cards
+    are told) and showed."""
     p = _hands(chunks).select("hand_id", F.posexplode("hand.players").alias("nth", "p"))
     seat = F.coalesce(F.nullif(F.col("p.seat"), F.lit(0)), seat_of_uid("p.player_uid"))
-    return p.select("hand_id", "nth", seat.alias("seat"), F.coalesce("p.starting_stack", F.lit(0.0)).alias("stack"), "p.player_uid")
+    return p.select("hand_id", "nth", seat.alias("seat"), F.coalesce("p.starting_stack", F.lit(0.0)).alias("stack"), "p.player_uid", F.coalesce(F.size("p.hole_cards") > 0, F.lit(False)).alias("visible"), _filled(F.col("p.showed_hand"), False).alias("showed"))
 
 
 def streets_of(chunks: DataFrame) -> DataFrame:

@@ -173,3 +173,44 @@ def test_a_promoted_model_comes_back_whole(spark, tmp_path):
     assert mixed[4] == pytest.approx(0.6 * plain[4] + 0.4) and mixed[150] == pytest.approx(plain[150])
     with pytest.raises(ValueError):
         D.predict_chunks(served, rows.drop("b"))
+
+
+def test_whole_chunk_vector_against_a_loop(spark, tmp_path):
+    acts = [
+        [action(1, "preflop", 1, "raise", 0.06, 0.03, 0.09), action(2, "preflop", 2, "call", 0.04, 0.09, 0.13), action(3, " Flop", 2, "check", 0.0, 0.13, 0.13), action(4, "flop", 1, "bet", 0.4, 0.13, 0.53)],
+        [action(1, "", 1, "small blind", 0.01), action(2, "preflop", None, "fold")], [],
+    ]
+    hands = [hand(acts[0], streets=("preflop", "turn"), seats=6), hand(acts[1], hero=4, seats=0, players=(1, 3)), hand(acts[2], players=(), streets=())]
+    hands[0]["actions"][1]["normalized_amount_bb"] = 0.0  # its amount is in money then
+    hands[1]["players"][0] |= {"hole_cards": [], "showed_hand": False, "starting_stack": 0}
+    hands[2]["outcome"] = {}
+    (tmp_path / "g.json").write_text(json.dumps([{"id": "x", "label": 1, "hands": hands}, {"id": "y", "label": 0, "hands": [hand([], players=())]}]))
+    rows = K.read_chunks(spark, f"file://{tmp_path}")
+    chunks = rows.select("chunk_id").unionByName(spark.createDataFrame([("none",)], "chunk_id string"))
+    out = X.table_features(chunks, K.hands_of(rows), K.actions_rows(rows), K.players_of(rows), K.streets_of(rows))
+    got = {r["chunk_id"]: r for r in out.collect()}
+    assert len(out.columns) == 52 and len(set(out.columns)) == 52 and all(v == 0 for v in got["none"][1:])
+
+    def log(x, cap=200.0):
+        return min(math.log1p(x) / math.log1p(cap), 1)
+
+    def entropy(counts, most):
+        return -sum(c / sum(counts) * math.log(c / sum(counts)) for c in counts) / math.log(most)
+
+    r = next(v for k, v in got.items() if k not in ("none",) and v["num_hands_scaled"] == pytest.approx(log(3, 32)))
+    sizes, pots = [3, 2, 20, 0.5], [1.5, 4.5, 4.5, 6.5, 6.5, 6.5, 6.5, 26.5]
+    mean = sum(sizes) / 4
+    std = math.sqrt(sum((x - mean) ** 2 for x in sizes) / 4)
+    want = {
+        "avg_actions_per_hand_scaled": log(2, 64), "avg_players_norm": (2 + 2 + 0) / 3 / 9, "avg_occupied_ratio": (2 / 6 + 2 / 4 + 0) / 3, "showdown_rate": 2 / 3,
+        "fold_rate": 1 / 5, "bet_raise_rate": 2 / 5, "blind_rate": 1 / 6, "money_action_rate": 4 / 6, "zero_amount_rate": 2 / 6, "aggression_to_passive": 1 / 5,
+        "preflop_action_rate": 4 / 6, "postflop_action_rate": 2 / 6, "street_coverage": (3 / 4 + 1 / 4 + 0) / 3,
+        "action_entropy_norm": entropy([1] * 6, 12), "street_entropy_norm": entropy([4, 2], 4), "actor_entropy_norm": entropy([3, 2, 1], 9),
+        "mean_amount_bb_scaled": log(mean), "std_amount_bb_scaled": log(std), "max_amount_bb_scaled": log(20), "mean_pot_bb_scaled": log(sum(pots) / 8), "max_pot_bb_scaled": log(26.5),
+        "pot_increase_rate": 3 / 6, "mean_amount_to_pot": (0.2 + 0.04 / 0.09 / 10 + 0.4 / 0.13 / 10) / 3,
+        "mean_stack_bb_scaled": log((100 + 200 + 300) / 3), "min_stack_bb_scaled": log(100), "max_stack_bb_scaled": 1.0, "stack_spread_bb_scaled": log(200), "short_stack_rate": 0.0, "deep_stack_rate": 3 / 4,
+        "hero_present_rate": 1 / 3, "button_present_rate": 2 / 3, "visible_hole_card_rate": 3 / 4, "showed_hand_rate": 3 / 4, "action_signature_top_share": 1 / 3, "action_signature_unique_share": 1.0,
+        "low_action_entropy_hand_rate": 1 / 3, "high_aggression_hand_rate": 1 / 3, "amount_cv": std / mean / 3, "actor_switch_rate": (2 / 3 + 1) / 2, "max_actor_run_norm": (2 / 4 + 1 / 2) / 2,
+        "max_action_type_run_norm": (1 / 4 + 1 / 2) / 2, "long_action_hand_rate": 0.0,
+    }
+    assert {k: r[k] for k in want} == pytest.approx(want, abs=1e-6)

@@ -114,7 +114,7 @@ def test_splits_and_bootstrap(spark):
     assert 400 < G.bootstrap(rows, 500, "id", 3).count() < 600
 
 
-@pytest.mark.parametrize("name", ["calibrated_detector", "blend_report", "synthetic_mix", "bootstrap_sample", "canonical_hands", "pooled_features"])
+@pytest.mark.parametrize("name", ["calibrated_detector", "blend_report", "synthetic_mix", "bootstrap_sample", "canonical_hands", "pooled_features", "table_features"])
 def test_queries_without_twins(spark, sf, name):
     from quillon.plans import registry
 
