@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -17,6 +18,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def stream_pattern(path: str) -> str:
-    """The path as a pattern that matches only itself: a stream then takes a single file as well as a folder."""
+    """The path as a pattern that matches only itself: a stream then takes a single file as well as a folder. A path that
+    is a pattern already stays one."""
     path = path.rstrip("/")
-    return f"{path[:-1]}[{path[-1]}]"
+    return path if set(path) & set("*?[]{}\\") else f"{path[:-1]}[{path[-1]}]"
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session's options are ``values`` within this block and as before after it. A stream keeps those it began with."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

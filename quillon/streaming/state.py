@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from quillon.sources.shared import shared_path, stream_pattern
+from quillon.sources.shared import settings, shared_path, stream_pattern
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 class RingBuffer(StatefulProcessor):
@@ -114,10 +117,8 @@ def unseen(stream: DataFrame, *, late: str = "7 days") -> DataFrame:
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, *, mode: str = "update") -> None:
     """Process what is there and stop. Offsets are committed after the sink returns: a batch that failed comes again
     under its number, so sinks write by number (at least once, idempotent)."""
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
-    stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    with settings(stream.sparkSession, STATE_STORE):
+        stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def latest(stream: DataFrame, key: str, *, state_dir: str | None = None, mode: str = "update") -> DataFrame:

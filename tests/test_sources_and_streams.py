@@ -107,6 +107,34 @@ def test_synthetic_hands_are_consistent_and_repeatable(spark):
             folded |= {a["seat"]} if a["action_type"] == "fold" else set()
 
 
+def test_synthetic_chunks_are_whole_hands(spark):
+    from quillon.operators import features as X
+
+    rows = synthetic.synthetic_chunks(spark, 80, per_chunk=10, partitions=3).persist()
+    got = {r["chunk_id"]: r for r in rows.collect()}
+    assert len(got) == 8 and {len(r["hands"]) for r in got.values()} == {10} and {k.split("-")[0] for k in got} == set(synthetic.ARCHETYPES)
+    for h in (h for r in got.values() for h in r["hands"]):
+        acts = h["actions"]
+        assert [a["action_type"] for a in acts[:2]] == ["small_blind", "big_blind"] and h["metadata"]["hand_ended_on_street"] == acts[-1]["street"]
+        assert h["outcome"]["total_pot"] == pytest.approx(sum(a["amount"] for a in acts), abs=0.01) and len(h["players"]) == 6
+        assert h["outcome"]["winners"][0] not in {f"seat_{a['actor_seat']}" for a in acts if a["action_type"] == "fold"}
+        assert all((a["raise_to"] is not None) == (a["action_type"] in ("bet", "raise")) and (a["call_to"] is not None) == (a["action_type"] == "call") for a in acts)
+    out = X.table_features(rows, chunks.hands_of(rows), chunks.actions_rows(rows), chunks.players_of(rows), chunks.streets_of(rows)).collect()
+    rate = {k: sum(r["bet_raise_rate"] for r in out if r["chunk_id"].startswith(k)) for k in synthetic.ARCHETYPES}
+    assert len(out) == 8 and max(rate, key=rate.get) == "aggressive"
+
+
+def test_options_come_back(spark):
+    from quillon.sources.shared import settings, stream_pattern
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    with settings(spark, {key: "x"}):
+        assert spark.conf.get(key) == "x"
+    assert spark.conf.get(key, None) == before
+    assert stream_pattern("/a/b.parquet/") == "/a/b.parque[t]" and stream_pattern("/a/{b,c}") == "/a/{b,c}"
+
+
 def test_splits_and_bootstrap(spark):
     rows = spark.range(1000).select("id", (F.col("id") % 10 == 0).alias("y"))
     got = {(r["y"], r["split"]): r["count"] for r in G.stratified_split(rows, "id", "y", 0.2, 44).groupBy("y", "split").count().collect()}
