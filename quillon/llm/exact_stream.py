@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.store import fresh_path
+from quillon.sources.shared import settings, stream_pattern
 
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -39,11 +40,8 @@ def ingest(spark: SparkSession, path: str, state_dir: str, *, digest=sha256_hex,
     Calling it again with the same ``state_dir`` after files were added continues where the last call (or a lost
     driver) ended; a batch that is replayed overwrites its own output.
     """
-    for key, value in STATE_STORE.items():
-        spark.conf.set(key, value)
     schema = spark.read.parquet(path).select("doc_id", "text").schema
-    either = f"{path[:-1]}[{path[-1]}]"  # as a pattern, the stream takes a single file as well as a folder
-    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(either)
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(stream_pattern(path))
     state = _rows(stream, digest).groupBy("digest").agg(
         F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"), F.min("place").alias("place")
     )
@@ -51,8 +49,9 @@ def ingest(spark: SparkSession, path: str, state_dir: str, *, digest=sha256_hex,
     def publish(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{state_dir}/published/batch={batch}")
 
-    query = state.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with settings(spark, STATE_STORE):
+        query = state.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
     kinds = f"digest string, keep_id {schema['doc_id'].dataType.simpleString()}, n long, place struct<file: string, row: long>, batch int"
     published = spark.read.schema(kinds).parquet(f"{state_dir}/published")
     # later batches only raise keep_id and n and lower place, so the newest entry is the extreme one
@@ -66,6 +65,7 @@ def exact_duplicates(spark: SparkSession, path: str, *, state_dir: str | None =
     Texts are equal when identical; null counts as empty. Of equal texts the largest doc_id stays; rows that share
     that doc_id as well are all marked kept (they are the same document). A null doc_id never stays while its group
     has another id; in a group without any id keep_id is null and kept false. An empty table gives an empty result.
+    ``path`` may be a file, a folder or a pattern; letters of a name that are pattern characters are escaped by the caller.
     Texts that share a digest but not their bytes are told apart by the byte check.
     """
     path = path.rstrip("/")

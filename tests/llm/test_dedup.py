@@ -311,6 +311,14 @@ def test_state_goes_on_when_files_are_added(spark, tmp_path):
     assert got[1] == (9, 2, False) and got[9] == (9, 2, True) and got[2] == (2, 1, True)
 
 
+def test_a_pattern_names_the_files_and_options_come_back(spark, tmp_path):
+    for name, rows in (("a", [(1, "x")]), ("b", [(2, "x")]), ("c", [(3, "x")])):
+        spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/{name}")
+    before = {k: spark.conf.get(k, None) for k in ES.STATE_STORE}
+    assert exact(spark, f"file://{tmp_path}/{{a,b}}") == {1: (2, 2, False), 2: (2, 2, True)}
+    assert {k: spark.conf.get(k, None) for k in ES.STATE_STORE} == before
+
+
 @pytest.mark.parametrize("name", ["op3_chosen_path_join", "op5_streaming_exact_dedup"])
 def test_against_sql(spark, sf, name):
     from compare import assert_same
