@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chosen_path, decontam, exact_stream, html_paths, langid, line_join, token_scan, unigram, url_filter, warc
+from quillon.llm import audit_queries, chosen_path, decontam, exact_stream, html_paths, langid, line_join, token_scan, unigram, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -158,8 +158,8 @@ def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc_bundles, op2_url_cascade, op3_chosen_path_join, op4_separator_scan, op5_streaming_exact_dedup, op6_tag_path_text, op7_positional_index, op8_language_evidence, language_of_pages, op9_unigram_round_trip, op10_line_edit_join)}
+    return {f.__name__: f for f in (op1_warc_bundles, op2_url_cascade, op3_chosen_path_join, op4_separator_scan, op5_streaming_exact_dedup, op6_tag_path_text, op7_positional_index, op8_language_evidence, language_of_pages, op9_unigram_round_trip, op10_line_edit_join)} | audit_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_bundles": OP1_SQL, "op2_url_cascade": OP2_SQL, "op3_chosen_path_join": OP3_SQL, "op5_streaming_exact_dedup": OP5_SQL, "op6_tag_path_text": OP6_SQL, "op7_positional_index": OP7_SQL}
+    return {"op1_warc_bundles": OP1_SQL, "op2_url_cascade": OP2_SQL, "op3_chosen_path_join": OP3_SQL, "op5_streaming_exact_dedup": OP5_SQL, "op6_tag_path_text": OP6_SQL, "op7_positional_index": OP7_SQL} | audit_queries.oracle_sql()
