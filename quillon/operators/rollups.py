@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,18 +138,34 @@ def audit_report(rows: DataFrame, keys: list[str], order: list[str], status: str
     return recent.groupBy(*keys).agg(F.count(F.lit(1)).alias("reports"), *counts, *([F.max(worst).alias("worst")] if worst else []))
 
 
-#: Which status of an audit may follow which; others leave it as it is.
-AUDIT_STEPS = (("pending", "running"), ("running", "passed"), ("running", "failed"), ("failed", "running"), ("passed", "running"))
-
-
-def audit_states(events: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """key, status, n of audits after their events (key, status) in order, from pending; an event that may not follow the
-    status is ignored. A key's events are folded in order within its row, 64 bytes each."""
-    may = F.array(*(F.lit(f"{a}>{b}") for a, b in AUDIT_STEPS))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(*order, "status"))), lambda x: x["status"])
-    step = lambda a, x: F.when(F.array_contains(may, F.concat(a["status"], F.lit(">"), x)), F.struct(x.alias("status"), (a["n"] + 1).alias("n"))).otherwise(a)
-    start = F.struct(F.lit("pending").alias("status"), F.lit(0).alias("n"))
-    return events.groupBy(key).agg(listed.alias("__l")).select(key, F.aggregate("__l", start, step).alias("__s")).select(key, "__s.status", "__s.n")
+def audit_status(provider: Column, mode: Column, configured: Column, error: Column, proof: Column, *, supported: str) -> tuple[Column, Column]:
+    """(status, status_reason) of a report by what was asked of the provider and what came back."""
+    name, how = F.lower(F.trim(F.coalesce(provider, F.lit("none")))), F.lower(F.trim(F.coalesce(mode, F.lit(""))))
+    ready, failed = F.coalesce(configured, F.lit(False)), error.isNotNull()
+    status = (
+        F.when(name == "none", "local_only").when(name != supported, "provider_unsupported").when(how == "disabled", "provider_disabled").when(~ready, "provider_unconfigured")
+        .when(failed, "provider_failed").when(F.coalesce(proof, F.lit(False)), "verified").otherwise("provider_completed")
+    )
+    short = F.trim(error)
+    reason = (
+        F.when(status == "local_only", "audit provider disabled").when(status == "provider_unsupported", F.concat(F.lit("unsupported provider: "), name)).when(status == "provider_disabled", "audit mode disabled")
+        .when(status == "provider_unconfigured", "missing provider configuration").when(status == "provider_failed", F.when(F.length(short) <= 300, short).otherwise(F.concat(F.substring(short, 1, 300), F.lit("..."))))
+    )
+    return status, F.coalesce(reason, F.lit(""))
+
+
+def audit_lane(reports: DataFrame, keys: list[str], order: list[str], *, last: int = 32) -> DataFrame:
+    """``reports`` (status, proof_verified) with previous_status and, over the key's ``last`` reports up to each,
+    recent_reports, verified_reports and failed_reports: what a provider did not do, or did wrong. The stream's form is
+    ``streaming.buffers.audit_lane``."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    recent = w.rowsBetween(1 - last, 0)
+    verified = F.coalesce(F.col("proof_verified"), F.lit(False))
+    failed = F.col("status").startswith("provider_") & (F.col("status") != "provider_completed")
+    return reports.withColumns({
+        "previous_status": F.lag("status").over(w), "recent_reports": F.count(F.lit(1)).over(recent),
+        "verified_reports": F.count_if(verified).over(recent), "failed_reports": F.count_if(failed).over(recent),
+    })
 
 
 def public_view(rows: DataFrame, hidden: list[str]) -> DataFrame:

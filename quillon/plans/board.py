@@ -323,17 +323,32 @@ def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("worst", S.tidy("worst"))
 
 
-@query("""
-WITH RECURSIVE s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CASE event_type WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'passed' WHEN 'error' THEN 'failed' ELSE 'noted' END AS x FROM events),
-f AS (SELECT user_id, 0 AS i, 'pending' AS status, 0 AS n FROM (SELECT DISTINCT user_id FROM events)
-      UNION ALL SELECT f.user_id, s.i, CASE WHEN ok THEN x ELSE status END, n + ok::INT FROM f JOIN (SELECT s.* FROM s) s ON s.user_id = f.user_id AND s.i = f.i + 1,
-        LATERAL (SELECT (status || '>' || x) IN ('pending>running', 'running>passed', 'running>failed', 'failed>running', 'passed>running') AS ok))
-SELECT user_id, arg_max(status, i) AS status, max(n)::INT AS n FROM f GROUP BY user_id""")
+#: Reports of audits that stand behind the events: whom they asked, how, and what came of it.
+AUDIT_SQL = """
+r AS (SELECT user_id, ts, event_id, event_type = 'purchase' AS proof, CASE event_id % 11 WHEN 0 THEN 'none' WHEN 1 THEN 'other' ELSE 'main' END AS provider,
+        CASE WHEN event_id % 7 = 0 THEN 'disabled' ELSE 'shadow' END AS mode, event_id % 13 <> 0 AS ready, event_type = 'error' AS broke FROM events),
+s AS (SELECT *, CASE WHEN provider = 'none' THEN 'local_only' WHEN provider = 'other' THEN 'provider_unsupported' WHEN mode = 'disabled' THEN 'provider_disabled' WHEN NOT ready THEN 'provider_unconfigured'
+        WHEN broke THEN 'provider_failed' WHEN proof THEN 'verified' ELSE 'provider_completed' END AS status FROM r),
+l AS (SELECT user_id, event_id, status, lag(status) OVER w AS previous_status, count(*) OVER v AS recent_reports, count(*) FILTER (WHERE status = 'verified') OVER v AS verified_reports,
+        count(*) FILTER (WHERE status IN ('provider_unsupported', 'provider_disabled', 'provider_unconfigured', 'provider_failed')) OVER v AS failed_reports
+      FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), v AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 31 PRECEDING AND CURRENT ROW))
+"""
+
+
+def audit_reports(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """user_id, ts, event_id, status, status_reason, proof_verified of ``events``."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    provider = F.when(n % 11 == 0, "none").when(n % 11 == 1, "other").otherwise("main")
+    mode = F.when(n % 7 == 0, "disabled").otherwise("shadow")
+    status, reason = R.audit_status(provider, mode, n % 13 != 0, F.when(kind == "error", "no answer"), kind == "purchase", supported="main")
+    return events.select("user_id", "ts", "event_id", status.alias("status"), reason.alias("status_reason"), (status == "verified").alias("proof_verified"))
+
+
+@query(f"WITH {AUDIT_SQL.strip()} SELECT * FROM l")
 def audit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the audit of each key stands after its events."""
-    kind = F.col("event_type")
-    told = F.when(kind == "view", "running").when(kind == "purchase", "passed").when(kind == "error", "failed").otherwise("noted")
-    return R.audit_states(B.table(spark, sf_dir, "events").select("user_id", "ts", "event_id", told.alias("status")), "user_id", ["ts", "event_id"])
+    """Every report's status, the status before it, and the counts over its key's last 32 reports."""
+    lane = R.audit_lane(audit_reports(spark, B.table(spark, sf_dir, "events")), ["user_id"], ["ts", "event_id"])
+    return lane.select("user_id", "event_id", "status", "previous_status", "recent_reports", "verified_reports", "failed_reports")
 
 
 @query("""

@@ -57,6 +57,9 @@ class MovingAverage(StatefulProcessor):
         self.mean.update((value,))
         yield pd.DataFrame({"key": [key[0]], "ema": [value]})
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.mean.update((float(initialState["ema"].iloc[0]),))
+
     def close(self) -> None:
         pass
 
@@ -79,8 +82,9 @@ class StatusRegistry(StatefulProcessor):
         pass
 
 
-def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    return stream.groupBy("key").transformWithStateInPandas(processor, outputStructType=schema, outputMode="Update", timeMode="None")
+def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str, initial: DataFrame | None = None) -> DataFrame:
+    first = None if initial is None else initial.groupBy("key")
+    return stream.groupBy("key").transformWithStateInPandas(processor, outputStructType=schema, outputMode="Update", timeMode="None", initialState=first)
 
 
 def ring_buffers(stream: DataFrame, n: int) -> DataFrame:
@@ -88,9 +92,16 @@ def ring_buffers(stream: DataFrame, n: int) -> DataFrame:
     return _stateful(stream, RingBuffer(n), f"key {stream.schema['key'].dataType.simpleString()}, held long, mean double, oldest timestamp")
 
 
-def moving_averages(stream: DataFrame, alpha: float) -> DataFrame:
-    """key, ema from key, at, value."""
-    return _stateful(stream, MovingAverage(alpha), f"key {stream.schema['key'].dataType.simpleString()}, ema double")
+def moving_averages(stream: DataFrame, alpha: float, *, initial: DataFrame | None = None) -> DataFrame:
+    """key, ema from key, at, value. ``initial`` (key, ema; a row a key): where another stream stopped."""
+    return _stateful(stream, MovingAverage(alpha), f"key {stream.schema['key'].dataType.simpleString()}, ema double", initial)
+
+
+def saved_averages(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """key, ema of a stream of averages, as its last batch left them."""
+    state = spark.read.format("statestore").option("stateVarName", "mean").load(checkpoint)
+    key = state.schema["key"].dataType.fields[0].name
+    return state.select(F.col("key")[key].alias("key"), F.col("value.value").alias("ema"))
 
 
 def status_registry(stream: DataFrame) -> DataFrame:
