@@ -63,7 +63,7 @@ def text_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     # each step is used several times by the next, so the planner keeps them apart
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORDS))
     cut = kept.select(
-        *keep, F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words"), lines.alias("lines"),
+        *keep, F.array_remove(F.split("text", WORDS.replace("^", "")), "").alias("words"), lines.alias("lines"),
         F.sha2("text", 256).alias("text_sha256"), (F.char_length("text") - F.char_length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
     counted = cut.select(
