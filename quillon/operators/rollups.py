@@ -9,8 +9,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from quillon.functions.python_json import json_text
 from quillon.operators.sequences import trailing
 
 
@@ -69,31 +69,22 @@ def set_report(rows: DataFrame, key: str, value: str, *, required: list, wanted:
     )
 
 
-def canonical_json(x: Column, kind: T.DataType) -> Column:
-    """Compact JSON of a struct with the fields sorted by name at every depth, and the keys of maps likewise; null fields
-    are written as null, so that equal records have equal texts."""
-
-    def ordered(c: Column, k: T.DataType) -> Column:
-        if isinstance(k, T.StructType):
-            return F.when(c.isNotNull(), F.struct(*(ordered(c[f.name], f.dataType).alias(f.name) for f in sorted(k.fields, key=lambda f: f.name))))
-        if isinstance(k, T.ArrayType):
-            return F.transform(c, lambda e: ordered(e, k.elementType))
-        if isinstance(k, T.MapType):
-            return F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(c, lambda _, v: ordered(v, k.valueType)))))
-        return c
-
-    return F.to_json(ordered(x, kind), {"ignoreNullFields": "false"})
-
-
 def content_digest(rows: DataFrame, keys: list[str], order: str, fields: list[str]) -> DataFrame:
     """keys and digest: SHA-256 over the digests of each row's canonical JSON in the order of ``order``. What is gathered
     per key is 64 characters a row, whatever the rows hold."""
-    kind = rows.select(*fields).schema
-    told = rows.select(*keys, order, F.sha2(canonical_json(F.struct(*fields), kind).cast("binary"), 256).alias("__d"))
+    told = rows.select(*keys, order, F.sha2(json_text(F.struct(*fields), rows.select(*fields).schema), 256).alias("__d"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct(order, "__d"))), lambda x: x["__d"])
     return told.groupBy(*keys).agg(F.sha2(F.array_join(listed, "\n").cast("binary"), 256).alias("digest"))
 
 
+def fingerprints(rows: DataFrame, keys: list[str], order: str, text: str = "payload") -> DataFrame:
+    """keys and fingerprint: SHA-256 of the JSON list of a key's records (column ``text``: their canonical JSON) in order,
+    as Python's ``json.dumps`` writes it. A key's texts are put together, so a key is one chunk, of a bounded number of
+    records; ``content_digest`` has no such bound."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text])
+    return rows.groupBy(*keys).agg(F.sha2(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")), 256).alias("fingerprint"))
+
+
 def distinct_ids(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
     """keys and their distinct values, sorted. For keys of a bounded number of values."""
     return rows.groupBy(*keys).agg(F.sort_array(F.collect_set(value)).alias(name))

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from quillon import bindings as B
 from quillon.functions import scalars as S
+from quillon.functions.python_json import json_text
 from quillon.operators import board as L
 from quillon.operators import metrics as M
 from quillon.operators import rollups as R
 from quillon.operators import sequences as Q
 from quillon.plans.catalog import query
 from quillon.plans.metrics import CURVE_SQL
+from quillon.sources import chunks as C
 
 
 def _tidy(df: DataFrame, *keys: str) -> DataFrame:
@@ -258,15 +260,19 @@ def set_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_custkey AS chunk_id, sha256(string_agg('=' || o_orderkey || chr(31) || '=' || o_orderstatus, chr(30) ORDER BY o_orderkey)) AS digest, array_to_string(list_sort(list(DISTINCT o_orderkey % 7)), ',') AS residues FROM orders GROUP BY o_custkey""")
+SELECT o_custkey AS chunk_id,
+  sha256(string_agg(sha256('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","o_totalprice":' || o_totalprice || '}'), chr(10) ORDER BY o_orderkey)) AS digest,
+  sha256('[' || string_agg('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","o_totalprice":' || o_totalprice || '}', ',' ORDER BY o_orderkey) || ']') AS fingerprint,
+  array_to_string(list_sort(list(DISTINCT o_orderkey % 7)), ',') AS residues
+FROM orders GROUP BY o_custkey""")
 def content_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A digest of a chunk's content in a stable order, and its distinct sorted ids."""
-    o = B.table(spark, sf_dir, "orders")
-    one = F.concat_ws("\x1f", F.concat(F.lit("="), F.col("o_orderkey").cast("string")), F.concat(F.lit("="), "o_orderstatus"))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", one.alias("v")))), lambda x: x["v"])
-    return o.groupBy(F.col("o_custkey").alias("chunk_id")).agg(
-        F.sha2(F.array_join(rows, "\x1e").cast("binary"), 256).alias("digest"), F.array_join(F.sort_array(F.collect_set(F.col("o_orderkey") % 7)), ",").alias("residues")
-    )
+    """Digests of a chunk's content in a stable order, one over any number of rows, one as Python makes it; its distinct sorted ids."""
+    o = B.table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "chunk_id")
+    fields = ["o_orderkey", "o_orderstatus", "o_totalprice"]
+    told = o.select("chunk_id", "o_orderkey", json_text(F.struct(*fields), o.select(*fields).schema).alias("payload"))
+    out = R.content_digest(o, ["chunk_id"], "o_orderkey", fields).join(R.fingerprints(told, ["chunk_id"], "o_orderkey"), "chunk_id")
+    ids = R.distinct_ids(o, ["chunk_id"], F.col("o_orderkey") % 7, "ids")
+    return out.join(ids, "chunk_id").select("chunk_id", "digest", "fingerprint", F.array_join("ids", ",").alias("residues"))
 
 
 @query(B.with_sql("""
@@ -351,13 +357,33 @@ def audit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lane.select("user_id", "event_id", "status", "previous_status", "recent_reports", "verified_reports", "failed_reports")
 
 
-@query("""
-SELECT c_custkey, to_json({'uid': c_custkey, 'name': c_name, 'segment': c_mktsegment, 'place': {'nation': c_nationkey}}) AS payload FROM customer""")
+@query(B.with_sql("""
+, a AS (SELECT hand_id, string_agg('{"action_id":"' || ord || '","action_type":"' || action_type || '","actor_seat":' || seat || ',"amount":' || amount || ',"call_to":' || coalesce(call_to::VARCHAR, 'null')
+          || ',"normalized_amount_bb":' || amount_bb || ',"pot_after":' || pot_after || ',"pot_before":' || pot_before || ',"raise_to":' || coalesce(raise_to::VARCHAR, 'null') || ',"street":"' || street || '"}', ',' ORDER BY ord) AS t FROM acts GROUP BY hand_id),
+p AS (SELECT hand_id, string_agg('{"hole_cards":null,"player_uid":"seat_' || seat || '","seat":' || seat || ',"showed_hand":false,"starting_stack":' || stack || '}', ',' ORDER BY seat) AS t FROM players GROUP BY hand_id),
+s AS (SELECT hand_id, string_agg('{"board_cards":[],"street":"' || street || '"}', ',' ORDER BY nth) AS t FROM streets GROUP BY hand_id)
+SELECT chunk_id, hand_id, sha256('{"actions":[' || coalesce(a.t, '') || CASE hand_id % 3 WHEN 0 THEN '],"label":"human' WHEN 1 THEN '],"label":"bot' ELSE ']' END || CASE WHEN hand_id % 3 < 2 THEN '"' ELSE '' END
+    || ',"metadata":{"ante":0.0,"bb":' || (hand_id % 97)::DOUBLE / 7 || ',"button_seat":' || hand_id % 7 || ',"game_type":"caf\\u00e9 \\"x\\"","hand_ended_on_street":"","hero_seat":' || hero_seat || ',"limit_type":"","max_seats":6,"rng_seed_commitment":null,"sb":0.0}'
+    || ',"outcome":{"payouts":{},"rake":0.0,"result_reason":"","showdown":false,"total_pot":0.0,"winners":[]},"players":[' || coalesce(p.t, '') || '],"streets":[' || coalesce(s.t, '') || ']}') AS payload_sha256
+FROM hands LEFT JOIN a USING (hand_id) LEFT JOIN p USING (hand_id) LEFT JOIN s USING (hand_id)"""))
 def payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records as JSON texts with a fixed order of fields."""
-    c = B.table(spark, sf_dir, "customer")
-    record = F.struct(F.col("c_custkey").alias("uid"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.struct(F.col("c_nationkey").alias("nation")).alias("place"))
-    return c.select("c_custkey", F.to_json(record).alias("payload"))
+    """Every hand put together from its players, streets and actions, decoded, projected and written as canonical JSON."""
+    ordered = lambda df, k, x: df.groupBy("hand_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(k, x.alias("x")))), lambda e: e["x"]).alias("x"))
+    a = B.actions(spark, sf_dir).select("hand_id", "ord", F.struct(F.col("ord").cast("string").alias("action_id"), "street", F.col("seat").alias("actor_seat"), "action_type", "amount", "raise_to", "call_to", F.col("amount_bb").alias("normalized_amount_bb"), "pot_before", "pot_after").alias("v"))
+    p = B.players(spark, sf_dir).select("hand_id", "nth", F.struct(F.concat(F.lit("seat_"), F.col("seat")).alias("player_uid"), "seat", F.col("stack").alias("starting_stack"), F.lit(False).alias("showed_hand")).alias("v"))
+    s = B.streets(spark, sf_dir).select("hand_id", "nth", F.struct("street").alias("v"))
+    h = B.hands(spark, sf_dir).select("chunk_id", "hand_id", "hero_seat")
+    for name, df, k in (("actions", a, "ord"), ("players", p, "nth"), ("streets", s, "nth")):
+        h = h.join(ordered(df, k, F.col("v")).withColumnRenamed("x", name), "hand_id", "left")
+    n = F.col("hand_id") % 3
+    meta = F.struct(F.lit('café "x"').alias("game_type"), F.lit(6).alias("max_seats"), "hero_seat", (F.col("hand_id") % 7).alias("button_seat"), ((F.col("hand_id") % 97) / F.lit(7.0)).alias("bb"))
+    record = F.to_json(F.struct(meta.alias("metadata"), "players", "streets", "actions", F.when(n == 0, "human").when(n == 1, "bot").alias("label")))
+    typed = C.decoded(h.select("chunk_id", "hand_id", F.array(F.from_json(record, C.HAND)).alias("hands")))
+    # a generator between the steps: the planner would decode a hand again for every field that is named above it
+    one = typed.select("chunk_id", "hand_id", F.explode("hands").alias("hand"))
+    made = one.select("chunk_id", "hand_id", C.payload_of(F.col("hand")).alias("payload"))
+    text = json_text(F.col("payload"), made.schema["payload"].dataType, optional=C.PAYLOAD_OPTIONAL)
+    return made.select("chunk_id", "hand_id", F.sha2(text, 256).alias("payload_sha256"))
 
 
 @query(B.with_sql(CURVE_SQL.format(k="uid", t="responses") + """

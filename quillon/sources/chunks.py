@@ -176,6 +176,26 @@ def decoded(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("hands", F.transform("hands", hand))
 
 
+def payload_of(hand: Column, *, label: bool = True) -> Column:
+    """The six projections of a decoded hand: metadata, players, streets, actions, outcome and the hand around them, with
+    the fields that such records are exchanged with. ``label`` (bot, human) is null where the hand has none; it and a
+    player's ending_stack and is_bot are left out of the text where they are null (``PAYLOAD_OPTIONAL``)."""
+    pick = lambda x, names: F.struct(*(x[n].alias(n) for n in names.split()))
+    fields = [
+        pick(hand["metadata"], "game_type limit_type max_seats hero_seat hand_ended_on_street button_seat sb bb ante rng_seed_commitment").alias("metadata"),
+        F.transform(hand["players"], lambda p: pick(p, "player_uid seat starting_stack hole_cards showed_hand")).alias("players"),
+        F.transform(hand["streets"], lambda s: pick(s, "street board_cards")).alias("streets"),
+        F.transform(hand["actions"], lambda a: pick(a, "action_id street actor_seat action_type amount raise_to call_to normalized_amount_bb pot_before pot_after")).alias("actions"),
+        pick(hand["outcome"], "winners payouts total_pot rake result_reason showdown").alias("outcome"),
+    ]
+    word = F.when(hand["label_flag"], "bot").when(~hand["label_flag"], "human").alias("label")
+    return F.struct(*fields, *([word] if label else []))
+
+
+#: Fields of a payload that are not written where they are null.
+PAYLOAD_OPTIONAL = frozenset({"label", "ending_stack", "is_bot"})
+
+
 def _hands(chunks: DataFrame) -> DataFrame:
     """chunk_id, hand_id (the chunk's id and the hand's number), hand_idx and the hand."""
     hands = chunks.select("chunk_id", F.posexplode("hands").alias("hand_idx", "hand"))

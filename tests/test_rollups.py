@@ -1,15 +1,43 @@
 """Roll-ups on small tables worked out by hand."""
 
 import hashlib
+import json
+import random
 
 from pyspark.sql import functions as F
 
+from quillon.functions.python_json import float_text, json_text
 from quillon.operators import rollups as R
 
 
-def test_canonical_json_sorts_at_every_depth(spark):
-    df = spark.sql("SELECT named_struct('b', 1, 'a', named_struct('d', map('z', 1, 'y', 2), 'c', array(named_struct('q', null, 'p', 'x')))) AS x")
-    assert df.select(R.canonical_json(F.col("x"), df.schema["x"].dataType)).first()[0] == '{"a":{"c":[{"p":"x","q":null}],"d":{"y":2,"z":1}},"b":1}'
+def test_json_is_what_python_writes(spark):
+    rng = random.Random(6)
+    text = lambda: "".join(rng.choice(['"', "\\", "/", "a", " ", "\n", "\t", "\b", "\f", "\r", "\x00", "\x1f", "\x7f", "é", "日", "\U0001f600", "~"]) for _ in range(rng.randint(0, 8)))
+    number = lambda: rng.choice([0.0, -0.0, 1.0, -1.5, 1e-5, 1e-4, 0.1 + 0.2, 1e16, 1e15, 123456789012345680.0, 1e22, 1e-7, float("nan"), float("inf"), -float("inf"), 2.0**-44, 2.0**60 + 2**9, rng.random() * 10 ** rng.randint(-12, 18), round(rng.random() * 1000, 2)])
+    maybe = lambda f: None if rng.random() < 0.15 else f()
+    rows = [{"b": maybe(number), "a": maybe(text), "Z": rng.choice([True, False, None]), "list": maybe(lambda: [maybe(number) for _ in range(rng.randint(0, 3))]), "in": maybe(lambda: {"y": maybe(text), "x": rng.randint(-(2**62), 2**62)}), "m": maybe(lambda: {text(): maybe(number) for _ in range(3)}), "note": maybe(text)} for _ in range(600)]
+    kind = "b double, a string, Z boolean, list array<double>, in struct<y:string,x:long>, m map<string,double>, note string"
+    df = spark.createDataFrame([tuple(r[k] if k != "in" or r[k] is None else (r[k]["y"], r[k]["x"]) for k in ("b", "a", "Z", "list", "in", "m", "note")) for r in rows], kind)
+    got = [r[0] for r in df.select(json_text(F.struct("*"), df.schema, optional=frozenset({"note"}))).collect()]
+    for r, g in zip(rows, got, strict=True):
+        want = {k: v for k, v in r.items() if k != "note" or v is not None}
+        assert g == json.dumps(want, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+
+
+def test_numbers_are_pythons_over_their_range(spark):
+    rng = random.Random(2)
+    values = [rng.choice([-1, 1]) * rng.random() * 10 ** rng.randint(-11, 18) for _ in range(60_000)] + [2.0**k for k in range(-39, 63)] + [float(rng.getrandbits(63)) for _ in range(5000)]
+    values = [v for v in values if 1e-12 < abs(v) < 9.2e18]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", float_text(F.col("x")).alias("t")).collect()
+    assert [r["t"] for r in got] == [repr(r["x"]) for r in got]
+
+
+def test_fingerprints_of_chunks_are_pythons(spark):
+    hands = {"a": [{"x": 1.5, "y": "é"}, {"x": None, "y": ""}], "b": [{"x": 1e-5, "y": None}]}
+    df = spark.createDataFrame([(k, i, r["x"], r["y"]) for k, v in hands.items() for i, r in enumerate(v)], "k string, i int, x double, y string")
+    told = df.repartition(3).select("k", "i", json_text(F.struct("x", "y"), df.select("x", "y").schema).alias("payload"))
+    got = {r["k"]: r["fingerprint"] for r in R.fingerprints(told, ["k"], "i").collect()}
+    assert got == {k: hashlib.sha256(json.dumps(v, sort_keys=True, separators=(",", ":")).encode()).hexdigest() for k, v in hands.items()}
 
 
 def test_a_digest_depends_on_content_and_order_alone(spark):
