@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.store import bounded_batches, materialize, pieces, scratch
+from quillon.llm.store import bounded_batches, free_name, materialize, pieces, row_hash, scratch
 from quillon.llm.textarrays import row_of, words
 
 WINDOW = 13
@@ -247,16 +247,20 @@ def contamination(docs: DataFrame, items: DataFrame, *, index: DataFrame | None
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``contamination`` calls contaminated; all columns stay. Rows that share a doc_id
-    go together, null ids are judged by their text."""
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    """``docs`` without the rows that ``contamination`` calls contaminated; all columns stay.
+
+    Every row is judged by its own text, whatever other rows have its doc_id and whether it has one: rows are told apart
+    by a 64-bit hash of doc_id and text. Repeated rows share their fate, null and empty texts stay, empty tables give
+    what they can."""
+    lost_name = free_name(docs, "lost")
+    row = row_hash("doc_id", "text")
     with scratch(docs.sparkSession) as keep:
-        judged = contamination(rows.select(F.coalesce("doc_id", "key").alias("doc_id"), "text"), items)
-        lost = materialize(judged.where("contaminated").select(F.col("doc_id").alias("__lost")).distinct(), "contaminated")
+        judged = contamination(docs.select(row.alias("doc_id"), "text"), items)
+        lost = materialize(judged.where("contaminated").select(F.col("doc_id").alias(lost_name)).distinct(), "contaminated")
         keep(lost)
     if lost.count() <= BROADCAST_IDS:
         lost = F.broadcast(lost)
-    return docs.join(lost, F.coalesce(docs["doc_id"], F.xxhash64(docs["text"])) == F.col("__lost"), "left_anti")
+    return docs.join(lost, row == F.col(lost_name), "left_anti")
 
 
 def phrase_matches(index: DataFrame, items: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.html_paths import main_text
-from quillon.llm.store import bounded_batches, materialize, pieces, scratch
+from quillon.llm.store import bounded_batches, free_name, materialize, pieces, row_hash, scratch
 from quillon.llm.textarrays import LOWER, utf8
 from quillon.llm.url_filter import host_of
 
@@ -206,7 +206,7 @@ def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
 
 
 def _identified(docs: DataFrame, sample_rows: int, model: TrigramModel | None = None) -> DataFrame:
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", F.col("lang").alias("declared"), F.lower("source").alias("host"))
+    rows = docs.select("doc_id", row_hash("doc_id", "text", "lang", "source").alias("row"), "text", F.col("lang").alias("declared"), F.lower("source").alias("host"))
     model = model or train(docs.select("text", F.col("lang").alias("language")), sample_rows=sample_rows)
     return fuse(score_texts(rows, model), model.languages)
 
@@ -219,7 +219,7 @@ def identify_documents(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, model
     Null and empty texts, and texts without letters, are not kept; a null lang or source is no evidence. Repeated rows
     are judged alike. An empty table gives an empty result.
     """
-    return _identified(docs, sample_rows, model).drop("text_hash")
+    return _identified(docs, sample_rows, model).drop("row")
 
 
 def identify_pages(pages: DataFrame, labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -234,11 +234,12 @@ def identify_pages(pages: DataFrame, labelled: DataFrame, *, sample_rows: int =
 
 
 def keep_identified(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` without the rows that ``identify_documents`` rejects; all columns stay."""
+    """``docs`` without the rows that ``identify_documents`` rejects; all columns stay. A row is judged by its own text, lang
+    and source, whatever other rows have its doc_id; rows are told apart by a 64-bit hash of these four."""
+    lost_name = free_name(docs, "lost")
     with scratch(docs.sparkSession) as keep:
-        lost = _identified(docs, sample_rows).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-        lost = materialize(lost, "rejected-rows")
+        lost = materialize(_identified(docs, sample_rows).where("not kept").select(F.col("row").alias(lost_name)).distinct(), "rejected-rows")
         keep(lost)
     if lost.count() <= BROADCAST_ROWS:
         lost = F.broadcast(lost)
-    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left_anti")
+    return docs.join(lost, row_hash("doc_id", "text", "lang", "source") == F.col(lost_name), "left_anti")

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -73,6 +73,19 @@ def row_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.where("doc_id is not null").withColumn("__key", F.xxhash64("text")).unionByName(unnamed), unnamed
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_hash(*columns: str) -> Column:
+    """A 64-bit hash of a row's named columns in which null is a value of its own."""
+    return F.xxhash64(*(x for c in columns for x in (F.col(c), F.col(c).isNull())))
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Cap the Arrow batches of this session's Python stages by bytes, so that a worker's memory doesn't depend on how
     long the texts are. Every operator that runs Python calls it."""
