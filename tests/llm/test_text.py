@@ -91,6 +91,27 @@ def test_clean_documents_stay(spark):
     assert {r["n_words"] for r in few.collect()} == {"a", "c", "d"}  # 13 of 300 words are under a twentieth
 
 
+def test_a_clean_row_stays_whatever_shares_its_id(spark):
+    """(7, contaminated), (7, clean), (8, clean), null ids alike; columns that are named as the operators name theirs."""
+    item = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, item), (7, "a clean text"), (8, "another clean text"), (None, item), (None, "a clean text"), (7, None), (7, item)]
+    docs = spark.createDataFrame([(*r, n, 1, 1, 1) for n, r in enumerate(rows)], DOC + ", n long, lost int, __lost int, row int")
+    kept = D.keep_clean(docs, spark.createDataFrame([(1, item)], ITEM))
+    assert kept.columns == docs.columns and {r["n"] for r in kept.collect()} == {1, 2, 4, 5}
+
+
+def test_a_row_is_identified_by_all_its_evidence(spark):
+    """Rows that differ in language or source alone are judged apart; rows without letters go, whatever their id."""
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(5))
+    rows = [(i, " ".join(word("abcde" if i % 2 else "vwxyz") for _ in range(20)), "xx" if i % 2 else "yy", "s") for i in range(40)]
+    rows += [(3, "123 456", "xx", "s"), (3, rows[3][1], "xx", None), (None, "", None, None), (None, rows[5][1], None, "s"), (3, rows[3][1], "xx", "s")]
+    docs = spark.createDataFrame([(*r, n, 1, 1) for n, r in enumerate(rows)], DOC + ", lang string, source string, n long, lost int, __hash int")
+    kept = L.keep_identified(docs)
+    judged = L.identify_documents(docs.withColumn("doc_id", F.col("n")))
+    assert kept.columns == docs.columns and {r["n"] for r in kept.collect()} == {r["doc_id"] for r in judged.where("kept").collect()} and 40 not in {r["n"] for r in kept.collect()}
+
+
 def test_language_of_the_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = L.identify_documents(docs).join(docs.select("doc_id", "lang"), "doc_id")
@@ -399,4 +420,29 @@ def test_pipeline_of_odd_rows(spark, sf):
     for name, stage in P.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0, name
         docs = stage(spark, docs, sf)
-    assert docs.count() >= 1
+    # null and empty texts have no language; of the two rows with one text that with an id stays
+    assert [r["doc_id"] for r in docs.collect()] == [3, 3]
+
+
+def test_pipeline_loses_no_clean_unique_text(spark, sf):
+    """Shared and null ids: whatever the stages drop is a copy, contaminated or without a language."""
+    import corpus_pipeline as P
+
+    real = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) between 300 and 3000").limit(40).collect()
+    bench = " ".join(r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").limit(2).collect())
+    rows = [(7 if k % 3 == 0 else None if k % 3 == 1 else k, r["text"], r["lang"], r["source"], len(r["text"])) for k, r in enumerate(real)]
+    rows += [(7, bench, "en", "src0", len(bench)), (None, bench, "en", "src1", len(bench)), (7, rows[0][1], rows[0][2], rows[0][3], 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = docs
+    for _, stage in P.STAGES[:-1]:
+        left = stage(spark, left, sf)
+    texts = [r["text"] for r in left.collect()]
+    near = brute_near([(k, r[1]) for k, r in enumerate(rows)])
+    hits = {k: h for (k, *_, h) in brute_hits([(k, r[1]) for k, r in enumerate(rows)], [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])}
+    lines = lambda t: {x for x in t.split("\n") if x.strip()}
+    for k, r in enumerate(rows):
+        alone = near[k][1] == 0 and not hits[k]
+        if alone:
+            others = set().union(*(lines(x[1]) for j, x in enumerate(rows) if j != k))
+            assert any(lines(t) >= lines(r[1]) - others for t in texts), k
+    assert not any(bench[:200] in t for t in texts)
