@@ -177,25 +177,27 @@ def _code(c: str, codes: dict[str, str], other: str) -> Column:
 
 
 def hand_grams(actions: DataFrame) -> DataFrame:
-    """hand_id, n, gram: every n-gram of the hand's tokens; an action gives its token and the actor's, blinds none."""
+    """hand_id, pos, n, gram: every n-gram of the hand's tokens, numbered within the hand; an action gives its token and the
+    actor's, blinds none."""
     act = _code("action_type", ACTION_CODES, "X")
     token = F.concat(_code("street", STREET_CODES, "x"), act, size_code("amount", "pot_before", "amount_bb"))
     seat = F.when(F.col("seat").isNotNull(), F.concat(F.lit("pos"), F.col("seat").cast("string"), act))
     told = actions.where(act != "b").select("hand_id", F.struct("ord", F.array_compact(F.array(token, seat)).alias("t")).alias("x"))
     tokens = told.groupBy("hand_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"])).alias("tokens"))
-    return tokens.select("hand_id", F.explode(ngrams(F.col("tokens"))).alias("g")).select("hand_id", "g.n", "g.gram")
+    return tokens.select("hand_id", F.posexplode(ngrams(F.col("tokens"))).alias("pos", "g")).select("hand_id", "pos", "g.n", "g.gram")
 
 
-def gram_vocabulary(grams: DataFrame, top: dict[int, int] = TOP_GRAMS) -> DataFrame:
-    """n, rank, gram, cnt: the most frequent grams of each order, ties by the gram's text.
+def gram_vocabulary(grams: DataFrame, top: dict[int, int] = TOP_GRAMS, *, seen: tuple[str, ...] = ("hand_id", "pos")) -> DataFrame:
+    """n, rank, gram, cnt: the most frequent grams of each order; of equally frequent ones those that were seen first, in the
+    order of the columns ``seen``.
 
-    The order's rows are counted first; of the distinct grams only the heads are ranked.
-    """
-    counts = grams.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
-    # each order's head is taken task by task before it is put together, so only bounded lists are ranked
-    heads = [counts.where(F.col("n") == n).orderBy(F.col("cnt").desc(), "gram").limit(k) for n, k in top.items()]
-    best = reduce(DataFrame.unionByName, heads)
-    return best.select("n", F.row_number().over(Window.partitionBy("n").orderBy(F.col("cnt").desc(), "gram")).alias("rank"), "gram", "cnt")
+    One pass: grams are counted and placed once, by partial aggregates, and the ranks' bound holds in every task before
+    the orders' heads meet, so no task ranks more than a head from each other task."""
+    counts = grams.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct(*seen)).alias("first"))
+    rank = F.row_number().over(Window.partitionBy("n").orderBy(F.col("cnt").desc(), "first"))
+    most = F.coalesce(*(F.when(F.col("n") == n, k) for n, k in top.items()))
+    ranked = counts.where(F.col("n").isin(*top)).withColumn("rank", rank).where(F.col("rank") <= max(top.values()))
+    return ranked.where(F.col("rank") <= most).select("n", "rank", "gram", "cnt")
 
 
 def gram_means(hands: DataFrame, grams: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -157,54 +157,90 @@ def _long(rows: DataFrame, names: list[str], side: str) -> DataFrame:
     return rows.select(F.lit(side).alias("side"), F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in names))).alias("x")).select("side", "x.*")
 
 
+#: Pieces into which a feature's values are dealt by approximate quantiles, and the sketch's accuracy.
+PIECES, ACCURACY = 128, 1280
+
+
+def _linear(ranks: Column, position: Column) -> Column:
+    """The value at a position between two ranks, of a map from rank to value."""
+    low, high = F.floor(position), F.ceil(position)
+    a, b = (F.element_at(ranks, k.cast("long")) for k in (low, high))
+    return F.when((low == high) | (a == b), a).otherwise((high - position) * a + (position - low) * b)
+
+
+def ranked_values(values: DataFrame, key: str, value: str, weights: list[str], cuts: DataFrame) -> DataFrame:
+    """``values`` (a row for every distinct value of a key, with its weights) with ``<weight>_to``: the sum of the weight up to
+    and with the value. ``cuts`` (key, cuts) deals the values into pieces, by a mergeable sketch; sums run within pieces,
+    to which the sums of the pieces below are added, so no task holds all values of a key."""
+    dealt = values.join(F.broadcast(cuts.select(key, "cuts")), key).withColumn("piece", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
+    sums = dealt.groupBy(key, "piece").agg(*(F.sum(w).alias(f"{w}_piece") for w in weights))
+    below = Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(key, "piece", *(F.coalesce(F.sum(f"{w}_piece").over(below), F.lit(0)).alias(f"{w}_below") for w in weights))
+    inside = Window.partitionBy(key, "piece").orderBy(value)
+    joined = dealt.join(F.broadcast(sums), [key, "piece"])  # at most PIECES rows a key
+    return joined.withColumns({f"{w}_to": F.col(f"{w}_below") + F.sum(w).over(inside) for w in weights}).drop("piece", *(f"{w}_below" for w in weights))
+
+
+def exact_quantiles(ranked: DataFrame, key: str, value: str, weight: str, sizes: DataFrame, probabilities: list[float]) -> DataFrame:
+    """key and the linearly interpolated quantiles of the values counted by ``weight``; ``sizes`` has key and n, their number."""
+    position = lambda p: F.lit(float(p)) * (F.col("n") - 1)
+    needed = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(position(p)).cast("long"), F.ceil(position(p)).cast("long")) for p in probabilities))))
+    asked = ranked.where(F.col(weight) > 0).join(F.broadcast(sizes.where("n > 0").select(key, "n", needed.alias("needed"))), key)
+    at = F.explode(F.filter("needed", lambda k: (k >= F.col(f"{weight}_to") - F.col(weight)) & (k < F.col(f"{weight}_to"))))
+    found = asked.select(key, "n", at.alias("rank"), value).groupBy(key, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", value))).alias("ranks"))
+    return found.select(key, F.array(*(_linear(F.col("ranks"), position(p)) for p in probabilities)).alias("quantiles"))
+
+
+def _kept(small: DataFrame) -> DataFrame:
+    """A table of a row for each of the caller's names, worked out now."""
+    return small.sparkSession.createDataFrame(small.collect(), small.schema)
+
+
 def drift(expected: DataFrame, actual: DataFrame, names: list[str], *, bins: int = 10, even_bins: int = 20) -> DataFrame:
     """feature, psi, ks, js, mean_expected, mean_actual of two samples.
 
     psi: bins between the quantiles of the expected sample, shares at least 1e-6, 0 with fewer than three edges; values
     outside the edges fall in no bin. ks: the largest distance of the two distribution functions. js: the
-    Jensen-Shannon distance over even bins of the common range.
+    Jensen-Shannon distance over even bins of the common range. All are exact: sketches only deal the values out.
     """
     both = _long(expected, names, "e").unionByName(_long(actual, names, "a"))
     is_e = F.col("side") == "e"
-    steps = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
+    cut = F.percentile_approx("v", [i / PIECES for i in range(1, PIECES)], ACCURACY)
     facts = both.groupBy("feature").agg(
-        F.array_distinct(F.percentile(F.when(is_e, F.col("v")), steps)).alias("edges"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+        cut.alias("cuts"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count_if(is_e & F.col("v").isNotNull()).alias("n"),
         F.count_if(is_e).cast("double").alias("ne"), F.count_if(~is_e).cast("double").alias("na"),
         F.avg(F.when(is_e, F.col("v"))).alias("mean_expected"), F.avg(F.when(~is_e, F.col("v"))).alias("mean_actual"),
     )
     # values are counted first: what follows works on one row per distinct value
     values = both.groupBy("feature", "v").agg(F.count_if(is_e).cast("double").alias("e"), F.count_if(~is_e).cast("double").alias("a"))
-    rows = values.join(F.broadcast(facts), "feature")
+    # facts are a row for each named feature, so they go through the driver; what is read with them stays where it is
+    facts = _kept(facts)
+    ranked = ranked_values(values.where("v is not null"), "feature", "v", ["e", "a"], facts)
+    edges = exact_quantiles(ranked, "feature", "v", "e", facts, [i / bins for i in range(bins + 1)])
+    facts = _kept(facts.drop("cuts", "n").join(edges.select("feature", F.array_distinct("quantiles").alias("edges")), "feature", "left"))
+    rows = ranked.join(F.broadcast(facts), "feature")
     last = F.size("edges") - 1
     place = F.least(F.size(F.filter("edges", lambda x: x <= F.col("v"))), last)
-    binned = rows.where((last >= 2) & (F.col("v") >= F.get("edges", F.lit(0))) & (F.col("v") <= F.get("edges", last)))
-    binned = binned.groupBy("feature", place.alias("bin")).agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
+    inside = (last >= 2) & (F.col("v") >= F.get("edges", F.lit(0))) & (F.col("v") <= F.get("edges", last))
+    spread, flat = F.col("hi") - F.col("lo"), F.col("hi") - F.col("lo") < 1e-12
+    even = F.least(F.floor((F.col("v") - F.col("lo")) / (F.when(~flat, spread) / even_bins)), F.lit(even_bins - 1)).cast("int")
+    distance = F.abs(F.col("e_to") / F.col("ne") - F.col("a_to") / F.col("na"))
+    cells = rows.groupBy("feature", F.when(inside, place).alias("bin"), even.alias("even")).agg(F.sum("e").alias("e"), F.sum("a").alias("a"), F.max(distance).alias("d"))
+
+    binned = cells.where("bin is not null").groupBy("feature", "bin").agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
     every = facts.where("size(edges) > 2").select("feature", "ne", "na", F.explode(F.sequence(F.lit(1), last)).alias("bin"))
     share = lambda c, n: F.greatest(F.coalesce(F.col(c), F.lit(0.0)) / F.greatest(F.col(n), F.lit(1.0)), F.lit(1e-6))
     psi = every.join(binned, ["feature", "bin"], "left").select("feature", share("e", "ne").alias("e"), share("a", "na").alias("a"))
     psi = psi.groupBy("feature").agg(F.sum((F.col("a") - F.col("e")) * F.log(F.col("a") / F.col("e"))).alias("psi"))
 
-    width = (F.col("hi") - F.col("lo")) / even_bins
-    even = F.least(F.floor((F.col("v") - F.col("lo")) / F.when(width > 0, width)), F.lit(even_bins - 1)).cast("int")
-    counts = rows.where((F.col("hi") - F.col("lo")) >= 1e-12).groupBy("feature", even.alias("bin")).agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
-    grid = facts.where("hi - lo >= 1e-12").select("feature", F.col("ne") + even_bins * 1e-6, F.col("na") + even_bins * 1e-6, F.explode(F.sequence(F.lit(0), F.lit(even_bins - 1))).alias("bin")).toDF("feature", "ne", "na", "bin")
+    counts = cells.where("even is not null").groupBy("feature", F.col("even").alias("bin")).agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
+    grid = facts.where(~flat).select("feature", (F.col("ne") + even_bins * 1e-6).alias("ne"), (F.col("na") + even_bins * 1e-6).alias("na"), F.explode(F.sequence(F.lit(0), F.lit(even_bins - 1))).alias("bin"))
     p = (F.coalesce("e", F.lit(0.0)) + 1e-6) / F.col("ne")
     q = (F.coalesce("a", F.lit(0.0)) + 1e-6) / F.col("na")
     js = grid.join(counts, ["feature", "bin"], "left").select("feature", p.alias("p"), q.alias("q"))
     m = (F.col("p") + F.col("q")) / 2
     js = js.groupBy("feature").agg(F.sqrt(F.sum(F.col("p") * F.log(F.col("p") / m) + F.col("q") * F.log(F.col("q") / m)) / 2).alias("js"))
-
-    # running shares in pieces of the range, joined by the pieces' own sums, as in ``curve``
-    piece = F.least(F.floor((F.col("v") - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")) * BUCKETS), F.lit(BUCKETS - 1))
-    ks = rows.withColumn("piece", F.coalesce(piece, F.lit(0)))
-    sums = ks.groupBy("feature", "piece").agg(F.sum("e").alias("pe"), F.sum("a").alias("pa"))
-    below = Window.partitionBy("feature").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("feature", "piece", F.coalesce(F.sum("pe").over(below), F.lit(0.0)).alias("be"), F.coalesce(F.sum("pa").over(below), F.lit(0.0)).alias("ba"))
-    inside = Window.partitionBy("feature", "piece").orderBy("v")
-    ks = ks.join(sums, ["feature", "piece"]).select(
-        "feature", F.abs((F.col("be") + F.sum("e").over(inside)) / F.col("ne") - (F.col("ba") + F.sum("a").over(inside)) / F.col("na")).alias("d")
-    )
-    ks = ks.groupBy("feature").agg(F.max("d").alias("ks"))
+    ks = cells.groupBy("feature").agg(F.max("d").alias("ks"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     out = facts.select("feature", "mean_expected", "mean_actual").join(psi, "feature", "left").join(ks, "feature", "left").join(js, "feature", "left")
     return out.select("feature", zero("psi"), zero("ks"), zero("js"), "mean_expected", "mean_actual")

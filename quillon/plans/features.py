@@ -123,11 +123,11 @@ codes AS (SELECT hand_id, ord, seat, CASE street WHEN 'preflop' THEN 'p' WHEN 'f
          WHEN amount / pot_before < 0.4 THEN 's' WHEN amount / pot_before < 0.75 THEN 'm' WHEN amount / pot_before <= 1.15 THEN 'p' ELSE 'o' END AS sz FROM acts),
 toks AS (SELECT hand_id, row_number() OVER (PARTITION BY hand_id ORDER BY ord, part) AS i, tok FROM (
     SELECT hand_id, ord, 1 AS part, st || act || sz AS tok FROM codes WHERE act <> 'b' UNION ALL SELECT hand_id, ord, 2, 'pos' || seat || act FROM codes WHERE act <> 'b')),
-grams AS (SELECT hand_id, n, gram FROM (
-    SELECT hand_id, 1 AS n, tok AS gram FROM toks
-    UNION ALL SELECT hand_id, 2, tok || '|' || lead(tok) OVER w FROM toks WINDOW w AS (PARTITION BY hand_id ORDER BY i)
-    UNION ALL SELECT hand_id, 3, tok || '|' || lead(tok) OVER w || '|' || lead(tok, 2) OVER w FROM toks WINDOW w AS (PARTITION BY hand_id ORDER BY i)) WHERE gram IS NOT NULL),
-vocab AS (SELECT n, rank, gram, cnt FROM (SELECT n, gram, count(*) AS cnt, row_number() OVER (PARTITION BY n ORDER BY count(*) DESC, gram) AS rank FROM grams GROUP BY n, gram)
+grams AS (SELECT hand_id, i, n, gram FROM (
+    SELECT hand_id, i, 1 AS n, tok AS gram FROM toks
+    UNION ALL SELECT hand_id, i, 2, tok || '|' || lead(tok) OVER w FROM toks WINDOW w AS (PARTITION BY hand_id ORDER BY i)
+    UNION ALL SELECT hand_id, i, 3, tok || '|' || lead(tok) OVER w || '|' || lead(tok, 2) OVER w FROM toks WINDOW w AS (PARTITION BY hand_id ORDER BY i)) WHERE gram IS NOT NULL),
+vocab AS (SELECT n, rank, gram, cnt FROM (SELECT n, gram, count(*) AS cnt, row_number() OVER (PARTITION BY n ORDER BY count(*) DESC, min((hand_id, i))) AS rank FROM grams GROUP BY n, gram)
           WHERE rank <= CASE n WHEN 1 THEN 80 WHEN 2 THEN 160 ELSE 90 END)
 """
 

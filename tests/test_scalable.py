@@ -64,10 +64,10 @@ def test_most_drifted_and_writers(spark, tmp_path):
     assert len(top) == 25 and top[:3] == ["f29", "f59", "f28"]
     sinks.write_metrics({"reward": 0.5, "fpr": 0.01}, f"file://{tmp_path}/m", spark)
     assert json.loads(next((tmp_path / "m").glob("part-*")).read_text()) == {"reward": 0.5, "fpr": 0.01}
-    grams = spark.createDataFrame([(1, n, g) for n, g in [(1, "a"), (1, "a"), (1, "b"), (2, "a|b"), (1, "c")]], "hand_id long, n int, gram string")
+    grams = spark.createDataFrame([(1, i, n, g) for i, (n, g) in enumerate([(1, "a"), (1, "c"), (1, "a"), (1, "b"), (2, "a|b"), (7, "x")])], "hand_id long, pos int, n int, gram string")
     vocabulary = X.gram_vocabulary(grams, {1: 2, 2: 5})
     sinks.write_vocabulary(vocabulary, f"file://{tmp_path}/v")
-    assert [tuple(r) for r in sinks.read_vocabulary(spark, f"file://{tmp_path}/v").orderBy("n", "rank").collect()] == [(1, 1, "a", 2), (1, 2, "b", 1), (2, 1, "a|b", 1)]
+    assert [tuple(r) for r in sinks.read_vocabulary(spark, f"file://{tmp_path}/v").orderBy("n", "rank").collect()] == [(1, 1, "a", 2), (1, 2, "c", 1), (2, 1, "a|b", 1)]  # of b and c, c was seen first
     assert sinks.read_vocabulary(spark, f"file://{tmp_path}/none").count() == 0
 
 
@@ -98,3 +98,24 @@ def test_the_chain_of_calibration(spark):
     assert recall * 0.35 * (1 - fpr) ** 2 > 0.6 * best and recall > 0.1
     assert K.fit_chain(scored.where("y = 1")).is_identity
     assert K._spread(scored.limit(5), 0.9) is None
+
+
+def test_drift_is_exact_on_hot_and_skewed_values(spark):
+    """One value in a third of the rows, a long tail, ties on the edges, an empty side: as numpy has it."""
+    rng = np.random.default_rng(4)
+    e = np.concatenate([np.zeros(700), rng.lognormal(0, 4, 1200), np.repeat(3.0, 101)])
+    a = np.concatenate([np.zeros(300), rng.lognormal(1, 3, 900), [1e12, -5.0]])
+    rows = lambda x: spark.createDataFrame([(float(v), 1.0) for v in x] + [(None, 1.0)], "x double, flat double")
+    got = {r["feature"]: r for r in M.drift(rows(e), rows(a), ["x", "flat"]).collect()}
+    edges = np.unique(rows(e).agg(F.percentile("x", [i / 10 for i in range(11)])).first()[0])
+    share = lambda v, n: np.maximum(np.histogram(v, edges)[0] / n, 1e-6)
+    p, q = share(e, len(e) + 1), share(a, len(a) + 1)  # the null counts in neither bin, but in the sample
+    assert got["x"]["psi"] == pytest.approx(float(((q - p) * np.log(q / p)).sum()), rel=1e-9)
+    grid = np.sort(np.concatenate([e, a]))
+    ks = np.abs(np.searchsorted(np.sort(e), grid, "right") / (len(e) + 1) - np.searchsorted(np.sort(a), grid, "right") / (len(a) + 1)).max()
+    assert got["x"]["ks"] == pytest.approx(ks, rel=1e-9) and (got["flat"]["psi"], got["flat"]["js"]) == (0.0, 0.0)
+    values = spark.createDataFrame([("k", float(v)) for v in e], "k string, v double").groupBy("k", "v").count().withColumnRenamed("count", "w")
+    cuts = spark.createDataFrame([("k", [float(np.quantile(e, i / 8)) for i in range(1, 8)], len(e))], "k string, cuts array<double>, n long")
+    ranked = M.ranked_values(values, "k", "v", ["w"], cuts)
+    probabilities = [0.0, 0.1, 0.333, 0.35, 0.5, 0.999, 1.0]
+    assert M.exact_quantiles(ranked, "k", "v", "w", cuts, probabilities).first()["quantiles"] == pytest.approx(np.quantile(e, probabilities).tolist())
