@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.labels import hash_split
 from quillon.functions.scalars import parse_time, seat_of_uid
+from quillon.sources.large_json import read_arrays
 
 #: Names under which roots, chunks, labels and ids are looked for, in order.
 ROOT_KEYS = ("labeled_chunks", "samples", "data", "chunks", "items", "records")
@@ -59,6 +60,19 @@ def read_items(spark: SparkSession, path: str, *, glob: str = "*.json*") -> Data
     return rows.select("file", "s.split", F.posexplode("s.items").alias("nth", "item"))
 
 
+def read_large_items(spark: SparkSession, path: str, *, glob: str = "*.json*") -> DataFrame:
+    """As ``read_items``, for documents of any size: an item is a row from the start, and no document is ever whole. The
+    documents are parsed twice, first for the arrays they have."""
+    found = read_arrays(spark, path, glob=glob)
+    ranks = [(k, s, 0) for k, s in SPLIT_KEYS] + [(k, None, i + 1) for i, k in enumerate(("", *ROOT_KEYS, *(f"data.{k}" for k in ROOT_KEYS)))]
+    known = F.broadcast(spark.createDataFrame(ranks, "path string, split string, rank int"))
+    arrays = found.where("nth = -1").select("file", "path").distinct().join(known, "path")
+    best = arrays.groupBy("file").agg(F.min("rank").alias("rank"))
+    chosen = arrays.join(best, ["file", "rank"]).select("file", "path", "split")
+    items = found.where("nth >= 0").join(chosen, ["file", "path"])
+    return items.select("file", "split", F.col("nth").cast("int").alias("nth"), F.try_parse_json("text").alias("item"))
+
+
 def label_of_item(item: Column) -> Column:
     """1, 0 or null: flags first, then the label fields (words, numbers or one-element lists)."""
 
@@ -84,10 +98,10 @@ def looks_like_hand(hand: Column, required: tuple[str, ...] = ("metadata", "play
     return F.coalesce(F.size(F.array_except(F.array(*map(F.lit, required)), keys)) == 0, F.lit(False))
 
 
-def read_chunks(spark: SparkSession, path: str, *, glob: str = "*.json*") -> DataFrame:
+def read_chunks(spark: SparkSession, path: str, *, glob: str = "*.json*", large: bool = False) -> DataFrame:
     """file, split, chunk_id, label, source_date, hands (typed) of every item that has hands; the others are left to
-    ``rejected_items``. An id that is missing becomes ``sample_`` and the item's number."""
-    items = read_items(spark, path, glob=glob).withColumn("raw", hands_of_item(F.col("item")))
+    ``rejected_items``. An id that is missing becomes ``sample_`` and the item's number. ``large``: documents of any size."""
+    items = (read_large_items if large else read_items)(spark, path, glob=glob).withColumn("raw", hands_of_item(F.col("item")))
     ids = F.coalesce(*(_get(F.col("item"), f"$.{k}", "string") for k in ID_KEYS), F.concat(F.lit("sample_"), F.col("nth").cast("string")))
     hands = F.filter(F.transform("raw", lambda h: F.from_json(F.to_json(h), HAND)), lambda h: h.isNotNull())
     split = F.coalesce("split", _get(F.col("item"), "$.split", "string"))
