@@ -54,23 +54,40 @@ SPLIT_RANGES = 4096
 BROADCAST_ROWS = 400_000
 
 
-def stratified_split(rows: DataFrame, key: str, label: str, ratio: float, seed: int) -> DataFrame:
-    """Adds split: the first ``ratio`` of each class by hash of key and seed is validation.
+def hash_places(rows: DataFrame, key: str, label: str | None, seed: int) -> DataFrame:
+    """``rows`` with __place (from 1) and __size of each class in the order of a hash of key and seed.
 
     Rows are counted by class and range of the hash; a row's place is that within its range plus the counts of the ranges
-    before, so no task sorts a class. A null label is a class.
-    """
+    before, so no task sorts a class. A null label is a class; without a label all rows are one."""
     order = F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"), 256)
-    hashed = rows.withColumn("__order", order).withColumn("__range", F.conv(F.substring("__order", 1, 3), 16, 10).cast("int"))
-    counts = hashed.groupBy(F.col(label).alias("__label"), F.col("__range").alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
+    hashed = rows.withColumn("__order", order).withColumn("__range", F.conv(F.substring("__order", 1, 3), 16, 10).cast("int")).withColumn("__class", F.col(label) if label else F.lit(0))
+    counts = hashed.groupBy(F.col("__class").alias("__label"), F.col("__range").alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy("__label")
     before = F.coalesce(F.sum("__n").over(w.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.withColumns({"__before": before, "__size": F.sum("__n").over(w)})
     if counts.count() <= BROADCAST_ROWS:
         counts = F.broadcast(counts)
-    placed = hashed.join(counts, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__range") == F.col("__of")))
-    place = F.col("__before") + F.row_number().over(Window.partitionBy(label, "__range").orderBy("__order"))
-    return placed.select(*rows.columns, F.when(place <= F.rint(ratio * F.col("__size")), "validation").otherwise("train").alias("split"))
+    placed = hashed.join(counts, F.col("__class").eqNullSafe(F.col("__label")) & (F.col("__range") == F.col("__of")))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__class", "__range").orderBy("__order"))
+    return placed.select(*rows.columns, place.alias("__place"), "__size")
+
+
+def stratified_split(rows: DataFrame, key: str, label: str, ratio: float, seed: int) -> DataFrame:
+    """Adds split: the first ``ratio`` of each class by hash of key and seed is validation."""
+    placed = hash_places(rows, key, label, seed)
+    return placed.select(*rows.columns, F.when(F.col("__place") <= F.rint(ratio * F.col("__size")), "validation").otherwise("train").alias("split"))
+
+
+def permutation_split(rows: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:
+    """Adds split: exactly the share ``ratio`` of all rows, one at least, is validation."""
+    placed = hash_places(rows, key, None, seed)
+    most = F.greatest(F.lit(1), F.rint(ratio * F.col("__size")))
+    return placed.select(*rows.columns, F.when(F.col("__place") <= most, "validation").otherwise("train").alias("split"))
+
+
+def equal_folds(rows: DataFrame, key: str, label: str | None, k: int, seed: int) -> DataFrame:
+    """Adds fold (0 to k - 1): of each class every fold has as many rows as every other, or one more."""
+    return hash_places(rows, key, label, seed).select(*rows.columns, ((F.col("__place") - 1) % k).cast("int").alias("fold"))
 
 
 def hash_split(rows: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.scalars import clamp, coarse, direct_type, from_blinds, in_blinds, nearest_bucket, noise, resolved_type, seat_or_zero, seeded, window_size
+from quillon.functions.scalars import clamp, coarse, direct_type, from_blinds, in_blinds, nearest_bucket, noise, resolved_type, seat_or_zero, seeded, tidy, window_size
 from quillon.operators.sequences import collapse_noops, in_hand
 
 #: Fields that tell the label; bounds in big blinds.
@@ -193,8 +193,9 @@ def chunk_signature(hands: DataFrame, visible: DataFrame, streets: DataFrame, pl
     return h.groupBy("chunk_id").agg(*(F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in names))
 
 
-def heuristic_scores(hands: DataFrame, actions: DataFrame, streets: DataFrame) -> DataFrame:
-    """chunk_id, score: without a model, weighted bounded ratios per hand, averaged over the chunk's hands.
+def heuristic_scores(hands: DataFrame, actions: DataFrame, streets: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """chunk_id, score (six decimals): without a model, weighted bounded ratios per hand, averaged over the chunk's hands.
+    With ``chunks`` (chunk_id) every chunk has a score, one without hands one half.
 
     ``hands``: chunk_id, hand_id, n_players, showdown. Ratios are over calls, checks, bets, raises and folds only, the
     depth is a third of the listed streets, and the showdown is what the outcome says.
@@ -210,4 +211,5 @@ def heuristic_scores(hands: DataFrame, actions: DataFrame, streets: DataFrame) -
     players = F.when(sat > 0, clamp((6 - F.least(sat, F.lit(6))) / 4)).otherwise(0.0)
     score = DEPTH * F.coalesce("listed", F.lit(0)) / 3 + SHOWDOWN * F.coalesce(F.col("showdown").cast("int"), F.lit(0)) + PLAYERS * players
     score = score + CALLS[0] * full("call", CALLS[1]) + CHECKS[0] * full("check", CHECKS[1]) - FOLDS[0] * full("fold", FOLDS[1]) - RAISES[0] * full("raise", RAISES[1])
-    return h.groupBy("chunk_id").agg(F.avg(clamp(score)).alias("score"))
+    told = h.groupBy("chunk_id").agg(tidy(F.avg(clamp(score))).alias("score"))
+    return told if chunks is None else chunks.select("chunk_id").join(told, "chunk_id", "left").fillna(0.5, ["score"])

@@ -8,23 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import (
-    STREETS, amount_bucket, amount_label, capped_ratio, entropy, norm_text, ratio, scaled_log, size_code, symbol_counts,
+    STREETS, amount_bucket, amount_label, capped_ratio, entropy, finite, norm_text, ratio, scaled_log, size_code, symbol_counts,
 )
 from quillon.operators.sequences import longest_runs, ngrams, switch_rate, with_anomalies
 
 ACTION_TYPES = ("fold", "check", "call", "bet", "raise")
 #: The hand features in their canonical order.
-HAND_FEATURES = tuple(
-    sorted(
-        "num_players seat_utilization hero_seat_norm num_actions num_streets_observed last_street_rank ended_preflop reached_flop reached_turn"
-        " reached_river reached_showdown aggression_ratio passive_ratio hero_action_ratio action_type_entropy actor_seat_entropy street_entropy"
-        " acted_after_fold_ratio has_actor_after_fold same_actor_consecutive_ratio street_regression_ratio street_jump_ratio max_street_jump"
-        " pot_mismatch_ratio pot_decrease_ratio pot_negative_ratio amount_negative_ratio raise_to_missing_ratio call_to_missing_ratio"
-        " zero_amount_betraise_ratio fold_ratio check_ratio call_ratio bet_ratio raise_ratio preflop_action_ratio flop_action_ratio"
-        " turn_action_ratio river_action_ratio showdown_action_ratio amount_mean amount_std amount_max amount_q75 amount_log_mean"
-        " nonzero_amount_ratio".split()
-    )
-)
+HAND_FEATURES = (
+    "acted_after_fold_ratio", "action_type_entropy", "actor_seat_entropy", "aggression_ratio", "amount_log_mean", "amount_max",
+    "amount_mean", "amount_negative_ratio", "amount_q75", "amount_std", "bet_ratio", "call_ratio", "call_to_missing_ratio", "check_ratio",
+    "ended_preflop", "flop_action_ratio", "fold_ratio", "has_actor_after_fold", "hero_action_ratio", "hero_seat_norm", "last_street_rank",
+    "max_street_jump", "nonzero_amount_ratio", "num_actions", "num_players", "num_streets_observed", "passive_ratio", "pot_decrease_ratio",
+    "pot_mismatch_ratio", "pot_negative_ratio", "preflop_action_ratio", "raise_ratio", "raise_to_missing_ratio", "reached_flop",
+    "reached_river", "reached_showdown", "reached_turn", "river_action_ratio", "same_actor_consecutive_ratio", "seat_utilization",
+    "showdown_action_ratio", "street_entropy", "street_jump_ratio", "street_regression_ratio", "turn_action_ratio",
+    "zero_amount_betraise_ratio",
+)
 STATS = ("mean", "std", "min", "max", "q25", "q50", "q75")
 CHUNK_ONLY = (
     "unique_action_pattern_ratio", "top_action_pattern_share", "unique_amount_pattern_ratio", "top_amount_pattern_share",
@@ -134,6 +133,17 @@ def chunk_vectors(chunks: DataFrame, features: DataFrame) -> DataFrame:
     return wide.select("chunk_id", *out)
 
 
+def feature_matrix(vectors: DataFrame, labels: DataFrame, names: list[str], key: str = "chunk_id") -> tuple[DataFrame, bool]:
+    """(key, the features in the order of ``names``, y; whether there are labels). Features that ``vectors`` lacks, and
+    values that are null or not finite, are 0; y (of ``labels``: key, label) is null everywhere unless every row has one."""
+    have = set(vectors.columns)
+    told = [(F.coalesce(finite(F.col(n).cast("double")), F.lit(0.0)) if n in have else F.lit(0.0)).alias(n) for n in names]
+    rows = vectors.select(key, *told).join(labels.select(key, F.col("label").cast("int").alias("y")), key, "left")
+    state = rows.agg(F.count(F.lit(1)).alias("n"), F.count("y").alias("told")).first()
+    full = 0 < state["n"] == state["told"]
+    return (rows if full else rows.withColumn("y", F.lit(None).cast("int"))), full
+
+
 def signatures(hands: DataFrame, actions: DataFrame) -> DataFrame:
     """chunk_id, hand_id, the sequence of its action types and that of its amount buckets, as texts."""
     order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", c.cast("string").alias("v")))), lambda x: x["v"]), ",")

@@ -83,6 +83,43 @@ def losses(scored: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def scoring_only_metrics(scored: DataFrame, keys: list[str], *, boundary: float | None = None) -> DataFrame:
+    """Per key what scores tell without labels: count, their range, mean and population deviation (0 of none), and how many
+    are flagged. Without keys there is one row, also of no scores."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    flagged = F.count_if(decide(boundary=boundary))
+    n = F.count("score")
+    return scored.groupBy(*keys).agg(
+        n.alias("count"), zero(F.min("score")).alias("score_min"), zero(F.max("score")).alias("score_max"), zero(F.avg("score")).alias("score_mean"), zero(F.stddev_pop("score")).alias("score_std"),
+        flagged.alias("pred_bot"), (n - flagged).alias("pred_human"), zero(flagged / F.nullif(n, F.lit(0))).alias("pred_bot_rate"),
+    )
+
+
+def safe_metrics(scored: DataFrame, keys: list[str], *, boundary: float | None = None) -> DataFrame:
+    """Per key all metrics of labelled scores: class counts, score statistics, accuracy, precision, recall and F1 of bots (0
+    where undefined), the confusion matrix, and roc_auc, pr_auc, log_loss, brier (null unless both classes occur)."""
+    flag, bot = decide(boundary=boundary), F.col("y") == 1
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    clipped = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("score")))
+    base = scored.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("count"), F.count_if(~bot).alias("human_count"), F.count_if(bot).alias("bot_count"),
+        zero(F.min("score")).alias("score_min"), zero(F.max("score")).alias("score_max"), zero(F.avg("score")).alias("score_mean"), zero(F.stddev_pop("score")).alias("score_std"),
+        F.avg(F.when(~bot, F.col("score"))).alias("human_score_mean"), F.avg(F.when(bot, F.col("score"))).alias("bot_score_mean"),
+        F.count_if(~bot & ~flag).alias("tn"), F.count_if(~bot & flag).alias("fp"), F.count_if(bot & ~flag).alias("fn"), F.count_if(bot & flag).alias("tp"),
+        F.avg(-F.log(F.when(bot, clipped).otherwise(1 - clipped))).alias("ll"), F.avg(F.pow(F.col("score") - F.col("y"), F.lit(2.0))).alias("br"),
+    )
+    curve_ = ranking(scored, keys).select(*keys, F.col("auc").alias("__auc"), F.col("ap").alias("__ap"))
+    both = (F.col("human_count") > 0) & (F.col("bot_count") > 0)
+    joined = base.join(curve_, keys, "left") if keys else base.join(F.broadcast(curve_), how="left")
+    part = lambda a, b: zero(F.col(a) / F.nullif(b, F.lit(0)))
+    return joined.select(
+        *keys, "count", "human_count", "bot_count", "score_min", "score_max", "score_mean", "score_std", "human_score_mean", "bot_score_mean",
+        zero((F.col("tn") + F.col("tp")) / F.nullif("count", F.lit(0))).alias("accuracy"), part("tp", F.col("tp") + F.col("fp")).alias("precision_bot"), part("tp", F.col("tp") + F.col("fn")).alias("recall_bot"),
+        zero(2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0))).alias("f1_bot"), "tn", "fp", "fn", "tp",
+        F.when(both, F.col("__auc")).alias("roc_auc"), F.when(both, F.col("__ap")).alias("pr_auc"), F.when(both, F.col("ll")).alias("log_loss"), F.when(both, F.col("br")).alias("brier"),
+    )
+
+
 def score_range(scored: DataFrame, keys: list[str]) -> DataFrame:
     """How far the classes lie apart: human_prob_max, bot_prob_min, gap, and the scores' range."""
     m = scored.groupBy(*keys).agg(

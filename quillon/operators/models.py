@@ -14,8 +14,10 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.labels import equal_folds
 from quillon.functions.scalars import grid_interpolate, remap
 from quillon.operators import metrics as M
+from quillon.sources.shared import shared_path
 
 STEPS = 255
 
@@ -53,13 +55,12 @@ def score(model: PipelineModel, rows: DataFrame, name: str = "score") -> DataFra
     return out.select(*rows.columns, vector_to_array("probability")[1].alias(name))
 
 
-def with_folds(rows: DataFrame, key: str, k: int, seed: int) -> DataFrame:
-    return rows.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)).cast("int"))
-
-
 def out_of_fold(rows: DataFrame, names: list[str], key: str, *, k: int = 3, seed: int = 44) -> DataFrame:
-    """key, y and each base learner's score by the models that did not see the row."""
-    folded = with_folds(rows, key, k, seed)
+    """key, y and each base learner's score by the models that did not see the row; folds are of equal size by class."""
+    # every learner reads its rows many times over, so the folds are dealt once and written
+    path = shared_path(rows.sparkSession, "folds")
+    equal_folds(rows.select(key, "y", *names), key, "y", k, seed).write.parquet(path)
+    folded = rows.sparkSession.read.parquet(path)
     parts = []
     for fold in range(k):
         held = folded.where(F.col("fold") == fold)
@@ -84,13 +85,24 @@ def score_stack(base: dict[str, PipelineModel], meta: PipelineModel, rows: DataF
 
 
 def compare_blends(oof: DataFrame, a: str, b: str, *, share: float = 0.6, margin: float = 1e-3) -> DataFrame:
-    """name, ap, auc of both scores and of their blend; ``chosen`` is the blend only if it wins by the margin."""
-    forms = {a: F.col(a), b: F.col(b), "blend": share * F.col(a) + (1 - share) * F.col(b)}
-    told = reduce(DataFrame.unionByName, [oof.select(F.lit(n).alias("name"), "y", c.alias("score")) for n, c in forms.items()])
-    r = M.ranking(told, ["name"])
-    best = r.agg(F.max(F.when(F.col("name") != "blend", F.col("ap"))).alias("single"), F.max(F.when(F.col("name") == "blend", F.col("ap"))).alias("blend"))
-    wins = F.col("blend") - F.col("single") > margin
-    return r.join(F.broadcast(best)).select("name", "ap", "auc", F.when(wins, F.col("name") == "blend").otherwise((F.col("name") != "blend") & (F.col("ap") == F.col("single"))).alias("chosen"))
+    """name, ap, auc, reward, fpr of four arms over out-of-fold scores: both scores, their blend, and a logistic regression on
+    both. Every arm is calibrated by its own scores before its reward counts. ``chosen`` is the better of blend and stack
+    if its reward beats that of ``a`` by the margin, else ``a``."""
+    meta = train(oof, [a, b], LogisticRegression(labelCol="y", regParam=0.0, maxIter=1000))
+    forms = {a: F.col(a), b: F.col(b), "blend": share * F.col(a) + (1 - share) * F.col(b), "stack": F.col("__stack")}
+    stacked = score(meta, oof, "__stack").select("y", *(c.alias(f"__{n}_arm") for n, c in forms.items())).persist()
+    try:
+        found = {}
+        for n in forms:  # a calibrator is fitted by several jobs over one arm; what is kept of an arm is a row
+            arm = stacked.select("y", F.col(f"__{n}_arm").alias("score"))
+            r = M.ranking(arm, []).join(F.broadcast(M.reward(fit_calibrator(arm).apply(arm), []).select("reward", "fpr")))
+            found[n] = r.first()
+    finally:
+        stacked.unpersist()
+    best = max(("blend", "stack"), key=lambda n: (found[n]["reward"], n == "blend"))
+    winner = best if found[best]["reward"] - found[a]["reward"] > margin else a
+    rows = [(n, x["ap"], x["auc"], x["reward"], x["fpr"], n == winner) for n, x in found.items()]
+    return oof.sparkSession.createDataFrame(rows, "name string, ap double, auc double, reward double, fpr double, chosen boolean")
 
 
 def importances(model: PipelineModel, names: list[str]) -> dict[str, float]:

@@ -113,6 +113,13 @@ def trailing(rows: DataFrame, keys: list[str], order: list[str], n: int) -> Data
     return rows.withColumn("back", F.row_number().over(w)).where(F.col("back") <= n)
 
 
+def leading(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of every key: the plain limit of batches, releases, hands or actions. A task hands on no more
+    than ``n`` rows a key."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("__place", F.row_number().over(w)).where(F.col("__place") <= n).drop("__place")
+
+
 def ema(rows: DataFrame, keys: list[str], order: str, value: str, alpha: float, name: str, *, cycles: DataFrame | None = None) -> DataFrame:
     """Exponential moving average from zero, by its closed form: one window and one sum, no fold. A key ages by its own
     rows only, or, with ``cycles`` (all values of ``order``), by every cycle: one that it misses counts as a zero."""

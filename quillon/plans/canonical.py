@@ -139,6 +139,5 @@ SELECT c_custkey AS chunk_id, round(coalesce(avg(s), 0.5) + 1e-9, 6) AS score FR
 def heuristic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores without a model; a chunk without hands gets one half."""
     hands = B.hands(spark, sf_dir).withColumn("showdown", F.col("hand_id") % 3 == 0)
-    scores = C.heuristic_scores(hands, B.actions(spark, sf_dir), B.streets(spark, sf_dir))
     chunks = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chunk_id"))
-    return chunks.join(scores, "chunk_id", "left").select("chunk_id", S.tidy(F.coalesce("score", F.lit(0.5))).alias("score"))
+    return C.heuristic_scores(hands, B.actions(spark, sf_dir), B.streets(spark, sf_dir), chunks)

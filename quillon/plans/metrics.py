@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon import bindings as B
+from quillon.functions import labels as G
 from quillon.functions import scalars as S
 from quillon.operators import metrics as M
+from quillon.operators import sequences as Q
 from quillon.plans.catalog import query
 
 #: ``scored`` and ``responses`` under one name, for metrics by key.
@@ -186,3 +188,43 @@ def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = B.hands(spark, sf_dir).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
     c = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chunk_id"), "c_acctbal")
     return sizes.join(c, "chunk_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("n").alias("largest"), S.tidy(F.avg("n")).alias("mean_size"), F.bool_or(F.col("c_acctbal") < 0).alias("has_bots"))
+
+
+BUNDLE = "score_min score_max score_mean score_std human_score_mean bot_score_mean accuracy precision_bot recall_bot f1_bot roc_auc pr_auc log_loss brier".split()
+
+
+@query(B.with_sql(CURVE_SQL.format(k="uid", t="responses") + f"""
+, b AS (SELECT uid, count(*) AS "count", count(*) FILTER (WHERE y = 0) AS human_count, count(*) FILTER (WHERE y = 1) AS bot_count, min(score) AS score_min, max(score) AS score_max, avg(score) AS score_mean, stddev_pop(score) AS score_std,
+          avg(score) FILTER (WHERE y = 0) AS human_score_mean, avg(score) FILTER (WHERE y = 1) AS bot_score_mean,
+          avg(-ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)) AS ll, avg((score - y) ** 2) AS br FROM (SELECT *, greatest(1e-6, least(score, 1 - 1e-6)) AS p FROM responses) GROUP BY uid),
+m AS (SELECT b.*, tn, fp, fn, tp, (tn + tp) / "count"::DOUBLE AS accuracy, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS precision_bot, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS recall_bot,
+        coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0) AS f1_bot, CASE WHEN human_count > 0 AND bot_count > 0 THEN auc END AS roc_auc, CASE WHEN human_count > 0 AND bot_count > 0 THEN ap END AS pr_auc,
+        CASE WHEN human_count > 0 AND bot_count > 0 THEN ll END AS log_loss, CASE WHEN human_count > 0 AND bot_count > 0 THEN br END AS brier FROM b JOIN cnf USING (uid) JOIN rnk USING (uid))
+SELECT uid, "count", human_count, bot_count, tn, fp, fn, tp, {_all(BUNDLE)} FROM m"""))
+def metric_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics of labelled scores by uid."""
+    return _tidy(M.safe_metrics(B.responses(spark, sf_dir), ["uid"]), "uid", "count", "human_count", "bot_count", "tn", "fp", "fn", "tp")
+
+
+@query(B.with_sql("""
+SELECT cycle, count(*) AS "count", round(min(score) + 1e-9, 6) AS score_min, round(max(score) + 1e-9, 6) AS score_max, round(avg(score) + 1e-9, 6) AS score_mean, round(stddev_pop(score) + 1e-9, 6) AS score_std,
+  count(*) FILTER (WHERE score >= 0.4) AS pred_bot, count(*) FILTER (WHERE score < 0.4) AS pred_human, round(count(*) FILTER (WHERE score >= 0.4) / count(*)::DOUBLE + 1e-9, 6) AS pred_bot_rate FROM responses GROUP BY cycle"""))
+def unlabelled_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What scores tell without labels, by cycle, with a boundary of one's own."""
+    return _tidy(M.scoring_only_metrics(B.responses(spark, sf_dir), ["cycle"], boundary=0.4), "cycle", "count", "pred_bot", "pred_human")
+
+
+@query("""
+WITH h AS (SELECT c_custkey, c_acctbal < 0 AS y, sha256(c_custkey || ':44') AS k FROM customer)
+SELECT c_custkey, (row_number() OVER (PARTITION BY y ORDER BY k) - 1) % 5 AS fold,
+  CASE WHEN row_number() OVER (ORDER BY k) <= greatest(1, round_even(0.2 * (SELECT count(*) FROM h), 0)) THEN 'validation' ELSE 'train' END AS split FROM h""")
+def folds_and_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five folds of equal size by class, and an exact split of all rows."""
+    c = B.table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") < 0).alias("y"))
+    return G.permutation_split(G.equal_folds(c, "c_custkey", "y", 5, 44), "c_custkey", 0.2, 44).select("c_custkey", F.col("fold").cast("long").alias("fold"), "split")
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) <= 3")
+def first_hands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three hands of every chunk."""
+    return Q.leading(B.table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], 3).select("o_custkey", "o_orderkey")

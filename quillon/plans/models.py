@@ -40,15 +40,15 @@ def calibrated_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def blend_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold comparison of two learners and their blend."""
-    oof = D.out_of_fold(_labelled(spark, sf_dir).persist(), NAMES, "chunk_id", k=2)
-    return D.compare_blends(oof, "trees", "linear").select("name", S.tidy("ap").alias("ap"), S.tidy("auc").alias("auc"), "chosen")
+    """Out-of-fold comparison of two learners, their blend and a logistic stack of both."""
+    oof = D.out_of_fold(_labelled(spark, sf_dir), NAMES, "chunk_id", k=2)
+    return D.compare_blends(oof, "trees", "linear").select("name", *(S.tidy(c).alias(c) for c in ("ap", "auc", "reward", "fpr")), "chosen")
 
 
 @query()
 def synthetic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the archetypes of generated hands act."""
-    a = synthetic.synthetic_actions(spark, 400)
+    """How the archetypes of generated hands act; a hand for every customer."""
+    a = synthetic.synthetic_actions(spark, B.table(spark, sf_dir, "customer").count())
     return a.groupBy("archetype", "action_type").agg(F.count(F.lit(1)).alias("n"), S.tidy(F.avg("amount")).alias("mean_amount"))
 
 

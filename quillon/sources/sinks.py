@@ -43,6 +43,24 @@ def write_dataset(chunks: DataFrame, path: str, *, partition: str = "source_date
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def write_releases(chunks: DataFrame, path: str, *, key: str = "hash", date: str = "source_date") -> int:
+    """Take up new releases: a folder of JSON lines for each date that is not there yet, with the chunks whose ``key`` no
+    earlier release had; the keys that were seen are kept as a versioned set. Gives the number of new chunks. A run that
+    broke off is repeated as a whole: its keys are published last, and its dates are written again."""
+    spark = chunks.sparkSession
+    kind = f"{key} {chunks.schema[key].dataType.simpleString()}, {date} string"
+    seen = current(spark, f"{path}/_seen", kind)
+    known = seen.select(date).distinct()
+    first = chunks.where(F.col(key).isNotNull() & F.col(date).isNotNull()).join(known, date, "left_anti").join(seen.select(key).distinct(), key, "left_anti").dropDuplicates([key])
+    first.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).json(f"{path}/releases")
+    new = chunks.join(known, date, "left_anti").select(key, F.col(date).cast("string").alias(date)).where(F.col(key).isNotNull() & F.col(date).isNotNull()).distinct()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_seen/v=*/_SUCCESS")
+    versions = len(folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder) or [])
+    n = first.count()
+    publish(seen.unionByName(new), f"{path}/_seen", versions + 1)
+    return n
+
+
 def publish(rows: DataFrame, path: str, version: int) -> None:
     """A registry's next version: a complete folder, visible once its marker is there. Repeating a version is harmless."""
     rows.write.mode("overwrite").parquet(f"{path}/v={version:012d}")

@@ -119,3 +119,31 @@ def test_drift_is_exact_on_hot_and_skewed_values(spark):
     ranked = M.ranked_values(values, "k", "v", ["w"], cuts)
     probabilities = [0.0, 0.1, 0.333, 0.35, 0.5, 0.999, 1.0]
     assert M.exact_quantiles(ranked, "k", "v", "w", cuts, probabilities).first()["quantiles"] == pytest.approx(np.quantile(e, probabilities).tolist())
+
+
+def test_folds_and_exact_splits(spark):
+    rows = spark.range(1003).select("id", F.when(F.col("id") % 10 == 0, "a").when(F.col("id") % 7 == 0, None).otherwise("b").alias("c"))
+    sizes = [r["count"] for r in G.equal_folds(rows, "id", "c", 4, 9).groupBy("c", "fold").count().where("c = 'b'").collect()]
+    assert len(sizes) == 4 and max(sizes) - min(sizes) <= 1
+    assert G.permutation_split(rows, "id", 0.2, 9).where("split = 'validation'").count() == 201
+    assert G.permutation_split(rows.limit(1), "id", 0.2, 9).first()["split"] == "validation"
+
+
+def test_a_matrix_has_labels_only_if_all_are_told(spark):
+    v = spark.createDataFrame([(1, 1.0, float("nan")), (2, None, float("inf")), (3, -2.0, 3.0)], "chunk_id int, a double, b double")
+    some, all_ = ([(1, 0), (2, 1)], [(1, 0), (2, 1), (3, 1)])
+    m, told = X.feature_matrix(v, spark.createDataFrame(all_, "chunk_id int, label int"), ["b", "zz", "a"])
+    assert told and m.columns == ["chunk_id", "b", "zz", "a", "y"] and sorted(map(tuple, m.collect())) == [(1, 0.0, 0.0, 1.0, 0), (2, 0.0, 0.0, 0.0, 1), (3, 3.0, 0.0, -2.0, 1)]
+    m, told = X.feature_matrix(v, spark.createDataFrame(some, "chunk_id int, label int"), ["a"])
+    assert not told and m.where("y is not null").count() == 0 and m.count() == 3
+    assert X.feature_matrix(v.limit(0), spark.createDataFrame(all_, "chunk_id int, label int"), ["a"])[1] is False
+
+
+def test_releases_are_taken_up_once(spark, tmp_path):
+    path, kind = f"file://{tmp_path}/r", "hash string, source_date string, n int"
+    read = lambda: sorted((r["hash"], str(r["source_date"]), r["n"]) for r in spark.read.json(f"{path}/releases").collect())
+    assert sinks.write_releases(spark.createDataFrame([("a", "2026-01-01", 1), ("b", "2026-01-01", 2), ("a", "2026-01-01", 1), (None, "2026-01-01", 0)], kind), path) == 2
+    more = spark.createDataFrame([("c", "2026-01-01", 9), ("a", "2026-01-02", 3), ("d", "2026-01-02", 4)], kind)  # a date that is there is not written again, a hash that was seen not at all
+    assert sinks.write_releases(more, path) == 1 and sinks.write_releases(more, path) == 0
+    assert read() == [("a", "2026-01-01", 1), ("b", "2026-01-01", 2), ("d", "2026-01-02", 4)]
+    assert {r["hash"] for r in sinks.current(spark, f"{path}/_seen", "hash string, source_date string").collect()} == {"a", "b", "d"}
