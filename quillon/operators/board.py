@@ -51,15 +51,37 @@ def normalized(rows: DataFrame, value: str) -> DataFrame:
     return rows.join(F.broadcast(total)).withColumn(value, F.coalesce(F.try_divide(value, "__t"), F.lit(0.0))).drop("__t")
 
 
+#: Ranges into which rows are counted before a page is cut out of them.
+PAGE_RANGES = 256
+
+
 def rotating_page(rows: DataFrame, order: str, cycle: int, k: int) -> DataFrame:
-    """The k rows of this cycle's turn: from the place where the last cycle's page ended, going on at the first row after
-    the last. Each piece is the head of a sort; rows are never numbered in one task."""
+    """The k rows of this cycle's turn in the order of a number or time: from the place where the last cycle's page ended,
+    going on at the first row after the last.
+
+    Rows are counted by ranges that a sketch gives; of each piece of the page only the ranges that it touches are sorted,
+    so no task sees the rows before it."""
     n = rows.count()
     if n <= k:
         return rows
+    cuts = rows.agg(F.percentile_approx(order, [i / PAGE_RANGES for i in range(1, PAGE_RANGES)], 10 * PAGE_RANGES)).first()[0]
+    placed = rows.withColumn("__range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))))
+    sizes = {r["__range"]: r["count"] for r in placed.groupBy("__range").count().collect()}  # a row a range
+
+    def piece(start: int, length: int) -> DataFrame:
+        first = last = before = seen = 0
+        for of in sorted(sizes):
+            if seen <= start:
+                first, before = of, seen
+            if seen < start + length:
+                last = of
+            seen += sizes[of]
+        touched = placed.where(F.col("__range").between(first, last)).drop("__range")
+        return touched.orderBy(order).offset(start - before).limit(length)
+
     start = (cycle - 1) * k % n
-    page = rows.orderBy(order).offset(start).limit(k)
-    return page if start + k <= n else page.unionByName(rows.orderBy(order).limit(start + k - n))
+    page = piece(start, min(k, n - start))
+    return page if start + k <= n else page.unionByName(piece(0, start + k - n))
 
 
 def top_k_bands(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
