@@ -194,8 +194,8 @@ def chunk_signature(hands: DataFrame, visible: DataFrame, streets: DataFrame, pl
 
 
 def heuristic_scores(hands: DataFrame, actions: DataFrame, streets: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
-    """chunk_id, score (six decimals): without a model, weighted bounded ratios per hand, averaged over the chunk's hands.
-    With ``chunks`` (chunk_id) every chunk has a score, one without hands one half.
+    """chunk_id, score: without a model, weighted bounded ratios per hand, averaged over the chunk's hands. With ``chunks``
+    (chunk_id) every chunk has a score of six decimals, as it is served; one without hands has one half.
 
     ``hands``: chunk_id, hand_id, n_players, showdown. Ratios are over calls, checks, bets, raises and folds only, the
     depth is a third of the listed streets, and the showdown is what the outcome says.
@@ -211,5 +211,7 @@ def heuristic_scores(hands: DataFrame, actions: DataFrame, streets: DataFrame, c
     players = F.when(sat > 0, clamp((6 - F.least(sat, F.lit(6))) / 4)).otherwise(0.0)
     score = DEPTH * F.coalesce("listed", F.lit(0)) / 3 + SHOWDOWN * F.coalesce(F.col("showdown").cast("int"), F.lit(0)) + PLAYERS * players
     score = score + CALLS[0] * full("call", CALLS[1]) + CHECKS[0] * full("check", CHECKS[1]) - FOLDS[0] * full("fold", FOLDS[1]) - RAISES[0] * full("raise", RAISES[1])
-    told = h.groupBy("chunk_id").agg(tidy(F.avg(clamp(score))).alias("score"))
-    return told if chunks is None else chunks.select("chunk_id").join(told, "chunk_id", "left").fillna(0.5, ["score"])
+    told = h.groupBy("chunk_id").agg(F.avg(clamp(score)).alias("score"))
+    if chunks is None:
+        return told
+    return chunks.select("chunk_id").join(told, "chunk_id", "left").select("chunk_id", tidy(F.coalesce("score", F.lit(0.5))).alias("score"))
