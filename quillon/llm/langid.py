@@ -8,13 +8,13 @@ alone suggest; a host's counts are smoothed by its domain's, and these by the wh
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from quillon.llm.html_paths import main_text
@@ -27,6 +27,10 @@ from quillon.llm.url_filter import host_of
 #: every row.
 SAMPLE_ROWS = 4000
 LEAST_A_LANGUAGE = 200
+#: A model tells this many labels apart, those of the most distinct texts (ties by name); all further labels are one
+#: class, RARE. There are fewer languages with a code of two letters, so only dirty columns come so far.
+MAX_LANGUAGES = 256
+RARE = "other"
 #: Buckets of trigrams are 2 ** GRAM_BITS, or fewer where there are so many languages that the model would have more
 #: than MODEL_CELLS cells (above 64 languages); the number of rows plays no part.
 GRAM_BITS = 16
@@ -36,6 +40,7 @@ TEXT_WEIGHT = 40.0
 SMOOTHING = 20.0
 LEAST_POSTERIOR = 0.5
 BROADCAST_ROWS = 200_000
+BROADCAST_CELLS = 2_000_000
 
 _LETTER = np.zeros(256, np.bool_)
 _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
@@ -96,17 +101,29 @@ def hash_bound(quota: int, texts: int) -> int:
     return (1 << 63) - 1 if texts <= 1.1 * quota else max(1, (quota << 63) // texts)
 
 
-def train(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> TrigramModel:
+def _classes(labelled: DataFrame, most: int) -> tuple[DataFrame, list[Row]]:
+    """(``labelled`` with the labels beyond the ``most`` that have most texts renamed to RARE, the classes with their
+    numbers of distinct texts). At most ``most`` + 2 rows come to the driver, however many labels there are."""
+    hashed = labelled.select("language", F.xxhash64("text").alias("h"))
+    counted = hashed.groupBy("language").agg(F.approx_count_distinct("h", 0.02).alias("texts"))
+    found = counted.orderBy(F.desc("texts"), "language").limit(most + 1).collect()
+    if len(found) <= most:
+        return labelled, found
+    names = [r["language"] for r in found[:most]]
+    labelled = labelled.withColumn("language", F.when(F.col("language").isin(names), F.col("language")).otherwise(RARE))
+    rest = labelled.where(F.col("language") == RARE).agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts")).first()["texts"]
+    return labelled, [*(r for r in found[:most] if r["language"] != RARE), Row(language=RARE, texts=rest)]
+
+
+def train(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES) -> TrigramModel:
     """Fit the trigram model on a sample of labelled (text, language) for each language; rows without either are not
-    used. Every language that labels a row is in the model, whatever its share, unless none of its texts has letters;
-    equal texts of a language count once. Without any labelled text there is one language, und; labels whose sample
-    comes out empty raise an error."""
+    used. Up to ``max_languages`` labels every one is in the model, whatever its share, unless none of its texts has
+    letters; of more labels those with the fewest texts share the class RARE. Equal texts of a language count once.
+    Without any labelled text there is one language, und; labels whose sample comes out empty raise an error."""
     bounded_batches(labelled.sparkSession)
-    labelled = labelled.select("text", "language").where("text is not null and language is not null")
-    hashed = labelled.select("language", F.xxhash64("text").alias("h"))
-    found = hashed.groupBy("language").agg(F.approx_count_distinct("h", 0.02).alias("texts")).collect()
+    labelled, found = _classes(labelled.select("text", "language").where("text is not null and language is not null"), max_languages)
     quota = max(LEAST_A_LANGUAGE, sample_rows // max(len(found), 1))
-    bits = min(GRAM_BITS, (MODEL_CELLS // max(len(found), 1)).bit_length() - 1)
+    bits = min(GRAM_BITS, max(1, MODEL_CELLS // max(len(found), 1)).bit_length() - 1)
     bound = {r["language"]: hash_bound(quota, r["texts"]) for r in found}
     if not bound:
         return TrigramModel(["und"], np.full((1, 1 << bits), -np.log(1 << bits), np.float32))
@@ -118,9 +135,8 @@ def train(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> TrigramMode
         raise RuntimeError(f"no text was drawn from {sum(r['texts'] for r in found)} labelled ones")
     languages = sorted(counts["language"].unique()) or ["und"]
     table = np.full((len(languages), 1 << bits), 0.1)
-    for i, language in enumerate(languages):
-        mine = counts[counts["language"] == language]
-        table[i, mine["bucket"].to_numpy()] += mine["n"].to_numpy()
+    row = {language: i for i, language in enumerate(languages)}
+    np.add.at(table, (counts["language"].map(row).to_numpy(np.int64), counts["bucket"].to_numpy(np.int64)), counts["n"].to_numpy())
     return TrigramModel(languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
@@ -152,7 +168,12 @@ def score_texts(rows: DataFrame, model: TrigramModel, *, is_html: bool = False)
 
 
 def _counted(rows: DataFrame, key: str, n: int) -> DataFrame:
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.count_if(F.col("said") == i).alias(f"{key}_{i}") for i in range(n)))
+    """key, {key}_seen (how many rows with it the texts give to each language), {key}_total. Counted in long form, so a hot
+    value has at most ``n`` rows per task before the last grouping."""
+    long = rows.where(F.col(key).isNotNull()).groupBy(key, "said").agg(F.count(F.lit(1)).alias("n"))
+    found = long.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("said").isNotNull(), F.struct("said", "n")))).alias("found"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at(F.col("found"), i), F.lit(0).cast("long")))
+    return found.select(key, dense.alias(f"{key}_seen")).withColumn(f"{key}_total", F.aggregate(f"{key}_seen", F.lit(0).cast("long"), lambda a, x: a + x))
 
 
 def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
@@ -164,7 +185,7 @@ def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
     Repeated rows are counted each; an empty table gives an empty result.
     """
     n = len(languages)
-    names = F.array(*map(F.lit, languages))
+    names = F.lit(languages)
     weight = F.least(F.col("n_grams"), F.lit(TEXT_WEIGHT))
     best = F.array_position("likelihood", F.array_max("likelihood")).cast("int") - 1
     labels = F.split(F.col("host"), r"\.")
@@ -177,29 +198,33 @@ def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
         }
     )
     rows = materialize(rows, "language-evidence")
-    whole = rows.agg(*(F.count_if(F.col("said") == i).alias(f"all_{i}") for i in range(n))).first()
-    total = sum(whole)
-    prior = [(whole[i] + 1) / (total + n) for i in range(n)]
+    whole = {r["said"]: r["n"] for r in rows.where("said is not null").groupBy("said").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    total = sum(whole.values())
+    prior = F.lit([(whole.get(i, 0) + 1) / (total + n) for i in range(n)])
     out = rows
     for key in ("host", "domain", "suffix", "declared"):
         counts = materialize(_counted(rows, key, n), f"languages-by-{key}")
-        # a value takes some ten numbers; a longer list is joined by a shuffle, which can split a hot value
-        if counts.count() <= BROADCAST_ROWS:
+        # a value takes a number a language; a longer list is joined by a shuffle, which can split a hot value
+        if counts.count() * n <= BROADCAST_CELLS:
             counts = F.broadcast(counts)
         out = out.join(counts, key, "left")
-    seen = {key: [F.coalesce(F.col(f"{key}_{i}"), F.lit(0)) for i in range(n)] for key in ("host", "domain", "suffix", "declared")}
-
-    def evidence(i: int) -> Column:
-        own_domain = (seen["domain"][i] + SMOOTHING * prior[i]) / (sum(seen["domain"][1:], seen["domain"][0]) + SMOOTHING)
-        own_host = (seen["host"][i] + SMOOTHING * own_domain) / (sum(seen["host"][1:], seen["host"][0]) + SMOOTHING)
-        # what a value says beyond the prior: P(value | language) / P(value), smoothed toward one
-        lift = [F.log((seen[key][i] + SMOOTHING * prior[i]) / (sum(seen[key][1:], seen[key][0]) + SMOOTHING) / prior[i]) for key in ("declared", "suffix")]
-        return weight * F.get("likelihood", F.lit(i)) + F.log(own_host) + lift[0] + lift[1]
-
-    out = out.withColumn("evidence", F.array(*(evidence(i) for i in range(n))))
-    top = F.array_max("evidence")
-    mass = F.aggregate("evidence", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max(F.col("evidence"))))
-    out = out.withColumn("posterior", 1 / mass).withColumn("language", F.get(names, F.array_position("evidence", top).cast("int") - 1))
+
+    def seen(key: str, base: Column, share: Callable[[Column, Column, Column], Column]) -> Column:
+        """``share`` of (a language's count under the row's value of ``key``, its entry in ``base``, all counts under the value)."""
+        none = F.array_repeat(F.lit(0).cast("long"), n)
+        whole = F.coalesce(F.col(f"{key}_total"), F.lit(0))
+        return F.zip_with(F.coalesce(F.col(f"{key}_seen"), none), base, lambda x, b: share(x, b, whole))
+
+    def smooth(x: Column, b: Column, whole: Column) -> Column:
+        return (x + SMOOTHING * b) / (whole + SMOOTHING)
+
+    # what a value says beyond the prior: P(value | language) / P(value), smoothed toward one
+    evidence = F.zip_with("likelihood", seen("host", seen("domain", prior, smooth), smooth), lambda x, p: weight * x + F.log(p))
+    for key in ("declared", "suffix"):
+        evidence = F.zip_with(evidence, seen(key, prior, lambda x, b, whole: F.log(smooth(x, b, whole) / b)), lambda x, y: x + y)
+    out = out.withColumn("evidence", evidence).withColumn("top", F.array_max("evidence"))
+    mass = F.aggregate("evidence", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
+    out = out.withColumn("posterior", 1 / mass).withColumn("language", F.get(names, F.array_position("evidence", F.col("top")).cast("int") - 1))
     made = [c for c in scored.columns if c not in ("n_grams", "likelihood", "declared", "host")]
     kept = (F.col("n_grams") > 0) & (F.col("posterior") >= LEAST_POSTERIOR)
     return out.select(*made, F.get(names, F.col("said")).alias("text_language"), "language", F.round("posterior", 6).alias("posterior"), kept.alias("kept"))

@@ -446,3 +446,27 @@ def test_pipeline_loses_no_clean_unique_text(spark, sf):
             others = set().union(*(lines(x[1]) for j, x in enumerate(rows) if j != k))
             assert any(lines(t) >= lines(r[1]) - others for t in texts), k
     assert not any(bench[:200] in t for t in texts)
+
+
+def test_languages_beyond_the_limit_are_one_class(spark):
+    """5,000 labels, most of them on one row: the plan does not grow with them, the frequent ones stay apart."""
+    words = {"de": "der hund und die katze schlafen", "en": "the dog and the cat are asleep"}
+    rows = [(i, f"{words[k]} {i}", k, f"{k}{i % 3}.org") for k in words for i in range(100)]
+    rows += [(1000 + i, f"zzq xxv {i} qqz", f"dirt{i:04d}", "dump.net") for i in range(4998)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = L.train(docs.select("text", F.col("lang").alias("language")), max_languages=2)
+    assert model.languages == ["de", "en", L.RARE]
+    got = {r["doc_id"]: r["language"] for r in L.identify_documents(docs.where("doc_id >= 1000"), model=model).collect()}
+    assert len(got) == 4998 and set(got.values()) == {L.RARE}
+    got = L.identify_documents(docs.where("doc_id < 1000"), model=model).groupBy("language").count().collect()
+    assert {r["language"]: r["count"] for r in got} == {"de": 100, "en": 100}
+
+
+def test_many_languages_keep_the_plan_small(spark):
+    """60 labels: each a class of its own with words of its own."""
+    rows = [(i, " ".join(f"{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{x}" for x in ("ga", "ru", "mo")) + f" {j}", f"l{i:02d}", f"host{i % 7}.org") for i in range(60) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = L.identify_documents(docs).collect()
+    assert len(got) == 120 and all(r["language"] == f"l{r['doc_id']:02d}" for r in got)
+    plan = L.fuse(L.score_texts(docs.select("doc_id", "text", F.col("lang").alias("declared"), F.col("source").alias("host")), L.train(docs.select("text", F.col("lang").alias("language")))), [f"l{i:02d}" for i in range(60)])
+    assert len(plan._jdf.queryExecution().optimizedPlan().toString()) < 40_000
