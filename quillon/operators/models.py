@@ -177,13 +177,18 @@ def promote(
     return True
 
 
+def newest_version(spark, path: str) -> str | None:
+    """The folder of the newest promoted version, None if there is none."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/served/_SUCCESS")
+    found = marker.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marker) or []
+    return max((x.getPath().getParent().getParent().toString() for x in found), default=None)
+
+
 def load_served(spark, path: str) -> Served | None:
     """The newest promoted version with its features and calibrator, None if there is none."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/served/_SUCCESS")
-    found = sorted(x.getPath().getParent().getParent().toString() for x in marker.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marker) or [])
-    if not found:
+    folder = newest_version(spark, path)
+    if folder is None:
         return None
-    folder = found[-1]
     told = json.loads(spark.read.text(f"{folder}/served").first()["value"])
     base = {n: PipelineModel.load(f"{folder}/base/{n}") for n in told["base"]}
     return Served(told["names"], base, PipelineModel.load(f"{folder}/meta") if told["stacked"] else None, Calibrator(**told["calibrator"]) if told["calibrator"] else None)

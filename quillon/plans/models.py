@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon import bindings as B
 from quillon.functions import labels as G
 from quillon.functions import scalars as S
+from quillon.operators import embedding as E
 from quillon.operators import features as X
 from quillon.operators import metrics as M
 from quillon.operators import models as D
@@ -45,6 +46,26 @@ def blend_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.compare_blends(oof, "trees", "linear").select("name", *(S.tidy(c).alias(c) for c in ("ap", "auc", "reward", "fpr")), "chosen")
 
 
+@query(B.with_sql("""
+, w AS (SELECT hand_id, ord, ((coalesce(list_position(['fold', 'check', 'call', 'bet', 'raise'], action_type), 0) * 6 + list_position(['preflop', 'flop', 'turn', 'river', 'showdown'], street)) * @BUCKETS@
+          + CASE WHEN amount_bb <= 0 THEN 0 @EDGES@ ELSE @BUCKETS@ - 1 END)::INT AS word FROM acts),
+p AS (SELECT lag(word) OVER (PARTITION BY hand_id ORDER BY ord) AS before, word FROM w)
+SELECT before, word, count(*) AS n FROM p WHERE before IS NOT NULL GROUP BY before, word"""
+    .replace("@BUCKETS@", str(E.BUCKETS)).replace("@EDGES@", " ".join(f"WHEN amount_bb <= {e} THEN {i}" for i, e in enumerate(S.AMOUNT_EDGES, 1)))))
+def action_word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often an action word follows another: what the embedding is factorised from."""
+    return E.word_pairs(E.action_words(B.actions(spark, sf_dir)))
+
+
+@query()
+def embedded_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated scores of all chunks by learned embedding and features; the tests compare it with plain Python."""
+    labelled, hands, actions = _labelled(spark, sf_dir), B.hands(spark, sf_dir), B.actions(spark, sf_dir)
+    detector = E.fit_embedded(hands, actions, labelled.drop("y"), labelled.select("chunk_id", "y"), NAMES)
+    chunks = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chunk_id"))
+    return detector.predict(chunks, hands, actions, labelled.drop("y")).select("chunk_id", "raw", "score", F.col("flagged").cast("int").alias("flagged"))
+
+
 @query()
 def synthetic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the archetypes of generated hands act; a hand for every customer."""
