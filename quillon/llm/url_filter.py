@@ -20,6 +20,8 @@ BITS_PER_KEY = 16
 HASHES = 6
 #: A filter of more bits than this (2 MB) is not sent to every task: larger lists are answered by an exact join.
 MAX_BITS = 1 << 24
+#: A level is made sparser until no more keys than it holds, or this many, are expected to pass it wrongly.
+FEW_FALSE = 4096
 #: Each level holds about a hundredth of the keys of the level two before it; so many are never needed.
 MAX_LEVELS = 40
 
@@ -72,6 +74,23 @@ def candidate_keys(host: Column, path: Column, lengths: list[int], longest_host:
     return F.when(host == "", none).otherwise(F.transform(F.array_sort(ranked), lambda x: x["key"]))
 
 
+def false_rate(bits_per_key: float) -> float:
+    """The share of other keys that a filter passes: a word of 64 bits holds a Poisson number of keys."""
+    mean = 64 / bits_per_key
+    held = [math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) for k in range(200)]
+    return sum(p * (1 - (63 / 64) ** (HASHES * k)) ** HASHES for k, p in enumerate(held))
+
+
+def bits_for(n: int, others: int, least: int, max_bits: int) -> int:
+    """Bits a key of a level with ``n`` keys that ``others`` are asked of: ``least``, doubled while more of them than
+    ``n``, or than a small level holds, would pass wrongly and the level still has no more than ``max_bits``."""
+    few = max(n, min(FEW_FALSE, max_bits // least // 2))
+    bits = least
+    while others * false_rate(bits) > few and 2 * n * bits <= max_bits:
+        bits *= 2
+    return bits
+
+
 class _Filter:
     """A blocked Bloom filter: one hash names a word, a second one up to HASHES of its 64 bits. The hashes of every
     level start from the level's own number, so that keys that agree at one level part at the next."""
@@ -108,12 +127,14 @@ class _Filter:
 class Cascade:
     """Exact membership of ``listed`` (column key) for every key of ``universe`` (column key; each key once).
 
-    ``fits`` is false where a level would take more than ``max_bits``: the caller then joins. An input whose levels do
+    A level's bits a key grow with the logarithm of the keys that are asked of it, so a short list stays a cascade of
+    few and small levels in any universe. ``fits`` is false where a level takes more than ``max_bits`` even at
+    ``bits_per_key``: the caller then joins. An input whose levels do
     not come to an end (64 bits of hash shared by two keys at MAX_LEVELS levels) raises an error.
     """
 
     def __init__(self, listed: DataFrame, universe: DataFrame, bits_per_key: int = BITS_PER_KEY, max_bits: int = MAX_BITS):
-        inside, outside = listed, universe.join(listed, "key", "left_anti")
+        inside, outside, others = listed, universe.join(listed, "key", "left_anti"), universe.count()
         self.levels: list[_Filter] = []
         self.fits = True
         while n := inside.count():
@@ -122,9 +143,9 @@ class Cascade:
                 return
             if len(self.levels) == MAX_LEVELS:
                 raise RuntimeError(f"{n} keys still pass wrongly after {MAX_LEVELS} levels")
-            self.levels.append(_Filter(inside, n, len(self.levels), bits_per_key))
+            self.levels.append(_Filter(inside, n, len(self.levels), bits_for(n, others, bits_per_key, max_bits)))
             wrong = materialize(outside.where(self.levels[-1].holds(F.col("key"))), "bloom-false")
-            inside, outside = wrong, inside
+            inside, outside, others = wrong, inside, n
 
     def holds(self, key: Column) -> Column:
         """Level 1 passes, and not level 2, unless level 3, and so on."""

@@ -217,3 +217,22 @@ def test_pages_table(spark, sf):
     assert H.extract_pages(pages.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, None, None), (1, "u", "<p>x.")], PAGE)
     assert sorted((r["text"], r["n_chars"]) for r in H.extract_pages(odd).collect()) == [("", 0), ("x.", 2)]
+
+
+def test_cascade_stays_in_a_large_universe(spark):
+    """At 16 bits a key, more of the universe passes the first level wrongly than the second may hold."""
+    listed = spark.createDataFrame([(f"bad{i}.org",) for i in range(7)], "key string")
+    universe = spark.range(0, 300_000, 1, 4).select(F.concat(F.lit("host"), "id", F.lit(".net")).alias("key")).unionAll(listed)
+    most = 4096
+    assert 300_000 * U.false_rate(16) * 16 > most
+    cascade = U.Cascade(listed, universe, max_bits=most)
+    assert cascade.fits and all(64 * level.words <= most + 64 for level in cascade.levels)
+    assert sorted(r["key"] for r in universe.where(cascade.holds(F.col("key"))).collect()) == [f"bad{i}.org" for i in range(7)]
+
+
+def test_bits_of_a_level_grow_with_the_universe():
+    assert U.bits_for(7, 100_000, 16, U.MAX_BITS) == 16
+    for others in (10**9, 10**12, 10**14):
+        bits = U.bits_for(7, others, 16, U.MAX_BITS)
+        assert 7 * bits <= U.MAX_BITS and others * U.false_rate(bits) * 16 <= U.MAX_BITS
+    assert U.bits_for(10**6, 10**12, 16, U.MAX_BITS) == 16
