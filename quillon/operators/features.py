@@ -31,12 +31,34 @@ CHUNK_ONLY = (
 )
 
 
+#: What is told of the symbols of a hand: the action's kind, its seat if it has one, its street.
+SYMBOLS = {"kind": "action_type", "actor": "seat", "street": "street"}
+
+
+def _symbol(kind: str) -> Column:
+    return F.when(F.col("seat") >= 0, F.col("seat")) if kind == "actor" else F.col(SYMBOLS[kind])
+
+
+def _with_sizes(actions: DataFrame) -> DataFrame:
+    """``with_anomalies``, and for each action how many of its hand's have its symbol and how many have one at all, and the
+    paid amount with its place among those of the hand: sums over a hand's rows then need no lists."""
+    a = actions.withColumn("paid", F.when(F.col("amount_bb") > 0, F.col("amount_bb")))
+    told = {"n_paid": F.count("paid"), **{f"all_{k}": F.count(_symbol(k)) for k in SYMBOLS}}
+    a = with_anomalies(a, hand=told, seat={"like_actor": F.count(_symbol("actor"))})
+    for k in ("kind", "street"):
+        a = a.withColumn(f"like_{k}", F.count(_symbol(k)).over(Window.partitionBy("hand_id", SYMBOLS[k])))
+    return a.withColumn("paid_at", F.row_number().over(Window.partitionBy("hand_id").orderBy(F.col("paid").asc_nulls_last())) - 1)
+
+
 def hand_features(hands: DataFrame, actions: DataFrame) -> DataFrame:
-    """chunk_id, hand_id and the 46 hand features. One shuffle of the actions serves windows, aggregate and join."""
-    kind, amount = F.col("action_type"), F.col("amount_bb")
+    """chunk_id, hand_id and the 46 hand features. One shuffle of the actions serves windows, join and aggregate; the
+    aggregate has sums and counts only, so that it runs in hash tables of plain numbers."""
+    kind, amount, paid = F.col("action_type"), F.col("amount_bb"), F.col("paid")
     count = lambda cond: F.count_if(cond).cast("double")
+    at = 0.75 * (F.col("n_paid") - 1)  # the quartile lies between the values at its two neighbours' places
+    q75 = F.when(F.col("paid_at") == F.floor(at), paid * (1 - (at - F.floor(at)))).when(F.col("paid_at") == F.ceil(at), paid * (at - F.floor(at)))
     aggregates = {
-        "n": F.count(F.lit(1)).cast("double"),
+        "n": F.count("acted").cast("double"),
         **{f"n_{t}": count(kind == t) for t in ACTION_TYPES},
         **{f"s_{s}": count(F.col("street") == s) for s in STREETS},
         **{c: F.sum(c).cast("double") for c in ("after_fold", "same_actor", "regression", "jump", "pot_mismatch", "pot_decrease")},
@@ -47,40 +69,43 @@ def hand_features(hands: DataFrame, actions: DataFrame) -> DataFrame:
         "no_call_to": count((kind == "call") & F.col("call_to").isNull()),
         "zero_bets": count(kind.isin("bet", "raise") & (amount <= 0)),
         "n_paid": count(amount > 0),
-        "paid_mean": F.avg(F.when(amount > 0, amount)),
-        "paid_std": F.stddev_pop(F.when(amount > 0, amount)),
-        "paid_max": F.max(F.when(amount > 0, amount)),
-        "paid_q75": F.percentile(F.when(amount > 0, amount), F.lit(0.75)),
-        "paid_log": F.avg(F.when(amount > 0, F.log1p(amount))),
-        "kinds": F.collect_list("action_type"),
-        "seats": F.collect_list(F.when(F.col("seat") >= 0, F.col("seat"))),
-        "streets": F.collect_list("street"),
-        "by_seat": F.collect_list("seat"),
+        "paid_mean": F.avg(paid),
+        "paid_std": F.stddev_pop(paid),
+        "paid_max": F.max(paid),
+        "paid_q75": F.sum(q75),
+        "paid_log": F.avg(F.log1p(paid)),
+        "hero": count(F.col("seat") == F.col("hero_seat")),
     }
-    per_hand = with_anomalies(actions).groupBy("hand_id").agg(*(v.alias(k) for k, v in aggregates.items()))
-    h = hands.join(per_hand, "hand_id", "left")
+    for k in SYMBOLS:
+        c, share = _symbol(k), F.col(f"like_{k}") / F.col(f"all_{k}")
+        aggregates[f"h_{k}"] = F.sum(F.when(c.isNotNull(), -F.log(share + 1e-12) / F.col(f"all_{k}")))
+        aggregates[f"k_{k}"] = F.rint(F.sum(F.when(c.isNotNull(), 1 / F.col(f"like_{k}"))))
+    told = _with_sizes(actions).withColumn("acted", F.lit(1))
+    # a hand that stands twice in ``hands`` is two rows
+    own = ["chunk_id", "hand_id", "hero_seat", "n_players", "max_seats", "copy"]
+    h = hands.withColumn("copy", F.row_number().over(Window.partitionBy("hand_id").orderBy("chunk_id"))).select(*own)
+    h = h.join(told, "hand_id", "left").groupBy(*own).agg(*(v.alias(k) for k, v in aggregates.items()))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     d, pairs = F.greatest(zero("n"), F.lit(1.0)), F.greatest(zero("n") - 1, F.lit(1.0))
-    none = F.array().cast("array<string>")
     rank = F.greatest(*(F.when(zero(f"s_{s}") > 0, float(i)).otherwise(0.0) for i, s in enumerate(STREETS)))
-    hero = F.size(F.filter(F.coalesce("by_seat", F.array().cast("array<int>")), lambda s: s == F.col("hero_seat"))).cast("double")
     of = lambda c: ratio(zero(c), d)
-    ent = lambda c: entropy(symbol_counts(F.coalesce(F.col(c).cast("array<string>"), none)))
+    ent = lambda k: F.when(F.col(f"k_{k}") > 1, F.col(f"h_{k}") / F.log(F.when(F.col(f"k_{k}") > 1, F.col(f"k_{k}")))).otherwise(0.0)
     values: dict[str, Column] = {
         "num_players": F.col("n_players").cast("double"),
         "seat_utilization": ratio("n_players", "max_seats"),
         "hero_seat_norm": ratio("hero_seat", "max_seats"),
         "num_actions": zero("n"),
-        "num_streets_observed": sum((F.when(zero(f"s_{s}") > 0, 1.0).otherwise(0.0) for s in STREETS[1:]), F.when(zero("s_preflop") > 0, 1.0).otherwise(0.0)),
+# the function of an array keeps this projection out of the generated loop, where it would be one method too long to compile
+        "num_streets_observed": F.size(F.filter(F.array(*(F.col(f"s_{s}") for s in STREETS)), lambda n: n > 0)).cast("double"),
         "last_street_rank": rank,
         "ended_preflop": (rank == 0).cast("double"),
         **{f"reached_{s}": (zero(f"s_{s}") > 0).cast("double") for s in STREETS[1:]},
         "aggression_ratio": ratio(zero("n_bet") + zero("n_raise"), F.greatest(zero("n_check") + zero("n_call"), F.lit(1.0))),
         "passive_ratio": ratio(zero("n_check") + zero("n_call"), d),
-        "hero_action_ratio": F.when(F.col("hero_seat") != 0, ratio(hero, d)).otherwise(0.0),
-        "action_type_entropy": ent("kinds"),
-        "actor_seat_entropy": ent("seats"),
-        "street_entropy": ent("streets"),
+        "hero_action_ratio": F.when(F.col("hero_seat") != 0, ratio("hero", d)).otherwise(0.0),
+        "action_type_entropy": ent("kind"),
+        "actor_seat_entropy": ent("actor"),
+        "street_entropy": ent("street"),
         "acted_after_fold_ratio": of("after_fold"),
         "has_actor_after_fold": (zero("after_fold") > 0).cast("double"),
         "same_actor_consecutive_ratio": of("same_actor"),

@@ -12,10 +12,13 @@ def in_hand() -> Window:
     return Window.partitionBy("hand_id").orderBy("ord")
 
 
-def with_anomalies(actions: DataFrame) -> DataFrame:
-    """Adds what each action shows against the ones around it in its hand (columns hand_id, ord, seat, street, ...)."""
+def with_anomalies(actions: DataFrame, *, hand: dict[str, Column] | None = None, seat: dict[str, Column] | None = None) -> DataFrame:
+    """Adds what each action shows against the ones around it in its hand (columns hand_id, ord, seat, street, ...), and
+    the aggregates ``hand`` and ``seat`` over all rows of its hand and of its seat there, in the same passes."""
     w = in_hand()
-    earlier = Window.partitionBy("hand_id", "seat").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    by_seat = Window.partitionBy("hand_id", "seat").orderBy("ord")
+    earlier = by_seat.rowsBetween(Window.unboundedPreceding, -1)
+    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
     a = actions.withColumn("rank", street_rank("street"))
     a = a.withColumns(
         {
@@ -23,6 +26,8 @@ def with_anomalies(actions: DataFrame) -> DataFrame:
             "same_actor": F.coalesce((F.lag("seat").over(w) == F.col("seat")).cast("int"), F.lit(0)),
             "step": F.coalesce(F.col("rank") - F.lag("rank").over(w), F.lit(0)),
             "gap": F.lead("pot_before").over(w) - F.col("pot_after"),
+            **{k: c.over(w.rowsBetween(*whole)) for k, c in (hand or {}).items()},
+            **{k: c.over(by_seat.rowsBetween(*whole)) for k, c in (seat or {}).items()},
         }
     )
     return a.withColumns(
