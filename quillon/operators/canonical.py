@@ -111,26 +111,25 @@ def visible_sample(actions: DataFrame, *, repeat_single: int = 12) -> DataFrame:
     is room), then inner ones by hash. A single action is repeated ``repeat_single`` times. New numbers in ``place``.
     """
     whole = Window.partitionBy("hand_id")
-    first_street = F.min(F.when(F.col("ord") == 1, F.col("street"))).over(whole)
-    a = actions.withColumn("seed", seeded("hero_seat", "max_seats", first_street, "n"))
-    a = a.withColumn("window", F.least(F.col("n"), window_size(F.col("seed"))))
-    a = a.withColumn("inner", (F.col("ord") > 1) & (F.col("ord") < F.col("n")))
-    index = (F.col("ord") - 1).cast("string")
-    by_street = F.sha2(F.concat("seed", F.lit(":"), index, F.lit(":"), F.lower("street")).cast("binary"), 256)
-    by_index = F.sha2(F.concat("seed", F.lit(":"), index, F.lit(":")).cast("binary"), 256)
-    a = a.withColumns({"street_key": by_street, "index_key": by_index})
-    within = Window.partitionBy("hand_id", "inner", "street").orderBy("street_key")
-    a = a.withColumn("first_of_street", F.col("inner") & (F.row_number().over(within) == 1))
-    lead = Window.partitionBy("hand_id", "first_of_street").orderBy("street")
-    a = a.withColumn("picked", (~F.col("inner")) | (F.col("first_of_street") & (F.row_number().over(lead) + 2 <= F.col("window"))))
+    a = actions.withColumn("opened", F.min(F.when(F.col("ord") == 1, F.col("street"))).over(whole))
+    seed = seeded("hero_seat", "max_seats", "opened", "n")
+    a = a.withColumns({"window": F.least(F.col("n"), window_size(seed)), "inner": (F.col("ord") > 1) & (F.col("ord") < F.col("n"))})
+    # a key stands in the rows of one sort only, and as bytes: they sort as their hexadecimal text does
+    key = lambda *last: F.unhex(F.sha2(F.concat(seed, F.lit(":"), (F.col("ord") - 1).cast("string"), F.lit(":"), *last).cast("binary"), 256))
+    within = Window.partitionBy("hand_id", "inner", "street").orderBy("key")
+    a = a.withColumn("key", key(F.lower("street"))).withColumn("first_of_street", F.col("inner") & (F.row_number().over(within) == 1))
+    # the streets' rows are counted in the order of the same sort
+    nth = F.count_if("first_of_street").over(Window.partitionBy("hand_id", "inner").orderBy("street", "key").rowsBetween(Window.unboundedPreceding, 0))
+    a = a.withColumn("nth", nth).drop("key")
+    a = a.withColumn("picked", (~F.col("inner")) | (F.col("first_of_street") & (F.col("nth") + 2 <= F.col("window")))).drop("nth", "first_of_street")
     a = a.withColumn("taken", F.count_if("picked").over(whole))
-    rest = Window.partitionBy("hand_id", "picked").orderBy("index_key")
-    a = a.withColumn("chosen", F.col("picked") | (F.row_number().over(rest) <= F.col("window") - F.col("taken")))
+    rest = Window.partitionBy("hand_id", "picked").orderBy("key")
+    a = a.withColumn("key", key()).withColumn("chosen", F.col("picked") | (F.row_number().over(rest) <= F.col("window") - F.col("taken"))).drop("key")
     a = a.where("chosen")
     copies = F.when(F.col("n") == 1, repeat_single).otherwise(1)
     a = a.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     a = a.withColumn("place", F.row_number().over(Window.partitionBy("hand_id").orderBy("ord", "copy")))
-    return a.drop("seed", "window", "inner", "street_key", "index_key", "first_of_street", "picked", "taken", "chosen", "copy")
+    return a.drop("opened", "window", "inner", "picked", "taken", "chosen", "copy")
 
 
 def canonical_hands(hands: DataFrame, visible: DataFrame, actions: DataFrame | None = None, players: DataFrame | None = None, streets: DataFrame | None = None) -> DataFrame:
