@@ -131,15 +131,20 @@ def hand_features(hands: DataFrame, actions: DataFrame) -> DataFrame:
     return h.select("chunk_id", "hand_id", *(values[k].alias(k) for k in HAND_FEATURES))
 
 
+def _by_chunk(features: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """chunk_id, num_hands and for every name a struct of mean, std, min, max and q, the three quartiles. The rows of hands
+    are dealt by chunk before the exact percentiles are begun: what a percentile has seen of a chunk is larger than the
+    numbers themselves while it is spread over tasks, and is never shuffled."""
+    q = lambda k: F.percentile(k, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    parts = lambda k: F.struct(F.avg(k).alias("mean"), F.stddev_pop(k).alias("std"), F.min(k).alias("min"), F.max(k).alias("max"), q(k).alias("q"))
+    dealt = features.select("chunk_id", *names).repartition("chunk_id")
+    return dealt.groupBy("chunk_id").agg(F.count(F.lit(1)).cast("double").alias("num_hands"), *(parts(k).alias(k) for k in names))
+
+
 def feature_stats(features: DataFrame, names: tuple[str, ...] = HAND_FEATURES) -> DataFrame:
-    """chunk_id, feature and its seven statistics over the chunk's hands, in long form: seven aggregates instead of
-    seven per feature, whose exact percentiles are combined before the shuffle."""
-    long = features.select("chunk_id", F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), F.col(k).alias("v")) for k in names))).alias("x"))
-    long = long.select("chunk_id", "x.feature", "x.v")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    s = long.groupBy("chunk_id", "feature").agg(
-        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), q.alias("q")
-    )
+    """chunk_id, feature and its seven statistics over the chunk's hands, in long form."""
+    each = F.array(*(F.struct(F.lit(k).alias("feature"), F.col(k).alias("s")) for k in names))
+    s = _by_chunk(features, names).select("chunk_id", F.explode(each).alias("x")).select("chunk_id", "x.feature", "x.s.*")
     return s.select("chunk_id", "feature", "mean", "std", "min", "max", *(F.get("q", F.lit(i)).alias(k) for i, k in enumerate(("q25", "q50", "q75"))))
 
 
