@@ -150,16 +150,11 @@ def feature_stats(features: DataFrame, names: tuple[str, ...] = HAND_FEATURES) -
 
 def chunk_vectors(chunks: DataFrame, features: DataFrame) -> DataFrame:
     """One wide row per chunk: num_hands and the seven statistics of every hand feature, 0 for chunks without hands."""
-    aggregates = []
-    for k in HAND_FEATURES:
-        q = F.percentile(k, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        aggregates += [F.avg(k).alias(f"{k}_mean"), F.stddev_pop(k).alias(f"{k}_std"), F.min(k).alias(f"{k}_min"), F.max(k).alias(f"{k}_max"), q.alias(f"{k}_q")]
-    wide = features.groupBy("chunk_id").agg(F.count(F.lit(1)).cast("double").alias("num_hands"), *aggregates)
-    wide = chunks.select("chunk_id").join(wide, "chunk_id", "left")
+    wide = chunks.select("chunk_id").join(_by_chunk(features, HAND_FEATURES), "chunk_id", "left")
     out = [F.coalesce("num_hands", F.lit(0.0)).alias("num_hands")]
     for k in HAND_FEATURES:
-        out += [F.coalesce(f"{k}_{s}", F.lit(0.0)).alias(f"{k}_{s}") for s in STATS[:4]]
-        out += [F.coalesce(F.get(f"{k}_q", F.lit(i)), F.lit(0.0)).alias(f"{k}_{s}") for i, s in enumerate(STATS[4:])]
+        out += [F.coalesce(F.col(k)[s], F.lit(0.0)).alias(f"{k}_{s}") for s in STATS[:4]]
+        out += [F.coalesce(F.get(F.col(k)["q"], F.lit(i)), F.lit(0.0)).alias(f"{k}_{s}") for i, s in enumerate(STATS[4:])]
     return wide.select("chunk_id", *out)
 
 
