@@ -53,7 +53,16 @@ def _pieces(x: Column) -> Column:
 
 
 def float_text(x: Column) -> Column:
-    """A double as Python's repr has it; NaN and the infinities as its json module has them."""
+    """A double as Python's repr has it; NaN and the infinities as its json module has them.
+
+    Two decimals of at most 15 digits never read as one double, so a plain text of the engine's that is so short, without
+    zeros behind it, is the shortest already. Only the others are searched for."""
+    short = lambda t: (F.length(t) <= 16) & ~F.contains(t, F.lit("E")) & (F.endswith(t, F.lit(".0")) | ~F.endswith(t, F.lit("0")))
+    return _let(x.cast("string"), lambda t: F.when(short(t), t).otherwise(_searched(x)))
+
+
+def _searched(x: Column) -> Column:
+    """``float_text`` of any double."""
     zeros = lambda k: F.repeat(F.lit("0"), F.greatest(k, F.lit(0)).cast("int"))
 
     def told(piece: Column) -> Column:
