@@ -19,16 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per action, numbered within its hand. Partitioned by hand once; windows and aggregates reuse that."""
-    li = table(spark, sf_dir, "lineitem")
+    """One row per action, numbered within its hand. Partitioned by hand once; windows and aggregates reuse that. The table's
+    own columns are shuffled: what is computed of them is longer, and is made behind the numbering."""
     flags = F.concat("l_returnflag", "l_linestatus")
     kind = F.lit("big_blind")
     for k, v in TYPES.items():
         kind = F.when(flags == k, v).otherwise(kind)
-    order = Window.partitionBy("hand_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
+    li = table(spark, sf_dir, "lineitem").withColumn("ord", F.row_number().over(order))
     street = F.element_at(F.array(*map(F.lit, STREETS)), (F.col("l_partkey") % 5 + 1).cast("int"))
     still = kind.isin("fold", "check")
-    rows = li.select(
+    return li.select(
         F.col("l_orderkey").alias("hand_id"), kind.alias("action_type"), street.alias("street"),
         (F.col("l_suppkey") % 6 + 1).cast("int").alias("seat"),
         F.when(still, 0.0).otherwise(F.col("l_quantity")).alias("amount_bb"),
@@ -37,10 +38,8 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_extendedprice") * (1 + F.col("l_tax"))).alias("pot_after"),
         F.when(F.col("l_discount") != 0, F.col("l_quantity") * 2).alias("raise_to"),
         F.when(F.col("l_tax") != 0, F.col("l_quantity")).alias("call_to"),
-        "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice",
+        "ord",
     )
-    sort_only = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
-    return rows.withColumn("ord", F.row_number().over(order)).drop(*sort_only)
 
 
 def hands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,15 +59,15 @@ def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def players(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The players of every hand with their starting stacks."""
-    h = hands(spark, sf_dir).select("hand_id", F.explode(F.sequence(F.lit(1), F.col("n_players"))).alias("seat"))
+    """The players of every hand with their starting stacks. Hands are dealt, and their players made where they are."""
+    h = hands(spark, sf_dir).select("hand_id", "n_players").repartition("hand_id").select("hand_id", F.explode(F.sequence(F.lit(1), F.col("n_players"))).alias("seat"))
     return h.select("hand_id", F.col("seat").alias("nth"), "seat", ((F.col("hand_id") * 7 + F.col("seat") * 13) % 150 * 48.5).alias("stack"))
 
 
 def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The streets that a hand lists: none to four."""
+    """The streets that a hand lists: none to four, made where the hand was dealt to."""
     n = (F.col("hand_id") % 5).cast("int")
-    h = hands(spark, sf_dir).select("hand_id", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))).alias("nth"))
+    h = hands(spark, sf_dir).select("hand_id").repartition("hand_id").select("hand_id", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))).alias("nth"))
     return h.select("hand_id", "nth", F.element_at(F.array(*map(F.lit, STREETS)), F.col("nth")).alias("street"))
 
 

@@ -41,7 +41,14 @@ def visible_players(hands: DataFrame, players: DataFrame, aliases: DataFrame) ->
     p = players.join(hands.select("hand_id", "bb", visible_seats().alias("__seats")), "hand_id")
     p = p.withColumn("seat", seat_or_zero("seat", F.col("__seats"))).where("seat > 0")
     last = p.groupBy("hand_id", "seat").agg(F.max_by(in_blinds("stack", "bb", MAX_STACK), "nth").alias("stack"))
-    return last.join(aliases, ["hand_id", "seat"]).select("hand_id", F.col("alias").alias("seat"), from_blinds("stack").alias("starting_stack"))
+    named = last.join(_alias_maps(aliases), "hand_id").withColumn("alias", F.try_element_at("__aliases", "seat")).where("alias is not null")
+    return named.select("hand_id", F.col("alias").alias("seat"), from_blinds("stack").alias("starting_stack"))
+
+
+def _alias_maps(aliases: DataFrame) -> DataFrame:
+    """hand_id, __aliases: a hand's aliases by seat. A join by hand alone leaves rows where they are; one by hand and seat
+    deals them once more."""
+    return aliases.groupBy("hand_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("seat").cast("int"), "alias"))).alias("__aliases"))
 
 
 def strip_private(rows: DataFrame) -> DataFrame:
@@ -158,8 +165,8 @@ def canonical_hands(hands: DataFrame, visible: DataFrame, actions: DataFrame | N
     sat = visible_players(bb, players, aliases).groupBy("hand_id").agg(F.transform(F.array_sort(F.collect_list(player)), lambda x: x.dropFields("at")).alias("players"))
     street = F.struct(F.col("nth").alias("at"), F.coalesce("street", F.lit("")).alias("street"), F.array().cast("array<string>").alias("board_cards"))
     dealt = streets.groupBy("hand_id").agg(F.transform(F.array_sort(F.collect_list(street)), lambda x: x.dropFields("at")).alias("streets"))
-    hero = aliases.select("hand_id", F.col("seat").alias("__hero"), F.col("alias").alias("__alias"))
-    h = hands.withColumn("__hero", seat_or_zero("hero_seat", visible_seats())).join(hero, ["hand_id", "__hero"], "left")
+    hero = F.try_element_at("__aliases", seat_or_zero("hero_seat", visible_seats()))
+    h = hands.join(_alias_maps(aliases), "hand_id", "left").withColumn("__alias", hero)
     text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in hands.columns else F.lit("")
     meta = F.struct(
         text("game_type").alias("game_type"), text("limit_type").alias("limit_type"), visible_seats().alias("max_seats"), F.coalesce("__alias", F.lit(0)).alias("hero_seat"),
