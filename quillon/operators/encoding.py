@@ -52,6 +52,14 @@ def seated(hands: DataFrame, players: DataFrame) -> DataFrame:
     return sat.groupBy("hand_id", "seat").agg(F.max_by(_money("stack"), "nth").alias("stack"))
 
 
+def _with_stack(rows: DataFrame, sat: DataFrame, seat: str, name: str) -> DataFrame:
+    """``rows`` with the stack that ``sat`` (of ``seated``) has for their ``seat``, null where it has none. A hand's stacks are
+    one map, so that the join is by hand, as everything around it: by hand and seat the rows would be dealt twice more."""
+    stacks = sat.groupBy("hand_id").agg(F.map_from_entries(F.collect_list(F.struct("seat", "stack"))).alias("__stacks"))
+    found = F.try_element_at("__stacks", F.col(seat).cast(sat.schema["seat"].dataType))
+    return rows.join(stacks, "hand_id", "left").withColumn(name, found).drop("__stacks")
+
+
 def encoded_actions(hands: DataFrame, actions: DataFrame, players: DataFrame, *, most_actions: int = 64, most_seats: int = 9) -> DataFrame:
     """hand_id, ord, street, action_type and seat (normalised, as keys of the learned vocabularies), the fixed categories
     amount_bucket (1 to 17), pot_flow, first_in_street (2 first, 1 not), actor_role, street_position (1 to 4), and the 22
@@ -61,7 +69,7 @@ def encoded_actions(hands: DataFrame, actions: DataFrame, players: DataFrame, *,
     amount, raise_to, call_to, amount_bb, pot_before, pot_after; ``players``: hand_id, nth, seat, stack. Nulls count as 0.
     """
     table = table_seats(hands, actions, players, most=most_seats)
-    a = actions.join(table.select("hand_id", "button_seat", "bb", "seats"), "hand_id").join(seated(table, players), ["hand_id", "seat"], "left")
+    a = _with_stack(actions.join(table.select("hand_id", "button_seat", "bb", "seats"), "hand_id"), seated(table, players), "seat", "stack")
     whole, by_street = Window.partitionBy("hand_id"), Window.partitionBy("hand_id", "street").orderBy("ord")
     a = a.withColumns({"street": norm_text("street"), "action_type": norm_text("action_type"), "seat": _seat("seat")})
     a = a.withColumns(
@@ -104,7 +112,6 @@ def hand_meta(hands: DataFrame, actions: DataFrame, players: DataFrame, streets:
     """hand_id, the eight numbers of ``META`` and hand_end (1 preflop to 4 river, 0 unknown: the deepest street of an
     action, else the last known one that ``streets`` (hand_id, nth, street) lists)."""
     table = table_seats(hands, actions, players, most=most_seats)
-    hero = seated(table, players).withColumnRenamed("seat", "hero_seat").withColumnRenamed("stack", "hero_stack")
     street = norm_text("street")
     a = actions.join(hands.select("hand_id", "hero_seat"), "hand_id")
     per = a.groupBy("hand_id").agg(
@@ -115,7 +122,7 @@ def hand_meta(hands: DataFrame, actions: DataFrame, players: DataFrame, streets:
     listed = streets.groupBy("hand_id").agg(
         F.count_if(F.trim("street") != "").alias("n_dealt"), F.max_by(F.when(known > 0, known), F.when(known > 0, F.col("nth"))).alias("last_listed")
     )
-    h = table.join(per, "hand_id", "left").join(listed, "hand_id", "left").join(hero, ["hand_id", "hero_seat"], "left")
+    h = _with_stack(table.join(per, "hand_id", "left").join(listed, "hand_id", "left"), seated(table, players), "hero_seat", "hero_stack")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     total = sum((n(f"n_{s}") for s in MAIN_STREETS[1:]), n("n_preflop"))
     deepest = F.lit(0)
@@ -133,18 +140,21 @@ def hand_meta(hands: DataFrame, actions: DataFrame, players: DataFrame, streets:
 
 def fit_vocabularies(actions: DataFrame, *, least: int = 1) -> DataFrame:
     """field (street, action_type, seat), value, id: the learned vocabularies of ``actions``, ids from 2 in order of first
-    appearance by hand and place. One row per distinct value is all that is numbered."""
-    at = F.struct("hand_id", "ord").alias("at")
+    appearance by hand and place. One row per distinct value is all that is numbered; the actions are read once, for the
+    combinations of the three fields, which are few."""
     seat = F.when(_seat("seat") > 0, F.concat(F.lit("seat_"), _seat("seat").cast("string"))).otherwise("seat_unknown")
     fields = {"street": norm_text("street"), "action_type": norm_text("action_type"), "seat": seat}
-    parts = [value_vocabulary(actions.select(v.alias("value_of"), at), "value_of", least).select(F.lit(k).alias("field"), "value", "id") for k, v in fields.items()]
+    told = actions.groupBy(*(v.alias(k) for k, v in fields.items())).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("hand_id", "ord")).alias("at"))
+    parts = [value_vocabulary(told.select(F.col(k).alias("value_of"), "at", "n"), "value_of", least, counted="n").select(F.lit(k).alias("field"), "value", "id") for k in fields]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def with_ids(encoded: DataFrame, vocabulary: DataFrame, *, most_values: int = 100_000) -> DataFrame:
     """``encoded`` actions with street_id, action_type_id and seat_id; a value that the vocabulary lacks is 1. The
-    vocabulary is broadcast while it has no more than ``most_values`` rows."""
-    small = vocabulary.limit(most_values + 1).count() <= most_values
+    vocabulary is made once, and broadcast, while it has no more than ``most_values`` rows."""
+    told = vocabulary.limit(most_values + 1).collect()
+    small = len(told) <= most_values
+    vocabulary = vocabulary.sparkSession.createDataFrame(told, vocabulary.schema) if small else vocabulary
     out = encoded.withColumn("seat_key", F.when(F.col("seat") > 0, F.concat(F.lit("seat_"), F.col("seat").cast("string"))).otherwise("seat_unknown"))
     for field, column in (("street", "street"), ("action_type", "action_type"), ("seat", "seat_key")):
         mine = vocabulary.where(F.col("field") == field).select(F.col("value").alias(column), F.col("id").cast("int").alias(f"{field}_id"))

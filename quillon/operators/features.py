@@ -432,9 +432,11 @@ def standardize(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.join(F.broadcast(stats)).select(*kept, *(((F.col(c) - F.col(f"{c}__m")) / spread(c)).alias(c) for c in names))
 
 
-def value_vocabulary(rows: DataFrame, column: str, least: int = 1) -> DataFrame:
-    """value, id: ids from 2 in order of first appearance (column ``at``), after the padding 0 and the unknown 1."""
-    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+def value_vocabulary(rows: DataFrame, column: str, least: int = 1, *, counted: str | None = None) -> DataFrame:
+    """value, id: ids from 2 in order of first appearance (column ``at``), after the padding 0 and the unknown 1. A row stands
+    for as many as its column ``counted`` says, if one is named."""
+    n = F.count(F.lit(1)) if counted is None else F.sum(counted)
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(n.alias("n"), F.min("at").alias("first"))
     kept = counts.where(F.col("n") >= least)
     # one row per distinct value is left to be numbered
     return kept.select("value", (F.row_number().over(Window.orderBy("first", "value")) + 1).alias("id"))
