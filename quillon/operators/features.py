@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions.scalars import (
     STREETS, amount_bucket, amount_label, capped_ratio, entropy, finite, norm_text, ratio, scaled_log, size_code, symbol_counts,
 )
-from quillon.operators.sequences import longest_runs, ngrams, switch_rate, with_anomalies
+from quillon.operators.sequences import ngrams, with_anomalies
 
 ACTION_TYPES = ("fold", "check", "call", "bet", "raise")
 #: The hand features in their canonical order.
@@ -261,8 +261,20 @@ def pooled_features(hands: DataFrame, actions: DataFrame, *, streets: DataFrame
     amount_bb has its amount in big blinds. ``hands`` may have seated, the number of taken seats. A street counts as covered
     if an action or ``streets`` (hand_id, street) names it."""
     blind = F.coalesce(F.col("bb").cast("double"), F.lit(0.0)) if "bb" in hands.columns else F.lit(bb)
-    told = hands.select("hand_id", "chunk_id", F.when(blind > 0, blind).alias("blind"))
-    a = actions.join(told, "hand_id").withColumns({"kind": norm_text("action_type"), "street": norm_text("street", "preflop"), "seat": F.greatest(F.coalesce("seat", F.lit(0)), F.lit(0))})
+    taken = F.col("seated" if "seated" in hands.columns else "n_players")
+    main = ("preflop", "flop", "turn", "river")
+    own = ["chunk_id", "hand_id", "n_players", "occupied"]
+    h = hands.select(*own[:3], (taken / F.greatest("max_seats", F.lit(1))).alias("occupied"), F.when(blind > 0, blind).alias("blind"))
+    if streets is not None:
+        listed = streets.select("hand_id", norm_text("street").alias("street")).where(F.col("street").isin(*main))
+        h = h.join(listed.groupBy("hand_id").agg(F.collect_set("street").alias("listed")), "hand_id", "left")
+    told = actions.select(
+        "hand_id", F.lit(1).alias("acted"), "ord", norm_text("action_type").alias("kind"), norm_text("street", "preflop").alias("street"),
+        F.greatest(F.coalesce("seat", F.lit(0)), F.lit(0)).alias("seat"), "amount_bb", "amount", "pot_before", "pot_after",
+    )
+    # rows are dealt by chunk once, also those of hands without actions; all that follows stays where they are
+    dealt = h.join(told, "hand_id", "left").repartition("chunk_id")
+    a = dealt.where("acted = 1")
     a = a.withColumn("amount_bb", F.when(F.col("amount_bb") > 0, F.col("amount_bb")).otherwise(F.greatest(F.coalesce(F.col("amount") / F.col("blind"), F.lit(0.0)), F.lit(0.0))))
     is_in = lambda *names: F.count_if(F.col("kind").isin(*names)).cast("double")
     amount = F.col("amount_bb")
@@ -289,38 +301,39 @@ def pooled_features(hands: DataFrame, actions: DataFrame, *, streets: DataFrame
     for c, scale in (("kind", 12), ("street", 4), ("seat", 9)):
         per = a.groupBy("chunk_id", c).agg(F.count(F.lit(1)).cast("double").alias("c"))
         symbols = symbols.join(per.groupBy("chunk_id").agg(entropy(F.collect_list("c"), scale=scale).alias(f"h_{c}")), "chunk_id")
-    in_hand = a.groupBy("chunk_id", "hand_id").agg(
-        F.count(F.lit(1)).alias("n"), is_in("bet", "raise", "all_in", "allin").alias("aggressive"), F.collect_list("kind").alias("kinds"),
-    )
-    named = a.select("hand_id", "street")
+    # one pass over a hand's actions: a run's length at an action is counted from the last one that differs from its neighbour
+    w = Window.partitionBy("chunk_id", "hand_id").orderBy("ord")
+    size = F.when(F.col("amount_bb") > 0, F.col("amount_bb")).otherwise(F.greatest(F.coalesce(F.col("amount") / F.col("blind"), F.lit(0.0)), F.lit(0.0)))
+    p = dealt.withColumns({"size": amount_label(size), "row": F.row_number().over(w), **{f"new_{c}": F.coalesce(F.lag(c).over(w) != F.col(c), F.lit(True)) for c in ("seat", "kind")}})
+    p = p.withColumns({f"from_{c}": F.max(F.when(F.col(f"new_{c}"), F.col("row"))).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in ("seat", "kind")})
+    run = lambda c: F.max(F.when(F.col("acted") == 1, F.col("row") - F.col(f"from_{c}") + 1))
+    in_order = F.array_sort(F.collect_list(F.when(F.col("acted") == 1, F.struct("ord", "kind", "size"))))
+    seen = F.collect_set(F.when(F.col("street").isin(*main), F.col("street")))
     if streets is not None:
-        named = named.unionByName(streets.select("hand_id", norm_text("street").alias("street")))
-    covered = named.where(F.col("street").isin("preflop", "flop", "turn", "river")).groupBy("hand_id").agg(F.countDistinct("street").alias("streets"))
-    rhythm = switch_rate(a, ["hand_id"], "ord", "seat", "switches").join(longest_runs(a, ["hand_id"], "ord", "seat", "seat_run"), "hand_id")
-    rhythm = rhythm.join(longest_runs(a, ["hand_id"], "ord", "kind", "kind_run"), "hand_id")
-    labels = a.groupBy("hand_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", amount_label("amount_bb").alias("v")))), lambda x: x["v"]), ",").alias("sizes"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("kind").alias("v")))), lambda x: x["v"]), ",").alias("order"),
+        seen = F.array_union(seen, F.coalesce(F.first("listed"), F.array().cast("array<string>")))
+    switched = F.coalesce(F.avg(F.when(F.col("row") > 1, F.col("new_seat").cast("double"))), F.lit(0.0))
+    per_hand = p.groupBy(*own).agg(
+        F.nullif(F.count("acted"), F.lit(0)).alias("n"), is_in("bet", "raise", "all_in", "allin").alias("aggressive"), F.size(seen).alias("streets"),
+        switched.alias("switches"), run("seat").alias("seat_run"), run("kind").alias("kind_run"), in_order.alias("in_order"),
     )
-    taken = F.col("seated" if "seated" in hands.columns else "n_players")
-    h = hands.select("chunk_id", "hand_id", "n_players", (taken / F.greatest("max_seats", F.lit(1))).alias("occupied"))
-    for x in (in_hand.drop("chunk_id"), covered, rhythm, labels):
-        h = h.join(x, "hand_id", "left")
+    per_hand = per_hand.withColumns(
+        {"kinds": F.transform("in_order", lambda x: x["kind"]), "order": F.array_join(F.transform("in_order", lambda x: x["kind"]), ","), "sizes": F.array_join(F.transform("in_order", lambda x: x["size"]), ",")}
+    ).drop("in_order")
+    # how many of the chunk's hands have a hand's signature
+    signed = {"order": "action_signature", "sizes": "amount_bucket_signature"}
+    per_hand = per_hand.withColumns({f"like_{c}": F.count(F.lit(1)).over(Window.partitionBy("chunk_id", c)) for c in signed})
     low = entropy(symbol_counts(F.col("kinds")), scale=12)
-    count = F.coalesce("n", F.lit(0))
-    per_chunk = h.groupBy("chunk_id").agg(
-        F.count(F.lit(1)).cast("double").alias("num_hands"), F.avg(count).alias("acts_mean"), F.stddev_pop(count).alias("acts_std"),
+    count, hands_in = F.coalesce("n", F.lit(0)), F.count(F.lit(1)).cast("double")
+    shares = [x for c, name in signed.items() for x in (ratio(F.max(f"like_{c}"), hands_in).alias(f"{name}_top_share"), ratio(F.rint(F.sum(1 / F.col(f"like_{c}"))), hands_in).alias(f"{name}_unique_share"))]
+    per_chunk = per_hand.groupBy("chunk_id").agg(
+        hands_in.alias("num_hands"), F.avg(count).alias("acts_mean"), F.stddev_pop(count).alias("acts_std"),
         F.avg("n_players").alias("players"), F.avg("occupied").alias("occupied"),
-        F.avg(F.coalesce("streets", F.lit(0)) / 4).alias("coverage"), F.avg("switches").alias("switches"),
+        F.avg(F.col("streets") / 4).alias("coverage"), F.avg(F.when(F.col("n") > 0, F.col("switches"))).alias("switches"),
         F.avg(F.col("seat_run") / F.col("n")).alias("seat_run"), F.avg(F.col("kind_run") / F.col("n")).alias("kind_run"),
         F.count_if(F.col("n").isNotNull() & (low <= 0.35)).cast("double").alias("lows"), F.count_if(F.col("aggressive") / F.col("n") >= 0.35).cast("double").alias("highs"),
-        F.count_if(F.col("n") >= 12).cast("double").alias("longs"),
+        F.count_if(F.col("n") >= 12).cast("double").alias("longs"), *shares,
     )
     out = per_chunk.join(chunk, "chunk_id", "left").join(symbols.drop("one"), "chunk_id", "left")
-    for c, name in (("order", "action_signature"), ("sizes", "amount_bucket_signature")):
-        counts = h.groupBy("chunk_id", F.coalesce(c, F.lit("")).alias(c)).agg(F.count(F.lit(1)).alias("k"))
-        shares = counts.groupBy("chunk_id").agg(ratio(F.max("k"), F.sum("k")).alias(f"{name}_top_share"), ratio(F.count(F.lit(1)), F.sum("k")).alias(f"{name}_unique_share"))
-        out = out.join(shares, "chunk_id")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     total = F.greatest(zero("total"), F.lit(1.0))
     playable = F.greatest(zero("folds") + zero("checks") + zero("calls") + zero("bets"), F.lit(1.0))
