@@ -276,3 +276,21 @@ def test_shares_of_counts_beyond_a_billion(spark):
     cases = [(9_007_199_254_740, 9_007_199_254_740, 1), (12_345_678_901_234, 99_999_999_999_999, 7), (0, 0, 1), (0, 10**15, 10**7)]
     rows = spark.createDataFrame(cases, "n long, total long, size long").select("n", "total", "size", V.share(F.col("n"), F.col("total"), F.col("size")).alias("p")).collect()
     assert [r["p"] for r in rows] == [1 + 1_000_000_000 * (n + 1) // (t + v) for n, t, v in cases]
+
+
+def test_dense_shares_shuffle_nothing_where_groups_are_few(spark, monkeypatch):
+    """op13 of round 3: a term brings its groups' counts, so no row of the dense table is dealt or sorted; letters beyond ASCII
+    stay as they are, also in texts with A-Z."""
+    plans = {}
+    kept = V.materialize
+
+    def seen(frame, name):
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+        return kept(frame, name)
+
+    monkeypatch.setattr(V, "materialize", seen)
+    rows = [(i, f"s{i % 3}", "en", t) for i, t in enumerate(["Ab K c", "AB K c", "ab É k", "aB ÉA c", "", "C c"])]
+    assert sorted(map(tuple, V.divergence(table(spark, rows), most=5).collect())) == brute_divergence(rows, 5)
+    # only the list of a language's groups is dealt, by language
+    assert "SortMergeJoin" not in plans["divergence-dense"]
+    assert not re.findall(r"hashpartitioning\([^)]*term", plans["divergence-dense"])
