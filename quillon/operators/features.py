@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon.functions.scalars import (
     STREETS, amount_bucket, amount_label, capped_ratio, entropy, finite, norm_text, ratio, scaled_log, size_code, symbol_counts,
 )
-from quillon.operators.sequences import ngrams, with_anomalies
+from quillon.operators.sequences import with_anomalies
 
 ACTION_TYPES = ("fold", "check", "call", "bet", "raise")
 #: The hand features in their canonical order.
@@ -212,14 +213,31 @@ def _code(c: str, codes: dict[str, str], other: str) -> Column:
 
 
 def hand_grams(actions: DataFrame) -> DataFrame:
-    """hand_id, pos, n, gram: every n-gram of the hand's tokens, numbered within the hand; an action gives its token and the
-    actor's, blinds none."""
+    """hand_id, pos, n, gram: every n-gram of the hand's tokens, pos growing with the place of its first token; an action gives
+    its token and the actor's, if it has one, blinds none. A token's followers are those of its own action and the next two, so
+    a gram is put together of neighbouring rows, without the hand's tokens as a list."""
     act = _code("action_type", ACTION_CODES, "X")
     token = F.concat(_code("street", STREET_CODES, "x"), act, size_code("amount", "pot_before", "amount_bb"))
     seat = F.when(F.col("seat").isNotNull(), F.concat(F.lit("pos"), F.col("seat").cast("string"), act))
-    told = actions.where(act != "b").select("hand_id", F.struct("ord", F.array_compact(F.array(token, seat)).alias("t")).alias("x"))
-    tokens = told.groupBy("hand_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"])).alias("tokens"))
-    return tokens.select("hand_id", F.posexplode(ngrams(F.col("tokens"))).alias("pos", "g")).select("hand_id", "pos", "g.n", "g.gram")
+    told = actions.where(act != "b").select("hand_id", "ord", token.alias("t"), seat.alias("s"))
+    w = Window.partitionBy("hand_id").orderBy("ord", "t", "s")
+    told = told.select("hand_id", "t", "s", F.row_number().over(w).alias("row"), F.lead("t").over(w).alias("t1"), F.lead("s").over(w).alias("s1"), F.lead("t", 2).over(w).alias("t2"))
+    t, s, t1 = F.col("t"), F.col("s"), F.col("t1")
+    after_t1 = F.coalesce("s1", "t2")
+    gram = lambda pos, *parts: F.struct(pos.alias("pos"), F.lit(len(parts)).alias("n"), reduce(lambda x, y: F.concat(x, F.lit("|"), y), parts).alias("gram"))
+    at_t, at_s = 2 * F.col("row") - 1, 2 * F.col("row")
+    third = F.when(s.isNotNull(), t1).otherwise(after_t1)
+    every = [gram(at_t, t), gram(at_t, t, F.coalesce(s, t1)), gram(at_t, t, F.coalesce(s, t1), third), gram(at_s, s), gram(at_s, s, t1), gram(at_s, s, t1, after_t1)]
+    return told.select("hand_id", F.inline(F.array(*every))).where("gram is not null").select("hand_id", "pos", "n", "gram")
+
+
+def _place(grams: DataFrame, seen: tuple[str, ...]) -> Column:
+    """The columns ``seen`` as one value of their order. A long and an int are a decimal, which a hash aggregate can hold; it
+    would have to sort all rows for a struct."""
+    if [grams.schema[c].dataType.simpleString() for c in seen] != ["bigint", "int"]:
+        return F.struct(*seen)
+    high, low = (F.coalesce(F.col(c).cast("decimal(20,0)"), F.lit(Decimal(-(2**k) - 1)).cast("decimal(20,0)")) for c, k in zip(seen, (63, 31), strict=True))
+    return high * F.lit(Decimal(2**33)) + low
 
 
 def gram_vocabulary(grams: DataFrame, top: dict[int, int] = TOP_GRAMS, *, seen: tuple[str, ...] = ("hand_id", "pos")) -> DataFrame:
@@ -228,7 +246,7 @@ def gram_vocabulary(grams: DataFrame, top: dict[int, int] = TOP_GRAMS, *, seen:
 
     One pass: grams are counted and placed once, by partial aggregates, and the ranks' bound holds in every task before
     the orders' heads meet, so no task ranks more than a head from each other task."""
-    counts = grams.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct(*seen)).alias("first"))
+    counts = grams.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("cnt"), F.min(_place(grams, seen)).alias("first"))
     rank = F.row_number().over(Window.partitionBy("n").orderBy(F.col("cnt").desc(), "first"))
     most = F.coalesce(*(F.when(F.col("n") == n, k) for n, k in top.items()))
     ranked = counts.where(F.col("n").isin(*top)).withColumn("rank", rank).where(F.col("rank") <= max(top.values()))
@@ -238,10 +256,12 @@ def gram_vocabulary(grams: DataFrame, top: dict[int, int] = TOP_GRAMS, *, seen:
 def gram_means(hands: DataFrame, grams: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """chunk_id, gram, mean count per hand, for the vocabulary's grams that the chunk has (absent means 0).
 
-    The vocabulary has at most a few hundred rows, as its ranks are bounded, so it is broadcast.
+    The vocabulary has at most a few hundred rows, as its ranks are bounded, so it is broadcast. A chunk's hands lie in
+    many tasks, where few of its grams meet, so they are dealt by chunk before they are counted.
     """
     used = grams.join(F.broadcast(vocabulary.select("gram")), "gram")
-    counts = used.join(hands.select("chunk_id", "hand_id"), "hand_id").groupBy("chunk_id", "gram").agg(F.count(F.lit(1)).alias("c"))
+    dealt = used.join(hands.select("chunk_id", "hand_id"), "hand_id").select("chunk_id", "gram").repartition("chunk_id")
+    counts = dealt.groupBy("chunk_id", "gram").agg(F.count(F.lit(1)).alias("c"))
     sizes = hands.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(sizes, "chunk_id").select("chunk_id", "gram", ratio("c", "n").alias("mean_count"))
 
