@@ -147,34 +147,42 @@ class AuditLane(StatefulProcessor):
     def _failed(status: str | None) -> bool:
         return bool(status) and status.startswith("provider_") and status != COMPLETED
 
-    def _add(self, report: tuple, link) -> tuple:
-        """The ring's oldest report makes room; the counts are those of the ring."""
+    def _add(self, reports: list[tuple], link) -> list[tuple]:
+        """For each of ``reports``, in order: the status before it, the chain with it, and the counts of the ring, in which the
+        oldest report makes room. State is read once and written once, however many reports there are."""
         n, before, chain, verified, failed = self.latest.get() if self.latest.exists() else (0, None, "", 0, 0)
-        slot = n % self.recent
-        if n >= self.recent:
-            gone = self.ring.getValue((slot,))
-            verified, failed = verified - bool(gone[5]), failed - self._failed(gone[2])
-        self.ring.updateValue((slot,), report)
-        verified, failed = verified + bool(report[5]), failed + self._failed(report[2])
-        chain = link(chain)
-        self.latest.update((n + 1, report[2], chain, verified, failed))
-        return before, chain, min(n + 1, self.recent), verified, failed
+        ring = {k[0]: (bool(v[5]), self._failed(v[2])) for k, v in self.ring.iterator()} if n else {}
+        out = []
+        for i, report in enumerate(reports, n):
+            gone = ring.get(i % self.recent, (False, False))
+            here = ring[i % self.recent] = (bool(report[5]), self._failed(report[2]))
+            verified, failed = verified + here[0] - gone[0], failed + here[1] - gone[1]
+            chain = link(chain, i - n)
+            out.append((before, chain, min(i + 1, self.recent), verified, failed))
+            before = report[2]
+        for i, report in list(enumerate(reports, n))[-self.recent :]:
+            self.ring.updateValue((i % self.recent,), report)
+        self.latest.update((n + len(reports), before, chain, verified, failed))
+        return out
+
+    @staticmethod
+    def _reports(rows: pd.DataFrame) -> list[tuple]:
+        told = zip(*(rows[c] for c in ("created_at", "nth", "status", "status_reason", "input_hash", "proof_verified")), strict=True)
+        return [(pd.Timestamp(at).to_pydatetime(), int(nth), status, reason, digest, bool(proof)) for at, nth, status, reason, digest, proof in told]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         import hashlib
 
         every = pd.concat(list(rows)).sort_values(["created_at", "nth"], kind="stable")
-        out = []
-        for at, nth, status, reason, digest, proof in zip(*(every[c] for c in ("created_at", "nth", "status", "status_reason", "input_hash", "proof_verified")), strict=True):
-            report = (pd.Timestamp(at).to_pydatetime(), int(nth), status, reason, digest, bool(proof))
-            before, chain, held, verified, failed = self._add(report, lambda c, d=digest: hashlib.sha256((c + (d or "")).encode()).hexdigest())
-            out.append((key[0], int(nth), at, status, before, reason, digest, chain, held, verified, failed))
+        reports = self._reports(every)
+        told = self._add(reports, lambda chain, i: hashlib.sha256((chain + (reports[i][4] or "")).encode()).hexdigest())
+        out = [(key[0], nth, at, status, before, reason, digest, *rest) for at, (_, nth, status, reason, digest, _), (before, *rest) in zip(every["created_at"], reports, told, strict=True)]
         yield pd.DataFrame(out, columns=[c.split()[0] for c in LANE.split(", ")])
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         last = initialState.sort_values(["created_at", "nth"], kind="stable").tail(self.recent)
-        for at, nth, status, reason, digest, proof, chain in zip(*(last[c] for c in ("created_at", "nth", "status", "status_reason", "input_hash", "proof_verified", "chain")), strict=True):
-            self._add((pd.Timestamp(at).to_pydatetime(), int(nth), status, reason, digest, bool(proof)), lambda _, c=chain: c or "")
+        chains = list(last["chain"])
+        self._add(self._reports(last), lambda _, i: chains[i] or "")
 
     def close(self) -> None:
         pass
