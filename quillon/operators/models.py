@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quillon.functions.labels import equal_folds
 from quillon.functions.scalars import grid_interpolate, remap
 from quillon.operators import metrics as M
-from quillon.sources.shared import shared_path
+from quillon.sources.shared import kept
 
 STEPS = 255
 
@@ -55,18 +55,18 @@ def score(model: PipelineModel, rows: DataFrame, name: str = "score") -> DataFra
     return out.select(*rows.columns, vector_to_array("probability")[1].alias(name))
 
 
-def out_of_fold(rows: DataFrame, names: list[str], key: str, *, k: int = 3, seed: int = 44) -> DataFrame:
-    """key, y and each base learner's score by the models that did not see the row; folds are of equal size by class."""
-    # every learner reads its rows many times over, so the folds are dealt once and written
-    path = shared_path(rows.sparkSession, "folds")
-    equal_folds(rows.select(key, "y", *names), key, "y", k, seed).write.parquet(path)
-    folded = rows.sparkSession.read.parquet(path)
+def out_of_fold(rows: DataFrame, names: list[str], key: str, *, k: int = 3, seed: int = 44, only: tuple[str, ...] | None = None) -> DataFrame:
+    """key, y and each base learner's score (of ``only``: those named) by the models that did not see the row; folds are of
+    equal size by class."""
+    base = {n: x for n, x in learners(seed).items() if only is None or n in only}
+    # dealing reads the rows several times, and every learner many times over, so both are worked out once and written
+    folded = kept(equal_folds(kept(rows.select(key, "y", *names), "rows"), key, "y", k, seed), "folds")
     parts = []
     for fold in range(k):
         held = folded.where(F.col("fold") == fold)
-        for name, learner in learners(seed).items():
+        for name, learner in base.items():
             held = score(train(folded.where(F.col("fold") != fold), names, learner), held, name)
-        parts.append(held.select(key, "y", *learners(seed)))
+        parts.append(held.select(key, "y", *base))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -88,6 +88,7 @@ def compare_blends(oof: DataFrame, a: str, b: str, *, share: float = 0.6, margin
     """name, ap, auc, reward, fpr of four arms over out-of-fold scores: both scores, their blend, and a logistic regression on
     both. Every arm is calibrated by its own scores before its reward counts. ``chosen`` is the better of blend and stack
     if its reward beats that of ``a`` by the margin, else ``a``."""
+    oof = kept(oof.select("y", a, b), "arms")  # the models that score a row are not run again by every pass
     meta = train(oof, [a, b], LogisticRegression(labelCol="y", regParam=0.0, maxIter=1000))
     forms = {a: F.col(a), b: F.col(b), "blend": share * F.col(a) + (1 - share) * F.col(b), "stack": F.col("__stack")}
     stacked = score(meta, oof, "__stack").select("y", *(c.alias(f"__{n}_arm") for n, c in forms.items())).persist()

@@ -42,7 +42,7 @@ def calibrated_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def blend_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold comparison of two learners, their blend and a logistic stack of both."""
-    oof = D.out_of_fold(_labelled(spark, sf_dir), NAMES, "chunk_id", k=2)
+    oof = D.out_of_fold(_labelled(spark, sf_dir), NAMES, "chunk_id", k=2, only=("trees", "linear"))
     return D.compare_blends(oof, "trees", "linear").select("name", *(S.tidy(c).alias(c) for c in ("ap", "auc", "reward", "fpr")), "chosen")
 
 

@@ -6,7 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -17,6 +17,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{(named or 'file://' + tempfile.gettempdir() + '/quillon-shared').rstrip('/')}/quillon/{name}-{uuid.uuid4().hex}"
 
 
+def kept(frame: DataFrame, name: str) -> DataFrame:
+    """``frame`` worked out once and written below the shared folder, for what is read by more jobs than one."""
+    path = shared_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def stream_pattern(path: str) -> str:
     """The path as a pattern that matches only itself: a stream then takes a single file as well as a folder. A path that
     is a pattern already stays one."""
