@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import ratio, remap
+from quillon.sources.shared import kept
 
 BUCKETS = 1024
 MAX_FPR = 0.10
@@ -242,14 +243,15 @@ def drift(expected: DataFrame, actual: DataFrame, names: list[str], *, bins: int
     """
     both = _long(expected, names, "e").unionByName(_long(actual, names, "a"))
     is_e = F.col("side") == "e"
+    # the samples are read once, to count values: all that follows works on one row per distinct value, and reads it thrice
+    values = kept(both.groupBy("feature", "v").agg(F.count_if(is_e).cast("double").alias("e"), F.count_if(~is_e).cast("double").alias("a")), "values")
     cut = F.percentile_approx("v", [i / PIECES for i in range(1, PIECES)], ACCURACY)
-    facts = both.groupBy("feature").agg(
-        cut.alias("cuts"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count_if(is_e & F.col("v").isNotNull()).alias("n"),
-        F.count_if(is_e).cast("double").alias("ne"), F.count_if(~is_e).cast("double").alias("na"),
-        F.avg(F.when(is_e, F.col("v"))).alias("mean_expected"), F.avg(F.when(~is_e, F.col("v"))).alias("mean_actual"),
+    told = lambda w: F.when((F.col(w) > 0) & F.col("v").isNotNull(), F.col(w))
+    mean = lambda w: F.try_divide(F.sum(told(w) * F.col("v")), F.sum(told(w)))
+    facts = values.groupBy("feature").agg(
+        cut.alias("cuts"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.coalesce(F.sum(told("e")), F.lit(0.0)).cast("long").alias("n"),
+        F.sum("e").alias("ne"), F.sum("a").alias("na"), mean("e").alias("mean_expected"), mean("a").alias("mean_actual"),
     )
-    # values are counted first: what follows works on one row per distinct value
-    values = both.groupBy("feature", "v").agg(F.count_if(is_e).cast("double").alias("e"), F.count_if(~is_e).cast("double").alias("a"))
     # facts are a row for each named feature, so they go through the driver; what is read with them stays where it is
     facts = _kept(facts)
     ranked = ranked_values(values.where("v is not null"), "feature", "v", ["e", "a"], facts)
