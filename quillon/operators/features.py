@@ -172,30 +172,36 @@ def feature_matrix(vectors: DataFrame, labels: DataFrame, names: list[str], key:
 
 def signatures(hands: DataFrame, actions: DataFrame) -> DataFrame:
     """chunk_id, hand_id, the sequence of its action types and that of its amount buckets, as texts."""
-    order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", c.cast("string").alias("v")))), lambda x: x["v"]), ",")
-    per = actions.groupBy("hand_id").agg(order(F.col("action_type")).alias("kinds"), order(amount_bucket("amount_bb")).alias("amounts"))
-    h = hands.select("chunk_id", "hand_id").join(per, "hand_id", "left")
-    return h.select("chunk_id", "hand_id", F.coalesce("kinds", F.lit("")).alias("kinds"), F.coalesce("amounts", F.lit("")).alias("amounts"))
+    told = F.struct("ord", F.col("action_type").cast("string").alias("kinds"), amount_bucket("amount_bb").cast("string").alias("amounts"))
+    per = actions.groupBy("hand_id").agg(F.array_sort(F.collect_list(told)).alias("told"))
+    text = lambda c: F.coalesce(F.array_join(F.col("told")[c], ","), F.lit("")).alias(c)
+    return hands.select("chunk_id", "hand_id").join(per, "hand_id", "left").select("chunk_id", "hand_id", text("kinds"), text("amounts"))
 
 
-def pattern_shares(signed: DataFrame, column: str, name: str) -> DataFrame:
-    """chunk_id with the share of distinct and of the most frequent signature among its hands (two-level count)."""
-    counts = signed.groupBy("chunk_id", column).agg(F.count(F.lit(1)).alias("c"))
-    return counts.groupBy("chunk_id").agg(
-        ratio(F.count(F.lit(1)), F.sum("c")).alias(f"unique_{name}_pattern_ratio"), ratio(F.max("c"), F.sum("c")).alias(f"top_{name}_pattern_share")
-    )
+def pattern_shares(signed: DataFrame, names: dict[str, str]) -> DataFrame:
+    """chunk_id and for each signature (a column and its name) the share of distinct ones and of the most frequent one among
+    the chunk's hands. Hands are dealt by chunk once, where all signatures are counted in one pass."""
+    dealt = signed.select("chunk_id", *names).repartition("chunk_id")
+    each = F.array(*(F.struct(F.lit(i).alias("of"), F.col(c).alias("text")) for i, c in enumerate(names)))
+    counts = dealt.select("chunk_id", F.inline(each)).groupBy("chunk_id", "of", "text").agg(F.count(F.lit(1)).alias("c"))
+    shares = []
+    for i, name in enumerate(names.values()):
+        c = F.when(F.col("of") == i, F.col("c"))
+        shares += [ratio(F.count(c), F.sum(c)).alias(f"unique_{name}_pattern_ratio"), ratio(F.max(c), F.sum(c)).alias(f"top_{name}_pattern_share")]
+    return counts.groupBy("chunk_id").agg(*shares)
 
 
 def chunk_patterns(hands: DataFrame, actions: DataFrame, features: DataFrame) -> DataFrame:
     """The seven chunk-only features."""
-    signed = signatures(hands, actions)
     load = F.col("street_jump_ratio") + F.col("street_regression_ratio") + F.col("acted_after_fold_ratio") + F.col("pot_mismatch_ratio")
-    behaviour = features.groupBy("chunk_id").agg(
+    # three numbers a hand are less than the sums and counts that a task would begin for its few hands of a chunk
+    dealt = features.select("chunk_id", "aggression_ratio", "action_type_entropy", load.alias("load")).repartition("chunk_id")
+    behaviour = dealt.groupBy("chunk_id").agg(
         F.stddev_pop("aggression_ratio").alias("chunk_aggression_dispersion"),
         F.avg("action_type_entropy").alias("chunk_action_entropy_mean"),
-        F.avg(load).alias("chunk_anomaly_load"),
+        F.avg("load").alias("chunk_anomaly_load"),
     )
-    return pattern_shares(signed, "kinds", "action").join(pattern_shares(signed, "amounts", "amount"), "chunk_id").join(behaviour, "chunk_id")
+    return pattern_shares(signatures(hands, actions), {"kinds": "action", "amounts": "amount"}).join(behaviour, "chunk_id")
 
 
 # ---------------------------------------------------------------- n-grams
