@@ -84,10 +84,12 @@ def chunk_embedding(chunks: DataFrame, hands: DataFrame, words: DataFrame, vecto
     """chunk_id of ``chunks`` and the columns ``vectors.names``: the mean over a hand's actions of each word's vector and of
     its product with the word before (zero for a hand's first action), then their mean and population spread over the
     chunk's hands that have actions. A chunk without such hands is all zeros. ``hands``: chunk_id, hand_id; ``words`` of
-    ``action_words``. The vectors are broadcast, ``WORDS`` rows at most."""
+    ``action_words``. The vectors are broadcast, ``WORDS`` rows at most. Words are dealt by hand, as numbers, before the
+    means of a hand begin: these are longer than all its words."""
     d = len(vectors.after[0])
     table = vectors.table(words.sparkSession)
-    a = words.join(F.broadcast(table.select("word", "as_after")), "word")
+    a = words.select("hand_id", "word", "before").repartition("hand_id")
+    a = a.join(F.broadcast(table.select("word", "as_after")), "word")
     a = a.join(F.broadcast(table.select(F.col("word").alias("before"), "as_before")), "before", "left")
     parts = {f"word_{i}": F.get("as_after", F.lit(i)) for i in range(d)}
     parts |= {f"pair_{i}": F.coalesce(F.get("as_before", F.lit(i)) * F.get("as_after", F.lit(i)), F.lit(0.0)) for i in range(d)}
@@ -111,11 +113,12 @@ class EmbeddedDetector:
         told = feature_columns(features, names)
         return chunk_embedding(chunks, hands, words, self.vectors).join(told, "chunk_id", "left").na.fill(0.0, names)
 
-    def predict(self, chunks: DataFrame, hands: DataFrame, actions: DataFrame, features: DataFrame) -> DataFrame:
+    def predict(self, chunks: DataFrame, hands: DataFrame, actions: DataFrame | None, features: DataFrame, *, words: DataFrame | None = None) -> DataFrame:
         """chunk_id, raw, score (calibrated, six decimals) and flagged of every row of ``chunks``, in one plan. Flagged is a
         score at or above ``threshold``; without one a score above one half, since the calibrator's cut itself passes. A
-        chunk without hands is scored by its features and a zero embedding."""
-        rows = self.inputs(chunks, hands, action_words(actions), features)
+        chunk without hands is scored by its features and a zero embedding. ``words``: those of the actions, where they are
+        known already."""
+        rows = self.inputs(chunks, hands, action_words(actions) if words is None else words, features)
         out = D.predict_chunks(self.served, rows)
         raw = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("raw")))
         return out.select("chunk_id", F.round(raw, 6).alias("raw"), "score", M.decide(boundary=self.threshold).alias("flagged"))
@@ -136,12 +139,13 @@ def feature_columns(features: DataFrame, names: list[str]) -> DataFrame:
 
 
 def fit_embedded(
-    hands: DataFrame, actions: DataFrame, features: DataFrame, labels: DataFrame, names: list[str], *,
+    hands: DataFrame, actions: DataFrame | None, features: DataFrame, labels: DataFrame, names: list[str], *, words: DataFrame | None = None,
     dimensions: int = DIMENSIONS, stacked: bool = False, held_out: float = 0.3, seed: int = 44,
 ) -> EmbeddedDetector:
     """Fit vectors on all actions, the head on the labelled chunks (``labels``: chunk_id, y), the calibrator on scores of chunks
-    that the head has not seen: with ``stacked`` the out-of-fold ones of an ensemble, else those of a share that is held out."""
-    words = action_words(actions)
+    that the head has not seen: with ``stacked`` the out-of-fold ones of an ensemble, else those of a share that is held out.
+    ``words``: those of the actions, where they are known already."""
+    words = action_words(actions) if words is None else words
     vectors = fit_words(word_pairs(words), dimensions=dimensions)
     inputs = [*vectors.names, *names]
     blank = EmbeddedDetector(vectors, D.Served(inputs, {}))

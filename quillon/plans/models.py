@@ -14,6 +14,7 @@ from quillon.operators import metrics as M
 from quillon.operators import models as D
 from quillon.plans.catalog import query
 from quillon.sources import synthetic
+from quillon.sources.shared import kept
 
 NAMES = [f"{k}_mean" for k in ("aggression_ratio", "passive_ratio", "action_type_entropy", "street_jump_ratio", "amount_mean", "fold_ratio", "raise_ratio", "num_actions")]
 
@@ -60,10 +61,12 @@ def action_word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def embedded_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated scores of all chunks by learned embedding and features; the tests compare it with plain Python."""
-    labelled, hands, actions = _labelled(spark, sf_dir), B.hands(spark, sf_dir), B.actions(spark, sf_dir)
-    detector = E.fit_embedded(hands, actions, labelled.drop("y"), labelled.select("chunk_id", "y"), NAMES)
+    # features, labels and words are read by fitting and by prediction, so each is worked out once and written
+    labelled, hands = kept(_labelled(spark, sf_dir), "labelled"), B.hands(spark, sf_dir)
+    words = kept(E.action_words(B.actions(spark, sf_dir)), "words")
+    detector = E.fit_embedded(hands, None, labelled.drop("y"), labelled.select("chunk_id", "y"), NAMES, words=words)
     chunks = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chunk_id"))
-    return detector.predict(chunks, hands, actions, labelled.drop("y")).select("chunk_id", "raw", "score", F.col("flagged").cast("int").alias("flagged"))
+    return detector.predict(chunks, hands, None, labelled.drop("y"), words=words).select("chunk_id", "raw", "score", F.col("flagged").cast("int").alias("flagged"))
 
 
 @query()
