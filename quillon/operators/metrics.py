@@ -12,17 +12,22 @@ BUCKETS = 1024
 MAX_FPR = 0.10
 
 
-def curve(scored: DataFrame, keys: list[str], *, thresholds: DataFrame | None = None) -> DataFrame:
-    """Per key and distinct score: pos and n at the score, tp and seen at or above it, total_pos and total.
+def _count_if(cond: Column, counted: str | None) -> Column:
+    return F.count_if(cond) if counted is None else F.coalesce(F.sum(F.when(cond, F.col(counted))), F.lit(0))
 
-    Rows are counted per score first. The running sums are taken within score buckets, to which the sums of the
-    higher buckets (at most ``BUCKETS`` + 1 rows a key) are added, so no task sorts all scores. ``thresholds`` (score)
-    adds points without rows to a curve without keys.
-    """
-    at = scored.groupBy(*keys, "score").agg(F.sum("y").cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
+
+def tallies(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, score, y, n: how many rows have a score and a label. The metrics take it for the rows with ``counted`` n."""
+    return scored.groupBy(*keys, "score", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _points(scored: DataFrame, keys: list[str], thresholds: DataFrame | None, counted: str | None) -> tuple[DataFrame, DataFrame]:
+    """Per key and distinct score pos and n; per key and score bucket the sums of the buckets above, bn and the totals."""
+    one = F.lit(1) if counted is None else F.col(counted)
+    at = scored.groupBy(*keys, "score").agg(F.sum(F.col("y") * one).cast("double").alias("pos"), F.sum(one).cast("double").alias("n"))
     if thresholds is not None:
-        extra = thresholds.select(F.col("score").cast("double").alias("score"), F.lit(0.0).alias("pos"), F.lit(0.0).alias("n"))
-        at = at.unionByName(extra).groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+        extra = thresholds.select(*keys, F.col("score").cast("double").alias("score"), F.lit(0.0).alias("pos"), F.lit(0.0).alias("n"))
+        at = at.unionByName(extra).groupBy(*keys, "score").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     at = at.withColumn("bucket", F.floor(F.col("score") * BUCKETS))
     sums = at.groupBy(*keys, "bucket").agg(F.sum("pos").alias("bp"), F.sum("n").alias("bn"))
     over = Window.partitionBy(*keys).orderBy(F.col("bucket").desc())
@@ -30,18 +35,32 @@ def curve(scored: DataFrame, keys: list[str], *, thresholds: DataFrame | None =
     zero = F.lit(0.0)
     sums = sums.select(
         *keys, "bucket", F.coalesce(F.sum("bp").over(above), zero).alias("ap"), F.coalesce(F.sum("bn").over(above), zero).alias("an"),
-        F.sum("bp").over(whole).alias("total_pos"), F.sum("bn").over(whole).alias("total"),
+        "bn", F.sum("bp").over(whole).alias("total_pos"), F.sum("bn").over(whole).alias("total"),
     )
+    return at, sums
+
+
+def _running(at: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
     inside = Window.partitionBy(*keys, "bucket").orderBy(F.col("score").desc())
     at = at.join(sums, [*keys, "bucket"])
     return at.select(
-        *keys, "score", "pos", "n", (F.col("ap") + F.sum("pos").over(inside)).alias("tp"), (F.col("an") + F.sum("n").over(inside)).alias("seen"), "total_pos", "total"
+        *keys, "bucket", "score", "pos", "n", (F.col("ap") + F.sum("pos").over(inside)).alias("tp"), (F.col("an") + F.sum("n").over(inside)).alias("seen"), "total_pos", "total"
     )
 
 
-def ranking(scored: DataFrame, keys: list[str]) -> DataFrame:
+def curve(scored: DataFrame, keys: list[str], *, thresholds: DataFrame | None = None, counted: str | None = None) -> DataFrame:
+    """Per key and distinct score: pos and n at the score, tp and seen at or above it, total_pos and total.
+
+    Rows are counted per score first. The running sums are taken within score buckets, to which the sums of the
+    higher buckets (at most ``BUCKETS`` + 1 rows a key) are added, so no task sorts all scores. ``thresholds`` (keys, score)
+    adds points without rows. A row stands for as many as its column ``counted`` says, if one is named.
+    """
+    return _running(*_points(scored, keys, thresholds, counted), keys).drop("bucket")
+
+
+def ranking(scored: DataFrame, keys: list[str], *, counted: str | None = None) -> DataFrame:
     """Per key: ap (steps over groups of equal scores) and auc (rank sum with halves for ties); 0 without positives."""
-    c = curve(scored, keys)
+    c = curve(scored, keys, counted=counted)
     precision = F.col("tp") / F.col("seen")
     negatives_below = (F.col("total") - F.col("total_pos")) - (F.col("seen") - F.col("tp"))
     won = F.col("pos") * (negatives_below + (F.col("n") - F.col("pos")) / 2)
@@ -51,11 +70,10 @@ def ranking(scored: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def confusion(keys: list[str], scored: DataFrame, flagged: Column) -> DataFrame:
+def confusion(keys: list[str], scored: DataFrame, flagged: Column, *, counted: str | None = None) -> DataFrame:
     y = F.col("y") == 1
-    return scored.groupBy(*keys).agg(
-        F.count_if(flagged & y).alias("tp"), F.count_if(flagged & ~y).alias("fp"), F.count_if(~flagged & ~y).alias("tn"), F.count_if(~flagged & y).alias("fn")
-    )
+    cells = {"tp": flagged & y, "fp": flagged & ~y, "tn": ~flagged & ~y, "fn": ~flagged & y}
+    return scored.groupBy(*keys).agg(*(_count_if(c, counted).alias(k) for k, c in cells.items()))
 
 
 def decide(score: str = "score", boundary: float | None = None) -> Column:
@@ -63,11 +81,11 @@ def decide(score: str = "score", boundary: float | None = None) -> Column:
     return F.rint(score) == 1 if boundary is None else F.col(score) >= boundary
 
 
-def reward(scored: DataFrame, keys: list[str], *, boundary: float | None = None) -> DataFrame:
+def reward(scored: DataFrame, keys: list[str], *, boundary: float | None = None, counted: str | None = None) -> DataFrame:
     """Per key: fpr, bot_recall, ap_score, human_safety_penalty, base_score, reward. The penalty is (1 - fpr)^2, and
     everything is lost from a false-positive rate of one tenth on."""
-    m = confusion(keys, scored, decide(boundary=boundary))
-    r = ranking(scored, keys)
+    m = confusion(keys, scored, decide(boundary=boundary), counted=counted)
+    r = ranking(scored, keys, counted=counted)
     m = m.join(r, keys) if keys else m.join(F.broadcast(r))
     m = m.withColumns({"fpr": ratio("fp", F.greatest(F.col("tn") + F.col("fp"), F.lit(1))), "bot_recall": ratio("tp", F.greatest(F.col("tp") + F.col("fn"), F.lit(1)))})
     m = m.withColumn("human_safety_penalty", F.when(F.col("fpr") >= MAX_FPR, 0.0).otherwise(F.pow(1 - F.col("fpr"), F.lit(2.0))))
@@ -142,32 +160,36 @@ def best_threshold(scored: DataFrame, grid: DataFrame) -> DataFrame:
     return best.select((-F.col("b.low")).alias("threshold"), F.col("b.f1").alias("f1"), F.col("b.accuracy").alias("accuracy"))
 
 
-def best_cut(scored: DataFrame, candidates: DataFrame, max_fpr: float) -> DataFrame:
-    """Reward of every candidate cut (score): remapping is monotone, so the ranking part is the same for all and only
-    the confusion at the cut changes. Returns cut, fpr, recall, reward of the admissible ones."""
-    ap = ranking(scored, []).select("ap")
-    c = curve(scored, [], thresholds=candidates).join(candidates.select(F.col("score").cast("double").alias("score")).distinct(), "score")
+def best_cut(scored: DataFrame, candidates: DataFrame, max_fpr: float, *, keys: tuple[str, ...] = (), counted: str | None = None) -> DataFrame:
+    """Reward of every candidate cut (keys, score): remapping is monotone, so the ranking part is the same for all and only
+    the confusion at the cut changes. Returns keys, cut, fpr, recall, reward of the admissible ones."""
+    ap = ranking(scored, [*keys], counted=counted).select(*keys, "ap")
+    c = curve(scored, [*keys], thresholds=candidates, counted=counted)
+    c = c.join(candidates.select(*keys, F.col("score").cast("double").alias("score")).distinct(), [*keys, "score"])
     # a remapped score of exactly one half is not flagged, so the rows at the cut are left out
     tp, seen = F.col("tp") - F.col("pos"), F.col("seen") - F.col("n")
-    c = c.join(F.broadcast(ap)).select(
-        F.col("score").alias("cut"), ratio(seen - tp, F.greatest(F.col("total") - F.col("total_pos"), F.lit(1.0))).alias("fpr"),
+    c = (c.join(ap, [*keys]) if keys else c.join(F.broadcast(ap))).select(
+        *keys, F.col("score").alias("cut"), ratio(seen - tp, F.greatest(F.col("total") - F.col("total_pos"), F.lit(1.0))).alias("fpr"),
         ratio(tp, F.greatest(F.col("total_pos"), F.lit(1.0))).alias("recall"), "ap",
     )
     penalty = F.when(F.col("fpr") >= MAX_FPR, 0.0).otherwise(F.pow(1 - F.col("fpr"), F.lit(2.0)))
-    return c.where(F.col("fpr") < max_fpr - 1e-9).select("cut", "fpr", "recall", ((0.65 * F.col("ap") + 0.35 * F.col("recall")) * penalty).alias("reward"))
+    return c.where(F.col("fpr") < max_fpr - 1e-9).select(*keys, "cut", "fpr", "recall", ((0.65 * F.col("ap") + 0.35 * F.col("recall")) * penalty).alias("reward"))
 
 
-def quantiles(scored: DataFrame, probabilities: list[float]) -> DataFrame:
-    """p and score of the linearly interpolated quantiles of the column score. They are read off the curve, whose running
-    sums no task takes over all scores: a distinct score stands for the ranks from the rows below it on."""
-    c = curve(scored.select("score", F.lit(0).alias("y")), [])
-    at = lambda p: (F.col("total") - 1) * F.lit(float(p))
-    wanted = [F.struct(F.lit(float(p)).alias("p"), (at(p) - F.floor(at(p))).alias("share"), F.lit(k).alias("k"), F.least(F.floor(at(p)) + k, F.col("total") - 1).alias("rank")) for p in probabilities for k in (0, 1)]
-    low = F.col("total") - F.col("seen")
-    c = c.select("score", low.alias("low"), (low + F.col("n")).alias("end"), F.array(*wanted).alias("w"))
-    hits = c.select("score", F.explode(F.filter("w", lambda w: (w["rank"] >= F.col("low")) & (w["rank"] < F.col("end")))).alias("w"))
-    ends = hits.groupBy("w.p").agg(F.max("w.share").alias("share"), F.max(F.when(F.col("w.k") == 0, F.col("score"))).alias("a"), F.max(F.when(F.col("w.k") == 1, F.col("score"))).alias("b"))
-    return ends.select("p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("score"))
+def quantiles(scored: DataFrame, probabilities: list[float], *, keys: tuple[str, ...] = (), counted: str | None = None) -> DataFrame:
+    """keys, p and score of the linearly interpolated quantiles of the column score. They are read off the curve, whose running
+    sums no task takes over all scores: a distinct score stands for the ranks from the rows below it on. The ranks that are
+    asked for are told to their score buckets, whose sums say which they hold, so a score is only compared with those of its
+    own bucket."""
+    at, sums = _points(scored.withColumn("y", F.lit(0)), [*keys], None, counted)
+    place = lambda p: (F.col("total") - 1) * F.lit(float(p))
+    wanted = [F.struct(F.lit(float(p)).alias("p"), (place(p) - F.floor(place(p))).alias("__share"), F.lit(k).alias("__side"), F.least(F.floor(place(p)) + k, F.col("total") - 1).alias("__rank")) for p in probabilities for k in (0, 1)]
+    end = F.col("total") - F.col("an")
+    asked = sums.select(*keys, "bucket", F.inline(F.filter(F.array(*wanted), lambda w: (w["__rank"] >= end - F.col("bn")) & (w["__rank"] < end))))
+    c = _running(at, sums, [*keys]).select(*keys, "bucket", "score", (F.col("total") - F.col("seen")).alias("low"), "n")
+    hits = c.join(F.broadcast(asked), [*keys, "bucket"]).where((F.col("__rank") >= F.col("low")) & (F.col("__rank") < F.col("low") + F.col("n")))
+    ends = hits.groupBy(*keys, "p").agg(F.max("__share").alias("share"), F.max(F.when(F.col("__side") == 0, F.col("score"))).alias("a"), F.max(F.when(F.col("__side") == 1, F.col("score"))).alias("b"))
+    return ends.select(*keys, "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("score"))
 
 
 def quantile_values(scored: DataFrame, probabilities: list[float]) -> list[float]:
@@ -176,14 +198,14 @@ def quantile_values(scored: DataFrame, probabilities: list[float]) -> list[float
     return [found[float(p)] for p in probabilities if float(p) in found]
 
 
-def quantile_candidates(scored: DataFrame, low: float = 0.40, high: float = 0.999, n: int = 80) -> DataFrame:
+def quantile_candidates(scored: DataFrame, low: float = 0.40, high: float = 0.999, n: int = 80, *, keys: tuple[str, ...] = (), counted: str | None = None) -> DataFrame:
     """Distinct quantiles of the scores at ``n`` even steps."""
-    return quantiles(scored, [low + (high - low) * i / (n - 1) for i in range(n)]).select("score").distinct()
+    return quantiles(scored, [low + (high - low) * i / (n - 1) for i in range(n)], keys=keys, counted=counted).select(*keys, "score").distinct()
 
 
-def conformal_cut(scored: DataFrame, target_fpr: float) -> DataFrame:
+def conformal_cut(scored: DataFrame, target_fpr: float, *, counted: str | None = None) -> DataFrame:
     """The quantile of human scores above which the target share lies; null without humans."""
-    return quantiles(scored.where("y = 0"), [1 - target_fpr]).agg(F.max("score").alias("cut"))
+    return quantiles(scored.where("y = 0"), [1 - target_fpr], counted=counted).agg(F.max("score").alias("cut"))
 
 
 def remapped(scored: DataFrame, cut: float) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.labels import equal_folds
@@ -29,9 +29,12 @@ class Calibrator:
     grid: list[float]
     cut: float
 
-    def apply(self, scored: DataFrame) -> DataFrame:
+    def column(self) -> Column:
         inner = F.greatest(F.lit(0.0), F.least(F.lit(1.0), grid_interpolate("score", F.array(*map(F.lit, self.grid)), STEPS)))
-        return scored.withColumn("score", F.round(remap(inner, F.lit(self.cut)), 6))
+        return F.round(remap(inner, F.lit(self.cut)), 6)
+
+    def apply(self, scored: DataFrame) -> DataFrame:
+        return scored.withColumn("score", self.column())
 
 
 def learners(seed: int) -> dict[str, object]:
@@ -91,15 +94,14 @@ def compare_blends(oof: DataFrame, a: str, b: str, *, share: float = 0.6, margin
     oof = kept(oof.select("y", a, b), "arms")  # the models that score a row are not run again by every pass
     meta = train(oof, [a, b], LogisticRegression(labelCol="y", regParam=0.0, maxIter=1000))
     forms = {a: F.col(a), b: F.col(b), "blend": share * F.col(a) + (1 - share) * F.col(b), "stack": F.col("__stack")}
-    stacked = score(meta, oof, "__stack").select("y", *(c.alias(f"__{n}_arm") for n, c in forms.items())).persist()
-    try:
-        found = {}
-        for n in forms:  # a calibrator is fitted by several jobs over one arm; what is kept of an arm is a row
-            arm = stacked.select("y", F.col(f"__{n}_arm").alias("score"))
-            r = M.ranking(arm, []).join(F.broadcast(M.reward(fit_calibrator(arm).apply(arm), []).select("reward", "fpr")))
-            found[n] = r.first()
-    finally:
-        stacked.unpersist()
+    each = F.array(*(F.struct(F.lit(i).alias("arm"), c.alias("score")) for i, c in enumerate(forms.values())))
+    # all that follows is of the scores' counts, which are made once, and of all arms in the same passes
+    arms = kept(M.tallies(score(meta, oof, "__stack").select("y", F.inline(each)), ["arm"]), "tallies")
+    calibrators = fit_calibrators(arms, "arm", [*range(len(forms))])
+    calibrated = arms.withColumn("score", _by_arm("arm", {i: c.column() for i, c in calibrators.items()}))
+    told = M.ranking(arms, ["arm"], counted="n").join(M.reward(calibrated, ["arm"], counted="n").select("arm", "reward", "fpr"), "arm")
+    by_arm = {r["arm"]: r for r in told.collect()}  # a row an arm
+    found = {n: by_arm[i] for i, n in enumerate(forms)}
     best = max(("blend", "stack"), key=lambda n: (found[n]["reward"], n == "blend"))
     winner = best if found[best]["reward"] - found[a]["reward"] > margin else a
     rows = [(n, x["ap"], x["auc"], x["reward"], x["fpr"], n == winner) for n, x in found.items()]
@@ -120,20 +122,44 @@ def top_features(importance: dict[str, float], k: int) -> list[str]:
     return [n for n in importance if n in best]
 
 
-def fit_calibrator(scored: DataFrame, *, target_fpr: float = 0.04, max_fpr: float = 0.05, blend: float = 0.05) -> Calibrator:
-    """Isotonic regression on an even grid, a little of the identity mixed in so that the order stays strict, then the
-    cut of best reward among score quantiles under the false-positive ceiling, else the conformal quantile."""
-    model = IsotonicRegression(featuresCol="score", labelCol="y").fit(scored.select("score", F.col("y").cast("double").alias("y")))
-    knots, values = model.boundaries.toArray(), model.predictions.toArray()
+def _by_arm(arm: str, columns: dict[int, Column]) -> Column:
+    """The column of each row's arm."""
+    return reduce(lambda x, i: x.when(F.col(arm) == i, columns[i]), columns, F)
+
+
+def fit_calibrators(
+    counted: DataFrame, arm: str, arms: list[int], *, target_fpr: float = 0.04, max_fpr: float = 0.05, blend: float = 0.05
+) -> dict[int, Calibrator]:
+    """A calibrator for each arm of ``counted`` (arm, score, y, n: see ``tallies``). Isotonic regression on an even grid, a
+    little of the identity mixed in so that the order stays strict, then the cut of best reward among score quantiles under
+    the false-positive ceiling, else the conformal quantile. The cuts of all arms are searched in the same passes."""
     import numpy as np
 
-    even = np.linspace(0, 1, STEPS + 1)
-    grid = (1 - blend) * np.clip(np.interp(even, knots, values), 0, 1) + blend * even
-    shaped = Calibrator([float(x) for x in grid], 0.5)
-    inner = scored.withColumn("score", grid_interpolate("score", F.array(*map(F.lit, shaped.grid)), STEPS))
-    best = M.best_cut(inner, M.quantile_candidates(inner), max_fpr).agg(F.max(F.struct("reward", "recall", (-F.col("cut")).alias("low"))).alias("b")).first()["b"]
-    cut = -best["low"] if best else (M.conformal_cut(inner, target_fpr).first()["cut"] or 0.5)
-    return Calibrator(shaped.grid, float(cut))
+    even, grids = np.linspace(0, 1, STEPS + 1), {}
+    regression = IsotonicRegression(featuresCol="score", labelCol="y", weightCol="n")
+    for i in arms:
+        model = regression.fit(counted.where(F.col(arm) == i).select("score", F.col("y").cast("double").alias("y"), F.col("n").cast("double").alias("n")))
+        knots, values = model.boundaries.toArray(), model.predictions.toArray()
+        grid = (1 - blend) * np.clip(np.interp(even, knots, values), 0, 1) + blend * even
+        grids[i] = [float(x) for x in grid]
+    inner = counted.withColumn("score", _by_arm(arm, {i: grid_interpolate("score", F.array(*map(F.lit, g)), STEPS) for i, g in grids.items()}))
+    cuts = M.quantile_candidates(inner, keys=(arm,), counted="n")
+    cuts = cuts.sparkSession.createDataFrame(cuts.collect(), cuts.schema)  # a few rows an arm, which are read twice
+    best = M.best_cut(inner, cuts, max_fpr, keys=(arm,), counted="n").groupBy(arm).agg(F.max(F.struct("reward", "recall", (-F.col("cut")).alias("low"))).alias("b"))
+    found = {r[arm]: -r["b"]["low"] for r in best.collect()}
+    for i in arms:
+        if i not in found:
+            found[i] = M.conformal_cut(inner.where(F.col(arm) == i), target_fpr, counted="n").first()["cut"] or 0.5
+    return {i: Calibrator(grids[i], float(found[i])) for i in arms}
+
+
+def fit_calibrator(scored: DataFrame, *, target_fpr: float = 0.04, max_fpr: float = 0.05, blend: float = 0.05) -> Calibrator:
+    """The calibrator of one table of scores: see ``fit_calibrators``."""
+    counted = M.tallies(scored, []).withColumn("arm", F.lit(0)).persist()  # the models that score a row are not run again by every pass
+    try:
+        return fit_calibrators(counted, "arm", [0], target_fpr=target_fpr, max_fpr=max_fpr, blend=blend)[0]
+    finally:
+        counted.unpersist()
 
 
 @dataclass(frozen=True)
