@@ -22,14 +22,25 @@ def tallies(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _points(scored: DataFrame, keys: list[str], thresholds: DataFrame | None, counted: str | None) -> tuple[DataFrame, DataFrame]:
-    """Per key and distinct score pos and n; per key and score bucket the sums of the buckets above, bn and the totals."""
-    one = F.lit(1) if counted is None else F.col(counted)
-    at = scored.groupBy(*keys, "score").agg(F.sum(F.col("y") * one).cast("double").alias("pos"), F.sum(one).cast("double").alias("n"))
+    """Per key and distinct score pos and n; per key and score bucket the sums of the buckets above, bn and the totals.
+
+    Counted rows hardly shrink by one more count, so they are dealt by bucket alone, where they are counted and summed; the
+    buckets of their few keys are broadcast."""
+    named = [*keys, "score", "pos", "n"]
+    bucket = F.floor(F.col("score") * BUCKETS)
+    if counted is None:
+        at = scored.groupBy(*keys, "score").agg(F.sum("y").cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
+    else:
+        at = scored.select(*keys, "score", (F.col("y") * F.col(counted)).cast("double").alias("pos"), F.col(counted).cast("double").alias("n"))
     if thresholds is not None:
-        extra = thresholds.select(*keys, F.col("score").cast("double").alias("score"), F.lit(0.0).alias("pos"), F.lit(0.0).alias("n"))
-        at = at.unionByName(extra).groupBy(*keys, "score").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    at = at.withColumn("bucket", F.floor(F.col("score") * BUCKETS))
-    sums = at.groupBy(*keys, "bucket").agg(F.sum("pos").alias("bp"), F.sum("n").alias("bn"))
+        at = at.unionByName(thresholds.select(*keys, F.col("score").cast("double").alias("score"), F.lit(0.0).alias("pos"), F.lit(0.0).alias("n")))
+    added = [F.sum("pos").alias("pos"), F.sum("n").alias("n")]
+    if counted is not None:
+        rows = at.select(*named, bucket.alias("bucket"))
+        at = rows.repartition(*keys, "bucket").groupBy(*keys, "bucket", "score").agg(*added)
+    else:
+        at = rows = (at.groupBy(*keys, "score").agg(*added) if thresholds is not None else at).withColumn("bucket", bucket)
+    sums = rows.groupBy(*keys, "bucket").agg(F.sum("pos").alias("bp"), F.sum("n").alias("bn"))
     over = Window.partitionBy(*keys).orderBy(F.col("bucket").desc())
     above, whole = over.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
     zero = F.lit(0.0)
@@ -37,7 +48,7 @@ def _points(scored: DataFrame, keys: list[str], thresholds: DataFrame | None, co
         *keys, "bucket", F.coalesce(F.sum("bp").over(above), zero).alias("ap"), F.coalesce(F.sum("bn").over(above), zero).alias("an"),
         "bn", F.sum("bp").over(whole).alias("total_pos"), F.sum("bn").over(whole).alias("total"),
     )
-    return at, sums
+    return at, sums if counted is None else F.broadcast(sums)
 
 
 def _running(at: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,8 +71,11 @@ def curve(scored: DataFrame, keys: list[str], *, thresholds: DataFrame | None =
 
 def ranking(scored: DataFrame, keys: list[str], *, counted: str | None = None) -> DataFrame:
     """Per key: ap (steps over groups of equal scores) and auc (rank sum with halves for ties); 0 without positives."""
-    c = curve(scored, keys, counted=counted)
-    precision = F.col("tp") / F.col("seen")
+    return _ranked(curve(scored, keys, counted=counted), keys)
+
+
+def _ranked(c: DataFrame, keys: list[str]) -> DataFrame:
+    precision = F.try_divide("tp", "seen")  # a point without rows adds nothing, also above all scores
     negatives_below = (F.col("total") - F.col("total_pos")) - (F.col("seen") - F.col("tp"))
     won = F.col("pos") * (negatives_below + (F.col("n") - F.col("pos")) / 2)
     return c.groupBy(*keys).agg(
@@ -163,9 +177,9 @@ def best_threshold(scored: DataFrame, grid: DataFrame) -> DataFrame:
 def best_cut(scored: DataFrame, candidates: DataFrame, max_fpr: float, *, keys: tuple[str, ...] = (), counted: str | None = None) -> DataFrame:
     """Reward of every candidate cut (keys, score): remapping is monotone, so the ranking part is the same for all and only
     the confusion at the cut changes. Returns keys, cut, fpr, recall, reward of the admissible ones."""
-    ap = ranking(scored, [*keys], counted=counted).select(*keys, "ap")
-    c = curve(scored, [*keys], thresholds=candidates, counted=counted)
-    c = c.join(candidates.select(*keys, F.col("score").cast("double").alias("score")).distinct(), [*keys, "score"])
+    every = curve(scored, [*keys], thresholds=candidates, counted=counted)
+    ap = _ranked(every, [*keys]).select(*keys, "ap")
+    c = every.join(candidates.select(*keys, F.col("score").cast("double").alias("score")).distinct(), [*keys, "score"])
     # a remapped score of exactly one half is not flagged, so the rows at the cut are left out
     tp, seen = F.col("tp") - F.col("pos"), F.col("seen") - F.col("n")
     c = (c.join(ap, [*keys]) if keys else c.join(F.broadcast(ap))).select(
